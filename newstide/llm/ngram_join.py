@@ -13,7 +13,9 @@ if their prefixes of n - ceil(n * num / den) + 1 members meet.
   components is lost.
 * Length and positional filter, and the suffix filter, stand in the join
   condition.  The suffix filter bounds the symmetric difference from below by
-  the popcount of the xor of two parity sketches (512 bits, one flip a member).
+  the popcount of the xor of two parity sketches (one flip a member): of 512
+  bits in the join condition, then, for the pairs that are left, of as many bits
+  as the set has members, at least (a larger sketch folds to a smaller one).
 * Each pair that is left is verified once, on the whole sets.
 
 Nulls and edge cases: a null text or one without words has the empty set and
@@ -111,14 +113,16 @@ def _profiles(k: int, num: int, den: int, order):
                 s = shingles(text, k)
                 n = len(s)
                 if not n:
-                    out.append((doc_id, 0, None, None, None))
+                    out.append((doc_id, 0, None, None, None, None))
                     continue
                 f = rank[(s >> np.uint64(64 - COUNTERS_LOG2)).astype(np.int64)]
                 prefix = s[np.argsort(f, kind="stable")[: n + (-num * n // den) + 1]]
-                bits = np.bincount(((s * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(55)).astype(np.int64), minlength=64 * WORDS) & 1
-                sketch = np.packbits(bits.astype(np.uint8)).view(np.int64)
-                out.append((doc_id, n, xxhash.xxh128_digest(s.tobytes()), prefix.view(np.int64), sketch))
-            yield pd.DataFrame(out, columns=["doc_id", "n", "fp", "prefix", "sketch"]).astype({"doc_id": "Int64"})
+                bits = max(64 * WORDS, 1 << (n - 1).bit_length())
+                place = ((s * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(30)).astype(np.int64) & (bits - 1)
+                large = np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8))
+                sketch = np.bitwise_xor.reduce(large.reshape(-1, 8 * WORDS)).view(np.int64)
+                out.append((doc_id, n, xxhash.xxh128_digest(s.tobytes()), prefix.view(np.int64), sketch, large.tobytes()))
+            yield pd.DataFrame(out, columns=["doc_id", "n", "fp", "prefix", "sketch", "large"]).astype({"doc_id": "Int64"})
 
     return run
 
@@ -134,6 +138,23 @@ def _sets(k: int, bitmap):
     return run
 
 
+def _sketches_allow(num: int, den: int):
+    """Pairs whose large sketches (x, y) don't differ more than linked sets of m and n members can."""
+
+    def run(batches):
+        import numpy as np
+
+        for batch in batches:
+            keep = []
+            for x, y, m, n in zip(batch["x"], batch["y"], batch["m"], batch["n"], strict=True):
+                x, y = sorted((np.frombuffer(x, dtype=np.uint8), np.frombuffer(y, dtype=np.uint8)), key=len)
+                apart = int.from_bytes((x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)))).tobytes()).bit_count()
+                keep.append(apart <= m + n - 2 * -(-num * (m + n) // (num + den)))
+            yield batch.loc[keep, ["a", "b"]]
+
+    return run
+
+
 def _verify(num: int, den: int):
     def run(batches):
         import numpy as np
@@ -162,10 +183,11 @@ def _may_link(x: str, y: str, num: int, den: int) -> Column:
     )
 
 
-def _links(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _links(docs: DataFrame, groups: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Those of the pairs (a, b) that link, verified on whole sets."""
     spark = docs.sparkSession
-    pairs = stage_table(pairs, "pairs")
+    x, y = (groups.select(F.col("node").alias(c), F.col("large").alias(d), F.col("n").alias(e)) for c, d, e in (("a", "x", "m"), ("b", "y", "n")))
+    pairs = stage_table(pairs.join(x, "a").join(y, "b").mapInPandas(_sketches_allow(num, den), "a long, b long").distinct(), "pairs")
     bitmap = spark.sparkContext.broadcast(id_bitmap(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id"))
     sets = (
         docs.where("doc_id is not null")
@@ -182,9 +204,9 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     order = spark.sparkContext.broadcast(_order(docs, k))
-    profiles = stage_table(docs.mapInPandas(_profiles(k, num, den, order), "doc_id long, n long, fp binary, prefix array<long>, sketch array<long>"), "profiles")
+    profiles = stage_table(docs.mapInPandas(_profiles(k, num, den, order), "doc_id long, n long, fp binary, prefix array<long>, sketch array<long>, large binary"), "profiles")
 
-    groups = profiles.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"), F.min("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
+    groups = profiles.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"), F.min("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"), F.first("large").alias("large"))
     groups = stage_table(groups, "groups")
     entries = groups.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
     shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
@@ -199,13 +221,13 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
         .select(F.struct("node", "n", "pos", "sketch").alias("x"), F.when(F.col("comp") > F.col("lo.comp"), F.col("lo")).otherwise(F.col("hi")).alias("y"))
         .where(_may_link("x", "y", num, den))
     )
-    links = _links(docs, _pairs(star), k, num, den)
+    links = _links(docs, groups, _pairs(star), k, num, den)
     found = components(links)
 
     now = live.join(found, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
     x, y = now.alias("x"), now.alias("y")
     rest = x.join(y, (F.col("x.token") == F.col("y.token")) & F.expr("x.comp < y.comp") & _may_link("x", "y", num, den))
-    more = _links(docs, _pairs(rest).join(links, ["a", "b"], "left_anti"), k, num, den)
+    more = _links(docs, groups, _pairs(rest).join(links, ["a", "b"], "left_anti"), k, num, den)
     found = components(links.unionByName(more))
 
     heads = groups.select("fp", "node").join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
