@@ -1,4 +1,12 @@
 """The registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from . import kernels
+from .dialect import render, run
+from .relational import SQL
+
+QUERIES: dict = {name: run(body) for name, (_, body) in SQL.items()} | kernels.QUERIES
+ORACLES: dict = {name: render(body, duck=True) for name, (_, body) in SQL.items()} | {name: render(body, duck=True) for name, body in kernels.ORACLE_BODIES.items()}
+#: Survey ids by query.
+COVERS: dict = {name: ids for name, (ids, _) in SQL.items()} | {name: (f.__doc__ or "").split(":")[0].split(" by ")[0] for name, f in kernels.QUERIES.items()}
