@@ -27,8 +27,7 @@ SAMPLE_ROWS, DIMENSIONS = 4000, 1 << 12
 #: Documents whose probability of being good is under this are rejected.
 REJECT_UNDER = 0.5
 
-_SYMBOLS = re.compile(r"[#*$%&|<>]")
-_TAIL = re.compile(r"[^\w\s]{2,}$")
+_RUNS = re.compile(r"(.)\1+")
 
 #: (name, metric, bad, good): a labeller votes bad past its bad bound, good past its good bound, else abstains.
 #: "over": bad above the first number, good below the second; "under" the other way round.
@@ -46,16 +45,36 @@ LABELLERS = (
 VARIETY_FROM, LINES_FROM = 20, 3
 
 
+class _Classes(dict):
+    """Code point to the letter of its class: A capital, a other letter, 9 digit, $ symbol, . anything else."""
+
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
+        self[point] = out = "A" if c.isalpha() and c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else "$" if c in "#*$%&|<>" else "."
+        return out
+
+
+_CLASSES = _Classes()
+
+
 class _Words(dict):
-    """(word dimension, shape dimension, flags) of a word; forgets all when it holds half a million."""
+    """All that is needed of a word in one number; forgets all when it holds half a million.
+
+    Bits 0: word dimension, 16: shape dimension, 32: function word, 33: tail of
+    marks, 34: letters, 44: capitals, 54: symbols (each count up to its bits).
+    """
 
     def __missing__(self, word: str) -> int:
         if len(self) >= 500_000:
             self.clear()
         half = DIMENSIONS // 2
-        shape = re.sub(r"(.)\1+", r"\1", re.sub(r"[^\W\d_]", "a", re.sub(r"[A-ZÀ-ÖØ-Þ]", "A", re.sub(r"\d", "9", word))))[:12]
-        flags = (sum(c.isalpha() for c in word) <= 3 and word[0].isalpha()) | (bool(_TAIL.search(word)) << 1)
-        self[word] = out = zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % half | (half + zlib.crc32(b"s" + shape.encode("utf-8", "surrogatepass")) % (half // 2)) << 16 | flags << 32
+        classes = word.translate(_CLASSES)
+        capitals = classes.count("A")
+        letters = capitals + classes.count("a")
+        shape = _RUNS.sub(r"\1", classes)[:12]
+        short, tail = letters <= 3 and classes[0] in "Aa", len(word) > 1 and classes[-1] in "$." and classes[-2] in "$."
+        out = zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % half | (half + zlib.crc32(shape.encode()) % (half // 2)) << 16 | short << 32 | tail << 33
+        self[word] = out = out | min(letters, 1023) << 34 | min(capitals, 1023) << 44 | min(classes.count("$"), 511) << 54
         return out
 
 
@@ -77,18 +96,15 @@ def metrics(text: str | None) -> list[float] | None:
     n = len(words)
     if not n:
         return None
-    same = int(np.count_nonzero(codes[1:] == codes[:-1]))
-    letters = sum(map(str.isalpha, text)) if len(text) < 200 else len(re.findall(r"[^\W\d_]", text))
-    capitals = len(re.findall(r"[A-ZÀ-ÖØ-Þ]", text))
-    flags = codes >> 32
     lines = sum(1 for line in text.split("\n") if line.strip())
+    letters = int((codes >> 34 & 1023).sum())
     return [
-        len(_SYMBOLS.findall(text)) / n,
-        same / n,
-        capitals / max(letters, 1),
-        np.count_nonzero(flags & 2) / n,
-        np.count_nonzero(flags & 1) / n,
-        len(np.unique(codes & 0xFFFF)) / n**0.5 if n >= VARIETY_FROM else 2.5,
+        int((codes >> 54).sum()) / n,
+        int(np.count_nonzero(codes[1:] == codes[:-1])) / n,
+        int((codes >> 44 & 1023).sum()) / max(letters, 1),
+        np.count_nonzero(codes & 1 << 33) / n,
+        np.count_nonzero(codes & 1 << 32) / n,
+        int(np.count_nonzero(np.bincount(codes & 0xFFFF))) / n**0.5 if n >= VARIETY_FROM else 2.5,
         n / lines if lines >= LINES_FROM else 3.0,
         n,
     ]
@@ -116,13 +132,12 @@ def features(text: str | None):
         return np.empty(0, dtype=np.int64), np.empty(0)
     half = DIMENSIONS // 2
     same = int(np.count_nonzero(codes[1:] == codes[:-1]))
-    count = np.bincount(codes & 0xFFFF, minlength=DIMENSIONS)
-    count += np.bincount(codes >> 16 & 0xFFFF, minlength=DIMENSIONS)
+    count = np.bincount(codes & 0xFFFF, minlength=DIMENSIONS) + np.bincount(codes >> 16 & 0xFFFF, minlength=DIMENSIONS)
     # the last quarter: levels of the repeat, variety and line measures
     base = half + half // 2
     places = [min(int(20 * same / len(words)), 63)]
     if len(words) >= VARIETY_FROM:
-        places.append(64 + min(int(8 * len(np.unique(codes & 0xFFFF)) / len(words) ** 0.5), 63))
+        places.append(64 + min(int(8 * int(np.count_nonzero(count[:half])) / len(words) ** 0.5), 63))
     if (lines := text.count("\n") + 1) >= LINES_FROM:
         places.append(128 + min(int(len(words) / lines), 63))
     for place in places:
@@ -148,8 +163,8 @@ def estimate(patterns: dict[str, int], rounds: int = 50) -> dict[str, float]:
         for side, w in enumerate((n * post, n * (1 - post))):
             log[side] = np.log((share, 1 - share)[side])
             for j in range(vote.shape[1]):
-                rate = np.bincount(vote[:, j], weights=w, minlength=3) + 1.0
-                log[side] += np.log(rate / rate.sum())[vote[:, j]]
+                rate = np.bincount(vote[:, j], weights=w, minlength=3)[:2] + 1.0
+                log[side] += np.append(np.log(rate / rate.sum()), 0.0)[vote[:, j]]  # to abstain says nothing
         post = 1 / (1 + np.exp(np.clip(log[1] - log[0], -50, 50)))
     return dict(zip(keys, post.tolist(), strict=True))
 
