@@ -26,7 +26,7 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/newstide/{name}-{uuid.uuid4().hex}"
 
 
-def stage_table(df: DataFrame, name: str, *drop: DataFrame) -> DataFrame:
+def stage_table(df: DataFrame, name: str, *drop: DataFrame, **options: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: cuts the lineage.
 
     Unlike checkpoint(), the plan runs once and readers prune columns.  The
@@ -34,7 +34,7 @@ def stage_table(df: DataFrame, name: str, *drop: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     for old in drop:
         remove(spark, getattr(old, "_stage_path", ""))
     out = spark.read.schema(df.schema).parquet(path)

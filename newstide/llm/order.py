@@ -4,8 +4,8 @@ Every sequence (a fixed window of a document's ids) has a number from 0 to N-1:
 the offset of its stage-table part plus its place in the part.  A keyed Feistel
 permutation over the smallest even number of bits that holds N, walked along
 its cycle while outside [0, N), maps the number to a global slot: a shuffle of
-the whole corpus without a sort, that any reader can invert.  Sequences then go
-to the task of their range of slots, which writes the range as one shard: a
+the whole corpus without a sort, that any reader can invert.  Sequences then go,
+in compressed blocks, to the task of their range of slots, which writes the range as one shard: a
 record of fixed stride for each slot, under a name that tells shard and key.  A
 shard that is there in full is not written again, so a run that was cut off
 resumes, and a lost executor's task writes the same bytes again.
@@ -97,28 +97,70 @@ def _slots(n: int, key: int, per_shard: int):
     return run
 
 
+def _deal(n: int, key: int, per_shard: int, flush: int = 1 << 26):
+    """Sequences gathered by shard into compressed blocks, at most some ``flush`` bytes held at a time."""
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+        import zstandard
+
+        coder = zstandard.ZstdCompressor(level=3)
+        held: dict[int, tuple[list, list]] = {}
+        size = 0
+
+        def blocks():
+            rows = []
+            for shard, (slots, ids) in held.items():
+                lengths = np.fromiter(map(len, ids), dtype="<i4", count=len(ids))
+                rows.append((shard, np.array(slots, dtype="<i8").tobytes(), lengths.tobytes(), coder.compress(b"".join(ids))))
+            held.clear()
+            return pd.DataFrame(rows, columns=["shard", "slots", "lengths", "ids"])
+
+        for batch in batches:
+            slot = permute(batch["number"].to_numpy(), n, key)
+            for at, ids in zip(slot.tolist(), batch["ids"], strict=True):
+                slots, data = held.setdefault(at // per_shard, ([], []))
+                slots.append(at)
+                data.append(ids)
+                size += len(ids)
+            if size > flush:
+                yield blocks()
+                size = 0
+        if held:
+            yield blocks()
+
+    return run
+
+
 def _write(directory: str, n: int, per_shard: int, stride: int, pad: bytes):
-    """Writes the shards of a task; yields a row for each."""
+    """Writes the shards of a task's blocks; yields a row for each."""
 
     def run(batches):
+        import uuid
+
+        import numpy as np
         import pandas as pd
+        import zstandard
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(directory)
+        coder = zstandard.ZstdDecompressor()
         shards: dict[int, bytearray] = {}
         for batch in batches:
-            for shard, slot, ids in zip(batch["shard"].tolist(), batch["slot"].tolist(), batch["ids"], strict=True):
+            for shard, slots, lengths, ids in batch.itertuples(index=False):
                 if shard not in shards:
                     shards[shard] = bytearray(pad * (min(per_shard, n - shard * per_shard) * stride // len(pad)))
-                at = (slot - shard * per_shard) * stride
-                shards[shard][at : at + len(ids)] = ids
+                data, start = coder.decompress(ids), 0
+                for slot, length in zip(np.frombuffer(slots, "<i8").tolist(), np.frombuffer(lengths, "<i4").tolist(), strict=True):
+                    at = (slot - shard * per_shard) * stride
+                    shards[shard][at : at + length] = data[start : start + length]
+                    start += length
         rows = []
         for shard, data in sorted(shards.items()):
             name = f"{root}/shard-{shard:08d}.bin"
             info = store.get_file_info(name)
             if info.type != fs.FileType.File or info.size != len(data):
-                import uuid
-
                 part = f"{root}/.{shard:08d}-{uuid.uuid4().hex}"
                 with store.open_output_stream(part) as out:
                     out.write(data)
@@ -129,7 +171,7 @@ def _write(directory: str, n: int, per_shard: int, stride: int, pad: bytes):
     return run
 
 
-def materialise(docs: DataFrame, directory: str | None = None, window: int = 512, end_id: int = 1, pad_id: int = 0, key: int = 20250101, per_shard: int = 1 << 15):
+def materialise(docs: DataFrame, directory: str | None = None, window: int = 256, end_id: int = 1, pad_id: int = 0, key: int = 20250101, per_shard: int = 1 << 15):
     """Writes the shards of docs(doc_id, text); returns (sequences, shards, directory).
 
     sequences: doc_id, seq, n_tokens, ids_crc32, slot, shard, byte_offset;
@@ -139,7 +181,7 @@ def materialise(docs: DataFrame, directory: str | None = None, window: int = 512
     spark = docs.sparkSession
     directory = directory or new_path(spark, "shards")
     parts = docs.select("doc_id", "text").mapInPandas(_windows(window, end_id), "part int, at long, doc_id long, seq long, n_tokens long, ids_crc32 long, ids binary")
-    parts = stage_table(parts, "sequences")
+    parts = stage_table(parts, "sequences", compression="zstd", **{"parquet.compression.codec.zstd.level": "6"})
     sizes = sorted((r.part, r.n) for r in parts.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())  # a row for each input partition
     first, n = [], 0
     for part, size in sizes:
@@ -151,14 +193,14 @@ def materialise(docs: DataFrame, directory: str | None = None, window: int = 512
     if n:
         jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(directory)
         jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(jvm_path)
-    slotted = numbered.select("number", "ids").mapInPandas(_slots(n, key, per_shard), "ids binary, slot long, shard long")
-    written = slotted.repartitionById(shards, F.col("shard").cast("int")).mapInPandas(_write(directory, n, per_shard, stride, pad), "shard long, first_slot long, records long, bytes long, crc32 long")
+    dealt = numbered.select("number", "ids").mapInPandas(_deal(n, key, per_shard), "shard long, slots binary, lengths binary, ids binary")
+    written = dealt.repartitionById(shards, F.col("shard").cast("int")).mapInPandas(_write(directory, n, per_shard, stride, pad), "shard long, first_slot long, records long, bytes long, crc32 long")
     written = stage_table(written, "manifest")
     meta = numbered.select("doc_id", "seq", "n_tokens", "ids_crc32", "number").mapInPandas(_slots(n, key, per_shard), "doc_id long, seq long, n_tokens long, ids_crc32 long, slot long, shard long")
     return meta.withColumn("byte_offset", (F.col("slot") - F.col("shard") * per_shard) * stride), written, directory
 
 
-def read_slots(directory: str, first: int, count: int, window: int = 512, per_shard: int = 1 << 15):
+def read_slots(directory: str, first: int, count: int, window: int = 256, per_shard: int = 1 << 15):
     """Ids of the slots first to first + count - 1, one row each, read by seeking: how a run resumes."""
     import numpy as np
     from pyarrow import fs
