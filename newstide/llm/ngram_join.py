@@ -231,7 +231,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     found = components(links.unionByName(more))
 
     heads = groups.select("fp", "node").join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
-    heads = heads.groupBy("fp").agg(F.min("component").alias("component"))
+    heads = stage_table(heads.groupBy("fp").agg(F.min("component").alias("component")), "heads")  # so that the join's two exchanges are its own, and a hot set can be split
     return profiles.select("doc_id", "n", "fp").join(heads, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, ngram_join, order, packing, pieces, quality, rules, topk, urls
+from . import langid, licenses, ngram_join, oracles, order, packing, pieces, quality, rules, topk, urls
 from .common import table
 
 
@@ -90,4 +90,4 @@ QUERIES = {
     )
 }
 #: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_ngram_jaccard_join": oracles.OP4, "op5_quality_rules": oracles.OP5, "op8_exact_top_k": oracles.OP8}

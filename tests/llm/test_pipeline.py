@@ -28,3 +28,15 @@ def test_every_query_runs(spark, sf):
     assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11))
     for name, query in queries.QUERIES.items():
         assert query(spark, sf).count() > 0, name
+
+
+def test_queries_equal_their_sql(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    for name, sql in queries.ORACLES.items():
+        got, want = queries.QUERIES[name](spark, sf), con.sql(sql)
+        assert sorted(got.columns) == sorted(want.columns)
+        assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall()), name
