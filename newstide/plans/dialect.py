@@ -65,6 +65,7 @@ def fill(text: str, duck: bool) -> str:
         "days_range": ("explode(sequence({0}, {1}, interval 1 day))", "cast(unnest(generate_series({0}, {1}, interval 1 day)) as date)"),
         "months_range": ("explode(sequence({0}, {1}, interval 1 month))", "cast(unnest(generate_series({0}, {1}, interval 1 month)) as date)"),
         "each": ("explode({0})", "unnest({0})"),
+        "words_at": ("explode(transform({0}, (x, i) -> named_struct('w', x, 'i', i + 1)))", "unnest(list_transform({0}, lambda x, i: {{'w': x, 'i': i}}))"),
         "has": ("array_contains({0}, {1})", "list_contains({0}, {1})"),
         "replace_all": ("regexp_replace({0}, {1}, {2})", "regexp_replace({0}, {1}, {2}, 'g')"),
         "rcount": ("regexp_count({0}, {1})", "len(regexp_extract_all({0}, {1}))"),

@@ -37,8 +37,11 @@ def walk_forward_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def panel_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pooled block-wise warnings over a firm panel."""
-    panel = run("select b.pos, f.firm, f.session, f.close / i.close as x0, f.volume / 50.0 as x1, case when f.close < 0.5 * i.close then 1.0 else 0.0 end as event from firm_bars f join bars i on f.session = i.session join bars b on b.session = f.session where f.firm <= 8")(spark, sf_dir)
+    """Pooled block-wise warnings over a panel of nations (25 groups, so the history a block needs stays small)."""
+    panel = run(
+        "with n as (select s.s_nationkey as firm, p.session, cast(sum(p.cents) as bigint) / (100.0 * count(*)) as close, sum(p.volume) as volume from prices p join supplier s on s.s_suppkey = p.firm group by s.s_nationkey, p.session) "
+        "select b.pos, cast(n.firm as bigint) as firm, n.session, n.close / b.close as x0, n.volume / b.volume as x1, case when n.close < 0.5 * b.close then 1.0 else 0.0 end as event from n join bars b on n.session = b.session"
+    )(spark, sf_dir)
     return walk.panel_blocks(panel, ["x0", "x1"], "event", step=100)
 
 
@@ -92,6 +95,67 @@ def library_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof.forward_asof(days, run("select session from bars")(spark, sf_dir), "published_date", "session").withColumnRenamed("matched", "session")
 
 
+def bootstrap_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slopes of whole-date resamples from per-date cross products."""
+    sums = run("with d as (select firm, session, ret - avg(ret) over (partition by firm) as y, cast(age as double) - avg(cast(age as double)) over (partition by firm) as x from firm_units where ret is not null and abs(ret) < 5) select session, sum(x * x) as xx, sum(x * y) as xy from d group by session")(spark, sf_dir)
+
+    def one(pdf):
+        import numpy as np
+        import pandas as pd
+
+        pdf = pdf.sort_values("session")
+        xx, xy = pdf["xx"].to_numpy(float).reshape(-1, 1, 1), pdf["xy"].to_numpy(float).reshape(-1, 1)
+        draws = inference.bootstrap_ols(xx, xy, samples=500)[:, 0]
+        return pd.DataFrame([{"n_dates": len(pdf)} | inference.interval(draws, float(inference.ols_of_dates(xx, xy)[0]), ddof=1)]) if np.isfinite(draws).all() else pd.DataFrame()
+
+    return sums.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(one, "n_dates long, effect double, lo double, hi double, p double, se double, mde double")
+
+
+def surrogate_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phase-randomised series with the exact values, one for each seed."""
+    frame = run("select session, ret from returns where ret is not null")(spark, sf_dir)
+
+    def one(key, pdf):
+        import numpy as np
+
+        pdf = pdf.sort_values("session")
+        return pdf[["seed", "session"]].assign(ret=inference.surrogate(pdf["ret"], np.random.default_rng(int(key[0]))))
+
+    return spark.range(5).withColumnRenamed("id", "seed").crossJoin(frame).groupBy("seed").applyInPandas(one, "seed long, session date, ret double")
+
+
+def two_way_demeaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nation and session means taken out by alternating projections."""
+    panel = run("select s.s_nationkey as firm, p.session, cast(sum(p.cents) as bigint) / (100.0 * count(*)) as y from prices p join supplier s on s.s_suppkey = p.firm group by s.s_nationkey, p.session")(spark, sf_dir)
+
+    def one(pdf):
+        return pdf[["firm", "session"]].assign(y=walk.demean_two_way(pdf, "y", "firm", "session", tolerance=1e-9))
+
+    return panel.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(one, "firm int, session date, y double")
+
+
+def label_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Character n-gram classifier of headlines, fitted on labels; its class for every headline."""
+    rows = run("select h.doc_id, h.headline as text, cast(l.quality as double) as label from headlines h left join labels l on h.doc_id = l.doc_id")(spark, sf_dir)
+    model = walk.text_classifier(rows.where("label is not null"), features=1 << 12, high=3)
+    return model.transform(rows.where("text is not null")).select("doc_id", "label", "prediction")
+
+
+def stored_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written by year, read again, with a cache of what is done taken off."""
+    import uuid
+
+    from newstide.sources import readers
+
+    rows = run("select row_id, year(published_date) as year, headline from headlines")(spark, sf_dir)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{folder.rstrip('/')}/newstide/years-{uuid.uuid4().hex}"
+    readers.write_years(rows, path)
+    stored = spark.read.parquet(path)
+    done = run("select row_id from headlines where date_parse_ok")(spark, sf_dir)
+    return readers.only_new(stored, done, ["row_id"]).select("row_id", F.col("year").cast("int").alias("year"), "headline")
+
+
 def news_to_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A micro-batch of timed news mapped to its next session, as the stream's foreachBatch does."""
     return streams.to_sessions(run("select event_id, ts from news")(spark, sf_dir), run("select distinct session from trades")(spark, sf_dir), "ts")
@@ -110,12 +174,18 @@ QUERIES = {
         bootstrap_means,
         control_runs,
         cleaned_headlines,
+        bootstrap_slopes,
+        surrogate_returns,
+        two_way_demeaned,
+        label_classifier,
+        stored_years,
         library_template_clusters,
         library_asof,
         news_to_sessions,
     )
 }
 ORACLE_BODIES = {
+    "stored_years": "select row_id, year(published_date) as year, headline from headlines where not date_parse_ok",
     "library_asof": "select h.row_id, h.published_date, a.session from headlines h join strict_asof a on a.day = h.published_date where h.date_parse_ok",
     "news_to_sessions": "with c as (select distinct session from trades) select n.event_id, n.ts, (select min(session) from c where c.session > n.day) as matched from news n",
     "cleaned_headlines": "select row_id, trim(nfc_normalize(coalesce(headline, ''))) as headline from headlines",

@@ -13,7 +13,7 @@ from .dialect import part
 part(
     "headlines",
     """select doc_id, concat(source, '::', cast(doc_id as @str)) as row_id, source, lang, split_part(text, chr(10), 1) as headline,
-    @plus(date '1996-01-01', (doc_id * 7) % 1800) as published_date, doc_id % 97 <> 0 as date_parse_ok from documents""",
+    @plus(date '1996-01-01', (doc_id * 7) % 1800) as published_date, length(split_part(text, chr(10), 1)) >= 8 as date_parse_ok from documents""",
 )
 part("windows", "select source, @plus(date '1996-01-01', cast(substring(source, 4) as int) * 10) as first_day, @plus(date '2000-06-01', cast(substring(source, 4) as int)) as last_day from (select distinct source from documents where source is not null) s")
 part(
@@ -71,11 +71,11 @@ SQL: dict[str, tuple[str, str]] = {
     "news_session_frame": ("A1 A2 A3 A4 J1 J4", "select b.session, coalesce(n.n_headlines, 0) as n_headlines, coalesce(n.n_sources, 0) as n_sources, coalesce(n.n_home, 0) as n_home, coalesce(n.n_price_reports, 0) as n_price_reports, round(coalesce(n.sent_mean, 0.0), 6) as tone, case when n.session is null then 0.0 else 1.0 end as has_news, round(ln(1 + coalesce(n.n_headlines, 0)), 6) as log_n, round(coalesce(n.sent_mean_ex_price, 0.0), 6) as tone_ex_price, round(coalesce(n.sent_mean_price_only, 0.0), 6) as tone_price_only, round(coalesce(n.pos_share, 0.0), 6) as pos_share from bars b left join news_by_session n on b.session = n.session"),
     "scored_headlines": ("J2 J3 J15 T18", "select h.row_id, l.quality, case l.quality when 1 then 'positive' else 'negative' end as label, case l.quality when 1 then 1 else -1 end as signed from headlines h join labels l on h.doc_id = l.doc_id"),
     "calendar_without_phantoms": ("S9 P11 U3 J12", "select session, row_number() over (order by session) - 1 as pos from (select session, close = lag(close) over w and high = lag(high) over w and low = lag(low) over w as phantom from bars window w as (order by session)) x where phantom is distinct from true"),
-    "ffill_panel": ("J7 U5 S11", "with firms as (select distinct firm from trades where firm <= 40), cal as (select @days_range(date '2024-01-01', date '2024-01-30') as day), grid as (select firm, day from firms cross join cal), j as (select g.firm, g.day, t.close, count(t.close) over (partition by g.firm order by g.day) as grp from grid g left join trades t on g.firm = t.firm and g.day = t.session) select firm, day, max(close) over (partition by firm, grp) as close, grp = 0 as before_first from j"),
-    "band_join_neighbours": ("J8", "with d as (select doc_id, source, lang, published_date, template_key from keyed where length(template_key) > 12), e as (select *, @plus(published_date, o) as near from d cross join (select @range(-2, 2) as o) x) select a.doc_id as left_id, b.doc_id as right_id, @days(b.published_date, a.published_date) as gap from e a join d b on a.near = b.published_date and a.lang = b.lang and a.template_key = b.template_key and a.doc_id < b.doc_id"),
-    "firm_interval_returns": ("J9 J10 F18 X4", "with f as (select t.firm, t.session, t.close, i.close as level, i.pos from firm_bars t join bars i on t.session = i.session where t.firm <= 30) select firm, session, round(close / lag(close) over w - 1, 6) as ret, round(level / lag(level) over w - 1, 6) as market, pos - lag(pos) over w as gap, (lead(pos) over w) - pos as fwd_gap, round((lead(level, 5) over w) / level - 1, 6) as market_fwd5 from f window w as (partition by firm order by session)"),
+    "ffill_panel": ("J7 U5 S11", "with firms as (select distinct firm from trades), cal as (select @days_range(date '2024-01-01', date '2024-01-30') as day), grid as (select firm, day from firms cross join cal), j as (select g.firm, g.day, t.close, count(t.close) over (partition by g.firm order by g.day) as grp from grid g left join trades t on g.firm = t.firm and g.day = t.session) select firm, day, max(close) over (partition by firm, grp) as close, grp = 0 as before_first from j"),
+    "band_join_neighbours": ("J8", "with d as (select doc_id, source, lang, published_date, template_key from keyed), e as (select *, @plus(published_date, o) as near from d cross join (select @range(-2, 2) as o) x) select a.doc_id as left_id, b.doc_id as right_id, @days(b.published_date, a.published_date) as gap from e a join d b on a.near = b.published_date and a.lang = b.lang and a.template_key = b.template_key and a.doc_id < b.doc_id"),
+    "firm_interval_returns": ("J9 J10 F18 X4", "with f as (select t.firm, t.session, t.close, i.close as level, i.pos from firm_bars t join bars i on t.session = i.session) select firm, session, round(close / lag(close) over w - 1, 6) as ret, round(level / lag(level) over w - 1, 6) as market, pos - lag(pos) over w as gap, (lead(pos) over w) - pos as fwd_gap, round((lead(level, 5) over w) / level - 1, 6) as market_fwd5 from f window w as (partition by firm order by session)"),
     "membership": ("J11 J12 P16", "select h.row_id, l.doc_id is not null as in_study from headlines h left join (select distinct doc_id from labels) l on h.doc_id = l.doc_id"),
-    "overlap_reconciliation": ("J14", "with o as (select cast(o_orderdate as date) as d, o_custkey % 50 as k, max(round(o_totalprice, 2)) as v from orders group by 1, 2), n as (select d, k, v from o union all select d, k, v + 1 from o where k % 5 = 0) select o.d, o.k, bool_or(abs(o.v - n.v) < 0.005) as matches, count(*) as copies from o join n on o.d = n.d and o.k = n.k group by o.d, o.k"),
+    "overlap_reconciliation": ("J14", "with o as (select cast(o_orderdate as date) as d, o_custkey % 50 as k, max(round(o_totalprice, 2)) as v from orders group by 1, 2), n as (select d, k, v from o union all select d, k, v + 1 from o where v > 150000) select o.d, o.k, bool_or(abs(o.v - n.v) < 0.005) as matches, count(*) as copies from o join n on o.d = n.d and o.k = n.k group by o.d, o.k"),
     "fallback_means": ("J16 F8", "with fit as (select firm, avg(ret) as alpha from firm_units where session < date '2024-01-16' and ret is not null group by firm), m as (select avg(alpha) as a from fit) select u.firm, count(*) as n, round(max(coalesce(fit.alpha, m.a)), 6) as alpha from firm_units u cross join m left join fit on u.firm = fit.firm where u.session >= date '2024-01-16' group by u.firm"),
     "parameter_grid": ("J18 F14", "select a.min_train, b.refit from (select @range(250, 253) as min_train) a cross join (select @range(10, 13) as refit) b"),
     "timing_flags": ("X5 A15", "with f as (select n.firm, a.trade, n.minute, n.day = a.trade as same_day, n.minute < 850 as before_close from news n join firm_asof a on n.firm = a.firm and n.day = a.day where a.trade is not null) select firm, trade, bool_or(same_day and before_close) as pre_close, bool_or(not (same_day and before_close)) as post_close, count(*) as n from f group by firm, trade"),
@@ -136,7 +136,7 @@ SQL: dict[str, tuple[str, str]] = {
     "json_payload": ("S14 T17", "select event_id, try_cast(coalesce(@json(props, k), nullif(@rx(props, '\"k\": *([0-9]+)', 1), '')) as bigint) as k, event_type in ('click', 'view', 'purchase') as valid from events"),
     "localised_numbers": ("S21 S12", "select o_orderkey, @num(replace(replace(t, ' ', ''), ',', '.')) as value, split_part(t2, ',', 1) as a, split_part(t2, ',', 2) as b from (select o_orderkey, concat(cast(o_custkey as @str), ' ', lpad(cast(o_orderkey % 1000 as @str), 3, '0'), ',', cast(o_orderkey % 100 as @str)) as t, concat(cast(o_orderkey as @str), ',', o_orderstatus, ',x,y') as t2 from orders) x"),
     "table_inventory": ("S29 S5 S6", "select 'documents' as name, count(*) as n from documents union all select 'events', count(*) from events union all select 'lineitem', count(*) from lineitem union all select 'pages', count(*) from pages"),
-    "spliced_prices": ("S8", "with o as (select firm, session, close from firm_bars where session < date '1996-01-01' and firm <= 20), n as (select firm, session, close * 2 as close from firm_bars where session >= date '1995-06-01' and firm <= 20), f as (select o.firm, min(n.close / o.close) as lo, max(n.close / o.close) as hi from o join n on o.firm = n.firm and o.session = n.session group by o.firm) select o.firm, o.session, round(o.close, 8) as close, 'old' as part from o union all select n.firm, n.session, round(n.close / f.lo, 8), 'new' from n join f on n.firm = f.firm where n.session >= date '1996-01-01' and f.hi - f.lo < 1e-9"),
+    "spliced_prices": ("S8", "with o as (select firm, session, close from firm_bars where session < date '1996-01-01'), n as (select firm, session, close * 2 as close from firm_bars where session >= date '1995-06-01'), f as (select o.firm, min(n.close / o.close) as lo, max(n.close / o.close) as hi from o join n on o.firm = n.firm and o.session = n.session group by o.firm) select o.firm, o.session, round(o.close, 8) as close, 'old' as part from o union all select n.firm, n.session, round(n.close / f.lo, 8), 'new' from n join f on n.firm = f.firm where n.session >= date '1996-01-01' and f.hi - f.lo < 1e-9"),
     "translation_checks": ("T14 T15", "with w as (select conv_id, turn, text, lead(text) over (partition by conv_id order by turn) as reply from conversations) select conv_id, turn, length(text) > 2 * length(reply) or (position('|' in text) > 0 and length(reply) < 0.6 * length(text)) as suspicious, length(@replace_all(text, '[^0-9]', '')) <= length(@replace_all(reply, '[^0-9]', '')) as numbers_kept from w where reply is not null"),
     "novelty_counts": ("F17", "with t as (select distinct a.session, k.doc_id, k.template_key from keyed k join strict_asof a on a.day = k.published_date where a.session is not null), w as (select t.session, b.pos, t.doc_id, @each(@split(t.template_key, ' ')) as token from t join bars b on b.session = t.session), c as (select pos, token, count(*) as n from w group by pos, token), h as (select a.pos, a.token, a.n, coalesce(sum(b.n), 0) as seen from c a left join c b on a.token = b.token and b.pos < a.pos and b.pos >= a.pos - 250 group by a.pos, a.token, a.n) select pos, cast(sum(n) as bigint) as tokens, cast(sum(case when seen = 0 then n else 0 end) as bigint) as unseen, round(-avg(ln((seen + 1.0) / 5000.0)), 6) as surprise from h group by pos"),
     "word_screen_counts": ("F21", "with e as (select k.doc_id, case when k.doc_id % 3 = 0 then 1 else 0 end as big, year(published_date) * 4 + cast(floor((month(published_date) - 1) / 3) as int) as q, k.template_key from keyed k), t as (select distinct doc_id, big, q, @each(@split(template_key, ' ')) as token from e), b as (select avg(big) as base from e) select token, count(*) as n, cast(sum(big) as bigint) as k, count(distinct q) as quarters, round((sum(big) - max(base)) / (sum(big) + max(base) + 1), 6) as score from t cross join b group by token having count(*) >= 30 and count(distinct q) >= 6"),
@@ -144,6 +144,13 @@ SQL: dict[str, tuple[str, str]] = {
     "score_fill": ("G8 G5 G7", "select h.row_id, case when year(h.published_date) >= 1998 and l.quality is not null then l.quality * 2 - 1 else t.score end as score, case when year(h.published_date) >= 1998 and l.quality is not null then 'yearly' else 'static' end as provenance from headlines h join tagged t on h.row_id = t.row_id left join labels l on h.doc_id = l.doc_id"),
     "populated_annotators": ("G2 P15", "select count(*) filter (where trim(a1) <> '') > 0 as annotator_1, count(*) filter (where trim(a2) <> '') > 0 as annotator_2, count(*) - count(distinct doc_id) as duplicate_ids, count(*) filter (where a1 not in ('neg', 'neu', 'pos')) as invalid from raters"),
     "sealed_frame": ("V1", "select session, round(ret, 8) as ret, case when row_number() over (order by session desc) > 5 then round(fwd5, 8) end as fwd5 from (select session, ret, lead(close, 5) over (order by session) / close - 1 as fwd5 from returns) x where session < date '1997-01-01'"),
+    "shingle_jaccard_band": ("T13 U7 J8", "with w as (select doc_id, lang, published_date, @split(template_key, ' ') as w from keyed), g as (select distinct doc_id, lang, published_date, s from (select doc_id, lang, published_date, concat_ws(' ', w, lead(w) over o, lead(w, 2) over o) as s, lead(w, 2) over o as third, row_number() over o as i from (select doc_id, lang, published_date, p.w as w, p.i as i from (select doc_id, lang, published_date, @words_at(w) as p from w) e) f window o as (partition by doc_id order by i)) h where third is not null or i = 1), n as (select doc_id, count(*) as n from g group by doc_id), c as (select a.doc_id as x, b.doc_id as y, count(*) as c from g a join g b on a.s = b.s and a.lang = b.lang and a.doc_id < b.doc_id and abs(@days(a.published_date, b.published_date)) <= 2 group by 1, 2) select x as left_id, y as right_id, round(c / cast(nx.n + ny.n - c as double), 6) as jaccard from c join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 10 * c >= 8 * (nx.n + ny.n - c)"),
+    "arabic_dates": ("S3", "with r as (select doc_id, case when headline like '%the%' then concat(cast(1 + length(headline) % 31 as @str), ' مارس 2021') when headline like '%la%' then 'منذ يومين' else headline end as raw from headlines), p as (select doc_id, raw, @rx(raw, '^([0-9]+) [^ ]+ ([0-9]+)$', 1) as d, @rx(raw, '^([0-9]+) ([^ ]+) [0-9]+$', 2) as m, @rx(raw, '^[0-9]+ [^ ]+ ([0-9]+)$', 1) as y from r) select doc_id, @date(case when m = 'مارس' then concat(y, '-03-', lpad(d, 2, '0')) end) as day, case when m = 'مارس' then 'abs' when raw like 'منذ%' then 'relative' else 'other' end as category from p"),
+    "rater_agreement": ("E8", "select round(avg(case when a1 = a2 then 1.0 else 0.0 end), 6) as raw_agreement, round(avg(case when a1 = a2 and a2 = a3 then 1.0 else 0.0 end), 6) as unanimous, count(*) filter (where a1 <> a2 and a2 <> a3 and a1 <> a3) as ties from raters"),
+    "gold_sample": ("G1 O8 O9", "with s as (select *, row_number() over (partition by lang, relevance_tag order by @hash(concat('g:', row_id)), row_id) as r, count(*) over (partition by lang, relevance_tag) as n from tagged where is_canonical and date_parse_ok) select row_id, lang, relevance_tag, n from s where r <= greatest(1, least(n, 20))"),
+    "source_pivot": ("F16 A14 F15", "with d as (select a.session, avg(score) filter (where source = 'src1') as s1, avg(score) filter (where source = 'src2') as s2, avg(score) filter (where source not in ('src1', 'src2')) as rest, avg(score) as total from tagged t join strict_asof a on a.day = t.published_date where is_canonical group by a.session) select session, round(coalesce(s1, 0.0), 6) as s1, round(coalesce(s2, 0.0), 6) as s2, round(coalesce(rest, 0.0), 6) as without_both, round(total, 6) as total from d"),
+    "residualised_full_sample": ("F7 F6", "with f as (select n.session, n.sent_mean as y, b.ret as x from news_by_session n join returns b on b.session = n.session where b.ret is not null), s as (select regr_slope(y, x) as b, regr_intercept(y, x) as a from f) select f.session, round(y - (s.a + s.b * x), 6) as residual from f cross join s"),
+    "regression_slopes": ("A18 F8 W13", "with d as (select firm, ret - avg(ret) over (partition by firm) as y, cast(age as double) - avg(cast(age as double)) over (partition by firm) as x from firm_units where ret is not null and abs(ret) < 5) select count(*) as n, round(sum(x * y) / sum(x * x), 6) as within_slope, round(regr_slope(y, x), 6) as ols_slope from d"),
     "daily_news_features": (
         "S1 T7 W11 J5 A1 A2 J1 W1 W2 F20",
         "select b.session, round(b.close, 8) as close, round(b.ret, 8) as ret_lag0, round(lag(b.ret) over w, 8) as ret_lag1, round(lead(b.ret) over w, 8) as ret_next, round(b.range_pct, 8) as range_pct, coalesce(n.n_headlines, 0) as n_headlines, coalesce(n.n_sources, 0) as n_sources, round(coalesce(n.sent_mean, 0.0), 6) as sent_mean, round(coalesce(n.neg_share, 0.0), 6) as neg_share, case when n.session is null then 0.0 else 1.0 end as has_sent, round(ln(1 + coalesce(n.n_headlines, 0)), 6) as log_headlines from returns b left join news_by_session n on b.session = n.session window w as (order by b.session)",
