@@ -29,7 +29,9 @@ def components(links: DataFrame) -> DataFrame:
             break
         state = new
     heads = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
-    return heads.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = heads.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out._stage_path = edges._stage_path  # for whoever removes it
+    return out
 
 
 def _state(edges: DataFrame):

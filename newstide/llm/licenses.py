@@ -45,6 +45,8 @@ TEMPLATES = (
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
+#: Columns of the result and of its making: those of the input that have such names are dropped.
+OWN = ("own_license", "cosine", "license", "origin", "from_dir", "dir_license", "k1", "k2", "at")
 LICENSE_NAME = r"(?i)^(license|licence|copying|notice)(\..*)?$"
 
 
@@ -114,6 +116,7 @@ def _match(templates, idf, rare):
 
 def scan(files: DataFrame, templates=TEMPLATES) -> DataFrame:
     """path, other columns but text, own_license, cosine, license, origin (own, inherited or none), from_dir of files(path, text, ...)."""
+    files = files.drop(*OWN)
     vocabulary = frozenset(t for _, text in templates for t in terms(text))
     keyed = files.withColumns({"k1": F.xxhash64("path", "text"), "k2": F.xxhash64("text", F.lit("key"), "path")})
     lines = stage_table(keyed.select("k1", "k2", "text").mapInPandas(_lines(vocabulary), "k1 long, k2 long, has array<string>, lines array<array<string>>"), "license-lines")

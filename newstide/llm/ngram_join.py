@@ -222,16 +222,16 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
         .where(_may_link("x", "y", num, den))
     )
     links = _links(docs, groups, _pairs(star), k, num, den)
-    found = components(links)
+    near = components(links)
 
-    now = live.join(found, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+    now = live.join(near, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
     x, y = now.alias("x"), now.alias("y")
     rest = x.join(y, (F.col("x.token") == F.col("y.token")) & F.expr("x.comp < y.comp") & _may_link("x", "y", num, den))
     more = _links(docs, groups, _pairs(rest).join(links, ["a", "b"], "left_anti"), k, num, den)
     found = components(links.unionByName(more))
 
     heads = groups.select("fp", "node").join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
-    heads = stage_table(heads.groupBy("fp").agg(F.min("component").alias("component")), "heads")  # so that the join's two exchanges are its own, and a hot set can be split
+    heads = stage_table(heads.groupBy("fp").agg(F.min("component").alias("component")), "heads", groups, live, links, more, near, found)  # so that the join's two exchanges are its own, and a hot set can be split
     return profiles.select("doc_id", "n", "fp").join(heads, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

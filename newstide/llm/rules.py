@@ -8,7 +8,8 @@ lines is rejected as depleted.
 
 Nulls and edge cases: a null text has no words (all counts 0, base failed); a
 null host is a host of its own; rows that repeat get the same result each;
-rows are matched by hashes of id and text, so repeated ids do no harm.
+rows are matched by hashes of id and text, so repeated ids do no harm; names
+that start with one underscore are the operator's own.
 """
 
 from __future__ import annotations
@@ -100,10 +101,10 @@ def judge(docs: DataFrame, host: str = "source") -> DataFrame:
 def clean(docs: DataFrame, host: str = "source") -> DataFrame:
     """The rows of docs that are kept, their frequent lines removed from text (and n_chars, if there, counted anew)."""
     columns = docs.columns
-    verdict = judge_keys(docs, host)
+    verdict = judge_keys(docs, host).withColumnRenamed("lost_lines", "_lost_lines")
     joined = docs.withColumns({"_k1": _key()[0], "_k2": _key()[1]}).join(verdict, ["_k1", "_k2"])
-    cut = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("lost_lines", F.xxhash64(_norm(x)))), "\n")
-    text = F.when(F.size("lost_lines") > 0, cut).otherwise(F.col("text"))
+    cut = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("_lost_lines", F.xxhash64(_norm(x)))), "\n")
+    text = F.when(F.size("_lost_lines") > 0, cut).otherwise(F.col("text"))
     out = joined.withColumn("text", text)
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))

@@ -259,7 +259,7 @@ def test_frequent_lines_deplete(spark, empty):
     rows += [(100 + i, f"common line of the host {pad}\n{' '.join(f'v{i}x{j}' for j in range(20))}" + f"\nalso common {more}", "h") for i in range(40)]
     rows += [(200 + i, own(999), "h") for i in range(60)]  # copies of one text are one document
     rows += [(300, f"common line of the host {pad}\nshort " + "q " + " ".join(map(str, range(30))), "other"), (301, None, None), (302, "", None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit(1) for c in ("line", "words", "texts", "lost_lines")})
     got = {r.doc_id: r for r in rules.judge(docs).collect()}
     assert all(got[i].kept and got[i].lost_words == 25 for i in range(40))
     assert not any(got[100 + i].kept for i in range(40)) and not any(got[100 + i].base_failed for i in range(40))
@@ -278,7 +278,7 @@ def test_language(spark):
     rows = [(i, " ".join(rng.permutation(words[x].split() * 4)), x) for i, x in enumerate(list(words) * 30)]
     rows += [(900, None, "en"), (901, "12 34 !!", "fr"), (902, "", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    got = {r.doc_id: r for r in langid.identify(docs.select("doc_id", "text"), langid.train(docs.where("doc_id < 45"))).collect()}
+    got = {r.doc_id: r for r in langid.identify(docs.select("doc_id", "text", F.lit("x").alias("score")), langid.train(docs.where("doc_id < 45"))).collect()}
     assert sum(got[i].lang_pred == x for i, _, x in rows[:90]) >= 88 and all(0 <= r.score <= 1 for r in got.values())
     assert [got[i].lang_pred for i in (900, 901, 902)] == ["und"] * 3
     assert {r.lang_pred for r in langid.identify(docs.select("doc_id", "text"), langid.train(docs.where("false"))).collect()} == {"und"}
@@ -320,7 +320,7 @@ def test_licenses_inherit_from_the_nearest_directory(spark):
         (None, "Released under the MIT License."),
         ("a/x/h.py", None),
     ]
-    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, path string, text string").withColumn("license", F.lit(1)).drop("license")
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, path string, text string").withColumn("license", F.lit(1)).withColumn("at", F.lit(1))
     got = {r.doc_id: (r.license, r.origin, r.from_dir) for r in licenses.scan(docs).collect()}
     assert got == {
         0: ("MIT", "own", None),
