@@ -26,6 +26,7 @@ text; rows that repeat a doc_id and lead their copies act as one document.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,7 +75,6 @@ def shingles(text: str | None, k: int):
 def _counts(k: int):
     def run(batches):
         import numpy as np
-        import pandas as pd
 
         total = np.zeros(1 << COUNTERS_LOG2, dtype=np.int64)
         for batch in batches:
@@ -103,7 +103,6 @@ def _order(docs: DataFrame, k: int):
 def _profiles(k: int, num: int, den: int, order):
     def run(batches):
         import numpy as np
-        import pandas as pd
         import xxhash
 
         rank = order.value
@@ -129,8 +128,6 @@ def _profiles(k: int, num: int, den: int, order):
 
 def _sets(k: int, bitmap):
     def run(batches):
-        import pandas as pd
-
         for batch in batches:
             hit = batch[in_bitmap(bitmap.value, batch["h"])]
             yield pd.DataFrame({"node": hit["doc_id"], "members": [shingles(t, k).tobytes() for t in hit["text"]]})
@@ -242,4 +239,16 @@ def _pairs(met: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of docs whose document has the smallest doc_id of its component; rows without doc_id stay."""
     gone = jaccard_components(docs, k, num, den).where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    gone = stage_table(gone, "gone")
+    # texts whose id isn't in the bitmap stay where they are; only the others are shuffled to the exact join
+    bitmap = docs.sparkSession.sparkContext.broadcast(id_bitmap(gone, "_gone"))
+    maybe = F.pandas_udf(_in(bitmap), "boolean")(F.coalesce(id_hash("doc_id"), F.lit(-1).cast("long")))
+    rest = docs.where(maybe)
+    return docs.where(~maybe).unionByName(rest.join(gone, rest["doc_id"] == F.col("_gone"), "left_anti"))
+
+
+def _in(bitmap):
+    def run(h: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(bitmap.value, h.clip(lower=0)) & (h >= 0).to_numpy())
+
+    return run
