@@ -49,6 +49,38 @@ def remove(spark: SparkSession, path: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Rows that a worker holds as Python objects at a time.
+SLICE_ROWS = 512
+
+
+def map_slices(df: DataFrame, run, schema: str) -> DataFrame:
+    """mapInPandas over slices of the Arrow batches, so that a worker holds a few hundred rows as objects, not a whole batch.
+
+    Whole numbers keep their type where a column holds nulls.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def slices(batches):
+        import pandas as pd
+        import pyarrow as pa
+
+        whole = {pa.int64(): pd.Int64Dtype()}.get
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                yield batch.slice(at, SLICE_ROWS).to_pandas(types_mapper=whole)
+
+    def mapped(batches):
+        import pyarrow as pa
+
+        for out in run(slices(batches)):
+            yield pa.RecordBatch.from_pandas(out, schema=arrow, preserve_index=False)
+
+    return df.mapInArrow(mapped, schema)
+
+
 FILTER_BITS = 1 << 23
 
 

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_bitmap, id_hash, in_bitmap, stage_table
+from .common import id_bitmap, id_hash, in_bitmap, map_slices, stage_table
 from .components import components
 
 #: Hashed counters of the rare-first order: a table of so many counts is all that reaches the driver.
@@ -41,12 +41,12 @@ _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
 class _WordHashes(dict):
-    """64-bit hashes of words; forgets all when it holds half a million."""
+    """64-bit hashes of words; forgets all when it holds 131,072."""
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= 500_000:
+        if len(self) >= 1 << 17:
             self.clear()
         self[word] = out = xxhash.xxh64_intdigest(word)
         return out
@@ -94,7 +94,7 @@ def _order(docs: DataFrame, k: int):
     """Counts of all documents' k-grams by hashed counter, as one array."""
     import numpy as np
 
-    rows = docs.select("text").mapInPandas(_counts(k), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
+    rows = map_slices(docs.select("text"), _counts(k), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(1 << COUNTERS_LOG2, dtype=np.int64)
     out[rows["counter"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
     return out
@@ -184,16 +184,12 @@ def _links(docs: DataFrame, groups: DataFrame, pairs: DataFrame, k: int, num: in
     """Those of the pairs (a, b) that link, verified on whole sets."""
     spark = docs.sparkSession
     x, y = (groups.select(F.col("node").alias(c), F.col("large").alias(d), F.col("n").alias(e)) for c, d, e in (("a", "x", "m"), ("b", "y", "n")))
-    pairs = stage_table(pairs.join(x, "a").join(y, "b").mapInPandas(_sketches_allow(num, den), "a long, b long").distinct(), "pairs")
+    pairs = stage_table(map_slices(pairs.join(x, "a").join(y, "b"), _sketches_allow(num, den), "a long, b long").distinct(), "pairs")
     bitmap = spark.sparkContext.broadcast(id_bitmap(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id"))
-    sets = (
-        docs.where("doc_id is not null")
-        .select("doc_id", "text", id_hash("doc_id").alias("h"))
-        .mapInPandas(_sets(k, bitmap), "node long, members binary")
-    )
-    sets = stage_table(sets, "sets")
+    ids = docs.where("doc_id is not null").select("doc_id", "text", id_hash("doc_id").alias("h"))
+    sets = stage_table(map_slices(ids, _sets(k, bitmap), "node long, members binary"), "sets")
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
-    return stage_table(joined.mapInPandas(_verify(num, den), "a long, b long").distinct(), "links", pairs, sets)
+    return stage_table(map_slices(joined, _verify(num, den), "a long, b long").distinct(), "links", pairs, sets)
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -201,7 +197,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     order = spark.sparkContext.broadcast(_order(docs, k))
-    profiles = stage_table(docs.mapInPandas(_profiles(k, num, den, order), "doc_id long, n long, fp binary, prefix array<long>, sketch array<long>, large binary"), "profiles")
+    profiles = stage_table(map_slices(docs, _profiles(k, num, den, order), "doc_id long, n long, fp binary, prefix array<long>, sketch array<long>, large binary"), "profiles")
 
     groups = profiles.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"), F.min("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"), F.first("large").alias("large"))
     groups = stage_table(groups, "groups")

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_slices
+
 #: The sample that the scorer is trained on (expected rows), and the hashed dimensions.
 SAMPLE_ROWS, DIMENSIONS = 4000, 1 << 12
 #: Documents whose probability of being good is under this are rejected.
@@ -58,14 +60,14 @@ _CLASSES = _Classes()
 
 
 class _Words(dict):
-    """All that is needed of a word in one number; forgets all when it holds half a million.
+    """All that is needed of a word in one number; forgets all when it holds 131,072.
 
     Bits 0: word dimension, 16: shape dimension, 32: function word, 33: tail of
     marks, 34: letters, 44: capitals, 54: symbols (each count up to its bits).
     """
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 1 << 17:
             self.clear()
         half = DIMENSIONS // 2
         classes = word.translate(_CLASSES)
@@ -204,13 +206,13 @@ def fit(docs: DataFrame):
     """The scorer's weights, from all documents' votes and a bounded sample's posteriors; None without documents."""
     draw = F.pmod(F.xxhash64(F.lit("quality"), "doc_id", "text"), F.lit(1 << 30)).alias("draw")
     rows = docs.select("doc_id", "text")
-    counts = rows.select(draw, "text").mapInPandas(_vote, "draw long, votes string").groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()
+    counts = map_slices(rows.select(draw, "text"), _vote, "draw long, votes string").groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()
     posterior = estimate({r.votes: r.n for r in counts})
     total = sum(r.n for r in counts)
     if not total:
         return None, {}
     share = min(1.0, SAMPLE_ROWS / total)
-    sample = rows.where(draw <= int(share * (1 << 30))).select("text").mapInPandas(_sample, "votes string, at array<int>, value array<float>").toPandas()
+    sample = map_slices(rows.where(draw <= int(share * (1 << 30))).select("text"), _sample, "votes string, at array<int>, value array<float>").toPandas()
     sample = sample[sample["at"].map(len) > 0]
     if not len(sample):
         return None, posterior
@@ -236,7 +238,7 @@ def score(docs: DataFrame) -> DataFrame:
     """doc_id, quality_score (probability of good) and kept of each row of docs(doc_id, text)."""
     weights, _ = fit(docs)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    scored = docs.select("doc_id", "text").mapInPandas(_score(shared), "doc_id long, quality_score double")
+    scored = map_slices(docs.select("doc_id", "text"), _score(shared), "doc_id long, quality_score double")
     return scored.withColumn("kept", F.col("quality_score") >= REJECT_UNDER)
 
 
