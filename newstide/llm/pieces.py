@@ -5,12 +5,13 @@ done here.  A text becomes units that no piece crosses (white space with the
 word after it, line ends apart).  In each unit an agenda holds the adjacent
 pairs whose union is a piece, best score first, leftmost first among equals.
 A pair that is taken from the agenda is skipped where a keyed hash of (seed,
-variant, unit, pair, place) falls under the dropout rate, and then stays skipped
-until one of its sides changes.  The variant of a unit is a keyed hash of the
-document and the unit's number, so one word is cut differently from place to
-place while equal (unit, variant) pairs are cut once for a whole batch.  The
-agendas of all units of a batch run side by side in arrays; units over
-``WIDE`` code points run one by one.
+document, unit number, pair, place) falls under the dropout rate, and then stays
+skipped until one of its sides changes: every occurrence of a word has draws of
+its own.  The distinct units of a batch are first cut without dropout, and their
+merges kept; an occurrence none of whose draws at those merges is under the rate
+is cut just so, and shares that result.  All others are cut one for one.  The
+agendas of all units of a batch run side by side in arrays; units over ``WIDE``
+code points run one by one.
 
 Every choice of merges decodes to the text: characters without a piece, and a
 literal U+2581, are written as byte pieces.
@@ -124,8 +125,8 @@ def _draws(key, left, right, place):
     return x >> u(32)
 
 
-def agenda(model: MergeModel, ids: list[int], key: int, limit: int) -> list[int]:
-    """Merges one unit with a heap; pairs whose draw is under limit are skipped.  ids below 0 never merge."""
+def agenda(model: MergeModel, ids: list[int], key: int, limit: int, trace: list | None = None) -> list[int]:
+    """Merges one unit with a heap; pairs whose draw is under limit are skipped.  ids below 0 never merge.  trace gets (left, right, place) of each merge."""
     n = len(ids)
     ids, left, right = list(ids), list(range(-1, n - 1)), list(range(1, n + 1))
     alive = [True] * n
@@ -145,6 +146,8 @@ def agenda(model: MergeModel, ids: list[int], key: int, limit: int) -> list[int]
             continue
         if limit and _draw(key, x, y, b) < limit:
             continue
+        if trace is not None:
+            trace.append((x, y, b))
         ids[a], alive[b], right[a] = model.pairs[x * model.size + y], False, right[b]
         if right[a] < n:
             left[right[a]] = a
@@ -154,8 +157,11 @@ def agenda(model: MergeModel, ids: list[int], key: int, limit: int) -> list[int]
     return [x for x, live in zip(ids, alive, strict=True) if live]
 
 
-def _agendas(model: MergeModel, ids, key, limit: int):
-    """The agendas of units of equal width side by side: ids (units x width, -9 past the end); returns ids, -9 for what is merged away."""
+def _agendas(model: MergeModel, ids, key, limit: int, trace: list | None = None):
+    """The agendas of units of equal width side by side: ids (units x width, -9 past the end); returns ids, -9 for what is merged away.
+
+    trace gets arrays (unit, left, right, place) of the merges.
+    """
     import numpy as np
 
     n, width = ids.shape
@@ -183,6 +189,8 @@ def _agendas(model: MergeModel, ids, key, limit: int):
             skip = _draws(key[live], ids[live, a], ids[live, b], b) < np.uint64(limit)
             order[live[skip], a[skip]] = model.worst * width
         r, a, b = live[~skip], a[~skip], b[~skip]
+        if trace is not None:
+            trace.append((r, ids[r, a], ids[r, b], b))
         ids[r, a] = made[r, a]
         ids[r, b] = -9
         order[r, b] = model.worst * width
@@ -212,8 +220,8 @@ def _expand(model: MergeModel, ids: list[int], unit: str) -> list[int]:
     return out
 
 
-def encode_units(model: MergeModel, units: list[str], keys, rate: float):
-    """(flat ids, lengths) of units, each cut under its key (unsigned 64 bits)."""
+def encode_units(model: MergeModel, units: list[str], keys, rate: float, trace: list | None = None):
+    """(flat ids, lengths) of units, each cut under its key (unsigned 64 bits).  trace gets arrays (unit, left, right, place) of the merges."""
     import numpy as np
 
     limit = int(rate * (1 << 32))
@@ -235,7 +243,10 @@ def encode_units(model: MergeModel, units: list[str], keys, rate: float):
         column = np.arange(width)
         inside = column[None, :] < size[at][:, None]
         grid[inside] = ids[(first[at][:, None] + column)[inside]]
-        done = _agendas(model, grid, keys[at], limit)
+        merges = None if trace is None else []
+        done = _agendas(model, grid, keys[at], limit, merges)
+        if merges:
+            trace += [(at[r], x, y, b) for r, x, y, b in merges]
         kept = done != -9
         odd = np.flatnonzero((done <= -10).any(axis=1))
         lengths[at] = kept.sum(axis=1)
@@ -247,7 +258,10 @@ def encode_units(model: MergeModel, units: list[str], keys, rate: float):
             out[i] = np.array(_expand(model, out[i].tolist(), units[i]), dtype=np.int64)
             lengths[i] = len(out[i])
     for i in np.flatnonzero(size > WIDE).tolist():
-        got = agenda(model, ids[first[i] : first[i] + size[i]].tolist(), int(keys[i]), limit)
+        merges = None if trace is None else []
+        got = agenda(model, ids[first[i] : first[i] + size[i]].tolist(), int(keys[i]), limit, merges)
+        if merges:
+            trace.append((np.full(len(merges), i), *np.array(merges, dtype=np.int64).T))
         out[i] = np.array(_expand(model, got, units[i]), dtype=np.int64)
         lengths[i] = len(out[i])
     for i in np.flatnonzero(size == 0).tolist():
@@ -264,12 +278,45 @@ def _mix(x):
     return x ^ (x >> u(31))
 
 
-def encode_batch(model: MergeModel, texts: list[str], doc_keys, seed: int, rate: float, variants: int):
-    """A list of id arrays for whole texts."""
+def _drawn(trace: list, code, keys, limit: int):
+    """Which occurrences (unit code, key) have a draw under limit at a merge of their unit."""
+    import numpy as np
+
+    out = np.zeros(len(code), dtype=bool)
+    if not trace or not limit:
+        return out
+    unit, left, right, place = map(np.concatenate, zip(*trace, strict=True))
+    by = np.argsort(unit, kind="stable")
+    left, right, place = left[by], right[by], place[by]
+    n = np.bincount(unit, minlength=int(code.max()) + 1)
+    first = np.cumsum(n) - n
+    total = np.cumsum(n[code])
+    lo = 0
+    while lo < len(code):  # some 2^20 draws at a time
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + (1 << 20))))
+        part, size = code[lo:hi], n[code[lo:hi]]
+        owner = np.repeat(np.arange(lo, hi), size)
+        at = np.arange(len(owner)) + np.repeat(first[part] - (np.cumsum(size) - size), size)
+        out[owner[_draws(keys[owner], left[at], right[at], place[at]) < np.uint64(limit)]] = True
+        lo = hi
+    return out
+
+
+def unit_keys(doc_keys, counts, seed: int):
+    """A key for each unit of documents with so many units: of the seed, the document and the unit's number."""
     import numpy as np
-    import pandas as pd
 
     u = np.uint64
+    number = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    base = _mix(np.asarray(doc_keys, dtype=np.int64).astype(u) + u(seed * _M3 & _MASK))
+    return _mix(np.repeat(base, counts) + number.astype(u) * u(_M3))
+
+
+def encode_batch(model: MergeModel, texts: list[str], doc_keys, seed: int, rate: float, variants: int = 0):
+    """A list of id arrays for whole texts.  variants has no meaning any more: each occurrence of a unit has draws of its own."""
+    import numpy as np
+    import pandas as pd
+
     units, counts = [], []
     for text in texts:
         found = _UNIT.findall(" " + text) if text else []
@@ -278,18 +325,15 @@ def encode_batch(model: MergeModel, texts: list[str], doc_keys, seed: int, rate:
     if not units:
         return [np.empty(0, dtype=np.int64) for _ in texts]
     counts = np.array(counts)
-    code, distinct = pd.factorize(np.array(units, dtype=object))
-    number = np.arange(len(units)) - np.repeat(np.cumsum(counts) - counts, counts)
-    variant = np.zeros(len(units), dtype=np.int64)
+    joint, distinct = pd.factorize(np.array(units, dtype=object))
+    trace: list | None = [] if rate else None
+    flat, lengths = encode_units(model, distinct.tolist(), np.zeros(len(distinct), dtype=np.uint64), 0.0, trace)
     if rate:
-        base = _mix(np.asarray(doc_keys, dtype=np.int64).astype(u) + u(seed * _M3 & _MASK))
-        variant = (_mix(np.repeat(base, counts) + number.astype(u) * u(_M3)) % u(variants)).astype(np.int64)
-    joint, pairs = pd.factorize(code * variants + variant)
-    distinct = distinct.tolist()
-    wanted = [distinct[i] for i in (pairs // variants).tolist()]
-    crc = np.fromiter((zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in distinct), dtype=np.uint64, count=len(distinct))
-    keys = _mix(crc[pairs // variants] + _mix((pairs % variants).astype(u) + u((seed * _M1 + 1) & _MASK)))
-    flat, lengths = encode_units(model, wanted, keys, rate)
+        keys = unit_keys(doc_keys, counts, seed)
+        own = np.flatnonzero(_drawn(trace, joint, keys, int(rate * (1 << 32))))
+        more, sizes = encode_units(model, [units[i] for i in own.tolist()], keys[own], rate)
+        joint[own] = len(distinct) + np.arange(len(own))
+        flat, lengths = np.concatenate((flat, more)), np.concatenate((lengths, sizes))
     start = np.cumsum(lengths) - lengths
     size = lengths[joint]
     total = np.cumsum(size)
@@ -313,7 +357,7 @@ def merge_model(name: str = "piece_bpe_32k.model") -> MergeModel:
     return _MODELS[name]
 
 
-def _encode(name: str, seed: int, rate: float, variants: int, keep_ids: bool):
+def _encode(name: str, seed: int, rate: float, keep_ids: bool):
     def run(batches):
         import numpy as np
         import pandas as pd
@@ -323,7 +367,7 @@ def _encode(name: str, seed: int, rate: float, variants: int, keep_ids: bool):
             for lo in range(0, len(whole), 500):
                 batch = whole.iloc[lo : lo + 500]
                 texts = [t or "" for t in batch["text"]]
-                coded = encode_batch(model, texts, batch["key"].to_numpy(), seed, rate, variants)
+                coded = encode_batch(model, texts, batch["key"].to_numpy(), seed, rate)
                 out = {
                     "doc_id": batch["doc_id"].to_numpy(),
                     "n_tokens": [len(x) for x in coded],
@@ -337,11 +381,11 @@ def _encode(name: str, seed: int, rate: float, variants: int, keep_ids: bool):
     return run
 
 
-def encode(docs: DataFrame, seed: int = 1, rate: float = 0.1, variants: int = 8, model: str = "piece_bpe_32k.model", keep_ids: bool = False) -> DataFrame:
+def encode(docs: DataFrame, seed: int = 1, rate: float = 0.1, model: str = "piece_bpe_32k.model", keep_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_crc32, lossless (and ids) of docs(doc_id, text)."""
     keyed = docs.select("doc_id", "text", F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("key"))
     schema = "doc_id long, n_tokens long, ids_crc32 long, lossless boolean" + ", ids array<int>" * keep_ids
-    return keyed.mapInPandas(_encode(model, seed, rate, variants, keep_ids), schema)
+    return keyed.mapInPandas(_encode(model, seed, rate, keep_ids), schema)
 
 
 def decode_ids(coded: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:

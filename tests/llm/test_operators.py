@@ -165,6 +165,22 @@ def test_dropout_is_seeded_lossless_and_the_same_side_by_side():
         assert pieces._expand(model, alone, w) == ids.tolist()
 
 
+def test_every_occurrence_has_draws_of_its_own():
+    model, rate = pieces.merge_model(), 0.1
+    texts = [" ".join(["international"] * 3000 + ["of"] * 3000), "x" * 40 + " international" * 50]
+    units = [pieces._UNIT.findall(" " + t) for t in texts]
+    keys = pieces.unit_keys([5, 6], np.array([len(x) for x in units]), 1)
+    got = pieces.encode_batch(model, texts, [5, 6], 1, rate)
+    want = []
+    for w, key in zip([w for x in units for w in x], keys.tolist(), strict=True):
+        start = [int(model.char[ord(c)]) for c in w]
+        want.append(pieces.agenda(model, start, key, int(rate * (1 << 32))))
+    assert [x for ids in got for x in ids.tolist()] == [x for ids in want for x in ids]
+    assert len(set(map(tuple, want[:3000]))) > 20  # 8 at most before
+    one = [len(x) for x in want[3001:6000]]  # a word of two merges at most: some are skipped
+    assert 0.05 < np.mean(np.array(one) > min(one)) < 0.3
+
+
 def test_encode_rows(docs, rows, empty):
     got = pieces.encode(docs, keep_ids=True)
     assert got.where("not lossless").count() == 0 and got.count() == len(rows)
