@@ -168,20 +168,28 @@ def calibrate(frame, method: str = "platt", warm: int = 260, step: int = 20, ahe
     return frame
 
 
-def dimson_betas(returns: DataFrame, market: DataFrame, years: list[int], window: int = 250, least: int = 60) -> DataFrame:
-    """firm, year, beta: slopes on the market's lag, same and lead day summed, over the sessions before each year; 1 with too few."""
+def dimson_betas(returns: DataFrame, market: DataFrame, years: list[int] | None = None, window: int = 250, least: int = 60) -> DataFrame:
+    """firm, year, beta: slopes on the market's lag, same and lead day summed, over the sessions before each year; 1 with too few or none.
+
+    Every firm has a row for each year of the market's calendar, or for those of ``years``.
+    """
     import pandas as pd
 
     m = market.select("session", "market", F.expr("lag(market) over (order by session)").alias("m_lag"), F.expr("lead(market) over (order by session)").alias("m_lead"), F.expr("row_number() over (order by session)").alias("pos"))
     joined = returns.where("abs(ret) <= 0.1").join(m, "session").where("m_lag is not null and m_lead is not null")
-    first = m.groupBy(F.year("session").alias("year")).agg(F.min("pos").alias("first")).where(F.col("year").isin(years))
+    first = m.groupBy(F.year("session").alias("year")).agg(F.min("pos").alias("first"))
+    if years is not None:
+        first = first.where(F.col("year").isin(years))
     pairs = joined.join(F.broadcast(first), (F.col("pos") < F.col("first") - 1) & (F.col("pos") >= F.col("first") - window))
 
     def fit(key, pdf):
+        pdf = pdf.sort_values("pos")  # sums in one order, whatever the shuffle's
         beta = 1.0 if len(pdf) < least else float(ols(pdf[["m_lag", "market", "m_lead"]].to_numpy(float), pdf["ret"].to_numpy(float))[1:].sum())
         return pd.DataFrame({"firm": [key[0]], "year": [key[1]], "beta": [beta]})
 
-    return pairs.groupBy("firm", "year").applyInPandas(fit, "firm long, year int, beta double")
+    betas = pairs.groupBy("firm", "year").applyInPandas(fit, "firm long, year int, beta double")
+    every = returns.select(F.col("firm").cast("long").alias("firm")).distinct().crossJoin(F.broadcast(first.select("year")))
+    return every.join(betas, ["firm", "year"], "left").withColumn("beta", F.coalesce("beta", F.lit(1.0)))
 
 
 def demean_two_way(frame, value: str, a: str, b: str, tolerance: float = 1e-12, rounds: int = 1000):

@@ -56,10 +56,10 @@ def calibrated_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dimson_betas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """firm betas from the sessions before each year."""
+    """firm betas from the sessions before each year of the calendar."""
     firms = run("select firm, session, ret from (select firm, session, close / lag(close) over (partition by firm order by session) - 1 as ret from firm_bars) x where ret is not null")(spark, sf_dir)
     market = run("select session, ret as market from returns where ret is not null")(spark, sf_dir)
-    return walk.dimson_betas(firms, market, [1996, 1997, 1998])
+    return walk.dimson_betas(firms, market)
 
 
 def bootstrap_means(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -215,6 +215,15 @@ def test_beta_uses_the_past_alone(spark):
     assert got[0] == got[1] and abs(got[0][2016] - 1.5) < 0.1
 
 
+def test_betas_of_every_year_and_firm(spark, sf):
+    from newstide.plans import catalogue, dialect
+
+    firms, years = (dialect.run(f"select distinct {x} as k from {t} where ret is not null")(spark, sf).collect() for x, t in (("firm", "(select firm, close / lag(close) over (partition by firm order by session) - 1 as ret from firm_bars) x"), ("year(session)", "returns")))
+    got = catalogue.QUERIES["dimson_betas"](spark, sf).collect()
+    assert sorted((r.firm, r.year) for r in got) == sorted((f.k, y.k) for f in firms for y in years)
+    assert {r.year for r in got} == set(range(1995, 2002)) and all(r.beta == 1.0 for r in got if r.year == 1995)
+
+
 def test_text_classifier(spark):
     rows = spark.createDataFrame([("good profit rises", 1.0), ("profits rise well", 1.0), ("loss and default", 0.0), ("defaults and losses", 0.0)] * 4, "text string, label double")
     model = walk.text_classifier(rows, features=1 << 10)
