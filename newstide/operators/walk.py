@@ -106,29 +106,33 @@ def walk_forward(frame: DataFrame, arms: dict[str, list[str]], target: str, kind
 def panel_blocks(panel: DataFrame, features: list[str], event: str, warm: int = 250, ahead: int = 20, step: int = 20) -> DataFrame:
     """Pooled logistic warnings: each block of ``step`` positions is fitted on pos < k - ahead; alarm at the training 95th percentile.
 
-    panel(pos, firm, session, features, event).  Blocks are independent: the
-    history goes to each as sums would not do, so it must be of aggregate size.
+    panel(pos, firm, session, features, event).  Blocks are independent groups:
+    each gets its history, without the names of firms and sessions, and its rows.
     """
     import numpy as np
     import pandas as pd
 
-    def run(pdf):
-        pdf = pdf.dropna(subset=features).sort_values(["pos", "firm"])
-        out = []
-        for k in range(warm, int(pdf["pos"].max()) + 1 if len(pdf) else 0, step):
-            train = pdf[(pdf["pos"] < k - ahead) & pdf[event].notna()]
-            test = pdf[(pdf["pos"] >= k) & (pdf["pos"] < k + step)]
-            if not len(test) or train[event].nunique() < 2:
-                continue
-            mean, sd = train[features].mean(), train[features].std(ddof=0).replace(0, 1)
-            w = logit(((train[features] - mean) / sd).to_numpy(float), train[event].to_numpy(float), balanced=True)
-            score = lambda d: 1 / (1 + np.exp(-np.column_stack([np.ones(len(d)), ((d[features] - mean) / sd).to_numpy(float)]) @ w))  # noqa: B023, E731
-            bar = float(np.quantile(score(train), 0.95))
-            p = score(test)
-            out.append(pd.DataFrame({"pos": test["pos"], "firm": test["firm"], "session": test["session"], "event": test[event].astype(float), "prob": p, "alarm": p >= bar}))
-        return pd.concat(out) if out else pd.DataFrame(columns=["pos", "firm", "session", "event", "prob", "alarm"])
-
-    return panel.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(run, "pos long, firm long, session date, event double, prob double, alarm boolean")
+    def run(key, pdf):
+        k, empty = int(key[0]), pd.DataFrame(columns=["pos", "firm", "session", "event", "prob", "alarm"])
+        train = pdf[(pdf["pos"] < k - ahead) & pdf[event].notna()].sort_values(["pos", *features, event])
+        test = pdf[pdf["pos"] >= k].sort_values(["pos", "firm"])
+        if not len(test) or train[event].nunique() < 2:
+            return empty
+        mean, sd = train[features].mean(), train[features].std(ddof=0).replace(0, 1)
+        w = logit(((train[features] - mean) / sd).to_numpy(float), train[event].to_numpy(float), balanced=True)
+        score = lambda d: 1 / (1 + np.exp(-np.column_stack([np.ones(len(d)), ((d[features] - mean) / sd).to_numpy(float)]) @ w))
+        bar = float(np.quantile(score(train), 0.95))
+        p = score(test)
+        return pd.DataFrame({"pos": test["pos"], "firm": test["firm"], "session": test["session"], "event": test[event].astype(float), "prob": p, "alarm": p >= bar})
+
+    panel = panel.select("pos", "firm", "session", *features, event).dropna(subset=features)
+    own = F.when(F.col("pos") >= warm, warm + F.floor((F.col("pos") - warm) / step) * step).cast("long")  # the block a row is scored in
+    next_ = F.greatest(F.lit(warm), warm + (F.floor((F.col("pos") + ahead - warm) / step) + 1) * step).cast("long")  # the first that learns from it
+    later = F.when(next_ <= F.col("_last"), F.sequence(next_, F.col("_last"), F.lit(step).cast("long")))
+    blocks = F.array_compact(F.concat(F.array(own), F.coalesce(later, F.expr("cast(array() as array<bigint>)"))))
+    each = panel.crossJoin(F.broadcast(panel.agg(F.max("pos").cast("long").alias("_last")))).withColumn("_block", F.explode(blocks)).drop("_last")
+    each = each.withColumns({c: F.when(F.col("pos") >= F.col("_block"), F.col(c)) for c in ("firm", "session")})
+    return each.groupBy("_block").applyInPandas(run, "pos long, firm long, session date, event double, prob double, alarm boolean")
 
 
 def isotonic(x, y):

@@ -37,12 +37,9 @@ def walk_forward_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def panel_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pooled block-wise warnings over a panel of nations (25 groups, so the history a block needs stays small)."""
-    panel = run(
-        "with n as (select s.s_nationkey as firm, p.session, cast(sum(p.cents) as bigint) / (100.0 * count(*)) as close, sum(p.volume) as volume from prices p join supplier s on s.s_suppkey = p.firm group by s.s_nationkey, p.session) "
-        "select b.pos, cast(n.firm as bigint) as firm, n.session, n.close / b.close as x0, n.volume / b.volume as x1, case when n.close < 0.5 * b.close then 1.0 else 0.0 end as event from n join bars b on n.session = b.session"
-    )(spark, sf_dir)
-    return walk.panel_blocks(panel, ["x0", "x1"], "event", step=100)
+    """Pooled block-wise warnings over the panel of firms."""
+    panel = run("select b.pos, cast(n.firm as bigint) as firm, n.session, n.close / b.close as x0, n.volume / b.volume as x1, case when n.close < 0.5 * b.close then 1.0 else 0.0 end as event from firm_bars n join bars b on n.session = b.session")(spark, sf_dir)
+    return walk.panel_blocks(panel, ["x0", "x1"], "event")
 
 
 def calibrated_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,13 +122,13 @@ def surrogate_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def two_way_demeaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nation and session means taken out by alternating projections."""
-    panel = run("select s.s_nationkey as firm, p.session, cast(sum(p.cents) as bigint) / (100.0 * count(*)) as y from prices p join supplier s on s.s_suppkey = p.firm group by s.s_nationkey, p.session")(spark, sf_dir)
+    """Firm and session means taken out by alternating projections."""
+    panel = run("select firm, session, close as y from firm_bars")(spark, sf_dir)
 
     def one(pdf):
-        return pdf[["firm", "session"]].assign(y=walk.demean_two_way(pdf, "y", "firm", "session", tolerance=1e-9))
+        return pdf[["firm", "session"]].assign(y=walk.demean_two_way(pdf, "y", "firm", "session"))
 
-    return panel.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(one, "firm int, session date, y double")
+    return panel.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(one, "firm long, session date, y double")
 
 
 def label_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -224,6 +224,34 @@ def test_betas_of_every_year_and_firm(spark, sf):
     assert {r.year for r in got} == set(range(1995, 2002)) and all(r.beta == 1.0 for r in got if r.year == 1995)
 
 
+def test_panel_blocks_learn_from_all_firms_before_each_block(spark):
+    rng = np.random.default_rng(6)
+    d = pd.DataFrame([(p, f, dt.date(2015, 1, 1) + dt.timedelta(p)) for p in range(333) for f in range(6) if rng.random() < 0.8], columns=["pos", "firm", "session"])
+    d["x"] = rng.normal(size=len(d))
+    d["event"] = (d["x"] + rng.normal(size=len(d)) > 1.5).astype(float)
+    got = walk.panel_blocks(spark.createDataFrame(d), ["x"], "event").toPandas().sort_values(["pos", "firm"])
+    test = d[d["pos"] >= 250].sort_values(["pos", "firm"])
+    assert got[["pos", "firm"]].to_numpy().tolist() == test[["pos", "firm"]].to_numpy().tolist() and got["session"].tolist() == test["session"].tolist()
+    for k in range(250, 333, 20):
+        train = d[d["pos"] < k - 20]
+        z = lambda v: ((v - train["x"].mean()) / train["x"].std(ddof=0)).to_numpy()[:, None]  # noqa: B023, E731
+        w = walk.logit(z(train["x"]), train["event"].to_numpy(), balanced=True)
+        p = lambda v: 1 / (1 + np.exp(-(w[0] + w[1] * z(v)[:, 0])))  # noqa: B023, E731
+        now, want = got[(got["pos"] >= k) & (got["pos"] < k + 20)], p(test["x"][(test["pos"] >= k) & (test["pos"] < k + 20)])
+        assert np.allclose(now["prob"], want) and (now["alarm"].to_numpy() == (want >= np.quantile(p(train["x"]), 0.95))).all()
+
+
+def test_panels_are_by_firm(spark, sf):
+    from newstide.plans import catalogue, dialect
+
+    rows = dialect.run("select n.firm, n.session, b.pos from firm_bars n join bars b on n.session = b.session")(spark, sf).collect()
+    flat = catalogue.QUERIES["two_way_demeaned"](spark, sf).toPandas()
+    assert sorted(zip(flat["firm"], flat["session"], strict=True)) == sorted((r.firm, r.session) for r in rows)
+    assert all(flat.groupby(c)["y"].mean().abs().max() < 1e-9 for c in ("firm", "session"))
+    got = catalogue.QUERIES["panel_warnings"](spark, sf).collect()
+    assert sorted((r.firm, r.session) for r in got) == sorted((r.firm, r.session) for r in rows if r.pos >= 250)
+
+
 def test_text_classifier(spark):
     rows = spark.createDataFrame([("good profit rises", 1.0), ("profits rise well", 1.0), ("loss and default", 0.0), ("defaults and losses", 0.0)] * 4, "text string, label double")
     model = walk.text_classifier(rows, features=1 << 10)
