@@ -17,12 +17,12 @@ def _frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def walk_forward_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regression arms, one residualised in the fold."""
+    """Regression arms, one residualised in the fold (of F1 all but the gbm kind)."""
     return walk.walk_forward(_frame(spark, sf_dir), {"price": ["x0"], "lags": ["x0", "x1"], "range": ["x0", "x1", "x2"]}, "ret_next", "regress")
 
 
 def walk_forward_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """direction probabilities and the walk-forward constant."""
+    """Direction probabilities and the walk-forward constant (of F1 all but the gbm kind)."""
     return walk.walk_forward(_frame(spark, sf_dir), {"lags": ["x0", "x1"]}, "ret_next", "sign")
 
 
@@ -66,7 +66,7 @@ def bootstrap_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def control_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Random flags, permuted and stale news, planted effect."""
+    """Random flags, permuted and stale news, planted effect (a fixed one, not I14's bisected one)."""
     frame = run("select session, pos % 7 = 0 as flag, ret as y from returns where ret is not null")(spark, sf_dir)
     kinds = {"flags": 0.0, "permuted": 0.0, "stale": 0.0, "planted": 0.2}
     out = None
@@ -132,7 +132,7 @@ def two_way_demeaned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Character n-gram classifier of headlines, fitted on labels; its class for every headline."""
+    """character n-gram classifier of headlines, fitted on all labels at once; its class for every headline."""
     rows = run("select h.doc_id, h.headline as text, cast(l.quality as double) as label from headlines h left join labels l on h.doc_id = l.doc_id")(spark, sf_dir)
     model = walk.text_classifier(rows.where("label is not null"), features=1 << 12, high=3)
     return model.transform(rows.where("text is not null")).select("doc_id", "label", "prediction")

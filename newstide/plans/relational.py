@@ -77,7 +77,7 @@ SQL: dict[str, tuple[str, str]] = {
     "membership": ("J11 J12 P16", "select h.row_id, l.doc_id is not null as in_study from headlines h left join (select distinct doc_id from labels) l on h.doc_id = l.doc_id"),
     "overlap_reconciliation": ("J14", "with o as (select cast(o_orderdate as date) as d, o_custkey % 50 as k, max(round(o_totalprice, 2)) as v from orders group by 1, 2), n as (select d, k, v from o union all select d, k, v + 1 from o where v > 150000) select o.d, o.k, bool_or(abs(o.v - n.v) < 0.005) as matches, count(*) as copies from o join n on o.d = n.d and o.k = n.k group by o.d, o.k"),
     "fallback_means": ("J16 F8", "with fit as (select firm, avg(ret) as alpha from firm_units where session < date '2024-01-16' and ret is not null group by firm), m as (select avg(alpha) as a from fit) select u.firm, count(*) as n, round(max(coalesce(fit.alpha, m.a)), 6) as alpha from firm_units u cross join m left join fit on u.firm = fit.firm where u.session >= date '2024-01-16' group by u.firm"),
-    "parameter_grid": ("J18 F14", "select a.min_train, b.refit from (select @range(250, 253) as min_train) a cross join (select @range(10, 13) as refit) b"),
+    "parameter_grid": ("J18", "select a.min_train, b.refit from (select @range(250, 253) as min_train) a cross join (select @range(10, 13) as refit) b"),
     "timing_flags": ("X5 A15", "with f as (select n.firm, a.trade, n.minute, n.day = a.trade as same_day, n.minute < 850 as before_close from news n join firm_asof a on n.firm = a.firm and n.day = a.day where a.trade is not null) select firm, trade, bool_or(same_day and before_close) as pre_close, bool_or(not (same_day and before_close)) as post_close, count(*) as n from f group by firm, trade"),
     "token_sets": ("T11 A16", "with t as (select source, @each(@split(template_key, ' ')) as token from keyed) select source, count(distinct token) as n_tokens, @hash(@join(@strings(token), ' ')) as fingerprint from t group by source"),
     "unit_accounting": ("A17", "with u as (select firm % 10 as bucket, year(session) as y, case when ret is null then 'no return' when age < 3 then 'young' when abs(ret) > 5 then 'jump' else 'used' end as reason from firm_units) select reason, y, bucket, count(*) as n from u group by grouping sets ((reason, y, bucket), (reason, y), (reason), ())"),
@@ -97,8 +97,8 @@ SQL: dict[str, tuple[str, str]] = {
     "crash_events": ("W7 W8 W9 P13 P14 F19", "select firm, session, age, case when count(*) over f20 = 5 then min(close) over f20 / nullif(close, 0) - 1 <= -0.9 end as crash, cast(sum(case when abs(ret) > 1 then 1 else 0 end) over (partition by firm order by session rows between current row and 5 following) as bigint) as jumps_ahead, case when count(ret) over f20 = 5 then round(sum(ret * ret) over f20, 4) end as rv5 from firm_units window f20 as (partition by firm order by session rows between 1 following and 5 following)"),
     "usable_units": ("P12", "with g as (select firm, session, ret, age, @days(session, prev_session) as back, @days(next_session, session) as ahead from firm_units) select firm, count(*) as n, round(avg(ret), 6) as mean_ret from g where back <= 5 and ahead <= 5 and ret is not null group by firm"),
     "trailing_news": ("W6", "with d as (select firm, day, count(*) as n from news group by firm, day) select firm, day, cast(sum(n) over (partition by firm order by day rows between 19 preceding and current row) as bigint) as news20 from d"),
-    "rolling_correlation": ("W15 E13", "select session, case when count(*) over w = 250 then round(corr(ret, prev) over w, 6) end as acf1, case when count(*) over w = 250 then round(avg(ret) over w, 8) end as mean250 from (select session, ret, lag(ret) over (order by session) as prev from returns) x where prev is not null window w as (order by session rows between 249 preceding and current row)"),
-    "autocorrelations": ("E13 I6", "with d as (select ret - avg(ret) over () as d, row_number() over (order by session) as i, count(*) over () as n from returns where ret is not null), v as (select sum(d * d) as v, max(n) as n from d), a as (select k, sum(a.d * b.d) as c from d a cross join (select @range(1, 10) as k) ks join d b on b.i = a.i - k group by k) select k, round(c / v, 6) as acf, round(n * (n + 2) * sum(c * c / (v * v) / (n - k)) over (order by k), 4) as ljung_box from a cross join v"),
+    "rolling_correlation": ("W15", "select session, case when count(*) over w = 250 then round(corr(ret, prev) over w, 6) end as acf1, case when count(*) over w = 250 then round(avg(ret) over w, 8) end as mean250 from (select session, ret, lag(ret) over (order by session) as prev from returns) x where prev is not null window w as (order by session rows between 249 preceding and current row)"),
+    "autocorrelations": ("I6", "with d as (select ret - avg(ret) over () as d, row_number() over (order by session) as i, count(*) over () as n from returns where ret is not null), v as (select sum(d * d) as v, max(n) as n from d), a as (select k, sum(a.d * b.d) as c from d a cross join (select @range(1, 10) as k) ks join d b on b.i = a.i - k group by k) select k, round(c / v, 6) as acf, round(n * (n + 2) * sum(c * c / (v * v) / (n - k)) over (order by k), 4) as ljung_box from a cross join v"),
     "year_demeaned": ("W16", "select session, round(ret - avg(ret) over (partition by year(session)), 8) as ret from returns where ret is not null"),
     "percent_rank_average": ("W17", "select doc_id, round(avg_rank / count(*) over (), 8) as pct from ranked"),
     "next_session_by_firm": ("W18", "select firm, session, next_session from firm_units"),
@@ -127,7 +127,7 @@ SQL: dict[str, tuple[str, str]] = {
     "leave_one_firm_out": ("I20", "with s as (select firm, count(*) as n, sum(ret) as s from firm_units where ret is not null and abs(ret) < 5 group by firm) select firm, round((sum(s) over () - s) / (sum(n) over () - n), 8) as mean_without from s"),
     "selection_jaccard": ("I21 U6", "with t as (select distinct year(published_date) as y, @each(@split(template_key, ' ')) as token from keyed), p as (select a.y as y1, b.y as y2, count(*) as both_n from t a join t b on a.token = b.token and a.y < b.y group by a.y, b.y), n as (select y, count(*) as n from t group by y) select p.y1, p.y2, round(both_n / cast(n1.n + n2.n - both_n as double), 6) as jaccard from p join n n1 on p.y1 = n1.y join n n2 on p.y2 = n2.y"),
     "absent_weekdays": ("X7", "with r as (select min(session) as a, max(session) as b from bars), d as (select @days_range(a, b) as day from r) select d.day from d left join bars b on d.day = b.session where @wd(d.day) < 5 and b.session is null"),
-    "yearly_ranges": ("X9 S22 F5 F12", "with y as (select distinct year(session) as y from bars) select y, min(session) as first_session, max(session) as last_session, count(*) as sessions from bars b join y on year(b.session) = y.y group by y"),
+    "yearly_ranges": ("X9 S22", "with y as (select distinct year(session) as y from bars) select y, min(session) as first_session, max(session) as last_session, count(*) as sessions from bars b join y on year(b.session) = y.y group by y"),
     "holiday_tags": ("X10", "with t as (select session, lead(session) over (order by session) as target from bars) select session, case when month(target) = 1 and day(target) <= 3 then 'new year' when month(target) = 5 and day(target) <= 2 then 'labour' else '' end as holiday, coalesce(target between date '1996-01-21' and date '1996-02-19' or target between date '1997-01-10' and date '1997-02-08', false) as in_period from t"),
     "winsorised": ("M6 M7", "with q as (select @q(ret, 0.01) as lo, @q(ret, 0.99) as hi from returns where ret is not null) select session, round(greatest(lo, least(hi, ret)), 8) as ret, round(case when volume > 0 then ret / volume else 0.0 end, 10) as ratio from returns cross join q where ret is not null"),
     "price_sanity": ("P19 P20", "select count(*) as n, count(*) filter (where high < low) as high_low, count(*) filter (where close > high or close < low) as close_outside, count(*) filter (where low <= 0) as nonpositive, count(*) filter (where volume = 0) as zero_volume, count(*) filter (where close = prev) as stale, count(*) filter (where close is null) as nulls, count(*) filter (where @wd(session) >= 5) as weekend, round(avg(case when low > 0 and high >= low then (high - low) / close end), 6) as mean_range from (select *, lag(close) over (order by session) as prev from bars) x"),
@@ -148,7 +148,7 @@ SQL: dict[str, tuple[str, str]] = {
     "arabic_dates": ("S3", "with r as (select doc_id, case when headline like '%the%' then concat(cast(1 + length(headline) % 31 as @str), ' مارس 2021') when headline like '%la%' then 'منذ يومين' else headline end as raw from headlines), p as (select doc_id, raw, @rx(raw, '^([0-9]+) [^ ]+ ([0-9]+)$', 1) as d, @rx(raw, '^([0-9]+) ([^ ]+) [0-9]+$', 2) as m, @rx(raw, '^[0-9]+ [^ ]+ ([0-9]+)$', 1) as y from r) select doc_id, @date(case when m = 'مارس' then concat(y, '-03-', lpad(d, 2, '0')) end) as day, case when m = 'مارس' then 'abs' when raw like 'منذ%' then 'relative' else 'other' end as category from p"),
     "rater_agreement": ("E8", "select round(avg(case when a1 = a2 then 1.0 else 0.0 end), 6) as raw_agreement, round(avg(case when a1 = a2 and a2 = a3 then 1.0 else 0.0 end), 6) as unanimous, count(*) filter (where a1 <> a2 and a2 <> a3 and a1 <> a3) as ties from raters"),
     "gold_sample": ("G1 O8 O9", "with s as (select *, row_number() over (partition by lang, relevance_tag order by @hash(concat('g:', row_id)), row_id) as r, count(*) over (partition by lang, relevance_tag) as n from tagged where is_canonical and date_parse_ok) select row_id, lang, relevance_tag, n from s where r <= greatest(1, least(n, 20))"),
-    "source_pivot": ("F16 A14 F15", "with d as (select a.session, avg(score) filter (where source = 'src1') as s1, avg(score) filter (where source = 'src2') as s2, avg(score) filter (where source not in ('src1', 'src2')) as rest, avg(score) as total from tagged t join strict_asof a on a.day = t.published_date where is_canonical group by a.session) select session, round(coalesce(s1, 0.0), 6) as s1, round(coalesce(s2, 0.0), 6) as s2, round(coalesce(rest, 0.0), 6) as without_both, round(total, 6) as total from d"),
+    "source_pivot": ("A14", "with d as (select a.session, avg(score) filter (where source = 'src1') as s1, avg(score) filter (where source = 'src2') as s2, avg(score) filter (where source not in ('src1', 'src2')) as rest, avg(score) as total from tagged t join strict_asof a on a.day = t.published_date where is_canonical group by a.session) select session, round(coalesce(s1, 0.0), 6) as s1, round(coalesce(s2, 0.0), 6) as s2, round(coalesce(rest, 0.0), 6) as without_both, round(total, 6) as total from d"),
     "residualised_full_sample": ("F7 F6", "with f as (select n.session, n.sent_mean as y, b.ret as x from news_by_session n join returns b on b.session = n.session where b.ret is not null), s as (select regr_slope(y, x) as b, regr_intercept(y, x) as a from f) select f.session, round(y - (s.a + s.b * x), 6) as residual from f cross join s"),
     "regression_slopes": ("A18 F8 W13", "with d as (select firm, ret - avg(ret) over (partition by firm) as y, cast(age as double) - avg(cast(age as double)) over (partition by firm) as x from firm_units where ret is not null and abs(ret) < 5) select count(*) as n, round(sum(x * y) / sum(x * x), 6) as within_slope, round(regr_slope(y, x), 6) as ols_slope from d"),
     "daily_news_features": (

@@ -46,3 +46,10 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_open_survey_ids_are_not_claimed():
+    claimed = {i for ids in catalogue.COVERS.values() for i in ids.split()}
+    assert not claimed & {"F1", "F5", "F12", "F14", "F15", "F16", "I14", "E13"}
+    assert all(i[0].isupper() and i[1:].isdigit() for i in claimed)
+    assert {"F3", "F4", "F9", "F11", "I15", "T7"} <= claimed
