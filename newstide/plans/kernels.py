@@ -62,7 +62,7 @@ def dimson_betas(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bootstrap_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole-date block bootstrap of means by arm."""
     sums = run("select case when is_price_report then 'price' else 'other' end as arm, published_date as session, cast(sum(score) as double) as s, count(*) as n from tagged group by 1, 2")(spark, sf_dir)
-    return inference.bootstrap_mean(sums, samples=500)
+    return inference.bootstrap_mean(sums)
 
 
 def control_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,7 @@ def control_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = {"flags": 0.0, "permuted": 0.0, "stale": 0.0, "planted": 0.2}
     out = None
     for kind, effect in kinds.items():
-        one = inference.controls(frame, kind, seeds=20, effect=effect).withColumn("kind", F.lit(kind))
+        one = inference.controls(frame, kind, effect=effect).withColumn("kind", F.lit(kind))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -102,7 +102,7 @@ def bootstrap_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
         pdf = pdf.sort_values("session")
         xx, xy = pdf["xx"].to_numpy(float).reshape(-1, 1, 1), pdf["xy"].to_numpy(float).reshape(-1, 1)
-        draws = inference.bootstrap_ols(xx, xy, samples=500)[:, 0]
+        draws = inference.bootstrap_ols(xx, xy)[:, 0]
         return pd.DataFrame([{"n_dates": len(pdf)} | inference.interval(draws, float(inference.ols_of_dates(xx, xy)[0]), ddof=1)]) if np.isfinite(draws).all() else pd.DataFrame()
 
     return sums.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(one, "n_dates long, effect double, lo double, hi double, p double, se double, mde double")
@@ -134,7 +134,7 @@ def two_way_demeaned(spark: SparkSession, sf_dir: str) -> DataFrame:
 def label_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """character n-gram classifier of headlines, fitted on all labels at once; its class for every headline."""
     rows = run("select h.doc_id, h.headline as text, cast(l.quality as double) as label from headlines h left join labels l on h.doc_id = l.doc_id")(spark, sf_dir)
-    model = walk.text_classifier(rows.where("label is not null"), features=1 << 12, high=3)
+    model = walk.text_classifier(rows.where("label is not null"))
     return model.transform(rows.where("text is not null")).select("doc_id", "label", "prediction")
 
 

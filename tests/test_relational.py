@@ -6,8 +6,9 @@ import math
 import duckdb
 import pytest
 
-from newstide.plans import catalogue
-from newstide.plans.dialect import TABLES
+from newstide.operators import inference, walk
+from newstide.plans import catalogue, kernels
+from newstide.plans.dialect import TABLES, run
 
 
 @pytest.fixture(scope="module")
@@ -53,3 +54,38 @@ def test_open_survey_ids_are_not_claimed():
     assert not claimed & {"F1", "F5", "F12", "F14", "F15", "F16", "I14", "E13"}
     assert all(i[0].isupper() and i[1:].isdigit() for i in claimed)
     assert {"F3", "F4", "F9", "F11", "I15", "T7"} <= claimed
+
+
+def captured(monkeypatch, query, spark, sf):
+    """The rows that a query's body gives, as pandas, and the query's own result."""
+    bodies = []
+    monkeypatch.setattr(kernels, "run", lambda body: bodies.append(body) or run(body))
+    got = catalogue.QUERIES[query](spark, sf).collect()
+    return run(bodies[0])(spark, sf).toPandas().sort_values("session"), got
+
+
+def test_bootstraps_draw_2000_times(spark, sf, monkeypatch):
+    rows, got = captured(monkeypatch, "bootstrap_means", spark, sf)
+    for r in got:
+        d = rows[rows["arm"] == r.arm]
+        w, s, n = inference.date_counts(len(d), 20, 2000, 20261003), d["s"].to_numpy(float), d["n"].to_numpy(float)
+        want = inference.interval((w @ s) / (w @ n), s.sum() / n.sum())
+        assert all(math.isclose(r[k], v, rel_tol=1e-9, abs_tol=1e-12) for k, v in want.items())
+    rows, (r,) = captured(monkeypatch, "bootstrap_slopes", spark, sf)
+    xx, xy = rows["xx"].to_numpy(float).reshape(-1, 1, 1), rows["xy"].to_numpy(float).reshape(-1, 1)
+    want = inference.interval(inference.bootstrap_ols(xx, xy, 20, 2000)[:, 0], float(inference.ols_of_dates(xx, xy)[0]), ddof=1)
+    assert all(math.isclose(r[k], v, rel_tol=1e-6) for k, v in want.items())
+
+
+def test_controls_have_100_seeds(spark, sf):
+    got = catalogue.QUERIES["control_runs"](spark, sf).groupBy("kind").count().collect()
+    assert {r.kind: r["count"] for r in got} == dict.fromkeys(("flags", "permuted", "stale", "planted"), 100)
+
+
+def test_label_classifier_has_all_grams_and_features(spark, sf, monkeypatch):
+    models = []
+    monkeypatch.setattr(kernels.walk, "text_classifier", lambda *a, f=walk.text_classifier, **k: models.append(f(*a, **k)) or models[-1])
+    catalogue.QUERIES["label_classifier"](spark, sf)
+    stages = models[0].stages
+    assert [s.getN() for s in stages if hasattr(s, "getN")] == [2, 3, 4, 5]
+    assert stages[-1].numFeatures == 1 << 16
