@@ -217,6 +217,16 @@ def test_shards_hold_every_sequence(spark, docs, rows, empty, tmp_path):
     assert order.materialise(empty)[0].collect() == []
 
 
+def test_sequences_hold_512_ids(spark):
+    words = " ".join(["harbour"] * 400)
+    ids = byte_bpe().encode(words).tolist() + [1]
+    assert 256 < len(ids) <= 512
+    sequences, _, directory = order.materialise(spark.createDataFrame([(1, words)], "doc_id long, text string"))
+    got = sequences.collect()
+    assert [(r.seq, r.n_tokens) for r in got] == [(0, len(ids))]
+    assert order.read_slots(directory, 0, 1)[0].tolist() == ids + [0] * (512 - len(ids))
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(3)
     rows = [(i, (rng.normal(size=6) * rng.choice([0.01, 1, 3])).astype(np.float32).tolist()) for i in range(400)]
