@@ -1,7 +1,7 @@
 """Language identification by compression.
 
-A bounded sample of each language's labelled texts is a zstandard raw-content
-dictionary.  A text is cut into blocks (so that a dictionary still counts in
+A bounded sample of each language's labelled texts, a span of each from a place
+that a hash draws, is a zstandard raw-content dictionary.  A text is cut into blocks (so that a dictionary still counts in
 long texts), each block is compressed with every dictionary, and the language
 with the smallest sum wins; where the margin to the next is narrow the answer
 is marked as rejected.
@@ -28,6 +28,11 @@ def _plain(text: str) -> bytes:
     return " ".join(text.lower().split()).encode("utf-8", "surrogatepass")
 
 
+def _start():
+    """Where the span of a text starts (from 1): any place from which it is whole."""
+    return (F.pmod(F.xxhash64(F.lit("span"), "doc_id", "text"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1) + 1).cast("int")
+
+
 def train(labelled: DataFrame) -> dict[str, bytes]:
     """A dictionary for each lang of labelled(doc_id, text, lang), most labelled first, from a hash-drawn sample of its rows."""
     labelled = labelled.where("lang is not null and text is not null")
@@ -36,7 +41,7 @@ def train(labelled: DataFrame) -> dict[str, bytes]:
         return {}
     share = F.create_map(*[x for lang, k in n.items() for x in (F.lit(lang), F.lit(min(1.0, 2 * SAMPLE_ROWS / k)))])
     draw = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = labelled.where(draw < share[F.col("lang")]).select("lang", draw.alias("draw"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    rows = labelled.where(draw < share[F.col("lang")]).select("lang", draw.alias("draw"), F.substring(F.col("text"), _start(), F.lit(SAMPLE_CHARS)).alias("text"))
     top = rows.groupBy("lang").agg(F.slice(F.array_sort(F.array_distinct(F.collect_list(F.struct("draw", "text")))), 1, SAMPLE_ROWS).alias("rows")).collect()
     out = {}
     for r in sorted(top, key=lambda r: (-n[r.lang], r.lang)):

@@ -310,6 +310,18 @@ def test_language(spark):
     assert {r.lang_pred for r in langid.identify(docs.select("doc_id", "text"), langid.train(docs.where("false"))).collect()} == {"und"}
 
 
+def test_language_is_learned_from_whole_texts(spark):
+    words = {"en": "the house is on that hill and we walk there", "fr": "la maison est sur cette colline et nous marchons"}
+    rng = np.random.default_rng(11)
+    text = lambda x, n: " ".join(rng.permutation(words[x].split() * n))
+    header = " ".join(f"notice{i}" for i in range(150))  # over 1,000 code points that all texts share
+    rows = [(i, f"{header} {text(x, 60)}", x) for i, x in enumerate(list(words) * 20)]
+    dicts = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert b"house" in dicts["en"] and b"maison" in dicts["fr"]
+    docs = spark.createDataFrame([(i, text(x, 3), x) for i, x in enumerate(list(words) * 20)], "doc_id long, text string, lang string")
+    assert all(r.lang_pred == r.lang for r in langid.identify(docs, dicts).collect())
+
+
 def test_weak_labels_find_the_planted_accuracies():
     rng = np.random.default_rng(2)
     truth = rng.random(5000) < 0.8
