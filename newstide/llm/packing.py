@@ -7,11 +7,13 @@ bitset subset-sum dynamic program over the remaining multiset: the largest
 length left opens a window, the program finds the multiset that fills the rest
 closest to capacity, counts are read back by backtracking, and the shape is
 used as often as the counts allow.  Executors then number the pieces of each
-length (ranked within salts, so that a length that a third of all documents
-share is not one task) and look their place up in the plan.
+length (ranked within salts, as many as a length's number of pieces asks for,
+so that a length that a third of all documents share is not one task) and look
+their place up in the plan.
 
 Nulls and edge cases: a null or empty text is the end id alone; rows that
-repeat are packed one by one; an empty table has no sequences.
+repeat are packed one by one (every piece has a number of its own); a null
+doc_id stays null; an empty table has no sequences; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,9 +23,10 @@ import zlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_bpe, stage_table
+from .common import byte_bpe, map_slices, stage_table
 
-SALTS = 256
+#: Each length is ranked in so many salts at least, and with about so many pieces in a salt at most.
+SALTS, SALT_ROWS = 64, 1 << 16
 
 
 def plan(counts: dict[int, int], window: int) -> list[tuple[int, dict[int, int]]]:
@@ -70,29 +73,32 @@ def _pieces(window: int, end_id: int, keep_ids: bool):
     def run(batches):
         import numpy as np
         import pandas as pd
+        from pyspark import TaskContext
 
-        bpe = byte_bpe()
+        bpe, number = byte_bpe(), TaskContext.get().partitionId() << 40
         for batch in batches:
             out = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 ids = np.append(bpe.encode(text or ""), np.uint32(end_id)).astype("<u4")
                 for start in range(0, len(ids), window):
                     part = ids[start : start + window]
-                    out.append((doc_id, start, len(part), zlib.crc32(part.tobytes()), len(ids), *([part.tobytes()] if keep_ids else [])))
-            yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if keep_ids else [])]).astype({"doc_id": "Int64"})
+                    out.append((doc_id, start, len(part), zlib.crc32(part.tobytes()), len(ids), number, *([part.tobytes()] if keep_ids else [])))
+                    number += 1
+            yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "piece", *(["ids"] if keep_ids else [])]).astype({"doc_id": "Int64"})
 
     return run
 
 
 def _place(first, steps):
-    """first: numbers of earlier pieces by length and salt; steps: by length the plan's ranges of ranks."""
+    """first: for each length its first cell and, by cell (a salt of a length), numbers of earlier pieces; steps: by length the plan's ranges of ranks."""
 
     def run(batches):
         import numpy as np
 
+        start, before = first.value
         for batch in batches:
-            length, rank = batch["length"].to_numpy(), batch["rank"].to_numpy()
-            rank = rank - 1 + first.value[length, batch["salt"].to_numpy()]
+            length = batch["length"].to_numpy(dtype=np.int64)
+            rank = batch["rank"].to_numpy(dtype=np.int64) - 1 + before[start[length] + batch["salt"].to_numpy(dtype=np.int64)]
             sequence, offset = np.empty(len(rank), dtype=np.int64), np.empty(len(rank), dtype=np.int64)
             for size in np.unique(length):
                 at = np.flatnonzero(length == size)
@@ -101,11 +107,18 @@ def _place(first, steps):
                 inner = rank[at] - np.where(k > 0, upto[k - 1], 0)
                 sequence[at] = base[k] + inner // each[k]
                 offset[at] = where[k] + inner % each[k] * size
-            yield batch.drop(columns=["rank", "salt"]).assign(sequence_id=sequence, offset=offset)
+            yield batch.drop(columns=["rank", "salt", "piece"]).assign(sequence_id=sequence, offset=offset)
 
     return run
 
 
+def _counts(pieces: DataFrame, by: list[str], size: int):
+    import numpy as np
+
+    seen = pieces.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).toPandas()
+    return seen, np.bincount(seen["length"].to_numpy(dtype=np.int64), weights=seen["n"].to_numpy(dtype=float), minlength=size).astype(np.int64)
+
+
 def pack(docs: DataFrame, window: int = 2048, end_id: int = 1, keep_ids: bool = False) -> DataFrame:
     """A row for each piece of docs(doc_id, text) with its place: sequence_id and offset.
 
@@ -115,14 +128,20 @@ def pack(docs: DataFrame, window: int = 2048, end_id: int = 1, keep_ids: bool =
     import numpy as np
 
     spark = docs.sparkSession
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * keep_ids
-    pieces = docs.select("doc_id", "text").mapInPandas(_pieces(window, end_id, keep_ids), schema)
-    pieces = stage_table(pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS)).cast("int")), "pieces")
-
-    seen = pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).toPandas()  # at most window * SALTS rows
-    table = np.zeros((window + 1, SALTS), dtype=np.int64)
-    table[seen["length"].to_numpy(dtype=np.int64), seen["salt"].to_numpy(dtype=np.int64)] = seen["n"].to_numpy(dtype=np.int64)
-    totals = table.sum(axis=1)
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+    ids = ", ids binary" * keep_ids
+    pieces = stage_table(map_slices(docs.select("doc_id", "text"), _pieces(window, end_id, keep_ids), f"{schema}, piece long{ids}"), "pieces")
+
+    _, totals = _counts(pieces, ["length"], window + 1)  # at most window rows
+    salts = np.maximum(SALTS, -(-totals // SALT_ROWS))
+    salt = F.pmod(F.xxhash64("piece"), F.element_at(F.lit(salts.tolist()), (F.col("length") + 1).cast("int"))).cast("int")
+    pieces = pieces.withColumn("salt", salt)
+    seen, _ = _counts(pieces, ["length", "salt"], window + 1)  # at most a row for each SALT_ROWS pieces, and window * SALTS
+    start = np.cumsum(salts) - salts
+    cells = np.zeros(int(salts.sum()), dtype=np.int64)
+    cells[start[seen["length"].to_numpy(dtype=np.int64)] + seen["salt"].to_numpy(dtype=np.int64)] = seen["n"].to_numpy(dtype=np.int64)
+    before = np.cumsum(cells) - cells
+    before -= np.repeat(before[start], salts)
 
     ranges: dict[int, list] = {}
     sequence = 0
@@ -137,11 +156,9 @@ def pack(docs: DataFrame, window: int = 2048, end_id: int = 1, keep_ids: bool =
         n, each, base, where = (np.array(x, dtype=np.int64) for x in zip(*parts, strict=True))
         steps[size] = (np.cumsum(n), each, base, where)
 
-    first = spark.sparkContext.broadcast(np.cumsum(table, axis=1) - table)
-    steps = spark.sparkContext.broadcast(steps)
-    by = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")
-    ranked = pieces.withColumn("rank", F.row_number().over(by).cast("long"))
-    return ranked.mapInPandas(_place(first, steps), schema + ", sequence_id long, offset long")
+    first, steps = spark.sparkContext.broadcast((start, before)), spark.sparkContext.broadcast(steps)
+    ranked = pieces.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("piece")).cast("long"))
+    return map_slices(ranked, _place(first, steps), f"{schema}{ids}, sequence_id long, offset long")
 
 
 def sequences(pieces: DataFrame, window: int = 2048, pad_id: int = 0) -> DataFrame:
