@@ -29,10 +29,11 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_slices, resident
+
 WIDE = 32
 SPACE = "▁"
 _UNIT = re.compile(r" *[^ \n]+| *\n| +")
-_MODELS: dict = {}
 _M1, _M2, _M3 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -312,8 +313,8 @@ def unit_keys(doc_keys, counts, seed: int):
     return _mix(np.repeat(base, counts) + number.astype(u) * u(_M3))
 
 
-def encode_batch(model: MergeModel, texts: list[str], doc_keys, seed: int, rate: float, variants: int = 0):
-    """A list of id arrays for whole texts.  variants has no meaning any more: each occurrence of a unit has draws of its own."""
+def encode_batch(model: MergeModel, texts: list[str], doc_keys, seed: int, rate: float):
+    """A list of id arrays for whole texts."""
     import numpy as np
     import pandas as pd
 
@@ -350,11 +351,9 @@ def decode(model: MergeModel, ids) -> str:
 
 
 def merge_model(name: str = "piece_bpe_32k.model") -> MergeModel:
-    if name not in _MODELS:
-        import public_tokenizers
+    import public_tokenizers
 
-        _MODELS[name] = MergeModel(public_tokenizers.path(name))
-    return _MODELS[name]
+    return resident(f"pieces {name}", lambda: MergeModel(public_tokenizers.path(name)))
 
 
 def _encode(name: str, seed: int, rate: float, keep_ids: bool):
@@ -363,20 +362,18 @@ def _encode(name: str, seed: int, rate: float, keep_ids: bool):
         import pandas as pd
 
         model = merge_model(name)
-        for whole in batches:
-            for lo in range(0, len(whole), 500):
-                batch = whole.iloc[lo : lo + 500]
-                texts = [t or "" for t in batch["text"]]
-                coded = encode_batch(model, texts, batch["key"].to_numpy(), seed, rate)
-                out = {
-                    "doc_id": batch["doc_id"].to_numpy(),
-                    "n_tokens": [len(x) for x in coded],
-                    "ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for x in coded],
-                    "lossless": [decode(model, x) == t for x, t in zip(coded, texts, strict=True)],
-                }
-                if keep_ids:
-                    out["ids"] = [x.astype(np.int32) for x in coded]
-                yield pd.DataFrame(out).astype({"doc_id": "Int64"})
+        for batch in batches:
+            texts = [t or "" for t in batch["text"]]
+            coded = encode_batch(model, texts, batch["key"].to_numpy(dtype=np.int64), seed, rate)
+            out = {
+                "doc_id": batch["doc_id"],
+                "n_tokens": [len(x) for x in coded],
+                "ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for x in coded],
+                "lossless": [decode(model, x) == t for x, t in zip(coded, texts, strict=True)],
+            }
+            if keep_ids:
+                out["ids"] = [x.astype(np.int32) for x in coded]
+            yield pd.DataFrame(out)
 
     return run
 
@@ -385,7 +382,7 @@ def encode(docs: DataFrame, seed: int = 1, rate: float = 0.1, model: str = "piec
     """doc_id, n_tokens, ids_crc32, lossless (and ids) of docs(doc_id, text)."""
     keyed = docs.select("doc_id", "text", F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("key"))
     schema = "doc_id long, n_tokens long, ids_crc32 long, lossless boolean" + ", ids array<int>" * keep_ids
-    return keyed.mapInPandas(_encode(model, seed, rate, keep_ids), schema)
+    return map_slices(keyed, _encode(model, seed, rate, keep_ids), schema)
 
 
 def decode_ids(coded: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
@@ -399,4 +396,4 @@ def decode_ids(coded: DataFrame, model: str = "piece_bpe_32k.model") -> DataFram
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "text": [decode(m, np.asarray(x)) for x in batch["ids"]]})
 
-    return coded.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
+    return map_slices(coded.select("doc_id", "ids"), run, "doc_id long, text string")
