@@ -2,15 +2,18 @@
 
 Two documents link when the Jaccard similarity of their sets of word k-grams is
 at least num / den.  Equal sets are folded to one representative first.  The
-members of a set are ordered rare-first by a hashed count over all documents
-(any total order is right, a rare-first one is fast), and a pair can only link
-if their prefixes of n - ceil(n * num / den) + 1 members meet.
+members of a set are ordered rare-first by hashed counters over all documents,
+as many as the corpus asks for up to 2^24 (any total order is right, a rare-first
+one is fast), and a pair can only link if their prefixes of
+n - ceil(n * num / den) + 1 members meet.
 
 * Posting lists of the prefixes are joined in two steps.  First every member
   meets one hub of its list (linear in the list), the links found are closed
   into components; then members of *different* components meet, so a group of
   near copies is never expanded into all its pairs, and no link between
   components is lost.
+  Lists of one component alone fall out, and a long list is dealt to tasks by a
+  salt.
 * Length and positional filter, and the suffix filter, stand in the join
   condition.  The suffix filter bounds the symmetric difference from below by
   the popcount of the xor of two parity sketches (one flip a member): of 512
@@ -30,11 +33,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_bitmap, id_hash, in_bitmap, map_slices, stage_table
+from .common import fresh, id_bitmap, id_hash, in_bitmap, map_slices, resident, small_batches, stage_table
 from .components import components
 
-#: Hashed counters of the rare-first order: a table of so many counts is all that reaches the driver.
-COUNTERS_LOG2 = 18
+#: Shingles for each hashed counter of the rare-first order, about, and bounds of the counters' number (as powers of 2).
+COUNTER_LOAD, COUNTERS = 64, (16, 24)
+SEGMENT = 1 << 16  # counters that travel together
+#: Entries of a posting list that meet in one task, about.
+HOT = 2048
 WORDS = 8  # 64-bit words of a parity sketch
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -52,7 +58,8 @@ class _WordHashes(dict):
         return out
 
 
-_HASHES = _WordHashes()
+def _hashes() -> _WordHashes:
+    return resident("word hashes", _WordHashes)
 
 
 def shingles(text: str | None, k: int):
@@ -62,7 +69,7 @@ def shingles(text: str | None, k: int):
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
         return np.empty(0, dtype=np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
+    h = np.fromiter(map(_hashes().__getitem__, words), dtype=np.uint64, count=len(words))
     n = max(len(words) - k + 1, 1)
     width = min(k, len(words))
     acc = h[:n] ^ np.uint64(0x9E3779B97F4A7C15 * width % 2**64)
@@ -72,31 +79,55 @@ def shingles(text: str | None, k: int):
     return np.unique(acc ^ (acc >> np.uint64(31)))
 
 
-def _counts(k: int):
+def _counts(k: int, log2: int):
+    """A task's counters, in compressed segments."""
+
     def run(batches):
         import numpy as np
+        import zstandard
 
-        total = np.zeros(1 << COUNTERS_LOG2, dtype=np.int64)
+        total = np.zeros(1 << log2, dtype=np.uint32)
         for batch in batches:
             for text in batch["text"]:
-                s = shingles(text, k)
-                if len(s):
-                    total += np.bincount((s >> np.uint64(64 - COUNTERS_LOG2)).astype(np.int64), minlength=len(total)) if len(s) > 20_000 else 0
-                    if len(s) <= 20_000:
-                        np.add.at(total, (s >> np.uint64(64 - COUNTERS_LOG2)).astype(np.int64), 1)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"counter": at, "n": total[at]})
+                np.add.at(total, (shingles(text, k) >> np.uint64(64 - log2)).astype(np.int64), 1)
+        coder = zstandard.ZstdCompressor(level=1)
+        parts = total.reshape(-1, SEGMENT)
+        rows = [(i, coder.compress(parts[i].tobytes())) for i in np.flatnonzero(parts.any(axis=1)).tolist()]
+        yield pd.DataFrame(rows, columns=["segment", "counts"])
 
     return run
 
 
+def _levels(batches):
+    """Sums of the segments, one at a time, as an eighth of an octave in a byte."""
+    import numpy as np
+    import zstandard
+
+    coder, sums = zstandard.ZstdDecompressor(), {}
+    for batch in batches:
+        for segment, counts in zip(batch["segment"].to_numpy(dtype=np.int64).tolist(), batch["counts"], strict=True):
+            part = np.frombuffer(coder.decompress(counts), dtype=np.uint32)
+            sums[segment] = sums[segment] + part if segment in sums else part.astype(np.int64)
+    for segment, total in sums.items():
+        yield pd.DataFrame({"segment": [segment], "levels": [np.minimum(255, np.round(8 * np.log2(1 + total))).astype(np.uint8).tobytes()]})
+
+
 def _order(docs: DataFrame, k: int):
-    """Counts of all documents' k-grams by hashed counter, as one array."""
+    """Levels (8 an octave) of the counts of all documents' k-grams by hashed counter: one byte a counter, 16 MB at most.
+
+    The counters' number follows the length of all texts.  Each task sends its
+    counters in compressed segments, and only the levels reach the driver.
+    """
     import numpy as np
 
-    rows = map_slices(docs.select("text"), _counts(k), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(1 << COUNTERS_LOG2, dtype=np.int64)
-    out[rows["counter"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    log2 = min(max((chars // 6 // COUNTER_LOAD).bit_length(), COUNTERS[0]), COUNTERS[1])
+    segments = (1 << log2) // SEGMENT
+    sent = map_slices(docs.select("text"), _counts(k, log2), "segment long, counts binary")
+    rows = map_slices(sent.repartition(segments, "segment"), _levels, "segment long, levels binary").collect()
+    out = np.zeros(1 << log2, dtype=np.uint8)
+    for r in rows:
+        out[r.segment * SEGMENT : (r.segment + 1) * SEGMENT] = np.frombuffer(r.levels, dtype=np.uint8)
     return out
 
 
@@ -106,6 +137,7 @@ def _profiles(k: int, num: int, den: int, order):
         import xxhash
 
         rank = order.value
+        log2 = len(rank).bit_length() - 1
         for batch in batches:
             out = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
@@ -114,7 +146,7 @@ def _profiles(k: int, num: int, den: int, order):
                 if not n:
                     out.append((doc_id, 0, None, None, None, None))
                     continue
-                f = rank[(s >> np.uint64(64 - COUNTERS_LOG2)).astype(np.int64)]
+                f = rank[(s >> np.uint64(64 - log2)).astype(np.int64)]
                 prefix = s[np.argsort(f, kind="stable")[: n + (-num * n // den) + 1]]
                 bits = max(64 * WORDS, 1 << (n - 1).bit_length())
                 place = ((s * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(30)).astype(np.int64) & (bits - 1)
@@ -129,7 +161,7 @@ def _profiles(k: int, num: int, den: int, order):
 def _sets(k: int, bitmap):
     def run(batches):
         for batch in batches:
-            hit = batch[in_bitmap(bitmap.value, batch["h"])]
+            hit = batch if bitmap is None else batch[in_bitmap(bitmap.value, batch["h"])]
             yield pd.DataFrame({"node": hit["doc_id"], "members": [shingles(t, k).tobytes() for t in hit["text"]]})
 
     return run
@@ -185,9 +217,16 @@ def _links(docs: DataFrame, groups: DataFrame, pairs: DataFrame, k: int, num: in
     spark = docs.sparkSession
     x, y = (groups.select(F.col("node").alias(c), F.col("large").alias(d), F.col("n").alias(e)) for c, d, e in (("a", "x", "m"), ("b", "y", "n")))
     pairs = stage_table(map_slices(pairs.join(x, "a").join(y, "b"), _sketches_allow(num, den), "a long, b long").distinct(), "pairs")
-    bitmap = spark.sparkContext.broadcast(id_bitmap(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id"))
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    bitmap = id_bitmap(asked, "doc_id")
     ids = docs.where("doc_id is not null").select("doc_id", "text", id_hash("doc_id").alias("h"))
+    if bitmap is None:
+        ids = ids.join(asked, "doc_id", "left_semi")
+    else:
+        bitmap = spark.sparkContext.broadcast(bitmap)
     sets = stage_table(map_slices(ids, _sets(k, bitmap), "node long, members binary"), "sets")
+    if bitmap is not None:
+        bitmap.destroy()
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
     return stage_table(map_slices(joined, _verify(num, den), "a long, b long").distinct(), "links", pairs, sets)
 
@@ -198,11 +237,12 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     docs = docs.select("doc_id", "text")
     order = spark.sparkContext.broadcast(_order(docs, k))
     profiles = stage_table(map_slices(docs, _profiles(k, num, den, order), "doc_id long, n long, fp binary, prefix array<long>, sketch array<long>, large binary"), "profiles")
+    order.destroy()
 
     groups = profiles.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"), F.min("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"), F.first("large").alias("large"))
     groups = stage_table(groups, "groups")
     entries = groups.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
+    shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     live = entries.join(shared, "token")
     live = stage_table(live.join(groups.select("node", F.col("n"), "sketch"), ["node", "n"]), "postings")
 
@@ -218,8 +258,12 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     near = components(links)
 
     now = live.join(near, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-    x, y = now.alias("x"), now.alias("y")
-    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & F.expr("x.comp < y.comp") & _may_link("x", "y", num, den))
+    open_ = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+    now = now.join(open_, "token", "left_semi").withColumn("parts", F.ceil(F.col("c") / HOT).cast("int"))
+    # a long list is dealt to several tasks: each entry of one side stands in one part, each of the other side in all
+    x = now.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).alias("x")
+    y = now.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
+    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.part") == F.col("y.part")) & F.expr("x.comp < y.comp") & _may_link("x", "y", num, den))
     more = _links(docs, groups, _pairs(rest).join(links, ["a", "b"], "left_anti"), k, num, den)
     found = components(links.unionByName(more))
 
@@ -234,13 +278,18 @@ def _pairs(met: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of docs whose document has the smallest doc_id of its component; rows without doc_id stay."""
-    gone = jaccard_components(docs, k, num, den).where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    small_batches(docs.sparkSession)
+    name = fresh("gone", docs.columns)
+    gone = jaccard_components(docs, k, num, den).where("component_id < doc_id").select(F.col("doc_id").alias(name)).distinct()
     gone = stage_table(gone, "gone")
+    bitmap = id_bitmap(gone, name)
+    if bitmap is None:
+        return docs.join(gone, docs["doc_id"] == F.col(name), "left_anti")
     # texts whose id isn't in the bitmap stay where they are; only the others are shuffled to the exact join
-    bitmap = docs.sparkSession.sparkContext.broadcast(id_bitmap(gone, "_gone"))
-    maybe = F.pandas_udf(_in(bitmap), "boolean")(F.coalesce(id_hash("doc_id"), F.lit(-1).cast("long")))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    maybe = F.pandas_udf(_in(shared), "boolean")(F.coalesce(id_hash("doc_id"), F.lit(-1).cast("long")))
     rest = docs.where(maybe)
-    return docs.where(~maybe).unionByName(rest.join(gone, rest["doc_id"] == F.col("_gone"), "left_anti"))
+    return docs.where(~maybe).unionByName(rest.join(gone, rest["doc_id"] == F.col(name), "left_anti"))
 
 
 def _in(bitmap):
