@@ -42,12 +42,17 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Own or inherited license of every document.
 
     Documents have no paths; a stand-in tree is made of source, language and
-    id: every tenth document of a folder is its LICENSE file.
+    two digits of the id, and every fifth document is a LICENSE file, at one of
+    the tree's four depths; other documents lie in the deepest folders.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    folder = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), (F.floor(F.col("doc_id") / 100) % 100).cast("string"))
-    name = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("LICENSE."), F.col("doc_id").cast("string"))).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    return licenses.scan(docs.select("doc_id", "text", F.concat(folder, F.lit("/"), name).alias("path")))
+    digit = lambda n: (F.floor(F.col("doc_id") / n) % 10).cast("string")
+    steps = F.array(F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.coalesce(digit(1000), F.lit("x")), F.coalesce(digit(100), F.lit("x")))
+    is_license = F.coalesce(F.col("doc_id") % 5 == 0, F.lit(False))
+    depth = F.when(is_license, (F.floor(F.col("doc_id") / 5) % 4 + 1).cast("int")).otherwise(4)
+    name = F.when(is_license, F.concat(F.lit("LICENSE."), F.col("doc_id").cast("string"))).otherwise(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(".txt")))
+    path = F.concat(F.array_join(F.slice(steps, 1, depth), "/"), F.lit("/"), name)
+    return licenses.scan(docs.select("doc_id", "text", path.alias("path")))
 
 
 def op7_language_by_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
