@@ -1,8 +1,10 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
 Candidates are grouped by length (Euclidean norm) into geometric buckets, and
-every bucket into blocks of bounded size.  Each block meets each block of
-queries.  With t the k-th best score that a query has so far, a bucket of
+every bucket into blocks of bounded rows and bytes.  Queries are grouped by the
+length that a candidate needs for them, into blocks alike.  A block of
+candidates meets a block of queries only if its greatest length is not under the
+least that these need.  With t the k-th best score that a query has so far, a bucket of
 lengths up to L has the local cosine threshold t / (|q| * L): over 1 the bucket
 holds nothing; when it is high, the coordinates of the unit query confine those
 of the unit candidate to narrow ranges (coordinate pruning, over sorted
@@ -25,9 +27,9 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage_table
+from .common import map_slices, stage_table
 
-BLOCK_ROWS, QUERY_ROWS = 8192, 1024
+BLOCK_ROWS, QUERY_ROWS, BLOCK_BYTES = 8192, 1024, 1 << 24
 RATIO = 1.05  # of the lengths in a bucket
 #: Local cosine from which coordinates prune better than lengths.
 COSINE = 0.8
@@ -42,18 +44,17 @@ def integer_vectors(vectors: DataFrame, scale: int = 1024) -> DataFrame:
     return vectors.where(fine).select("vec_id", v.alias("v")).dropDuplicates().withColumn("norm", norm).withColumn("bucket", bucket)
 
 
-def _blocks(rows: DataFrame, size: int, by: list[str]) -> DataFrame:
-    """Rows (vec_id, v) gathered into blocks of some ``size`` rows: block, ids, matrix."""
-    if by:
-        n = {r.bucket: r.n for r in rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each bucket of lengths
-        if not n:
-            parts = F.lit(1)
-        else:
-            parts = F.create_map(*[F.lit(int(x)) for k, c in n.items() for x in (k, -(-c // size))])[F.col("bucket")]
+def _blocks(rows: DataFrame, size: int, by: str, *more: str) -> DataFrame:
+    """Rows (vec_id, v, norm, more) gathered within groups ``by`` into blocks of some ``size`` rows and BLOCK_BYTES at most: by, ids, m, greatest norm, arrays of more."""
+    told = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width")).collect()  # a row for each group: some hundred lengths
+    if told:
+        parts = {r[by]: -(-r.n // max(1, min(size, BLOCK_BYTES // (8 * max(r.width, 1))))) for r in told}
+        salts = F.create_map(*[F.lit(int(x)) for item in parts.items() for x in item])[F.col(by)]
     else:
-        parts = F.lit(-(-rows.count() // size) or 1)
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("vec_id", F.lit("block")), parts).cast("int"))
-    return salted.groupBy(*by, "salt").agg(F.collect_list(F.struct("vec_id", "v")).alias("rows")).select(*by, F.col("rows.vec_id").alias("ids"), F.col("rows.v").alias("m"))
+        salts = F.lit(1)
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("vec_id", F.lit("block")), salts).cast("int"))
+    gathered = salted.groupBy(by, "salt").agg(F.collect_list(F.struct("vec_id", "v", *more)).alias("rows"), F.max("norm").alias("norm"))
+    return gathered.select(by, "norm", F.col("rows.vec_id").alias("ids"), F.col("rows.v").alias("m"), *[F.col(f"rows.{c}").alias(c) for c in more])
 
 
 def _matrix(m, width: int = 0):
@@ -159,7 +160,7 @@ def _search(k: int):
         for batch in batches:
             for r in batch.itertuples(index=False):
                 width = max((len(x) for x in [*r.q_m, *r.m]), default=1)
-                q_ids, ids = np.array(r.q_ids, dtype=np.int64), np.array(r.ids, dtype=np.int64)
+                q_ids, ids = np.asarray(r.q_ids, dtype=np.int64), np.asarray(r.ids, dtype=np.int64)
                 floor = np.array(r.q_floor, dtype=np.float64)
                 bucket = _Bucket(ids, _matrix(r.m, width))
                 out = [pd.DataFrame({"query_id": q_ids[i], "vec_id": found, "score": scores}) for i, found, scores in bucket.search(q_ids, _matrix(r.q_m, width), floor, k)]
@@ -174,30 +175,38 @@ def _top(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
+#: A floor for queries that have none yet: under every product of 64 bits.
+NO_FLOOR = -9.3e18
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest integer inner products of each query's vector.
 
     vectors and queries have vec_id and embedding; a query never meets rows of
-    its own vec_id.  Both sides are in bounded blocks, and nothing is broadcast.
+    its own vec_id.  Both sides are in blocks of bounded bytes.  The join of
+    blocks has no equality: Spark broadcasts the smaller side's blocks if they
+    are under its threshold, else it pairs partitions.
     """
     rows = stage_table(integer_vectors(vectors, scale), "vectors")
     asked = stage_table(integer_vectors(queries, scale), "queries")
     found_schema = "query_id long, vec_id long, score long"
 
-    blocks = stage_table(_blocks(rows, BLOCK_ROWS, ["bucket"]), "blocks")
-    q_blocks = _blocks(asked, QUERY_ROWS, []).select(F.col("ids").alias("q_ids"), F.col("m").alias("q_m"), F.transform("ids", lambda _: F.lit(-9.3e18)).alias("q_floor"))
-    first = blocks.orderBy(F.desc("bucket"), F.size("ids").desc()).limit(1)  # one block, of at most some BLOCK_ROWS rows
-    start = _top(q_blocks.crossJoin(F.broadcast(first)).mapInPandas(_search(k), found_schema), k)
+    blocks = stage_table(_blocks(rows, BLOCK_ROWS, "bucket"), "blocks")
+    open_ = asked.withColumn("f", F.lit(NO_FLOOR)).withColumn("need", F.lit(0))
+    first = blocks.orderBy(F.desc("bucket"), F.size("ids").desc()).limit(1).select("ids", "m")  # one block: the longest candidates
+    start = _top(map_slices(_queries(open_).crossJoin(F.broadcast(first)), _search(k), found_schema), k)
     floors = start.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("s")).where(F.col("n") >= k)
-    floored = asked.join(floors, asked["vec_id"] == floors["query_id"], "left").select("vec_id", "v", F.coalesce(F.col("s").cast("double"), F.lit(-9.3e18)).alias("f"))
-    parts = F.lit(-(-asked.count() // QUERY_ROWS) or 1)
-    q_blocks = (
-        floored.withColumn("salt", F.pmod(F.xxhash64("vec_id", F.lit("block")), parts))
-        .groupBy("salt")
-        .agg(F.collect_list(F.struct("vec_id", "v", "f")).alias("rows"))
-        .select(F.col("rows.vec_id").alias("q_ids"), F.col("rows.v").alias("q_m"), F.col("rows.f").alias("q_floor"))
-    )
-    q_blocks = stage_table(q_blocks, "query-blocks")
-    met = blocks.crossJoin(q_blocks)  # blocks, not rows: each block of candidates against each block of the stated queries
-    found = met.mapInPandas(_search(k), found_schema).distinct()
+    floored = asked.join(floors, asked["vec_id"] == floors["query_id"], "left").withColumn("f", F.coalesce(F.col("s").cast("double"), F.lit(NO_FLOOR)))
+    length = F.when((F.col("f") > 0) & (F.col("norm") > 0), F.col("f") / F.col("norm")).otherwise(F.lit(0.0))
+    need = F.when(length > 0, F.floor(F.log(length) / F.lit(math.log(RATIO) * 4))).otherwise(F.lit(-1)).cast("int")
+    q_blocks = stage_table(_queries(floored.withColumn("length", length).withColumn("need", need)), "query-blocks")
+    # a product is at most the product of the lengths; the margin is for rounding
+    met = blocks.select("ids", "m", "norm").join(q_blocks, F.col("norm") * (1 + 1e-9) >= F.col("length"))
+    found = map_slices(met, _search(k), found_schema).distinct()
     return _top(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _queries(asked: DataFrame) -> DataFrame:
+    """Blocks of queries with the same need: q_ids, q_m, q_floor, and the least length that any of them needs."""
+    out = _blocks(asked.withColumn("least", F.col("length") if "length" in asked.columns else F.lit(0.0)), QUERY_ROWS, "need", "f", "least")
+    return out.select(F.col("ids").alias("q_ids"), F.col("m").alias("q_m"), F.col("f").alias("q_floor"), F.array_min("least").alias("length"))
