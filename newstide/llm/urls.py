@@ -1,15 +1,19 @@
 """URL filters: explicit rules first, then gradient-boosted trees on lexical features.
 
-Everything is DataFrame functions and Spark's own tree learner.  The labelled
-URLs are those that a rule decides, and those whose host holds one of a short
-list of words (labelled block); a bounded, hash-drawn sample of them trains the
-trees.  Labelled URLs are dealt into two folds by hash: suffix statistics are
-taken over all of one fold, the sample is drawn from the other, so no URL's own
-label is in its features.
+Everything is DataFrame functions and Spark's own tree learner.  Labels: a URL
+that a rule decides has the rule's verdict; of the rest, one whose host holds
+one of a short list of words is labelled block, and all others are the
+background, labelled allow.  So the trees learn what listed hosts look like, and
+find hosts alike that the list doesn't name.  URLs are dealt into three folds by
+hash: suffix statistics are taken over all of the first, a bounded sample of the
+second trains the trees, both classes weighing the same, and the third, which
+neither saw, sets the probability from which the trees block (the greatest
+difference of the two classes' shares, over the URLs that no rule decides).
 
 Nulls and edge cases: a URL that is null or has no ``://`` has empty host and
 path and is judged by the trees like any other; without two classes among the
-labelled URLs every URL is allowed that no rule blocks.
+labels every URL is allowed that no rule blocks; rows that repeat are judged
+alike; very long URLs are read whole; other columns are not read.
 """
 
 from __future__ import annotations
@@ -17,12 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage_table
+from .common import remove, stage_table
 
 #: Words in a host that label its URLs block for training.
 BLOCK_WORDS = ("adult", "porn", "xxx", "casino", "bets", "poker", "pills", "viagra", "spam", "ads-", "track")
-#: Expected rows that the trees are trained on, and the probability from which the trees block.
-SAMPLE_ROWS, BLOCK_FROM = 4000, 0.7
+#: Expected rows that the trees are trained on, and bins of the held-out fold's probabilities.
+SAMPLE_ROWS, BINS = 4000, 200
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FEATURES = ["url_length", "host_length", "host_labels", "hyphens", "depth", "digit_ratio", "entropy", "parameters", "suffix_share", "suffix_count", "top_share"]
 
@@ -63,34 +67,81 @@ def _lexical(urls: DataFrame) -> DataFrame:
     ).drop("_s", "_c")
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], trees: int = 10, depth: int = 3) -> DataFrame:
-    """page_id, host, path, rule, verdict (allow or block) and p_block of pages(page_id, url)."""
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
+def _labelled(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """page_id, url, host, path, rule, ruled, features, label and fold of pages(page_id, url)."""
     host, path = host_and_path(F.col("url"))
     urls = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, ruled = first_rule(rules)
     urls = _lexical(urls.withColumn("rule", rule).withColumn("ruled", ruled))
-    by_rule = F.when(F.col("ruled").isNotNull(), (F.col("ruled") == "block").cast("double"))
-    labelled = urls.withColumn("label", F.when(F.col("host").rlike("|".join(BLOCK_WORDS)), F.lit(1.0)).otherwise(by_rule)).where("label is not null")
-
-    labelled = labelled.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "url"), F.lit(2)))
-    stats = stage_table(labelled.groupBy("fold", "suffix", "top").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("b")), "url-suffixes")
-    totals = stats.where("fold = 1").agg(F.sum("n").alias("n"), F.sum("b").alias("b")).first()
-    stats = stats.where("fold = 0")
-    if not totals.n or not 0 < totals.b < totals.n:
+    listed = F.col("host").rlike("|".join(BLOCK_WORDS))
+    label = F.coalesce(F.col("ruled") == "block", listed).cast("double")
+    return urls.withColumn("label", label).withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "url"), F.lit(3)))
+
+
+def fit(urls: DataFrame, trees: int = 10, depth: int = 3):
+    """(model, suffix statistics, the probability to block from, held-out AUC) of labelled urls; None without two classes."""
+    from pyspark.ml.classification import GBTClassifier
+
+    totals = {r.fold: r for r in urls.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("b")).collect()}
+    if 0 not in totals or 1 not in totals or not 0 < totals[1].b < totals[1].n:
+        return None
+    stats = stage_table(urls.where("fold = 0").groupBy("suffix", "top").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("b")), "url-suffixes")
+    n, b = totals[1].n, totals[1].b
+    draw = F.pmod(F.xxhash64(F.lit("urls"), "url", "page_id"), F.lit(1 << 30))
+    sample = urls.where("fold = 1").where(draw <= int(min(1.0, SAMPLE_ROWS / n) * (1 << 30)))
+    weight = F.when(F.col("label") == 1, F.lit(0.5 * n / b)).otherwise(F.lit(0.5 * n / (n - b)))
+    sample = stage_table(_shares(sample, stats).select("label", weight.alias("weight"), *FEATURES), "url-sample")
+    if sample.select("label").distinct().count() < 2:
+        return None
+    model = GBTClassifier(labelCol="label", weightCol="weight", maxIter=trees, maxDepth=depth, maxBins=32, seed=7).fit(_assembled(sample).coalesce(2))
+    binned = _scored(urls.where("fold = 2"), stats, model).withColumn("bin", F.least(F.floor(F.col("p_block") * BINS), F.lit(BINS - 1)).cast("int"))
+    seen = binned.groupBy("bin", F.col("ruled").isNull().alias("open"), "label").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 4 rows a bin
+    remove(urls.sparkSession, sample._stage_path)
+    return model, stats, *_cut(seen)
+
+
+def _cut(seen) -> tuple[float, float | None]:
+    """The middle of the bins that part the classes best, and the AUC by bins; of the URLs without a rule, if they have both classes."""
+    import numpy as np
+
+    for rows in ([r for r in seen if r.open], list(seen)):
+        count = np.zeros((2, BINS + 1))
+        for r in rows:
+            count[int(r.label), r.bin] += r.n
+        if count.sum(axis=1).all():
+            break
+    else:
+        return 0.5, None
+    share = count / count.sum(axis=1, keepdims=True)
+    above = share[:, ::-1].cumsum(axis=1)[:, ::-1]  # of each class, at or over each bin
+    gain = np.round(above[1] - above[0], 9)
+    best = np.flatnonzero(gain == gain.max())
+    auc = float((share[1] * (1 - above[0] + share[0] - share[0] / 2)).sum())
+    return float(best[len(best) // 2]) / BINS, auc
+
+
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]], trees: int = 10, depth: int = 3) -> DataFrame:
+    """page_id, host, path, rule, verdict (allow or block) and p_block of pages(page_id, url)."""
+    urls = _labelled(pages, rules)
+    fitted = fit(urls, trees, depth)
+    if fitted is None:
         none = F.lit(None).cast("double")
         return urls.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit("allow")).alias("verdict"), none.alias("p_block"))
-    draw = F.pmod(F.xxhash64(F.lit("urls"), "url", "page_id"), F.lit(1 << 30))
-    sample = labelled.where("fold = 1").where(draw <= int(min(1.0, SAMPLE_ROWS / totals.n) * (1 << 30)))
-    assemble = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    sample = stage_table(_shares(sample, stats).select("label", *FEATURES), "url-sample")
-    model = GBTClassifier(labelCol="label", maxIter=trees, maxDepth=depth, maxBins=32, seed=7).fit(assemble.transform(sample.coalesce(2)))
-    scored = model.transform(assemble.transform(_shares(urls, stats))).withColumn("p_block", vector_to_array("probability")[1])
-    verdict = F.coalesce("ruled", F.when(F.col("p_block") >= BLOCK_FROM, F.lit("block")).otherwise(F.lit("allow")))
-    return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "p_block")
+    model, stats, cut, _ = fitted
+    verdict = F.coalesce("ruled", F.when(F.col("p_block") >= cut, F.lit("block")).otherwise(F.lit("allow")))
+    return _scored(urls, stats, model).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "p_block")
+
+
+def _assembled(urls: DataFrame) -> DataFrame:
+    from pyspark.ml.feature import VectorAssembler
+
+    return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(urls)
+
+
+def _scored(urls: DataFrame, stats: DataFrame, model) -> DataFrame:
+    from pyspark.ml.functions import vector_to_array
+
+    return model.transform(_assembled(_shares(urls, stats))).withColumn("p_block", vector_to_array("probability")[1])
 
 
 def _shares(urls: DataFrame, stats: DataFrame) -> DataFrame:
