@@ -9,8 +9,9 @@ of documents then train a linear scorer on hashed words, word shapes and
 repeats, which scores every document.
 
 Nulls and edge cases: a null text or one without words has score 0 and is
-rejected (a document with nothing to learn from); an empty table gives an empty
-result; rows that repeat are scored alike.
+rejected (a document with nothing to learn from); a null doc_id stays null; an
+empty table gives an empty result; rows that repeat are scored alike; other
+columns are kept by :func:`keep` and not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices
+from .common import map_slices, resident, small_batches
 
 #: The sample that the scorer is trained on (expected rows), and the hashed dimensions.
 SAMPLE_ROWS, DIMENSIONS = 4000, 1 << 12
@@ -59,11 +60,16 @@ class _Classes(dict):
 _CLASSES = _Classes()
 
 
+#: Words over so many code points have their letters, capitals and symbols counted one by one.
+LONG = 500
+
+
 class _Words(dict):
     """All that is needed of a word in one number; forgets all when it holds 131,072.
 
     Bits 0: word dimension, 16: shape dimension, 32: function word, 33: tail of
-    marks, 34: letters, 44: capitals, 54: symbols (each count up to its bits).
+    marks, 34: letters, 44: capitals, 54: symbols, of words up to LONG; those of
+    longer words are 0 and bit 63 is set.
     """
 
     def __missing__(self, word: str) -> int:
@@ -71,23 +77,34 @@ class _Words(dict):
             self.clear()
         half = DIMENSIONS // 2
         classes = word.translate(_CLASSES)
-        capitals = classes.count("A")
-        letters = capitals + classes.count("a")
-        shape = _RUNS.sub(r"\1", classes)[:12]
+        letters, capitals, symbols = _class_counts(classes)
+        shape = _RUNS.sub(r"\1", classes)
         short, tail = letters <= 3 and classes[0] in "Aa", len(word) > 1 and classes[-1] in "$." and classes[-2] in "$."
         out = zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % half | (half + zlib.crc32(shape.encode()) % (half // 2)) << 16 | short << 32 | tail << 33
-        self[word] = out = out | min(letters, 1023) << 34 | min(capitals, 1023) << 44 | min(classes.count("$"), 511) << 54
+        out = out | letters << 34 | capitals << 44 | symbols << 54 if len(word) <= LONG else out - (1 << 63)
+        if len(word) <= LONG:
+            self[word] = out
         return out
 
 
-_WORDS = _Words()
+def _class_counts(classes: str) -> tuple[int, int, int]:
+    """Letters, capitals and symbols."""
+    capitals = classes.count("A")
+    return capitals + classes.count("a"), capitals, classes.count("$")
 
 
 def _codes(text: str | None):
     import numpy as np
 
     words = (text or "").split()
-    return words, np.fromiter(map(_WORDS.__getitem__, words), dtype=np.int64, count=len(words))
+    return words, np.fromiter(map(resident("quality words", _Words).__getitem__, words), dtype=np.int64, count=len(words))
+
+
+def _same(words: list[str], codes) -> int:
+    """Words that equal the one before them: by their numbers first, which few different words share."""
+    import numpy as np
+
+    return sum(words[i] == words[i + 1] for i in np.flatnonzero(codes[1:] == codes[:-1]).tolist())
 
 
 def metrics(text: str | None) -> list[float] | None:
@@ -99,11 +116,14 @@ def metrics(text: str | None) -> list[float] | None:
     if not n:
         return None
     lines = sum(1 for line in text.split("\n") if line.strip())
-    letters = int((codes >> 34 & 1023).sum())
+    letters, capitals, symbols = int((codes >> 34 & 1023).sum()), int((codes >> 44 & 1023).sum()), int((codes >> 54 & 511).sum())
+    for i in np.flatnonzero(codes < 0).tolist():
+        more = _class_counts(words[i].translate(_CLASSES))
+        letters, capitals, symbols = letters + more[0], capitals + more[1], symbols + more[2]
     return [
-        int((codes >> 54).sum()) / n,
-        int(np.count_nonzero(codes[1:] == codes[:-1])) / n,
-        int((codes >> 44 & 1023).sum()) / max(letters, 1),
+        symbols / n,
+        _same(words, codes) / n,
+        capitals / max(letters, 1),
         np.count_nonzero(codes & 1 << 33) / n,
         np.count_nonzero(codes & 1 << 32) / n,
         int(np.count_nonzero(np.bincount(codes & 0xFFFF))) / n**0.5 if n >= VARIETY_FROM else 2.5,
@@ -133,9 +153,9 @@ def features(text: str | None):
     if not words:
         return np.empty(0, dtype=np.int64), np.empty(0)
     half = DIMENSIONS // 2
-    same = int(np.count_nonzero(codes[1:] == codes[:-1]))
+    same = _same(words, codes)
     count = np.bincount(codes & 0xFFFF, minlength=DIMENSIONS) + np.bincount(codes >> 16 & 0xFFFF, minlength=DIMENSIONS)
-    # the last quarter: levels of the repeat, variety and line measures
+    # the last quarter: levels of the repeat, variety and line measures, the last of each open above
     base = half + half // 2
     places = [min(int(20 * same / len(words)), 63)]
     if len(words) >= VARIETY_FROM:
@@ -245,6 +265,7 @@ def score(docs: DataFrame) -> DataFrame:
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of docs that the classifier doesn't reject, with their columns."""
     weights, _ = fit(docs)
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     good = F.pandas_udf(_score_text(shared), "double")
     return docs.where(good("text") >= REJECT_UNDER)
