@@ -1,4 +1,4 @@
-"""The pipeline on the smallest tables, stage by stage against plain versions."""
+"""The pipeline on the smallest tables, stage by stage against plain versions, and on odd tables."""
 
 import corpus_pipeline
 from newstide.llm import ngram_join, packing, quality, queries, rules
@@ -24,6 +24,26 @@ def test_stages_take_effect(spark, sf):
     assert digest(four) == digest(want)
 
 
+def test_odd_tables(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    names = ("gone", "_gone", "_k1", "_k2", "_row", "_lost", "lost_lines", "_host", "_t", "n", "text_", "rank", "salt", "piece", "draw", "score")
+    clashing = docs.withColumns({c: docs["lang"] for c in names})
+    nulls = docs.limit(3).selectExpr("cast(null as long) as doc_id", "text", "cast(null as string) as lang", "cast(null as string) as source", "n_chars")
+    nulls = nulls.unionByName(docs.limit(2).selectExpr("doc_id + 9000000000000001 as doc_id", "cast(null as string) as text", "lang", "source", "cast(null as long) as n_chars"))
+    odd = clashing.unionByName(docs.limit(20).withColumns({c: docs["lang"] for c in names})).unionByName(nulls.withColumns({c: nulls["lang"] for c in names}))
+    for kind, table in {"odd": odd, "empty": clashing.where("false")}.items():
+        path = f"{tmp_path}/{kind}"
+        table.write.parquet(f"{path}/documents.parquet")
+        at = spark.read.parquet(f"{path}/documents.parquet")
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, at, path)
+            assert out.columns == table.columns, name
+            out.write.parquet(f"{path}/{name}")
+            at = spark.read.parquet(f"{path}/{name}")
+        n = corpus_pipeline.run(spark, path).count()
+        assert n == 0 if kind == "empty" else n >= at.count() > 100
+
+
 def test_every_query_runs(spark, sf):
     assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11))
     for name, query in queries.QUERIES.items():
