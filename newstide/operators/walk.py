@@ -37,43 +37,101 @@ def logit(x, y, c: float = 1.0, balanced: bool = False, rounds: int = 50):
     return w
 
 
+def boost(x, y, rounds: int = 200, rate: float = 0.05, depth: int = 3, bins: int = 255, least: int = 20):
+    """Gradient-boosted regression trees over histograms of quantile bins, for squared error; a function that forecasts rows."""
+    import numpy as np
+
+    edges = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
+    binned = lambda z: np.column_stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, z.T, strict=True)])
+    codes, base = binned(x), float(np.mean(y))
+    width = max(len(e) for e in edges) + 1
+    rest, trees = y - base, []
+
+    def grow(rows, deep: int):
+        value = float(rest[rows].mean())
+        if deep == depth or len(rows) < 2 * least:
+            return value
+        best = (1e-12, None, None)
+        for f in range(x.shape[1]):
+            c = codes[rows, f]
+            n = np.cumsum(np.bincount(c, minlength=width))[:-1]
+            g = np.cumsum(np.bincount(c, weights=rest[rows], minlength=width))[:-1]
+            total = float(rest[rows].sum())
+            fine = (n >= least) & (len(rows) - n >= least)
+            gain = np.where(fine, g**2 / np.maximum(n, 1) + (total - g) ** 2 / np.maximum(len(rows) - n, 1) - total**2 / len(rows), -np.inf)
+            k = int(np.argmax(gain)) if len(gain) else 0
+            if len(gain) and gain[k] > best[0]:
+                best = (float(gain[k]), f, k)
+        if best[1] is None:
+            return value
+        left = codes[rows, best[1]] <= best[2]
+        return best[1], best[2], grow(rows[left], deep + 1), grow(rows[~left], deep + 1)
+
+    def leaves(tree, z, rows, out):
+        if isinstance(tree, float):
+            out[rows] = tree
+        else:
+            f, k, a, b = tree
+            left = z[rows, f] <= k
+            leaves(a, z, rows[left], out)
+            leaves(b, z, rows[~left], out)
+        return out
+
+    for _ in range(rounds):
+        tree = grow(np.arange(len(y)), 0)
+        trees.append(tree)
+        rest = rest - rate * leaves(tree, codes, np.arange(len(y)), np.empty(len(y)))
+
+    def forecast(z):
+        z = binned(z)
+        return base + rate * sum((leaves(t, z, np.arange(len(z)), np.empty(len(z))) for t in trees), np.zeros(len(z)))
+
+    return forecast
+
+
 def residual(x, controls, rows):
-    """x less its regression on controls, fitted on the first ``rows`` rows alone."""
+    """x less its regression on controls, fitted on ``rows`` (a slice, or the number of first rows) alone."""
     import numpy as np
 
-    b = ols(controls[:rows], x[:rows])
+    rows = rows if isinstance(rows, slice) else slice(0, rows)
+    b = ols(controls[rows], x[rows])
     return x - np.column_stack([np.ones(len(x)), controls]) @ b
 
 
-def walk(frame, features: list[str], target: str, kind: str = "regress", min_train: int = 500, refit: int = 20, horizon: int = 1, residualise: tuple[str, list[str]] | None = None):
+def walk(frame, features: list[str], target: str, kind: str = "regress", min_train: int = 500, refit: int = 20, horizon: int = 1, residualise: tuple[str, list[str]] | None = None, window: int | None = None, part: tuple[int, int] = (0, 1)):
     """Predictions of one arm (pandas in, pandas out) for rows from min_train on.
 
-    regress: pred; sign: probability of a rise; logvar: exp of the fit times the
-    smearing factor; terciles: p0, p1, p2 with edges of the training slice.
+    regress: pred; boost: pred of boosted trees; sign: probability of a rise;
+    logvar: exp of the fit times the smearing factor; terciles: p0, p1, p2 with
+    edges of the training slice.  The training slice expands, or with window
+    slides over so many rows.  part (i, n) does every n-th refit from the i-th.
     """
     import numpy as np
     import pandas as pd
 
     use = frame.dropna(subset=[*features, target]).reset_index(drop=True)
     x, y, embargo, out = use[features].to_numpy(float), use[target].to_numpy(float), max(5, horizon), []
-    for start in range(min_train, len(use), refit):
-        train, test = slice(0, max(1, start - embargo)), slice(start, min(start + refit, len(use)))
+    for start in range(min_train + refit * part[0], len(use), refit * part[1]):
+        stop = max(1, start - embargo)
+        train, test = slice(max(0, stop - window) if window else 0, stop), slice(start, min(start + refit, len(use)))
         z = x
         if residualise:
             z = x.copy()
             k = features.index(residualise[0])
-            z[:, k] = residual(x[:, k], use[residualise[1]].to_numpy(float), train.stop)
+            z[:, k] = residual(x[:, k], use[residualise[1]].to_numpy(float), train)
         mean, sd = z[train].mean(axis=0), z[train].std(axis=0)
         z = (z - mean) / np.where(sd > 0, sd, 1)
         one = np.column_stack([np.ones(test.stop - test.start), z[test]])
         got = {"session": use["session"][test], "y": y[test]}
         if kind == "regress":
             got["pred"] = one @ ols(z[train], y[train])
+        elif kind == "boost":
+            got["pred"] = boost(x[train], y[train])(x[test])
         elif kind == "sign":
             got["pred"] = 1 / (1 + np.exp(-one @ logit(z[train], (y[train] > 0).astype(float))))
         elif kind == "logvar":
             b = ols(z[train], np.log(y[train]))
-            rest = np.log(y[train]) - np.column_stack([np.ones(train.stop), z[train]]) @ b
+            rest = np.log(y[train]) - np.column_stack([np.ones(train.stop - train.start), z[train]]) @ b
             got["pred"] = np.exp(one @ b) * np.exp(rest).mean()
         elif kind == "terciles":
             lo, hi = np.quantile(y[train], [1 / 3, 2 / 3])
@@ -89,18 +147,18 @@ def walk(frame, features: list[str], target: str, kind: str = "regress", min_tra
     return pd.concat(out)[columns] if out else pd.DataFrame(columns=columns)
 
 
-def walk_forward(frame: DataFrame, arms: dict[str, list[str]], target: str, kind: str = "regress", **how) -> DataFrame:
-    """arm, session, y, pred, constant of each arm's features over frame(session, ...): arms run side by side."""
+def walk_forward(frame: DataFrame, arms: dict[str, list[str]], target: str, kind: str = "regress", parts: int = 1, **how) -> DataFrame:
+    """arm, session, y, pred, constant of each arm's features over frame(session, ...): arms, and parts of their refits, run side by side."""
     spark = frame.sparkSession
     wanted = sorted({c for cols in arms.values() for c in cols} | {target, "session"} | set((how.get("residualise") or ("", []))[1]))
-    each = spark.createDataFrame([(a,) for a in arms], "arm string").crossJoin(frame.select(*wanted))
+    each = spark.createDataFrame([(a, i) for a in arms for i in range(parts)], "arm string, part int").crossJoin(frame.select(*wanted))
 
     def one(key, pdf):
         pdf = pdf.sort_values("session")
-        return walk(pdf, arms[key[0]], target, kind, **how).assign(arm=key[0])
+        return walk(pdf, arms[key[0]], target, kind, part=(int(key[1]), parts), **how).assign(arm=key[0])
 
     schema = "session date, y double, pred double, constant double, arm string" if kind != "terciles" else "session date, y double, pred double, constant double, p0 double, p1 double, p2 double, arm string"
-    return each.groupBy("arm").applyInPandas(one, schema)
+    return each.groupBy("arm", "part").applyInPandas(one, schema)
 
 
 def panel_blocks(panel: DataFrame, features: list[str], event: str, warm: int = 250, ahead: int = 20, step: int = 20) -> DataFrame:

@@ -17,17 +17,17 @@ def _frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def walk_forward_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regression arms, one residualised in the fold (of F1 all but the gbm kind)."""
+    """Regression arms."""
     return walk.walk_forward(_frame(spark, sf_dir), {"price": ["x0"], "lags": ["x0", "x1"], "range": ["x0", "x1", "x2"]}, "ret_next", "regress")
 
 
 def walk_forward_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Direction probabilities and the walk-forward constant (of F1 all but the gbm kind)."""
+    """direction probabilities and the walk-forward constant."""
     return walk.walk_forward(_frame(spark, sf_dir), {"lags": ["x0", "x1"]}, "ret_next", "sign")
 
 
 def walk_forward_terciles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three classes with edges of the training slice."""
+    """Three classes with edges of the training slice, one column residualised in the fold."""
     return walk.walk_forward(_frame(spark, sf_dir), {"lags": ["x0", "x1"]}, "ret_next", "terciles", residualise=("x1", ["x0"]))
 
 
@@ -66,7 +66,7 @@ def bootstrap_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def control_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Random flags, permuted and stale news, planted effect (a fixed one, not I14's bisected one)."""
+    """Random flags, permuted and stale news, and a fixed planted effect."""
     frame = run("select session, pos % 7 = 0 as flag, ret as y from returns where ret is not null")(spark, sf_dir)
     kinds = {"flags": 0.0, "permuted": 0.0, "stale": 0.0, "planted": 0.2}
     out = None

@@ -44,17 +44,16 @@ part("losses", "select row_number() over (order by session) as i, ret * ret as d
 
 #: name: (survey ids, body)
 SQL: dict[str, tuple[str, str]] = {
-    "headline_flags": ("S1 S2 P1 P2 P3 X1 U1", "select h.row_id, h.published_date, h.date_parse_ok, coalesce(h.date_parse_ok and h.published_date between w.first_day and w.last_day, false) as in_window, coalesce(h.headline in ('This.', 'Le', 'Zu und. Dieüauß der.'), false) as is_boilerplate, coalesce(h.date_parse_ok and h.published_date between w.first_day and w.last_day and not h.headline in ('This.', 'Le', 'Zu und. Dieüauß der.'), false) as kept from headlines h left join windows w on h.source = w.source"),
+    "headline_flags": ("S1 P1 P2 P3 X1", "select h.row_id, h.published_date, h.date_parse_ok, coalesce(h.date_parse_ok and h.published_date between w.first_day and w.last_day, false) as in_window, coalesce(h.headline in ('This.', 'Le', 'Zu und. Dieüauß der.'), false) as is_boilerplate, coalesce(h.date_parse_ok and h.published_date between w.first_day and w.last_day and not h.headline in ('This.', 'Le', 'Zu und. Dieüauß der.'), false) as kept from headlines h left join windows w on h.source = w.source"),
     "template_clusters": ("T6 T7 T8 W10 W11 P10", "select row_id, template_key, dup_cluster_id, cluster_size, is_canonical from clustered"),
     "stable_hash_split": ("T9 W19 G4 M10", "with g as (select doc_id, lang, label, row_number() over (partition by lang, label order by @hash(concat('7:', cast(doc_id as @str))), doc_id) as r, count(*) over (partition by lang, label) as n from (select l.doc_id, d.lang, l.quality as label from labels l join documents d on l.doc_id = d.doc_id) x) select doc_id, lang, label, case when r <= greatest(1, @even(n / 3.0, 0)) then 'eval' when r <= greatest(1, @even(n / 3.0, 0)) + greatest(1, @even(n * 0.15, 0)) then 'val' else 'train' end as split from g"),
     "split_fingerprint": ("T10", "select lang, count(*) as n, @hash(@join(@strings(cast(doc_id as @str)), chr(10))) as fingerprint from documents group by lang"),
-    "script_counts": ("T3 T4 P22 T15", "select doc_id, @rcount(headline, '[a-zA-ZÀ-ÿ]') as latin, @rcount(headline, '[؀-ۿ]') as arabic, @rcount(headline, '[A-Za-z]+[2356789]+[A-Za-z]*') as mixed_words, @rcount(headline, '[0-9]') as digits, @like(headline, '[0-9] ?%') as has_percent from headlines"),
+    "script_counts": ("T3 T4 P22", "select doc_id, @rcount(headline, '[a-zA-ZÀ-ÿ]') as latin, @rcount(headline, '[؀-ۿ]') as arabic, @rcount(headline, '[A-Za-z]+[2356789]+[A-Za-z]*') as mixed_words, @rcount(headline, '[0-9]') as digits, @like(headline, '[0-9] ?%') as has_percent from headlines"),
     "arabic_match_form": ("T2", "select doc_id, translate(concat(headline, 'أإآىةـ'), 'أإآىةـ', 'اااي' || 'ه') as match_form from headlines"),
     "keyword_first_match": ("P4", "select row_id, coalesce(case when position('tion' in lower(headline)) > 0 then 'tion' end, case when position('the' in lower(headline)) > 0 then 'the' end, case when position('un' in lower(headline)) > 0 then 'un' end) as keyword from headlines"),
     "relevance_tags": ("P5 P6 P10 T5", "with f as (select *, @like(concat(' ', lower(headline), ' '), @r'[^\\p{L}\\p{N}](zu|les?|su)s?[^\\p{L}\\p{N}]') as foreign_term, @like(concat(' ', lower(headline), ' '), @r'[^\\p{L}\\p{N}](the|of)[^\\p{L}\\p{N}]') as home_term from headlines) select row_id, case when position('tion' in lower(headline)) > 0 and not (foreign_term and not home_term) then 'home_econ' when position('blehe' in lower(headline)) > 0 and not (foreign_term and not home_term) then 'home_econ' when position('on' in lower(headline)) > 0 then 'global_linked' else 'other' end as tag, foreign_term and not home_term as foreign_context from f"),
     "residual_audit": ("P21", "select count(*) filter (where position('on' in lower(headline)) > 0) as generic, count(*) filter (where position('on' in lower(headline)) > 0 and not @like(lower(headline), '(the|of)')) as residual from headlines"),
     "article_type": ("P7 P9 S20", "select row_id, is_price_report, case when @like(lower(headline), '(ment|ción)') then 'dividend' when @like(lower(headline), '(ing|ung)') then 'earnings' else 'other' end as kind, source in ('src1', 'src2') or @like(lower(headline), 'econ') as economic from tagged"),
-    "issuer_mentions": ("P8 J13 S10 T12", "with dim as (select 'T1' as ticker, 'tion' as name union all select 'T2', 'ther' union all select 'T3', 'ouwhea') select h.row_id, d.ticker, @replace_all(lower(h.headline), '(ouwhea|tion|ther)', ' issuer ') as masked from headlines h join dim d on position(d.name in lower(h.headline)) > 0"),
     "corpus_funnel": ("A5", "select coalesce(source, 'TOTAL') as source, count(*) as raw, count(*) filter (where date_parse_ok) as cleaned, count(*) filter (where date_parse_ok and relevance_tag <> 'other') as relevant, count(*) filter (where date_parse_ok and relevance_tag <> 'other' and is_canonical) as canonical from tagged group by rollup(source)"),
     "completeness": ("A6", "select source, count(*) as n, round(100.0 * count(*) filter (where headline is null) / count(*), 4) as pct_null, round(100.0 * count(*) filter (where trim(headline) = '') / count(*), 4) as pct_empty, count(*) - count(distinct headline) as dups from headlines group by source"),
     "repeated_headlines": ("A7", "select headline, count(*) as n from headlines group by headline having count(*) > 3"),
@@ -62,8 +61,8 @@ SQL: dict[str, tuple[str, str]] = {
     "monthly_spine": ("X8 A27 J17 A30", "with spine as (select source, m from (select distinct source from headlines) s cross join (select @months_range(date '1996-01-01', date '2000-12-01') as m) x), c as (select source, cast(date_trunc('month', published_date) as date) as m, count(*) as n from headlines where date_parse_ok group by 1, 2) select spine.source, spine.m, coalesce(c.n, 0) as n from spine left join c on spine.source = c.source and spine.m = c.m"),
     "coverage_summary": ("A11", "with spine as (select source, m from (select distinct source from headlines) s cross join (select @months_range(date '1996-01-01', date '2000-12-01') as m) x), c as (select source, cast(date_trunc('month', published_date) as date) as m, count(*) as n from headlines where date_parse_ok group by 1, 2), z as (select spine.source, spine.m, coalesce(c.n, 0) as n from spine left join c on spine.source = c.source and spine.m = c.m), w as (select *, avg(n) over (partition by source order by m rows between 3 preceding and 1 preceding) as prior3, row_number() over (partition by source order by m) as k, case when n = 0 then 1 else 0 end as zero, row_number() over (partition by source order by m) - row_number() over (partition by source, case when n = 0 then 1 else 0 end order by m) as island from z), med as (select source, @q(cast(n as double), 0.5) as med from z where n > 0 group by source), runs as (select source, island, max(m) as last_zero, count(*) as len from w where zero = 1 group by source, island) select w.source, count(*) filter (where zero = 1) as zero_months, count(*) filter (where n > 3 * med.med) as spikes, count(*) filter (where k >= 4 and prior3 >= 5 and n < 0.3 * prior3) as cliffs, max(r.last_zero) as last_gap_end from w join med on w.source = med.source left join (select source, max(last_zero) as last_zero from runs where len >= 2 group by source) r on w.source = r.source group by w.source"),
     "duplicate_share": ("A9", "with g as (select source, headline, count(*) as n from headlines group by source, headline) select source, round(sum(n - 1) / cast(sum(n) as double), 4) as dup_share from g group by source"),
-    "cross_source_duplicates": ("A10 U4", "select template_key, count(distinct source) as n_sources, count(*) as n from keyed group by template_key having count(distinct source) > 1"),
-    "language_mix": ("A12 T16", "select source, lang, count(*) as n, round(count(*) / cast(sum(count(*)) over (partition by source) as double), 6) as share from headlines group by source, lang"),
+    "cross_source_duplicates": ("A10", "select template_key, count(distinct source) as n_sources, count(*) as n from keyed group by template_key having count(distinct source) > 1"),
+    "language_mix": ("A12", "select source, lang, count(*) as n, round(count(*) / cast(sum(count(*)) over (partition by source) as double), 6) as share from headlines group by source, lang"),
     "topical_geography": ("A13 P18", "with s as (select source, count(*) as n, count(*) filter (where @like(lower(headline), '(the|of)')) as home_n, count(*) filter (where @like(lower(headline), 'les?')) as le_n, count(*) filter (where @like(lower(headline), 'und')) as und_n from headlines group by source) select source, n, round(home_n / cast(n as double), 6) as home_share, case when le_n >= und_n then 'le' else 'und' end as top_other, greatest(le_n, und_n) as top_other_n, greatest(le_n, und_n) > home_n and greatest(le_n, und_n) >= 0.05 * n as wrong_country from s"),
     "source_by_tag": ("A14", "select source, count(*) filter (where relevance_tag = 'home') as home, count(*) filter (where relevance_tag = 'linked') as linked, count(*) filter (where relevance_tag = 'other') as other from tagged group by source"),
     "strict_asof_days": ("J5 U2", "select day, session from strict_asof"),
@@ -77,7 +76,6 @@ SQL: dict[str, tuple[str, str]] = {
     "membership": ("J11 J12 P16", "select h.row_id, l.doc_id is not null as in_study from headlines h left join (select distinct doc_id from labels) l on h.doc_id = l.doc_id"),
     "overlap_reconciliation": ("J14", "with o as (select cast(o_orderdate as date) as d, o_custkey % 50 as k, max(round(o_totalprice, 2)) as v from orders group by 1, 2), n as (select d, k, v from o union all select d, k, v + 1 from o where v > 150000) select o.d, o.k, bool_or(abs(o.v - n.v) < 0.005) as matches, count(*) as copies from o join n on o.d = n.d and o.k = n.k group by o.d, o.k"),
     "fallback_means": ("J16 F8", "with fit as (select firm, avg(ret) as alpha from firm_units where session < date '2024-01-16' and ret is not null group by firm), m as (select avg(alpha) as a from fit) select u.firm, count(*) as n, round(max(coalesce(fit.alpha, m.a)), 6) as alpha from firm_units u cross join m left join fit on u.firm = fit.firm where u.session >= date '2024-01-16' group by u.firm"),
-    "parameter_grid": ("J18", "select a.min_train, b.refit from (select @range(250, 253) as min_train) a cross join (select @range(10, 13) as refit) b"),
     "timing_flags": ("X5 A15", "with f as (select n.firm, a.trade, n.minute, n.day = a.trade as same_day, n.minute < 850 as before_close from news n join firm_asof a on n.firm = a.firm and n.day = a.day where a.trade is not null) select firm, trade, bool_or(same_day and before_close) as pre_close, bool_or(not (same_day and before_close)) as post_close, count(*) as n from f group by firm, trade"),
     "token_sets": ("T11 A16", "with t as (select source, @each(@split(template_key, ' ')) as token from keyed) select source, count(distinct token) as n_tokens, @hash(@join(@strings(token), ' ')) as fingerprint from t group by source"),
     "unit_accounting": ("A17", "with u as (select firm % 10 as bucket, year(session) as y, case when ret is null then 'no return' when age < 3 then 'young' when abs(ret) > 5 then 'jump' else 'used' end as reason from firm_units) select reason, y, bucket, count(*) as n from u group by grouping sets ((reason, y, bucket), (reason, y), (reason), ())"),
@@ -97,7 +95,6 @@ SQL: dict[str, tuple[str, str]] = {
     "crash_events": ("W7 W8 W9 P13 P14 F19", "select firm, session, age, case when count(*) over f20 = 5 then min(close) over f20 / nullif(close, 0) - 1 <= -0.9 end as crash, cast(sum(case when abs(ret) > 1 then 1 else 0 end) over (partition by firm order by session rows between current row and 5 following) as bigint) as jumps_ahead, case when count(ret) over f20 = 5 then round(sum(ret * ret) over f20, 4) end as rv5 from firm_units window f20 as (partition by firm order by session rows between 1 following and 5 following)"),
     "usable_units": ("P12", "with g as (select firm, session, ret, age, @days(session, prev_session) as back, @days(next_session, session) as ahead from firm_units) select firm, count(*) as n, round(avg(ret), 6) as mean_ret from g where back <= 5 and ahead <= 5 and ret is not null group by firm"),
     "trailing_news": ("W6", "with d as (select firm, day, count(*) as n from news group by firm, day) select firm, day, cast(sum(n) over (partition by firm order by day rows between 19 preceding and current row) as bigint) as news20 from d"),
-    "rolling_correlation": ("W15", "select session, case when count(*) over w = 250 then round(corr(ret, prev) over w, 6) end as acf1, case when count(*) over w = 250 then round(avg(ret) over w, 8) end as mean250 from (select session, ret, lag(ret) over (order by session) as prev from returns) x where prev is not null window w as (order by session rows between 249 preceding and current row)"),
     "autocorrelations": ("I6", "with d as (select ret - avg(ret) over () as d, row_number() over (order by session) as i, count(*) over () as n from returns where ret is not null), v as (select sum(d * d) as v, max(n) as n from d), a as (select k, sum(a.d * b.d) as c from d a cross join (select @range(1, 10) as k) ks join d b on b.i = a.i - k group by k) select k, round(c / v, 6) as acf, round(n * (n + 2) * sum(c * c / (v * v) / (n - k)) over (order by k), 4) as ljung_box from a cross join v"),
     "year_demeaned": ("W16", "select session, round(ret - avg(ret) over (partition by year(session)), 8) as ret from returns where ret is not null"),
     "percent_rank_average": ("W17", "select doc_id, round(avg_rank / count(*) over (), 8) as pct from ranked"),
@@ -122,24 +119,20 @@ SQL: dict[str, tuple[str, str]] = {
     "clark_west": ("I7", "with f as (select ret, 0.0 as f0, 0.1 * lag(ret) over (order by session) as f1 from returns where ret is not null), c as (select (ret - f0) * (ret - f0) - ((ret - f1) * (ret - f1) - (f0 - f1) * (f0 - f1)) as c from f where f1 is not null) select count(*) as n, round(avg(c), 10) as cw, round(avg(c) / (stddev_samp(c) / sqrt(cast(count(*) as double))), 5) as t from c"),
     "mcnemar_counts": ("I8", "select count(*) filter (where (p > 0.5) = (y = 1) and (doc_id % 3 > 0) <> (y = 1)) as only_first, count(*) filter (where (p > 0.5) <> (y = 1) and (doc_id % 3 > 0) = (y = 1)) as only_second, count(*) as n from preds"),
     "qlike_losses": ("I17", "select session, round(v / f - ln(v / f) - 1, 6) as qlike from (select session, ret * ret + 0.0001 as v, avg(ret * ret) over (order by session rows between 20 preceding and 1 preceding) + 0.0001 as f from returns) x where f is not null and v is not null"),
-    "verdicts": ("I18 P17", "with e as (select id, p, (id % 21 - 10) / 10.0 as effect, (id % 21 - 10) / 10.0 - 0.3 as lo, (id % 21 - 10) / 10.0 + 0.3 as hi from pvalues) select id, case when lo > -0.5 and hi < 0.5 then 'inside' when p < 0.05 and lo > 0 then 'positive' when p < 0.05 and hi < 0 then 'negative' else 'inconclusive' end as verdict from e"),
+    "verdicts": ("I18", "with e as (select id, p, (id % 21 - 10) / 10.0 as effect, (id % 21 - 10) / 10.0 - 0.3 as lo, (id % 21 - 10) / 10.0 + 0.3 as hi from pvalues) select id, case when lo > -0.5 and hi < 0.5 then 'inside' when p < 0.05 and lo > 0 then 'positive' when p < 0.05 and hi < 0 then 'negative' else 'inconclusive' end as verdict from e"),
     "detectable_effect": ("I19 I22 M11", "with c as (select count(*) filter (where y <> case when p > 0.5 then 1 else 0 end) as discordant, count(*) as n, stddev_samp(p) / sqrt(cast(count(*) as double)) as se from preds) select n, round(2.8 * se, 8) as mde, round(2.8 * se * sqrt(n / (2.0 * n)), 8) as mde_doubled, round((1.96 + 0.84) * sqrt(cast(discordant as double)) / n, 8) as sign_mde, 2.8 * se <= 0.05 as go from c"),
-    "leave_one_firm_out": ("I20", "with s as (select firm, count(*) as n, sum(ret) as s from firm_units where ret is not null and abs(ret) < 5 group by firm) select firm, round((sum(s) over () - s) / (sum(n) over () - n), 8) as mean_without from s"),
     "selection_jaccard": ("I21 U6", "with t as (select distinct year(published_date) as y, @each(@split(template_key, ' ')) as token from keyed), p as (select a.y as y1, b.y as y2, count(*) as both_n from t a join t b on a.token = b.token and a.y < b.y group by a.y, b.y), n as (select y, count(*) as n from t group by y) select p.y1, p.y2, round(both_n / cast(n1.n + n2.n - both_n as double), 6) as jaccard from p join n n1 on p.y1 = n1.y join n n2 on p.y2 = n2.y"),
     "absent_weekdays": ("X7", "with r as (select min(session) as a, max(session) as b from bars), d as (select @days_range(a, b) as day from r) select d.day from d left join bars b on d.day = b.session where @wd(d.day) < 5 and b.session is null"),
-    "yearly_ranges": ("X9 S22", "with y as (select distinct year(session) as y from bars) select y, min(session) as first_session, max(session) as last_session, count(*) as sessions from bars b join y on year(b.session) = y.y group by y"),
     "holiday_tags": ("X10", "with t as (select session, lead(session) over (order by session) as target from bars) select session, case when month(target) = 1 and day(target) <= 3 then 'new year' when month(target) = 5 and day(target) <= 2 then 'labour' else '' end as holiday, coalesce(target between date '1996-01-21' and date '1996-02-19' or target between date '1997-01-10' and date '1997-02-08', false) as in_period from t"),
     "winsorised": ("M6 M7", "with q as (select @q(ret, 0.01) as lo, @q(ret, 0.99) as hi from returns where ret is not null) select session, round(greatest(lo, least(hi, ret)), 8) as ret, round(case when volume > 0 then ret / volume else 0.0 end, 10) as ratio from returns cross join q where ret is not null"),
-    "price_sanity": ("P19 P20", "select count(*) as n, count(*) filter (where high < low) as high_low, count(*) filter (where close > high or close < low) as close_outside, count(*) filter (where low <= 0) as nonpositive, count(*) filter (where volume = 0) as zero_volume, count(*) filter (where close = prev) as stale, count(*) filter (where close is null) as nulls, count(*) filter (where @wd(session) >= 5) as weekend, round(avg(case when low > 0 and high >= low then (high - low) / close end), 6) as mean_range from (select *, lag(close) over (order by session) as prev from bars) x"),
-    "page_fields": ("S13 S15 S16", "select page_id, @rx(html, '<title>([^<]*)</title>', 1) as title, @rx(html, 'lang=\"([a-z]+)\"', 1) as lang, @rx(url, '://([^/?#]+)', 1) as host, @rx(url, '://[^/]+(/[^#]*)', 1) as path, @num(nullif(@rx(url, '/([0-9]+)', 1), '')) as article_id, @date(nullif(@rx(html, '([0-9]{4}-[0-9]{2}-[0-9]{2})', 1), '')) as day from pages"),
+    "yearly_ranges": ("X9 S22", "with y as (select distinct year(session) as y from bars) select y, min(session) as first_session, max(session) as last_session, count(*) as sessions from bars b join y on year(b.session) = y.y group by y"),
+    "price_sanity": ("P20", "select count(*) as n, count(*) filter (where high < low) as high_low, count(*) filter (where close > high or close < low) as close_outside, count(*) filter (where low <= 0) as nonpositive, count(*) filter (where volume = 0) as zero_volume, count(*) filter (where close = prev) as stale, count(*) filter (where close is null) as nulls, count(*) filter (where @wd(session) >= 5) as weekend, round(avg(case when low > 0 and high >= low then (high - low) / close end), 6) as mean_range from (select *, lag(close) over (order by session) as prev from bars) x"),
+    "page_fields": ("S13", "select page_id, @rx(html, '<title>([^<]*)</title>', 1) as title, @rx(html, 'lang=\"([a-z]+)\"', 1) as lang, @rx(url, '://([^/?#]+)', 1) as host, @rx(url, '://[^/]+(/[^#]*)', 1) as path, @num(nullif(@rx(url, '/([0-9]+)', 1), '')) as article_id, @date(nullif(@rx(html, '([0-9]{4}-[0-9]{2}-[0-9]{2})', 1), '')) as day from pages"),
     "first_page_wins": ("S17 S18 S19", "with h as (select page_id, @rx(url, '://[^/]+(/[a-z]+)/', 1) as href, @rx(url, '://([^/]+)', 1) as host from pages) select host, href, min(page_id) as first_page, count(*) as copies, count(distinct page_id % 3) > 1 as conflicting, min(page_id % 30) >= 1 as saturated from h group by host, href"),
-    "json_payload": ("S14 T17", "select event_id, try_cast(coalesce(@json(props, k), nullif(@rx(props, '\"k\": *([0-9]+)', 1), '')) as bigint) as k, event_type in ('click', 'view', 'purchase') as valid from events"),
-    "localised_numbers": ("S21 S12", "select o_orderkey, @num(replace(replace(t, ' ', ''), ',', '.')) as value, split_part(t2, ',', 1) as a, split_part(t2, ',', 2) as b from (select o_orderkey, concat(cast(o_custkey as @str), ' ', lpad(cast(o_orderkey % 1000 as @str), 3, '0'), ',', cast(o_orderkey % 100 as @str)) as t, concat(cast(o_orderkey as @str), ',', o_orderstatus, ',x,y') as t2 from orders) x"),
-    "table_inventory": ("S29 S5 S6", "select 'documents' as name, count(*) as n from documents union all select 'events', count(*) from events union all select 'lineitem', count(*) from lineitem union all select 'pages', count(*) from pages"),
+    "json_payload": ("S14", "select event_id, try_cast(coalesce(@json(props, k), nullif(@rx(props, '\"k\": *([0-9]+)', 1), '')) as bigint) as k, event_type in ('click', 'view', 'purchase') as valid from events"),
+    "localised_numbers": ("S21", "select o_orderkey, @num(replace(replace(t, ' ', ''), ',', '.')) as value, split_part(t2, ',', 1) as a, split_part(t2, ',', 2) as b from (select o_orderkey, concat(cast(o_custkey as @str), ' ', lpad(cast(o_orderkey % 1000 as @str), 3, '0'), ',', cast(o_orderkey % 100 as @str)) as t, concat(cast(o_orderkey as @str), ',', o_orderstatus, ',x,y') as t2 from orders) x"),
+    "table_inventory": ("S29", "select 'documents' as name, count(*) as n from documents union all select 'events', count(*) from events union all select 'lineitem', count(*) from lineitem union all select 'pages', count(*) from pages"),
     "spliced_prices": ("S8", "with o as (select firm, session, close from firm_bars where session < date '1996-01-01'), n as (select firm, session, close * 2 as close from firm_bars where session >= date '1995-06-01'), f as (select o.firm, min(n.close / o.close) as lo, max(n.close / o.close) as hi from o join n on o.firm = n.firm and o.session = n.session group by o.firm) select o.firm, o.session, round(o.close, 8) as close, 'old' as part from o union all select n.firm, n.session, round(n.close / f.lo, 8), 'new' from n join f on n.firm = f.firm where n.session >= date '1996-01-01' and f.hi - f.lo < 1e-9"),
-    "translation_checks": ("T14 T15", "with w as (select conv_id, turn, text, lead(text) over (partition by conv_id order by turn) as reply from conversations) select conv_id, turn, length(text) > 2 * length(reply) or (position('|' in text) > 0 and length(reply) < 0.6 * length(text)) as suspicious, length(@replace_all(text, '[^0-9]', '')) <= length(@replace_all(reply, '[^0-9]', '')) as numbers_kept from w where reply is not null"),
-    "novelty_counts": ("F17", "with t as (select distinct a.session, k.doc_id, k.template_key from keyed k join strict_asof a on a.day = k.published_date where a.session is not null), w as (select t.session, b.pos, t.doc_id, @each(@split(t.template_key, ' ')) as token from t join bars b on b.session = t.session), c as (select pos, token, count(*) as n from w group by pos, token), h as (select a.pos, a.token, a.n, coalesce(sum(b.n), 0) as seen from c a left join c b on a.token = b.token and b.pos < a.pos and b.pos >= a.pos - 250 group by a.pos, a.token, a.n) select pos, cast(sum(n) as bigint) as tokens, cast(sum(case when seen = 0 then n else 0 end) as bigint) as unseen, round(-avg(ln((seen + 1.0) / 5000.0)), 6) as surprise from h group by pos"),
-    "word_screen_counts": ("F21", "with e as (select k.doc_id, case when k.doc_id % 3 = 0 then 1 else 0 end as big, year(published_date) * 4 + cast(floor((month(published_date) - 1) / 3) as int) as q, k.template_key from keyed k), t as (select distinct doc_id, big, q, @each(@split(template_key, ' ')) as token from e), b as (select avg(big) as base from e) select token, count(*) as n, cast(sum(big) as bigint) as k, count(distinct q) as quarters, round((sum(big) - max(base)) / (sum(big) + max(base) + 1), 6) as score from t cross join b group by token having count(*) >= 30 and count(distinct q) >= 6"),
     "episodes_and_lead_time": ("E12 W12", "with a as (select firm, session, age, close, close < 0.3 * max(close) over (partition by firm order by session rows between 9 preceding and current row) as event, close < 0.6 * max(close) over (partition by firm order by session rows between 9 preceding and current row) as alarm from firm_units), s as (select *, sum(case when event and not coalesce(prev, false) then 1 else 0 end) over (partition by firm order by session) as ep from (select *, lag(event) over (partition by firm order by session) as prev from a) x), e as (select firm, ep, min(age) as start from s where event group by firm, ep) select e.firm, cast(e.ep as bigint) as episode, e.start, max(e.start - s.age) as lead_time from e left join s on s.firm = e.firm and s.alarm and s.age between e.start - 5 and e.start group by e.firm, e.ep, e.start"),
     "score_fill": ("G8 G5 G7", "select h.row_id, case when year(h.published_date) >= 1998 and l.quality is not null then l.quality * 2 - 1 else t.score end as score, case when year(h.published_date) >= 1998 and l.quality is not null then 'yearly' else 'static' end as provenance from headlines h join tagged t on h.row_id = t.row_id left join labels l on h.doc_id = l.doc_id"),
     "populated_annotators": ("G2 P15", "select count(*) filter (where trim(a1) <> '') > 0 as annotator_1, count(*) filter (where trim(a2) <> '') > 0 as annotator_2, count(*) - count(distinct doc_id) as duplicate_ids, count(*) filter (where a1 not in ('neg', 'neu', 'pos')) as invalid from raters"),

@@ -11,11 +11,22 @@ from pyspark.sql import functions as F
 def read_headlines(spark: SparkSession, path: str, source: str, sep: str = ",") -> DataFrame:
     """row_id, source, headline_raw, date_raw, published_date, date_parse_ok of a delimited file with columns headline and date.
 
-    row_id is the source and the row's position in its file; files are read
-    whole by one task each, so positions don't depend on splits.
+    row_id is the source and the row's position in the files, in the order of
+    their names.  A file with line breaks in its fields is read whole by one
+    task, so rows come in the file's order, and a file's first position is the
+    number of rows in the files before it.
     """
     raw = spark.read.csv(path, sep=sep, header=True, schema="headline string, date string", multiLine=True, encoding="UTF-8", nullValue="\0", emptyValue="")
-    numbered = raw.rdd.zipWithIndex().map(lambda x: (f"{source}::{x[1]}", source, (x[0][0] or "").lstrip("﻿"), x[0][1] or "")).toDF("row_id string, source string, headline_raw string, date_raw string")
+    placed = raw.select("headline", "date", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"))
+    sizes = placed.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each file
+    position = F.col("_before") + F.col("_at") - F.col("_first")
+    numbered = placed.join(F.broadcast(sizes.select("_file", "_first", before.alias("_before"))), "_file").select(
+        F.concat(F.lit(f"{source}::"), position.cast("string")).alias("row_id"),
+        F.lit(source).alias("source"),
+        F.ltrim(F.coalesce("headline", F.lit("")), F.lit("\ufeff")).alias("headline_raw"),
+        F.coalesce("date", F.lit("")).alias("date_raw"),
+    )
     dated = numbered.withColumn("published_date", F.try_to_date("date_raw", "yyyy-MM-dd"))
     return dated.withColumn("date_parse_ok", F.col("published_date").isNotNull())
 
@@ -52,13 +63,32 @@ def localised_prices(raw: DataFrame) -> DataFrame:
     names = {"Séance": "session", "Ouverture": "open", "Haut": "high", "Bas": "low", "Clôture": "close", "Volume": "volume"}  # fixed values
     number = lambda c: F.expr(f"try_cast(translate(translate(`{c}`, '   ', ''), ',', '.') as double)")
     out = raw.select(*[(F.coalesce(F.try_to_date(old, "dd/MM/yyyy"), F.try_to_date(old, "yyyy-MM-dd")) if new == "session" else number(old)).alias(new) for old, new in names.items()])
-    return out.where("session is not null and close is not null").dropDuplicates(["session"])
+    placed = out.withColumn("_at", F.monotonically_increasing_id()).where("session is not null and close is not null")
+    last = F.max_by(F.struct(*[c for c in placed.columns if c not in ("session", "_at")]), "_at").alias("_row")
+    return placed.groupBy("session").agg(last).select("session", "_row.*")
+
+
+#: Months as French pages write them, without accents.
+FRENCH_MONTHS = ("janvier", "fevrier", "mars", "avril", "mai", "juin", "juillet", "aout", "septembre", "octobre", "novembre", "decembre")
+
+
+def french_date(text):
+    """The first day month year with a French month name, accents or not."""
+    form = r"([0-9]{1,2}) +([A-Za-zéèêûôàç]+) +([0-9]{4})"
+    months = F.create_map(*[x for i, m in enumerate(FRENCH_MONTHS, 1) for x in (F.lit(m), F.lit(f"{i:02d}"))])
+    name = F.translate(F.lower(F.regexp_extract(text, form, 2)), "éèêûôàç", "eeeuoac")
+    return F.try_to_date(F.concat_ws("-", F.regexp_extract(text, form, 3), F.try_element_at(months, name), F.lpad(F.regexp_extract(text, form, 1), 2, "0")), "yyyy-MM-dd")
+
+
+def article_id(href):
+    """The digits after the last underscore, else those in ",n,id,"."""
+    return F.coalesce(F.nullif(F.regexp_extract(href, r"_([0-9]+)$", 1), F.lit("")), F.regexp_extract(href, r",([0-9]+),", 1))
 
 
 def page_date(url, html):
-    """The first of: the URL's date, a time element, an ISO or day/month/year date in the page."""
+    """The first of: the URL's date, a time element, an ISO, day/month/year or French date in the page."""
     iso = lambda x: F.try_to_date(F.concat_ws("-", *[F.regexp_extract(x, r"([0-9]{4})[/-]([0-9]{2})[/-]([0-9]{2})", i) for i in (1, 2, 3)]), "yyyy-MM-dd")
-    return F.coalesce(iso(url), iso(F.regexp_extract(html, r'<time[^>]*datetime="([^"]+)"', 1)), iso(html), F.try_to_date(F.regexp_extract(html, r"([0-9]{2}/[0-9]{2}/[0-9]{4})", 1), "dd/MM/yyyy"))
+    return F.coalesce(iso(url), iso(F.regexp_extract(html, r'<time[^>]*datetime="([^"]+)"', 1)), iso(html), F.try_to_date(F.regexp_extract(html, r"([0-9]{2}/[0-9]{2}/[0-9]{4})", 1), "dd/MM/yyyy"), french_date(html))
 
 
 def list_page(pages: DataFrame) -> DataFrame:
@@ -94,6 +124,34 @@ def write_years(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
 
 
+def create_table(df: DataFrame, name: str) -> DataFrame:
+    """Creates or replaces a table of the session's catalogue; the table."""
+    df.write.mode("overwrite").format("parquet").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def reproduces(now: DataFrame, before: DataFrame, keys: list[str], tolerance: float = 1e-9) -> DataFrame:
+    """column, n, missing, worst, same: each number of ``now`` against the stored run's, by key, within a relative tolerance."""
+    numbers = [f.name for f in now.schema if f.name not in keys and f.dataType.typeName() in ("double", "float", "long", "integer")]
+    x, y = now.alias("x"), before.alias("y")
+    on = [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in keys]
+    joined = x.withColumn("_x", F.lit(1)).alias("x").join(y.withColumn("_y", F.lit(1)).alias("y"), on, "full")
+    out = []
+    for c in numbers:
+        a, b = F.col(f"x.{c}").cast("double"), F.col(f"y.{c}").cast("double")
+        gone = F.col("_x").isNull() | F.col("_y").isNull() | (a.isNull() != b.isNull())
+        apart = F.when(a == b, 0.0).otherwise(F.abs(a - b) / F.greatest(F.abs(b), F.lit(1e-300)))
+        out.append(F.struct(F.lit(c).alias("column"), F.count(F.lit(1)).alias("n"), F.count_if(gone).alias("missing"), F.coalesce(F.max(apart), F.lit(0.0)).alias("worst")))
+    told = joined.agg(F.array(*out).alias("_c")).select(F.inline("_c"))
+    return told.withColumn("same", (F.col("missing") == 0) & (F.col("worst") <= tolerance))
+
+
+def assert_disjoint(a: DataFrame, b: DataFrame, keys: list[str]) -> None:
+    """Raises if a key is in both frames."""
+    if not a.select(*keys).intersect(b.select(*keys)).isEmpty():
+        raise ValueError(f"{keys} are in both frames")
+
+
 def only_new(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """The rows that a cache of earlier results doesn't hold."""
     return rows.join(done.select(*keys).distinct(), keys, "left_anti")

@@ -38,8 +38,13 @@ def test_query_equals_oracle(spark, con, sf, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
-def test_kernel_query_runs(spark, sf, name):
-    catalogue.QUERIES[name](spark, sf).collect()
+def test_kernel_query_has_whole_rows(spark, sf, name):
+    """What SQL can't tell is held against plain versions in test_studies.py; here: rows, distinct, and numbers that are numbers."""
+    df = catalogue.QUERIES[name](spark, sf)
+    rows = df.collect()
+    assert rows or name == "source_ablation"  # its outlets share too few of the smallest table's sessions
+    assert len(set(map(repr, rows))) == len(rows)
+    assert all(math.isfinite(v) for r in rows for v in r if isinstance(v, float)), name
 
 
 def test_entry(spark):
@@ -49,11 +54,11 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-def test_open_survey_ids_are_not_claimed():
+def test_survey_ids_that_are_claimed():
     claimed = {i for ids in catalogue.COVERS.values() for i in ids.split()}
-    assert not claimed & {"F1", "F5", "F12", "F14", "F15", "F16", "I14", "E13"}
+    assert not claimed & {"S23", "F13", "G6", "V2", "T16", "A32"}  # out of scope
     assert all(i[0].isupper() and i[1:].isdigit() for i in claimed)
-    assert {"F3", "F4", "F9", "F11", "I15", "T7"} <= claimed
+    assert {"F1", "F3", "F4", "F5", "F9", "F11", "F12", "F14", "F15", "F16", "F21", "I11", "I14", "I15", "E13", "T7", "S4", "S7", "S28", "V3", "V4", "W20"} <= claimed
 
 
 def captured(monkeypatch, query, spark, sf):
