@@ -1,151 +1,7 @@
-"""Relational, window and statistical queries, one text for both engines.
-
-Stand-ins: headlines are the first lines of documents with a derived date,
-bars are lineitem by ship date, a second calendar is orders, firms are
-suppliers, trades and timed news are events, raters are labels with a derived
-third rater.
-"""
+"""All queries that are one SQL text for both engines, by name."""
 
 from __future__ import annotations
 
-from .dialect import part
-
-part(
-    "headlines",
-    """select doc_id, concat(source, '::', cast(doc_id as @str)) as row_id, source, lang, split_part(text, chr(10), 1) as headline,
-    @plus(date '1996-01-01', (doc_id * 7) % 1800) as published_date, length(split_part(text, chr(10), 1)) >= 8 as date_parse_ok from documents""",
-)
-part("windows", "select source, @plus(date '1996-01-01', cast(substring(source, 4) as int) * 10) as first_day, @plus(date '2000-06-01', cast(substring(source, 4) as int)) as last_day from (select distinct source from documents where source is not null) s")
-part(
-    "keyed",
-    """select *, trim(@replace_all(@replace_all(@replace_all(@replace_all(@replace_all(@replace_all(lower(concat(headline, ' ', cast(doc_id % 7 as @str), ',', cast(doc_id % 10 as @str), '%')),
-    @r'[+][0-9]+([.,][0-9]+)*%?', 'up#'), @r'[-−][0-9]+([.,][0-9]+)*%?', 'dn#'), @r'[0-9]+([.,][0-9]+)*%?', '#'), '_', ' '), @r'[^\\p{L}\\p{N}#@]+', ' '), ' +', ' ')) as template_key from headlines""",
-)
-part("clustered", "select *, sha1(template_key) as dup_cluster_id, count(*) over (partition by template_key) as cluster_size, row_number() over (partition by template_key order by case when source = 'src0' then 0 else 1 end, published_date, row_id) = 1 as is_canonical from keyed")
-part("tagged", "select *, case when @like(concat(' ', lower(headline), ' '), '[^a-z](tion|on the|und|les)[^a-z]') then 'home' when @like(lower(headline), '(ción|aux|ung)') then 'linked' else 'other' end as relevance_tag, (doc_id % 5) - 2 as score, @like(lower(headline), 'the') and @like(lower(headline), 'of') as is_price_report from clustered")
-part("prices", "select cast(l_shipdate as date) as session, l_suppkey as firm, cast(floor(l_extendedprice / l_quantity * 100) as bigint) as cents, l_quantity as volume from lineitem where l_quantity > 0")
-part("bars", "select session, cast(sum(cents) as bigint) / (100.0 * count(*)) as close, max(cents) / 100.0 as high, min(cents) / 100.0 as low, sum(volume) as volume, row_number() over (order by session) - 1 as pos from prices group by session")
-part("returns", "select *, close / lag(close) over w - 1 as ret, ln(close) - ln(lag(close) over w) as log_ret, (high - low) / close as range_pct, ln(greatest(high / low, 1.0001)) as log_range, ln(1 + volume) as log_volume from bars window w as (order by session)")
-part("firm_bars", "select firm, session, cast(sum(cents) as bigint) / (100.0 * count(*)) as close, sum(volume) as volume from prices group by firm, session")
-part("days", "select distinct published_date as day from headlines where date_parse_ok")
-part("strict_asof", "select day, case when kind = 0 then nxt end as session from (select day, kind, min(session) over (order by epoch range between 1 following and unbounded following) as nxt from (select day, cast(null as date) as session, 0 as kind, @days(day, date '1970-01-01') as epoch from days union all select session as day, session, 1 as kind, @days(session, date '1970-01-01') as epoch from bars) u) v where kind = 0")
-part("news_by_session", "select a.session, count(*) as n_headlines, count(distinct t.source) as n_sources, count(*) filter (where relevance_tag = 'home') as n_home, count(*) filter (where relevance_tag = 'linked') as n_linked, count(*) filter (where is_price_report) as n_price_reports, avg(score) as sent_mean, avg(case when score > 0 then 1.0 else 0.0 end) as pos_share, avg(case when score < 0 then 1.0 else 0.0 end) as neg_share, avg(score) filter (where not is_price_report) as sent_mean_ex_price, avg(score) filter (where is_price_report) as sent_mean_price_only from tagged t join strict_asof a on a.day = t.published_date where is_canonical and date_parse_ok and a.session is not null group by a.session")
-part("trades", "select user_id as firm, cast(ts as date) as session, max_by(value, event_id) as close, max(value) as high, min(value) as low, count(*) as n from events where event_type in ('purchase', 'view') group by user_id, cast(ts as date)")
-part("news", "select user_id as firm, ts, cast(ts as date) as day, @minutes(ts) as minute, event_id from events where event_type in ('error', 'signup')")
-part("firm_asof", "select firm, day, case when kind = 0 then nxt end as trade from (select firm, day, kind, min(session) over (partition by firm order by epoch range between current row and unbounded following) as nxt from (select distinct firm, day, cast(null as date) as session, 0 as kind, @days(day, date '1970-01-01') as epoch from news union all select firm, session, session, 1, @days(session, date '1970-01-01') from trades) u) v where kind = 0")
-part("firm_units", "select firm, session, close, close / nullif(lag(close) over w, 0) - 1 as ret, lag(session) over w as prev_session, lead(session) over w as next_session, row_number() over w - 1 as age from trades window w as (partition by firm order by session)")
-part("preds", "select doc_id, case when quality = 1 and (doc_id % 11) > 2 then 1 else 0 end as y, least(0.98, greatest(0.02, 0.5 * quality + 0.03 * (doc_id % 13))) as p from labels")
-part("ranked", "select *, rank() over (order by p) + (count(*) over (partition by p) - 1) / 2.0 as avg_rank from preds")
-part("raters", "select doc_id, case when quality = 1 then 'pos' else 'neg' end as a1, case when toxic = 1 then 'neg' when doc_id % 6 = 0 then 'neu' else 'pos' end as a2, case when doc_id % 4 = 0 then 'neg' when doc_id % 9 = 0 then 'neu' else 'pos' end as a3 from labels")
-part("votes", "select doc_id, a1 as label from raters union all select doc_id, a2 from raters union all select doc_id, a3 from raters")
-part("levels", "select 'neg' as label, 0 as lv union all select 'neu', 1 union all select 'pos', 2")
-part("pvalues", "select doc_id as id, (doc_id * 37 % 1000 + 1) / 2000.0 * ((doc_id % 3) + 1) / 3.0 as p from labels")
-part("losses", "select row_number() over (order by session) as i, ret * ret as d, ret from returns where ret is not null")
+from . import aggregates_sql, frames_sql, joins_sql, samples_sql, sources_sql, tests_sql, text_sql, windows_sql, studies_sql, tables  # noqa: F401  (tables names the common tables)
 
-#: name: (survey ids, body)
-SQL: dict[str, tuple[str, str]] = {
-    "headline_flags": ("S1 P1 P2 P3 X1", "select h.row_id, h.published_date, h.date_parse_ok, coalesce(h.date_parse_ok and h.published_date between w.first_day and w.last_day, false) as in_window, coalesce(h.headline in ('This.', 'Le', 'Zu und. Dieüauß der.'), false) as is_boilerplate, coalesce(h.date_parse_ok and h.published_date between w.first_day and w.last_day and not h.headline in ('This.', 'Le', 'Zu und. Dieüauß der.'), false) as kept from headlines h left join windows w on h.source = w.source"),
-    "template_clusters": ("T6 T7 T8 W10 W11 P10", "select row_id, template_key, dup_cluster_id, cluster_size, is_canonical from clustered"),
-    "stable_hash_split": ("T9 W19 G4 M10", "with g as (select doc_id, lang, label, row_number() over (partition by lang, label order by @hash(concat('7:', cast(doc_id as @str))), doc_id) as r, count(*) over (partition by lang, label) as n from (select l.doc_id, d.lang, l.quality as label from labels l join documents d on l.doc_id = d.doc_id) x) select doc_id, lang, label, case when r <= greatest(1, @even(n / 3.0, 0)) then 'eval' when r <= greatest(1, @even(n / 3.0, 0)) + greatest(1, @even(n * 0.15, 0)) then 'val' else 'train' end as split from g"),
-    "split_fingerprint": ("T10", "select lang, count(*) as n, @hash(@join(@strings(cast(doc_id as @str)), chr(10))) as fingerprint from documents group by lang"),
-    "script_counts": ("T3 T4 P22", "select doc_id, @rcount(headline, '[a-zA-ZÀ-ÿ]') as latin, @rcount(headline, '[؀-ۿ]') as arabic, @rcount(headline, '[A-Za-z]+[2356789]+[A-Za-z]*') as mixed_words, @rcount(headline, '[0-9]') as digits, @like(headline, '[0-9] ?%') as has_percent from headlines"),
-    "arabic_match_form": ("T2", "select doc_id, translate(concat(headline, 'أإآىةـ'), 'أإآىةـ', 'اااي' || 'ه') as match_form from headlines"),
-    "keyword_first_match": ("P4", "select row_id, coalesce(case when position('tion' in lower(headline)) > 0 then 'tion' end, case when position('the' in lower(headline)) > 0 then 'the' end, case when position('un' in lower(headline)) > 0 then 'un' end) as keyword from headlines"),
-    "relevance_tags": ("P5 P6 P10 T5", "with f as (select *, @like(concat(' ', lower(headline), ' '), @r'[^\\p{L}\\p{N}](zu|les?|su)s?[^\\p{L}\\p{N}]') as foreign_term, @like(concat(' ', lower(headline), ' '), @r'[^\\p{L}\\p{N}](the|of)[^\\p{L}\\p{N}]') as home_term from headlines) select row_id, case when position('tion' in lower(headline)) > 0 and not (foreign_term and not home_term) then 'home_econ' when position('blehe' in lower(headline)) > 0 and not (foreign_term and not home_term) then 'home_econ' when position('on' in lower(headline)) > 0 then 'global_linked' else 'other' end as tag, foreign_term and not home_term as foreign_context from f"),
-    "residual_audit": ("P21", "select count(*) filter (where position('on' in lower(headline)) > 0) as generic, count(*) filter (where position('on' in lower(headline)) > 0 and not @like(lower(headline), '(the|of)')) as residual from headlines"),
-    "article_type": ("P7 P9 S20", "select row_id, is_price_report, case when @like(lower(headline), '(ment|ción)') then 'dividend' when @like(lower(headline), '(ing|ung)') then 'earnings' else 'other' end as kind, source in ('src1', 'src2') or @like(lower(headline), 'econ') as economic from tagged"),
-    "corpus_funnel": ("A5", "select coalesce(source, 'TOTAL') as source, count(*) as raw, count(*) filter (where date_parse_ok) as cleaned, count(*) filter (where date_parse_ok and relevance_tag <> 'other') as relevant, count(*) filter (where date_parse_ok and relevance_tag <> 'other' and is_canonical) as canonical from tagged group by rollup(source)"),
-    "completeness": ("A6", "select source, count(*) as n, round(100.0 * count(*) filter (where headline is null) / count(*), 4) as pct_null, round(100.0 * count(*) filter (where trim(headline) = '') / count(*), 4) as pct_empty, count(*) - count(distinct headline) as dups from headlines group by source"),
-    "repeated_headlines": ("A7", "select headline, count(*) as n from headlines group by headline having count(*) > 3"),
-    "coverage_by_month": ("A8 X6", "select source, @month(published_date) as month, count(*) as n from headlines where date_parse_ok group by source, @month(published_date)"),
-    "monthly_spine": ("X8 A27 J17 A30", "with spine as (select source, m from (select distinct source from headlines) s cross join (select @months_range(date '1996-01-01', date '2000-12-01') as m) x), c as (select source, cast(date_trunc('month', published_date) as date) as m, count(*) as n from headlines where date_parse_ok group by 1, 2) select spine.source, spine.m, coalesce(c.n, 0) as n from spine left join c on spine.source = c.source and spine.m = c.m"),
-    "coverage_summary": ("A11", "with spine as (select source, m from (select distinct source from headlines) s cross join (select @months_range(date '1996-01-01', date '2000-12-01') as m) x), c as (select source, cast(date_trunc('month', published_date) as date) as m, count(*) as n from headlines where date_parse_ok group by 1, 2), z as (select spine.source, spine.m, coalesce(c.n, 0) as n from spine left join c on spine.source = c.source and spine.m = c.m), w as (select *, avg(n) over (partition by source order by m rows between 3 preceding and 1 preceding) as prior3, row_number() over (partition by source order by m) as k, case when n = 0 then 1 else 0 end as zero, row_number() over (partition by source order by m) - row_number() over (partition by source, case when n = 0 then 1 else 0 end order by m) as island from z), med as (select source, @q(cast(n as double), 0.5) as med from z where n > 0 group by source), runs as (select source, island, max(m) as last_zero, count(*) as len from w where zero = 1 group by source, island) select w.source, count(*) filter (where zero = 1) as zero_months, count(*) filter (where n > 3 * med.med) as spikes, count(*) filter (where k >= 4 and prior3 >= 5 and n < 0.3 * prior3) as cliffs, max(r.last_zero) as last_gap_end from w join med on w.source = med.source left join (select source, max(last_zero) as last_zero from runs where len >= 2 group by source) r on w.source = r.source group by w.source"),
-    "duplicate_share": ("A9", "with g as (select source, headline, count(*) as n from headlines group by source, headline) select source, round(sum(n - 1) / cast(sum(n) as double), 4) as dup_share from g group by source"),
-    "cross_source_duplicates": ("A10", "select template_key, count(distinct source) as n_sources, count(*) as n from keyed group by template_key having count(distinct source) > 1"),
-    "language_mix": ("A12", "select source, lang, count(*) as n, round(count(*) / cast(sum(count(*)) over (partition by source) as double), 6) as share from headlines group by source, lang"),
-    "topical_geography": ("A13 P18", "with s as (select source, count(*) as n, count(*) filter (where @like(lower(headline), '(the|of)')) as home_n, count(*) filter (where @like(lower(headline), 'les?')) as le_n, count(*) filter (where @like(lower(headline), 'und')) as und_n from headlines group by source) select source, n, round(home_n / cast(n as double), 6) as home_share, case when le_n >= und_n then 'le' else 'und' end as top_other, greatest(le_n, und_n) as top_other_n, greatest(le_n, und_n) > home_n and greatest(le_n, und_n) >= 0.05 * n as wrong_country from s"),
-    "source_by_tag": ("A14", "select source, count(*) filter (where relevance_tag = 'home') as home, count(*) filter (where relevance_tag = 'linked') as linked, count(*) filter (where relevance_tag = 'other') as other from tagged group by source"),
-    "strict_asof_days": ("J5 U2", "select day, session from strict_asof"),
-    "firm_inclusive_asof": ("J6", "select firm, day, trade from firm_asof"),
-    "news_session_frame": ("A1 A2 A3 A4 J1 J4", "select b.session, coalesce(n.n_headlines, 0) as n_headlines, coalesce(n.n_sources, 0) as n_sources, coalesce(n.n_home, 0) as n_home, coalesce(n.n_price_reports, 0) as n_price_reports, round(coalesce(n.sent_mean, 0.0), 6) as tone, case when n.session is null then 0.0 else 1.0 end as has_news, round(ln(1 + coalesce(n.n_headlines, 0)), 6) as log_n, round(coalesce(n.sent_mean_ex_price, 0.0), 6) as tone_ex_price, round(coalesce(n.sent_mean_price_only, 0.0), 6) as tone_price_only, round(coalesce(n.pos_share, 0.0), 6) as pos_share from bars b left join news_by_session n on b.session = n.session"),
-    "scored_headlines": ("J2 J3 J15 T18", "select h.row_id, l.quality, case l.quality when 1 then 'positive' else 'negative' end as label, case l.quality when 1 then 1 else -1 end as signed from headlines h join labels l on h.doc_id = l.doc_id"),
-    "calendar_without_phantoms": ("S9 P11 U3 J12", "select session, row_number() over (order by session) - 1 as pos from (select session, close = lag(close) over w and high = lag(high) over w and low = lag(low) over w as phantom from bars window w as (order by session)) x where phantom is distinct from true"),
-    "ffill_panel": ("J7 U5 S11", "with firms as (select distinct firm from trades), cal as (select @days_range(date '2024-01-01', date '2024-01-30') as day), grid as (select firm, day from firms cross join cal), j as (select g.firm, g.day, t.close, count(t.close) over (partition by g.firm order by g.day) as grp from grid g left join trades t on g.firm = t.firm and g.day = t.session) select firm, day, max(close) over (partition by firm, grp) as close, grp = 0 as before_first from j"),
-    "band_join_neighbours": ("J8", "with d as (select doc_id, source, lang, published_date, template_key from keyed), e as (select *, @plus(published_date, o) as near from d cross join (select @range(-2, 2) as o) x) select a.doc_id as left_id, b.doc_id as right_id, @days(b.published_date, a.published_date) as gap from e a join d b on a.near = b.published_date and a.lang = b.lang and a.template_key = b.template_key and a.doc_id < b.doc_id"),
-    "firm_interval_returns": ("J9 J10 F18 X4", "with f as (select t.firm, t.session, t.close, i.close as level, i.pos from firm_bars t join bars i on t.session = i.session) select firm, session, round(close / lag(close) over w - 1, 6) as ret, round(level / lag(level) over w - 1, 6) as market, pos - lag(pos) over w as gap, (lead(pos) over w) - pos as fwd_gap, round((lead(level, 5) over w) / level - 1, 6) as market_fwd5 from f window w as (partition by firm order by session)"),
-    "membership": ("J11 J12 P16", "select h.row_id, l.doc_id is not null as in_study from headlines h left join (select distinct doc_id from labels) l on h.doc_id = l.doc_id"),
-    "overlap_reconciliation": ("J14", "with o as (select cast(o_orderdate as date) as d, o_custkey % 50 as k, max(round(o_totalprice, 2)) as v from orders group by 1, 2), n as (select d, k, v from o union all select d, k, v + 1 from o where v > 150000) select o.d, o.k, bool_or(abs(o.v - n.v) < 0.005) as matches, count(*) as copies from o join n on o.d = n.d and o.k = n.k group by o.d, o.k"),
-    "fallback_means": ("J16 F8", "with fit as (select firm, avg(ret) as alpha from firm_units where session < date '2024-01-16' and ret is not null group by firm), m as (select avg(alpha) as a from fit) select u.firm, count(*) as n, round(max(coalesce(fit.alpha, m.a)), 6) as alpha from firm_units u cross join m left join fit on u.firm = fit.firm where u.session >= date '2024-01-16' group by u.firm"),
-    "timing_flags": ("X5 A15", "with f as (select n.firm, a.trade, n.minute, n.day = a.trade as same_day, n.minute < 850 as before_close from news n join firm_asof a on n.firm = a.firm and n.day = a.day where a.trade is not null) select firm, trade, bool_or(same_day and before_close) as pre_close, bool_or(not (same_day and before_close)) as post_close, count(*) as n from f group by firm, trade"),
-    "token_sets": ("T11 A16", "with t as (select source, @each(@split(template_key, ' ')) as token from keyed) select source, count(distinct token) as n_tokens, @hash(@join(@strings(token), ' ')) as fingerprint from t group by source"),
-    "unit_accounting": ("A17", "with u as (select firm % 10 as bucket, year(session) as y, case when ret is null then 'no return' when age < 3 then 'young' when abs(ret) > 5 then 'jump' else 'used' end as reason from firm_units) select reason, y, bucket, count(*) as n from u group by grouping sets ((reason, y, bucket), (reason, y), (reason), ())"),
-    "sufficient_statistics": ("A18 W13 F6", "with d as (select firm, session, ret - avg(ret) over (partition by firm) as y, x - avg(x) over (partition by firm) as x from (select firm, session, ret, cast(age as double) as x from firm_units where ret is not null and abs(ret) < 5) r) select session, count(*) as n, round(sum(x * x), 4) as xx, round(sum(x * y), 4) as xy, round(sum(y * y), 4) as yy from d group by session"),
-    "distribution_by_year": ("A19", "with m as (select year(session) as y, ret, avg(ret) over (partition by year(session)) as mu, count(ret) over (partition by year(session)) as n from returns where ret is not null), c as (select y, max(n) as n, max(mu) as mu, sum((ret - mu) * (ret - mu)) / max(n) as m2, sum((ret - mu) * (ret - mu) * (ret - mu)) / max(n) as m3, sum((ret - mu) * (ret - mu) * (ret - mu) * (ret - mu)) / max(n) as m4, avg(case when ret = 0 then 1.0 else 0.0 end) as zero from m group by y having max(n) > 3) select y, n, round(mu, 6) as mean, round(sqrt(m2 * n / (n - 1)), 6) as sd, round(sqrt(cast(n * (n - 1) as double)) / (n - 2) * m3 / power(m2, 1.5), 5) as skew, round((n - 1.0) / ((n - 2.0) * (n - 3.0)) * ((n + 1.0) * (m4 / (m2 * m2) - 3) + 6), 5) as kurt, round(zero, 6) as share_zero from c"),
-    "quantiles": ("A20 A31", "select round(@q(ret, 0.025), 8) as q025, round(@q(ret, 0.5), 8) as q50, round(@q(ret, 0.975), 8) as q975 from returns where ret is not null"),
-    "reliability_deciles": ("A21", "with e as (select @q(p, 0.1) as e1, @q(p, 0.2) as e2, @q(p, 0.3) as e3, @q(p, 0.4) as e4, @q(p, 0.5) as e5, @q(p, 0.6) as e6, @q(p, 0.7) as e7, @q(p, 0.8) as e8, @q(p, 0.9) as e9 from preds), b as (select y, p, (case when p > e1 then 1 else 0 end) + (case when p > e2 and e2 > e1 then 1 else 0 end) + (case when p > e3 and e3 > e2 then 1 else 0 end) + (case when p > e4 and e4 > e3 then 1 else 0 end) + (case when p > e5 and e5 > e4 then 1 else 0 end) + (case when p > e6 and e6 > e5 then 1 else 0 end) + (case when p > e7 and e7 > e6 then 1 else 0 end) + (case when p > e8 and e8 > e7 then 1 else 0 end) + (case when p > e9 and e9 > e8 then 1 else 0 end) as bin from preds cross join e) select bin, count(*) as n, round(avg(p), 6) as predicted, round(avg(y), 6) as observed from b group by bin"),
-    "tercile_classes": ("A22", "with e as (select @q(ret, 0.3333333333) as lo, @q(ret, 0.6666666667) as hi from returns where pos < 1000 and ret is not null) select case when ret <= lo then 'drop' when ret > hi then 'rise' else 'flat' end as class, count(*) as n from returns cross join e where ret is not null group by 1"),
-    "tag_precision_recall": ("A23 E9", "with c as (select a1 as truth, a2 as pred, count(*) as n from raters group by a1, a2) select l.label, coalesce(sum(n) filter (where truth = l.label and pred = l.label), 0) as tp, round(coalesce(sum(n) filter (where truth = l.label and pred = l.label), 0) / cast(nullif(sum(n) filter (where pred = l.label), 0) as double), 6) as prec, round(coalesce(sum(n) filter (where truth = l.label and pred = l.label), 0) / cast(nullif(sum(n) filter (where truth = l.label), 0) as double), 6) as recall from levels l cross join c group by l.label"),
-    "correlations": ("A24", "with r as (select year(session) as y, ret, range_pct, rank() over (partition by year(session) order by ret) + (count(*) over (partition by year(session), ret) - 1) / 2.0 as r1, rank() over (partition by year(session) order by range_pct) + (count(*) over (partition by year(session), range_pct) - 1) / 2.0 as r2 from returns where ret is not null) select y, round(corr(ret, range_pct), 6) as pearson, round(corr(r1, r2), 6) as spearman from r group by y having count(*) > 2"),
-    "wilson_interval": ("A25", "with c as (select lang, count(*) as n, sum(quality) as k from labels l join documents d on l.doc_id = d.doc_id group by lang), f as (select lang, n, k, k / cast(n as double) as p, 1.96 * 1.96 as z2 from c) select lang, n, cast(k as bigint) as k, round((p + z2 / (2 * n) - 1.96 * sqrt(p * (1 - p) / n + z2 / (4.0 * n * n))) / (1 + z2 / n), 6) as lo, round((p + z2 / (2 * n) + 1.96 * sqrt(p * (1 - p) / n + z2 / (4.0 * n * n))) / (1 + z2 / n), 6) as hi from f"),
-    "chi_square": ("A26", "with c as (select lang, quality, count(*) as o from labels l join documents d on l.doc_id = d.doc_id group by lang, quality), e as (select o, sum(o) over (partition by lang) * sum(o) over (partition by quality) / cast(sum(o) over () as double) as x from c) select count(*) as cells, round(sum((o - x) * (o - x) / x), 6) as chi2 from e"),
-    "monthly_returns": ("A27", "select cast(date_trunc('month', session) as date) as month, round(sum(ret), 6) as total, round(avg(ret), 6) as mean, count(ret) as n from returns group by 1"),
-    "run_lengths": ("A28 W12", "with f as (select firm, session, close > lag(close) over w as up from trades window w as (partition by firm order by session)), g as (select *, case when up is distinct from lag(up) over (partition by firm order by session) then 1 else 0 end as start from f), s as (select *, sum(start) over (partition by firm order by session) as run from g) select firm, cast(run as bigint) as run, bool_or(up) as up, min(session) as first_day, count(*) as len from s group by firm, run having count(*) >= 3"),
-    "session_lags": ("W1 W2 M1 M2 M3 M5 M8", "select session, round(ret, 8) as ret_lag0, round(lag(ret) over w, 8) as ret_lag1, round(lag(ret, 2) over w, 8) as ret_lag2, round(lag(ret, 3) over w, 8) as ret_lag3, round(abs(lag(ret) over w), 8) as abs_lag1, round(lead(ret) over w, 8) as ret_next, round(lead(close, 5) over w / close - 1, 8) as fwd5, round(lead(close, 20) over w / close - 1, 8) as fwd20, round(range_pct, 8) as range_pct, round(log_volume, 8) as log_volume, sign(ret) = sign(lag(ret) over w) as same_sign, round(coalesce(greatest(-3.0, least(3.0, ln(nullif(volume, 0)) - ln(nullif(lag(volume) over w, 0)))), 0.0), 8) as vol_change from returns window w as (order by session)"),
-    "rolling_risk": ("W3 W4 W5 M4 X2 X3", "select session, case when count(ret) over w20 = 20 then round(stddev_samp(ret) over w20, 8) end as vol20, case when count(close) over w250 >= 60 then round(close / max(close) over w250 - 1, 8) end as drawdown250, case when count(log_range) over w5 = 5 then round(avg(log_range) over w5, 8) end as har5, case when count(log_range) over w22 = 22 then round(avg(log_range) over w22, 8) end as har22, round(nullif(ln(high / low) * ln(high / low) / (4 * ln(2)), 0), 8) as parkinson, @wd(lead(session) over w) as next_weekday, @days(lead(session) over w, session) as gap_days from returns window w as (order by session), w20 as (order by session rows between 19 preceding and current row), w250 as (order by session rows between 249 preceding and current row), w5 as (order by session rows between 4 preceding and current row), w22 as (order by session rows between 21 preceding and current row)"),
-    "crash_events": ("W7 W8 W9 P13 P14 F19", "select firm, session, age, case when count(*) over f20 = 5 then min(close) over f20 / nullif(close, 0) - 1 <= -0.9 end as crash, cast(sum(case when abs(ret) > 1 then 1 else 0 end) over (partition by firm order by session rows between current row and 5 following) as bigint) as jumps_ahead, case when count(ret) over f20 = 5 then round(sum(ret * ret) over f20, 4) end as rv5 from firm_units window f20 as (partition by firm order by session rows between 1 following and 5 following)"),
-    "usable_units": ("P12", "with g as (select firm, session, ret, age, @days(session, prev_session) as back, @days(next_session, session) as ahead from firm_units) select firm, count(*) as n, round(avg(ret), 6) as mean_ret from g where back <= 5 and ahead <= 5 and ret is not null group by firm"),
-    "trailing_news": ("W6", "with d as (select firm, day, count(*) as n from news group by firm, day) select firm, day, cast(sum(n) over (partition by firm order by day rows between 19 preceding and current row) as bigint) as news20 from d"),
-    "autocorrelations": ("I6", "with d as (select ret - avg(ret) over () as d, row_number() over (order by session) as i, count(*) over () as n from returns where ret is not null), v as (select sum(d * d) as v, max(n) as n from d), a as (select k, sum(a.d * b.d) as c from d a cross join (select @range(1, 10) as k) ks join d b on b.i = a.i - k group by k) select k, round(c / v, 6) as acf, round(n * (n + 2) * sum(c * c / (v * v) / (n - k)) over (order by k), 4) as ljung_box from a cross join v"),
-    "year_demeaned": ("W16", "select session, round(ret - avg(ret) over (partition by year(session)), 8) as ret from returns where ret is not null"),
-    "percent_rank_average": ("W17", "select doc_id, round(avg_rank / count(*) over (), 8) as pct from ranked"),
-    "next_session_by_firm": ("W18", "select firm, session, next_session from firm_units"),
-    "shifted_news": ("W21 I15", "with n as (select pos, count(*) over () as n, ret from returns) select a.pos, round(b.ret, 8) as stale from n a join n b on b.pos = (a.pos + 250) % a.n"),
-    "dedupe_keep_last": ("O2 O4", "select l_suppkey, l_linenumber, l_orderkey, l_quantity from (select *, row_number() over (partition by l_suppkey, l_linenumber order by l_orderkey desc, l_partkey desc) as r from lineitem) x where r = 1"),
-    "top_moves": ("O1 O3 O5", "select session, ret from (select session, round(ret, 8) as ret, row_number() over (order by abs(ret) desc, session) as r from returns where ret is not null) x where r <= 10"),
-    "stratified_sample": ("O6", "select row_id, source from (select row_id, source, row_number() over (partition by source order by @hash(concat('11:', row_id)), row_id) as r from headlines) x where r <= 5"),
-    "proportional_allocation": ("O7 G1", "with s as (select lang, relevance_tag, count(*) as n from tagged where is_canonical group by lang, relevance_tag), f as (select *, 60.0 * n / sum(n) over () as want from s), b as (select *, floor(want) as base, row_number() over (order by want - floor(want) desc, lang, relevance_tag) as r, 60 - sum(floor(want)) over () as extra from f) select lang, relevance_tag, n, cast(greatest(least(n, 2), base + case when r <= extra then 1 else 0 end) as bigint) as take from b"),
-    "two_pass_sample": ("O8 O9", "with s as (select row_id, source, lang, @hash(concat('5:', row_id)) as h, row_number() over (partition by source, lang order by @hash(concat('5:', row_id)), row_id) as r from headlines), p as (select *, row_number() over (order by case when r = 1 then 0 else 1 end, h, row_id) as k from s) select row_id, r = 1 as first_pass from p where k <= 100"),
-    "quota_by_year": ("O10", "select row_id, y from (select k.row_id, year(k.published_date) as y, row_number() over (partition by year(k.published_date) order by @hash(concat('3:', k.row_id)), k.row_id) as r from clustered k left join (select distinct c.template_key from clustered c join labels l on c.doc_id = l.doc_id) t on k.template_key = t.template_key where t.template_key is null and k.is_canonical) x where r <= 20"),
-    "chunk_ids": ("O11", "select row_id, cast(floor((row_number() over (order by row_id) - 1) / 100) as bigint) as chunk from headlines"),
-    "majority_label": ("A29 G3 E8", "with c as (select doc_id, label, count(*) as n from votes group by doc_id, label), r as (select *, rank() over (partition by doc_id order by n desc) as k from c), t as (select doc_id, min(label) as label, count(*) as ties, max(n) as n from r where k = 1 group by doc_id) select doc_id, case when ties > 1 then '' else label end as label, n = 3 as unanimous from t"),
-    "cohen_kappa": ("E6", "with t as (select x.lv as i, y.lv as j, count(*) as n from raters r join levels x on r.a1 = x.label join levels y on r.a2 = y.label group by x.lv, y.lv), g as (select a.lv as i, b.lv as j, coalesce(t.n, 0) as n from levels a cross join levels b left join t on t.i = a.lv and t.j = b.lv), m as (select i, j, n, sum(n) over (partition by i) as ri, sum(n) over (partition by j) as cj, sum(n) over () as s from g), e as (select i, j, n, ri * cj / cast(s as double) as x from m) select round(1 - sum(case when i <> j then n else 0 end) / sum(case when i <> j then x else 0.0 end), 6) as nominal, round(1 - sum(abs(i - j) * n) / sum(abs(i - j) * x), 6) as linear, round(1 - sum((i - j) * (i - j) * n) / sum((i - j) * (i - j) * x), 6) as quadratic from e"),
-    "fleiss_kappa": ("E7", "with c as (select doc_id, label, count(*) as n from votes group by doc_id, label), i as (select doc_id, (sum(n * n) - 3) / 6.0 as p from c group by doc_id), q as (select sum(n) / (select 3.0 * count(*) from raters) as share from c group by label), b as (select avg(p) as pbar from i), x as (select sum(share * share) as pe from q) select round((pbar - pe) / (1 - pe), 6) as kappa, case when (pbar - pe) / (1 - pe) > 0.8 then 'almost perfect' when (pbar - pe) / (1 - pe) > 0.6 then 'substantial' when (pbar - pe) / (1 - pe) > 0.4 then 'moderate' when (pbar - pe) / (1 - pe) > 0.2 then 'fair' when (pbar - pe) / (1 - pe) > 0 then 'slight' else 'poor' end as word from b cross join x"),
-    "binary_metrics": ("E1 E4 E5 E10 E11 M9", "with c as (select count(*) as n, sum(y) as pos, count(*) filter (where p > 0.5 and y = 1) as tp, count(*) filter (where p > 0.5 and y = 0) as fp, count(*) filter (where p <= 0.5 and y = 1) as fn, count(*) filter (where p <= 0.5 and y = 0) as tn, avg((p - y) * (p - y)) as brier, avg(-(y * ln(p) + (1 - y) * ln(1 - p))) as log_loss from preds) select n, round((tp + tn) / cast(n as double), 6) as accuracy, round(greatest(pos, n - pos) / cast(n as double), 6) as constant_accuracy, round((tp / cast(tp + fn as double) + tn / cast(tn + fp as double)) / 2, 6) as balanced, round((cast(tp as double) * tn - cast(fp as double) * fn) / sqrt(cast(tp + fp as double) * (tp + fn) * (tn + fp) * (tn + fn)), 6) as mcc, round(brier, 6) as brier, round(log_loss, 6) as log_loss, round(tp / cast(tp + fp as double), 6) as prec, round(tp / cast(tp + fn as double), 6) as recall, round((tp + fp) / cast(n as double), 6) as alarm_rate from c"),
-    "roc_auc": ("E2", "select round((sum(case when y = 1 then avg_rank else 0 end) - sum(y) * (sum(y) + 1) / 2.0) / (cast(sum(y) as double) * (count(*) - sum(y))), 8) as auc from ranked"),
-    "average_precision": ("E3", "with g as (select p, sum(y) as tp, count(*) as n from preds group by p), c as (select p, tp, sum(tp) over (order by p desc) as ctp, sum(n) over (order by p desc) as cn, sum(tp) over () as total from g) select round(sum(tp / cast(total as double) * (ctp / cast(cn as double))), 8) as ap from c"),
-    "holm": ("I9", "select id, round(max(least(1.0, (m - i + 1) * p)) over (order by p, id rows between unbounded preceding and current row), 6) as adjusted from (select id, p, count(*) over () as m, row_number() over (order by p, id) as i from pvalues) x"),
-    "benjamini_hochberg": ("I10", "select id, r <= max(case when p <= 0.1 * r / m then r else 0 end) over () as selected from (select id, p, count(*) over () as m, row_number() over (order by p, id) as r from pvalues) x"),
-    "diebold_mariano": ("I6 I17", "with l as (select i, ret * ret - 0.9 * ret * ret - 0.0001 as d, count(*) over () as n from losses), m as (select avg(d) as mu, max(n) as n from l), z as (select i, d - mu as e, m.n from l cross join m), g0 as (select sum(e * e) / max(n) as g from z), gk as (select k, sum(a.e * b.e) / max(a.n) as g from z a cross join (select @range(1, 5) as k) ks join z b on b.i = a.i - k group by k), v as (select (select g from g0) + sum(2 * (1 - k / 6.0) * g) as v from gk) select m.n, round(m.mu, 8) as mean_diff, round(sqrt(v.v / m.n), 8) as se, round(m.mu / sqrt(v.v / m.n), 4) as dm from m cross join v"),
-    "clark_west": ("I7", "with f as (select ret, 0.0 as f0, 0.1 * lag(ret) over (order by session) as f1 from returns where ret is not null), c as (select (ret - f0) * (ret - f0) - ((ret - f1) * (ret - f1) - (f0 - f1) * (f0 - f1)) as c from f where f1 is not null) select count(*) as n, round(avg(c), 10) as cw, round(avg(c) / (stddev_samp(c) / sqrt(cast(count(*) as double))), 5) as t from c"),
-    "mcnemar_counts": ("I8", "select count(*) filter (where (p > 0.5) = (y = 1) and (doc_id % 3 > 0) <> (y = 1)) as only_first, count(*) filter (where (p > 0.5) <> (y = 1) and (doc_id % 3 > 0) = (y = 1)) as only_second, count(*) as n from preds"),
-    "qlike_losses": ("I17", "select session, round(v / f - ln(v / f) - 1, 6) as qlike from (select session, ret * ret + 0.0001 as v, avg(ret * ret) over (order by session rows between 20 preceding and 1 preceding) + 0.0001 as f from returns) x where f is not null and v is not null"),
-    "verdicts": ("I18", "with e as (select id, p, (id % 21 - 10) / 10.0 as effect, (id % 21 - 10) / 10.0 - 0.3 as lo, (id % 21 - 10) / 10.0 + 0.3 as hi from pvalues) select id, case when lo > -0.5 and hi < 0.5 then 'inside' when p < 0.05 and lo > 0 then 'positive' when p < 0.05 and hi < 0 then 'negative' else 'inconclusive' end as verdict from e"),
-    "detectable_effect": ("I19 I22 M11", "with c as (select count(*) filter (where y <> case when p > 0.5 then 1 else 0 end) as discordant, count(*) as n, stddev_samp(p) / sqrt(cast(count(*) as double)) as se from preds) select n, round(2.8 * se, 8) as mde, round(2.8 * se * sqrt(n / (2.0 * n)), 8) as mde_doubled, round((1.96 + 0.84) * sqrt(cast(discordant as double)) / n, 8) as sign_mde, 2.8 * se <= 0.05 as go from c"),
-    "selection_jaccard": ("I21 U6", "with t as (select distinct year(published_date) as y, @each(@split(template_key, ' ')) as token from keyed), p as (select a.y as y1, b.y as y2, count(*) as both_n from t a join t b on a.token = b.token and a.y < b.y group by a.y, b.y), n as (select y, count(*) as n from t group by y) select p.y1, p.y2, round(both_n / cast(n1.n + n2.n - both_n as double), 6) as jaccard from p join n n1 on p.y1 = n1.y join n n2 on p.y2 = n2.y"),
-    "absent_weekdays": ("X7", "with r as (select min(session) as a, max(session) as b from bars), d as (select @days_range(a, b) as day from r) select d.day from d left join bars b on d.day = b.session where @wd(d.day) < 5 and b.session is null"),
-    "holiday_tags": ("X10", "with t as (select session, lead(session) over (order by session) as target from bars) select session, case when month(target) = 1 and day(target) <= 3 then 'new year' when month(target) = 5 and day(target) <= 2 then 'labour' else '' end as holiday, coalesce(target between date '1996-01-21' and date '1996-02-19' or target between date '1997-01-10' and date '1997-02-08', false) as in_period from t"),
-    "winsorised": ("M6 M7", "with q as (select @q(ret, 0.01) as lo, @q(ret, 0.99) as hi from returns where ret is not null) select session, round(greatest(lo, least(hi, ret)), 8) as ret, round(case when volume > 0 then ret / volume else 0.0 end, 10) as ratio from returns cross join q where ret is not null"),
-    "yearly_ranges": ("X9 S22", "with y as (select distinct year(session) as y from bars) select y, min(session) as first_session, max(session) as last_session, count(*) as sessions from bars b join y on year(b.session) = y.y group by y"),
-    "price_sanity": ("P20", "select count(*) as n, count(*) filter (where high < low) as high_low, count(*) filter (where close > high or close < low) as close_outside, count(*) filter (where low <= 0) as nonpositive, count(*) filter (where volume = 0) as zero_volume, count(*) filter (where close = prev) as stale, count(*) filter (where close is null) as nulls, count(*) filter (where @wd(session) >= 5) as weekend, round(avg(case when low > 0 and high >= low then (high - low) / close end), 6) as mean_range from (select *, lag(close) over (order by session) as prev from bars) x"),
-    "page_fields": ("S13", "select page_id, @rx(html, '<title>([^<]*)</title>', 1) as title, @rx(html, 'lang=\"([a-z]+)\"', 1) as lang, @rx(url, '://([^/?#]+)', 1) as host, @rx(url, '://[^/]+(/[^#]*)', 1) as path, @num(nullif(@rx(url, '/([0-9]+)', 1), '')) as article_id, @date(nullif(@rx(html, '([0-9]{4}-[0-9]{2}-[0-9]{2})', 1), '')) as day from pages"),
-    "first_page_wins": ("S17 S18 S19", "with h as (select page_id, @rx(url, '://[^/]+(/[a-z]+)/', 1) as href, @rx(url, '://([^/]+)', 1) as host from pages) select host, href, min(page_id) as first_page, count(*) as copies, count(distinct page_id % 3) > 1 as conflicting, min(page_id % 30) >= 1 as saturated from h group by host, href"),
-    "json_payload": ("S14", "select event_id, try_cast(coalesce(@json(props, k), nullif(@rx(props, '\"k\": *([0-9]+)', 1), '')) as bigint) as k, event_type in ('click', 'view', 'purchase') as valid from events"),
-    "localised_numbers": ("S21", "select o_orderkey, @num(replace(replace(t, ' ', ''), ',', '.')) as value, split_part(t2, ',', 1) as a, split_part(t2, ',', 2) as b from (select o_orderkey, concat(cast(o_custkey as @str), ' ', lpad(cast(o_orderkey % 1000 as @str), 3, '0'), ',', cast(o_orderkey % 100 as @str)) as t, concat(cast(o_orderkey as @str), ',', o_orderstatus, ',x,y') as t2 from orders) x"),
-    "table_inventory": ("S29", "select 'documents' as name, count(*) as n from documents union all select 'events', count(*) from events union all select 'lineitem', count(*) from lineitem union all select 'pages', count(*) from pages"),
-    "spliced_prices": ("S8", "with o as (select firm, session, close from firm_bars where session < date '1996-01-01'), n as (select firm, session, close * 2 as close from firm_bars where session >= date '1995-06-01'), f as (select o.firm, min(n.close / o.close) as lo, max(n.close / o.close) as hi from o join n on o.firm = n.firm and o.session = n.session group by o.firm) select o.firm, o.session, round(o.close, 8) as close, 'old' as part from o union all select n.firm, n.session, round(n.close / f.lo, 8), 'new' from n join f on n.firm = f.firm where n.session >= date '1996-01-01' and f.hi - f.lo < 1e-9"),
-    "episodes_and_lead_time": ("E12 W12", "with a as (select firm, session, age, close, close < 0.3 * max(close) over (partition by firm order by session rows between 9 preceding and current row) as event, close < 0.6 * max(close) over (partition by firm order by session rows between 9 preceding and current row) as alarm from firm_units), s as (select *, sum(case when event and not coalesce(prev, false) then 1 else 0 end) over (partition by firm order by session) as ep from (select *, lag(event) over (partition by firm order by session) as prev from a) x), e as (select firm, ep, min(age) as start from s where event group by firm, ep) select e.firm, cast(e.ep as bigint) as episode, e.start, max(e.start - s.age) as lead_time from e left join s on s.firm = e.firm and s.alarm and s.age between e.start - 5 and e.start group by e.firm, e.ep, e.start"),
-    "score_fill": ("G8 G5 G7", "select h.row_id, case when year(h.published_date) >= 1998 and l.quality is not null then l.quality * 2 - 1 else t.score end as score, case when year(h.published_date) >= 1998 and l.quality is not null then 'yearly' else 'static' end as provenance from headlines h join tagged t on h.row_id = t.row_id left join labels l on h.doc_id = l.doc_id"),
-    "populated_annotators": ("G2 P15", "select count(*) filter (where trim(a1) <> '') > 0 as annotator_1, count(*) filter (where trim(a2) <> '') > 0 as annotator_2, count(*) - count(distinct doc_id) as duplicate_ids, count(*) filter (where a1 not in ('neg', 'neu', 'pos')) as invalid from raters"),
-    "sealed_frame": ("V1", "select session, round(ret, 8) as ret, case when row_number() over (order by session desc) > 5 then round(fwd5, 8) end as fwd5 from (select session, ret, lead(close, 5) over (order by session) / close - 1 as fwd5 from returns) x where session < date '1997-01-01'"),
-    "shingle_jaccard_band": ("T13 U7 J8", "with w as (select doc_id, lang, published_date, @split(template_key, ' ') as w from keyed), g as (select distinct doc_id, lang, published_date, s from (select doc_id, lang, published_date, concat_ws(' ', w, lead(w) over o, lead(w, 2) over o) as s, lead(w, 2) over o as third, row_number() over o as i from (select doc_id, lang, published_date, p.w as w, p.i as i from (select doc_id, lang, published_date, @words_at(w) as p from w) e) f window o as (partition by doc_id order by i)) h where third is not null or i = 1), n as (select doc_id, count(*) as n from g group by doc_id), c as (select a.doc_id as x, b.doc_id as y, count(*) as c from g a join g b on a.s = b.s and a.lang = b.lang and a.doc_id < b.doc_id and abs(@days(a.published_date, b.published_date)) <= 2 group by 1, 2) select x as left_id, y as right_id, round(c / cast(nx.n + ny.n - c as double), 6) as jaccard from c join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 10 * c >= 8 * (nx.n + ny.n - c)"),
-    "arabic_dates": ("S3", "with r as (select doc_id, case when headline like '%the%' then concat(cast(1 + length(headline) % 31 as @str), ' مارس 2021') when headline like '%la%' then 'منذ يومين' else headline end as raw from headlines), p as (select doc_id, raw, @rx(raw, '^([0-9]+) [^ ]+ ([0-9]+)$', 1) as d, @rx(raw, '^([0-9]+) ([^ ]+) [0-9]+$', 2) as m, @rx(raw, '^[0-9]+ [^ ]+ ([0-9]+)$', 1) as y from r) select doc_id, @date(case when m = 'مارس' then concat(y, '-03-', lpad(d, 2, '0')) end) as day, case when m = 'مارس' then 'abs' when raw like 'منذ%' then 'relative' else 'other' end as category from p"),
-    "rater_agreement": ("E8", "select round(avg(case when a1 = a2 then 1.0 else 0.0 end), 6) as raw_agreement, round(avg(case when a1 = a2 and a2 = a3 then 1.0 else 0.0 end), 6) as unanimous, count(*) filter (where a1 <> a2 and a2 <> a3 and a1 <> a3) as ties from raters"),
-    "gold_sample": ("G1 O8 O9", "with s as (select *, row_number() over (partition by lang, relevance_tag order by @hash(concat('g:', row_id)), row_id) as r, count(*) over (partition by lang, relevance_tag) as n from tagged where is_canonical and date_parse_ok) select row_id, lang, relevance_tag, n from s where r <= greatest(1, least(n, 20))"),
-    "source_pivot": ("A14", "with d as (select a.session, avg(score) filter (where source = 'src1') as s1, avg(score) filter (where source = 'src2') as s2, avg(score) filter (where source not in ('src1', 'src2')) as rest, avg(score) as total from tagged t join strict_asof a on a.day = t.published_date where is_canonical group by a.session) select session, round(coalesce(s1, 0.0), 6) as s1, round(coalesce(s2, 0.0), 6) as s2, round(coalesce(rest, 0.0), 6) as without_both, round(total, 6) as total from d"),
-    "residualised_full_sample": ("F7 F6", "with f as (select n.session, n.sent_mean as y, b.ret as x from news_by_session n join returns b on b.session = n.session where b.ret is not null), s as (select regr_slope(y, x) as b, regr_intercept(y, x) as a from f) select f.session, round(y - (s.a + s.b * x), 6) as residual from f cross join s"),
-    "regression_slopes": ("A18 F8 W13", "with d as (select firm, ret - avg(ret) over (partition by firm) as y, cast(age as double) - avg(cast(age as double)) over (partition by firm) as x from firm_units where ret is not null and abs(ret) < 5) select count(*) as n, round(sum(x * y) / sum(x * x), 6) as within_slope, round(regr_slope(y, x), 6) as ols_slope from d"),
-    "daily_news_features": (
-        "S1 T7 W11 J5 A1 A2 J1 W1 W2 F20",
-        "select b.session, round(b.close, 8) as close, round(b.ret, 8) as ret_lag0, round(lag(b.ret) over w, 8) as ret_lag1, round(lead(b.ret) over w, 8) as ret_next, round(b.range_pct, 8) as range_pct, coalesce(n.n_headlines, 0) as n_headlines, coalesce(n.n_sources, 0) as n_sources, round(coalesce(n.sent_mean, 0.0), 6) as sent_mean, round(coalesce(n.neg_share, 0.0), 6) as neg_share, case when n.session is null then 0.0 else 1.0 end as has_sent, round(ln(1 + coalesce(n.n_headlines, 0)), 6) as log_headlines from returns b left join news_by_session n on b.session = n.session window w as (order by b.session)",
-    ),
-}
+SQL: dict[str, tuple[str, str]] = aggregates_sql.SQL | frames_sql.SQL | joins_sql.SQL | samples_sql.SQL | sources_sql.SQL | tests_sql.SQL | text_sql.SQL | windows_sql.SQL | studies_sql.SQL

@@ -9,7 +9,7 @@ from newstide.functions import text
 from newstide.operators import asof, inference, series, studies, walk
 from newstide.sources import readers
 
-from . import relational, studies_sql  # noqa: F401  (they name the common tables)
+from . import relational  # noqa: F401  (names the common tables)
 from .dialect import render, run, windowed
 from .kernels import _frame
 
@@ -219,7 +219,7 @@ def price_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _shared(spark, "prices")
     bars = run("select cast(session as string) as date, low as open, high, low, close, volume from bars union all select 'n/a', 1, 1, 1, 1, 1")(spark, sf_dir)
     bars.coalesce(1).write.csv(path, header=True)
-    return readers.read_prices(spark, path).select("session", F.round("close", 6).alias("close"), F.round("ret", 6).alias("ret"), F.round("range_pct", 6).alias("range_pct"), F.round("log_volume", 6).alias("log_volume"))
+    return readers.read_prices(spark, path).select("session", "close", F.round("ret", 6).alias("ret"), F.round("range_pct", 6).alias("range_pct"), F.round("log_volume", 6).alias("log_volume"))
 
 
 def ticker_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -349,7 +349,7 @@ ORACLES = {
         "select page_id, case page_id % 6 when 0 then date '2019-03-07' when 1 then date '2020-11-30' when 2 then date '2018-02-09' when 3 then date '2017-12-05' when 4 then cast(try_strptime('2016-' || case when page_id % 4 = 0 then '02' else '08' end || '-' || cast(1 + page_id % 28 as varchar), '%Y-%m-%d') as date) end as day, regexp_extract(case when page_id % 6 = 0 then url || '/2019/03/07/' else url end, '://[^/?#]+([^#]*)', 1) as href, cast(page_id as varchar) as article_id from pages",
         duck=True,
     ),
-    "price_file": render("select session, round(close, 6) as close, round(ret, 6) as ret, round(range_pct, 6) as range_pct, round(log_volume, 6) as log_volume from returns", duck=True),
+    "price_file": render("select session, close, round(ret, 6) as ret, round(range_pct, 6) as range_pct, round(log_volume, 6) as log_volume from returns", duck=True),
     "ticker_folder": render("select concat('F', cast(firm as varchar)) as \"Ticker\", session as \"Date\", close as \"Close\" from firm_bars where firm < 10", duck=True),
     "stored_table": render("select row_id, source, headline, published_date from headlines where date_parse_ok", duck=True),
     "frozen_rerun": windowed(render(FROZEN, duck=True), WINDOW),
