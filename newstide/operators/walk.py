@@ -254,16 +254,31 @@ def dimson_betas(returns: DataFrame, market: DataFrame, years: list[int] | None
     return every.join(betas, ["firm", "year"], "left").withColumn("beta", F.coalesce("beta", F.lit(1.0)))
 
 
-def demean_two_way(frame, value: str, a: str, b: str, tolerance: float = 1e-12, rounds: int = 1000):
-    """value less its means by a and b, by alternating projections (pandas)."""
-    x = frame[value].astype(float)
-    for _ in range(rounds):
-        before = x
-        x = x - x.groupby(frame[a]).transform("mean")
-        x = x - x.groupby(frame[b]).transform("mean")
-        if (x - before).abs().max() < tolerance:
+def demean_two_way(panel: DataFrame, value: str, a: str, b: str, tolerance: float = 1e-12, rounds: int = 1000) -> DataFrame:
+    """panel(a, b, value) with value less its means by a and b, by alternating projections.
+
+    What changes from round to round is one effect for each a and each b, so a
+    round is two aggregations of the panel, and the effects of a go to a table in
+    the shared folder, which cuts the lineage.  Ends when no effect of a moves by
+    more than tolerance times the largest value (or 1).
+    """
+    from newstide.sources.readers import shared_path
+
+    spark = panel.sparkSession
+    rows = panel.select(a, b, F.col(value).cast("double").alias("_y")).where("_y is not null")
+    size = max(1.0, rows.agg(F.max(F.abs("_y"))).first()[0] or 0.0)
+    path = shared_path(spark, "effects")
+    effects, by_b = rows.groupBy(a).agg(F.avg("_y").alias("_a")), None
+    for k in range(rounds):
+        effects.write.parquet(f"{path}/{k}")
+        effects = spark.read.parquet(f"{path}/{k}")
+        by_b = rows.join(effects, a).groupBy(b).agg(F.avg(F.col("_y") - F.col("_a")).alias("_b"))
+        new = rows.join(by_b, b).groupBy(a).agg(F.avg(F.col("_y") - F.col("_b")).alias("_a"))
+        moved = new.select(a, F.col("_a").alias("_n")).join(effects, a).agg(F.max(F.abs(F.col("_n") - F.col("_a")))).first()[0]
+        if moved is None or moved <= tolerance * size:
             break
-    return x
+        effects = new
+    return rows.join(effects, a).join(by_b, b).select(a, b, (F.col("_y") - F.col("_a") - F.col("_b")).alias(value))
 
 
 def text_classifier(rows: DataFrame, labelled: str = "label", features: int = 1 << 16, low: int = 2, high: int = 5, min_df: int = 2, c: float = 2.0):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newstide.functions import text
 from newstide.operators import asof, inference, walk
+from newstide.sources import readers
 from newstide.streaming import news as streams
 
 from .dialect import run
@@ -124,11 +125,7 @@ def surrogate_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def two_way_demeaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Firm and session means taken out by alternating projections."""
     panel = run("select firm, session, close as y from firm_bars")(spark, sf_dir)
-
-    def one(pdf):
-        return pdf[["firm", "session"]].assign(y=walk.demean_two_way(pdf, "y", "firm", "session"))
-
-    return panel.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(one, "firm long, session date, y double")
+    return walk.demean_two_way(panel, "y", "firm", "session")
 
 
 def label_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,13 +137,8 @@ def label_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stored_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written by year, read again, with a cache of what is done taken off."""
-    import uuid
-
-    from newstide.sources import readers
-
     rows = run("select row_id, year(published_date) as year, headline from headlines")(spark, sf_dir)
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{folder.rstrip('/')}/newstide/years-{uuid.uuid4().hex}"
+    path = readers.shared_path(spark, "years")
     readers.write_years(rows, path)
     stored = spark.read.parquet(path)
     done = run("select row_id from headlines where date_parse_ok")(spark, sf_dir)

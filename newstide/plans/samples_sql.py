@@ -54,17 +54,13 @@ SQL: dict[str, tuple[str, str]] = {
     "two_pass_sample": (
         "O8 O9",
         """with s as (
-          select row_id, source, lang, @hash(concat('5:', row_id)) as h,
-              row_number() over (partition by source, lang order by @hash(concat('5:', row_id)), row_id) as r
+          select row_id, @hash(concat('5:', row_id)) as h, row_number() over (partition by source, lang order by @hash(concat('5:', row_id)), row_id) as r
           from headlines
-        ),
-        p as (
-          select *, row_number() over (order by case when r = 1 then 0 else 1 end, h, row_id) as k
-          from s
         )
         select row_id, r = 1 as first_pass
-        from p
-        where k <= 100""",
+        from s
+        order by case when r = 1 then 0 else 1 end, h, row_id
+        limit 100""",
     ),
     "quota_by_year": (
         "O10",
@@ -84,8 +80,21 @@ SQL: dict[str, tuple[str, str]] = {
     ),
     "chunk_ids": (
         "O11",
-        """select row_id, cast(floor((row_number() over (order by row_id) - 1) / 100) as bigint) as chunk
-        from headlines""",
+        """with b as (
+          select row_id, substring(row_id, 1, length(source) + 5) as head
+          from headlines
+        ),
+        g as (
+          select head, coalesce(sum(n) over (order by head rows between unbounded preceding and 1 preceding), 0) as before
+          from (
+            select head, count(*) as n
+            from b
+            group by head
+          ) x
+        )
+        select b.row_id, cast(floor((g.before + row_number() over (partition by b.head order by b.row_id) - 1) / 100) as bigint) as chunk
+        from b
+        join g on g.head = b.head""",
     ),
     "score_fill": (
         "G8 G5 G7",

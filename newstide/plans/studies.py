@@ -18,13 +18,6 @@ MIN_TRAIN, REFIT = [300, 500, 750, 1000], [1, 5, 20, 60]
 OUTLETS = ["o0", "o1"]
 
 
-def _shared(spark: SparkSession, name: str) -> str:
-    import uuid
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{folder.rstrip('/')}/newstide/{name}-{uuid.uuid4().hex}"
-
-
 def walk_forward_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The price arm alone, which has a closed form."""
     p = walk.walk_forward(_frame(spark, sf_dir), {"price": ["x0"]}, "ret_next", "regress")
@@ -216,7 +209,7 @@ def library_page_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def price_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars written as a delimited file and read by the price reader, a bad date among them."""
-    path = _shared(spark, "prices")
+    path = readers.shared_path(spark, "prices")
     bars = run("select cast(session as string) as date, low as open, high, low, close, volume from bars union all select 'n/a', 1, 1, 1, 1, 1")(spark, sf_dir)
     bars.coalesce(1).write.csv(path, header=True)
     return readers.read_prices(spark, path).select("session", "close", F.round("ret", 6).alias("ret"), F.round("range_pct", 6).alias("range_pct"), F.round("log_volume", 6).alias("log_volume"))
@@ -224,7 +217,7 @@ def price_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ticker_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file for each of ten firms, the ticker from the file's name."""
-    path = _shared(spark, "tickers")
+    path = readers.shared_path(spark, "tickers")
     rows = run("select concat('F', cast(firm as string)) as ticker, cast(session as string) as date, close from firm_bars where firm < 10")(spark, sf_dir)
     rows.repartition("ticker").write.partitionBy("ticker").csv(f"{path}/parts", header=True)
     jvm = spark.sparkContext._jvm
@@ -257,7 +250,7 @@ def frozen_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reproduction_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V4: a stored result against its rerun, to 1e-9."""
-    path = _shared(spark, "sealed")
+    path = readers.shared_path(spark, "sealed")
     result = run("select session, close, ret, range_pct from returns")
     result(spark, sf_dir).write.parquet(path)
     told = readers.reproduces(result(spark, sf_dir), spark.read.parquet(path), ["session"])

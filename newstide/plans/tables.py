@@ -143,9 +143,17 @@ part(
     from labels""",
 )
 part(
-    "ranked",
-    """select *, rank() over (order by p) + (count(*) over (partition by p) - 1) / 2.0 as avg_rank
-    from preds""",
+    "ranked",  # equal scores are counted first, so the running sum is over distinct scores
+    """select d.*, r.avg_rank
+    from preds d
+    join (
+      select p, coalesce(sum(n) over (order by p rows between unbounded preceding and 1 preceding), 0) + (n + 1) / 2.0 as avg_rank
+      from (
+        select p, count(*) as n
+        from preds
+        group by p
+      ) g
+    ) r on r.p = d.p""",
 )
 part(
     "raters",
@@ -183,3 +191,19 @@ part(
     from returns
     where ret is not null""",
 )
+part(
+    "ordered_p",  # p-values numbered in order: within bands of p, after the counts of the bands before
+    """select x.id, x.p, x.band, g.m, g.before + row_number() over (partition by x.band order by x.p, x.id) as i
+    from (
+      select id, p, cast(floor(p * 400) as int) as band
+      from pvalues
+    ) x
+    join (
+      select band, coalesce(sum(n) over (order by band rows between unbounded preceding and 1 preceding), 0) as before, sum(n) over () as m
+      from (
+        select cast(floor(p * 400) as int) as band, count(*) as n
+        from pvalues
+        group by cast(floor(p * 400) as int)
+      ) y
+    ) g on g.band = x.band""",
+)

@@ -125,19 +125,31 @@ SQL: dict[str, tuple[str, str]] = {
     ),
     "holm": (
         "I9",
-        """select id, round(max(least(1.0, (m - i + 1) * p)) over (order by p, id rows between unbounded preceding and current row), 6) as adjusted
-        from (
-          select id, p, count(*) over () as m, row_number() over (order by p, id) as i
-          from pvalues
-        ) x""",
+        """with v as (
+          select id, p, i, band, least(1.0, (m - i + 1) * p) as v
+          from ordered_p
+        ),
+        g as (
+          select band, coalesce(max(v) over (order by band rows between unbounded preceding and 1 preceding), 0.0) as before
+          from (
+            select band, max(v) as v
+            from v
+            group by band
+          ) x
+        )
+        select v.id, round(greatest(g.before, max(v.v) over (partition by v.band order by v.i rows between unbounded preceding and current row)), 6) as adjusted
+        from v
+        join g on g.band = v.band""",
     ),
     "benjamini_hochberg": (
         "I10",
-        """select id, r <= max(case when p <= 0.1 * r / m then r else 0 end) over () as selected
-        from (
-          select id, p, count(*) over () as m, row_number() over (order by p, id) as r
-          from pvalues
-        ) x""",
+        """select o.id, o.i <= b.last as selected
+        from ordered_p o
+        cross join (
+          select coalesce(max(i), 0) as last
+          from ordered_p
+          where p <= 0.1 * i / m
+        ) b""",
     ),
     "diebold_mariano": (
         "I6 I17",

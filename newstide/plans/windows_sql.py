@@ -81,8 +81,12 @@ SQL: dict[str, tuple[str, str]] = {
     ),
     "percent_rank_average": (
         "W17",
-        """select doc_id, round(avg_rank / count(*) over (), 8) as pct
-        from ranked""",
+        """select doc_id, round(avg_rank / n, 8) as pct
+        from ranked
+        cross join (
+          select count(*) as n
+          from preds
+        ) c""",
     ),
     "next_session_by_firm": (
         "W18",

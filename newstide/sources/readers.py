@@ -119,6 +119,14 @@ def splice(old: DataFrame, new: DataFrame, cutoff: str, tolerance: float = 1e-9)
     return old.where(F.col("session") <= F.lit(cutoff).cast("date")).select("firm", "session", "close").unionByName(later)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share: that of spark.checkpoint.dir, else the warehouse."""
+    import uuid
+
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{folder.rstrip('/')}/newstide/{name}-{uuid.uuid4().hex}"
+
+
 def write_years(df: DataFrame, path: str) -> None:
     """Parquet by year; only the years in df are overwritten."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
