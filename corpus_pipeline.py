@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the one
 before has kept; all but the last return the columns of documents.
+
+Nulls and edge cases: a document with null or empty text goes at the first
+stage, as there is nothing to learn from; one without doc_id stays through all
+stages (the near-duplicate stage can't name it) and is packed; rows that repeat
+a doc_id and a text stay together or go together; an empty table gives no rows;
+columns beyond those of documents are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -9,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from newstide.llm import ngram_join, packing, quality, rules
-from newstide.llm.common import stage_table
+from newstide.llm.common import remove, stage_table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,5 +53,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage, over documents of sf_dir."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stage_table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        docs = stage_table(stage(spark, docs, sf_dir), name.replace(" ", "-"), docs)  # the table before goes
+    out = STAGES[-1][1](spark, docs, sf_dir)  # packing has written its pieces, and reads those
+    remove(spark, docs._stage_path)
+    return out
