@@ -30,7 +30,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/newstide/{name}-{uuid.uuid4().hex}"
+    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/newstide/{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes this application's stage tables and shards: for when no returned frame is to be read any more.
+
+    Operators remove the tables that they are through with; those that their
+    result still reads stay until then.
+    """
+    remove(spark, _own_dir(spark))
 
 
 def stage_table(df: DataFrame, name: str, *drop: DataFrame, **options: str) -> DataFrame:
