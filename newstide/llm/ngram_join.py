@@ -217,6 +217,8 @@ def _links(docs: DataFrame, groups: DataFrame, pairs: DataFrame, k: int, num: in
     spark = docs.sparkSession
     x, y = (groups.select(F.col("node").alias(c), F.col("large").alias(d), F.col("n").alias(e)) for c, d, e in (("a", "x", "m"), ("b", "y", "n")))
     pairs = stage_table(map_slices(pairs.join(x, "a").join(y, "b"), _sketches_allow(num, den), "a long, b long").distinct(), "pairs")
+    if pairs.isEmpty():
+        return pairs
     asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     bitmap = id_bitmap(asked, "doc_id")
     ids = docs.where("doc_id is not null").select("doc_id", "text", id_hash("doc_id").alias("h"))
@@ -265,7 +267,8 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     y = now.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
     rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.part") == F.col("y.part")) & F.expr("x.comp < y.comp") & _may_link("x", "y", num, den))
     more = _links(docs, groups, _pairs(rest).join(links, ["a", "b"], "left_anti"), k, num, den)
-    found = components(links.unionByName(more))
+    # the first components are stars already: only what the second step found is new
+    found = near if more.isEmpty() else components(near.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     heads = groups.select("fp", "node").join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
     heads = stage_table(heads.groupBy("fp").agg(F.min("component").alias("component")), "heads", groups, live, links, more, near, found)  # so that the join's two exchanges are its own, and a hot set can be split
