@@ -24,8 +24,11 @@ def forward_asof(left: DataFrame, right: DataFrame, left_day: str, right_day: st
 
 
 def fill_forward(panel: DataFrame, calendar: DataFrame, key: str, day: str, value: str) -> DataFrame:
-    """key, day, value on every day of the calendar: the last value known."""
-    grid = panel.select(key).distinct().crossJoin(F.broadcast(calendar.select(F.col(calendar.columns[0]).alias(day)).distinct()))
+    """key, day, value on every day of the calendar: the last value known.
+
+    Whether the days are broadcast is left to Spark, which checks their size.
+    """
+    grid = panel.select(key).distinct().crossJoin(calendar.select(F.col(calendar.columns[0]).alias(day)).distinct())
     w = Window.partitionBy(key).orderBy(day)
     return grid.join(panel.select(key, day, value), [key, day], "left").withColumn(value, F.last(value, ignorenulls=True).over(w))
 
