@@ -88,8 +88,9 @@ def _counts(k: int, log2: int):
 
         total = np.zeros(1 << log2, dtype=np.uint32)
         for batch in batches:
-            for text in batch["text"]:
-                np.add.at(total, (shingles(text, k) >> np.uint64(64 - log2)).astype(np.int64), 1)
+            at = np.concatenate([shingles(text, k) for text in batch["text"]]) >> np.uint64(64 - log2)
+            at.sort()  # neighbours in memory, one after the other
+            np.add.at(total, at.astype(np.int64), np.uint32(1))
         coder = zstandard.ZstdCompressor(level=1)
         parts = total.reshape(-1, SEGMENT)
         rows = [(i, coder.compress(parts[i].tobytes())) for i in np.flatnonzero(parts.any(axis=1)).tolist()]
