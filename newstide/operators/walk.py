@@ -6,6 +6,8 @@ Everything that is learned is fitted on rows before i - embargo, in blocks of
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,12 +19,12 @@ def ols(x, y):
     return np.linalg.lstsq(np.column_stack([np.ones(len(x)), x]), y, rcond=None)[0]
 
 
-def logit(x, y, c: float = 1.0, balanced: bool = False, rounds: int = 50):
-    """Newton's method for an l2-penalised logistic fit (intercept free): intercept first."""
+def logit(x, y, c: float = 1.0, balanced: bool = False, rounds: int = 50, times=None):
+    """Newton's method for an l2-penalised logistic fit (intercept free): intercept first.  times: how often each row stands."""
     import numpy as np
 
     a = np.column_stack([np.ones(len(x)), x])
-    weight = np.ones(len(y))
+    weight = np.ones(len(y)) if times is None else np.asarray(times, float)
     if balanced:
         weight = np.where(y == 1, len(y) / max(2 * y.sum(), 1), len(y) / max(2 * (1 - y).sum(), 1))
     ridge = np.eye(a.shape[1]) / c
@@ -183,14 +185,19 @@ def panel_blocks(panel: DataFrame, features: list[str], event: str, warm: int =
         p = score(test)
         return pd.DataFrame({"pos": test["pos"], "firm": test["firm"], "session": test["session"], "event": test[event].astype(float), "prob": p, "alarm": p >= bar})
 
-    panel = panel.select("pos", "firm", "session", *features, event).dropna(subset=features)
+    each = with_history(panel.select("pos", "firm", "session", *features, event).dropna(subset=features), warm, ahead, step)
+    each = each.withColumns({c: F.when(F.col("pos") >= F.col("_block"), F.col(c)) for c in ("firm", "session")})
+    return each.groupBy("_block").applyInPandas(run, "pos long, firm long, session date, event double, prob double, alarm boolean")
+
+
+def with_history(rows: DataFrame, warm: int, ahead: int, step: int) -> DataFrame:
+    """Rows with ``_block``: once for the block of positions that they are in, and once for each later block that learns from them."""
     own = F.when(F.col("pos") >= warm, warm + F.floor((F.col("pos") - warm) / step) * step).cast("long")  # the block a row is scored in
     next_ = F.greatest(F.lit(warm), warm + (F.floor((F.col("pos") + ahead - warm) / step) + 1) * step).cast("long")  # the first that learns from it
     later = F.when(next_ <= F.col("_last"), F.sequence(next_, F.col("_last"), F.lit(step).cast("long")))
     blocks = F.array_compact(F.concat(F.array(own), F.coalesce(later, F.expr("cast(array() as array<bigint>)"))))
-    each = panel.crossJoin(F.broadcast(panel.agg(F.max("pos").cast("long").alias("_last")))).withColumn("_block", F.explode(blocks)).drop("_last")
-    each = each.withColumns({c: F.when(F.col("pos") >= F.col("_block"), F.col(c)) for c in ("firm", "session")})
-    return each.groupBy("_block").applyInPandas(run, "pos long, firm long, session date, event double, prob double, alarm boolean")
+    last = F.broadcast(rows.agg(F.max("pos").cast("long").alias("_last")))  # one row
+    return rows.crossJoin(last).withColumn("_block", F.explode(blocks)).drop("_last")
 
 
 def isotonic(x, y):
@@ -230,6 +237,34 @@ def calibrate(frame, method: str = "platt", warm: int = 260, step: int = 20, ahe
     return frame
 
 
+def calibrate_blocks(preds: DataFrame, method: str = "platt", warm: int = 260, step: int = 20, ahead: int = 20) -> DataFrame:
+    """preds(pos, prob, event, ...) with ``calibrated``, as :func:`calibrate` has it: blocks are groups, and equal rows are counted first."""
+    import numpy as np
+
+    cells = preds.groupBy("pos", "prob", "event").agg(F.count(F.lit(1)).alias("times"))
+
+    def run(key, pdf):
+        k = int(key[0])
+        pdf = pdf.sort_values(["pos", "prob", "event"])
+        past = pdf[(pdf["pos"] < k - ahead) & pdf["event"].notna()]
+        now = pdf[pdf["pos"] >= k][["pos", "prob"]].drop_duplicates()
+        clip = lambda p: np.clip(np.asarray(p, float), 1e-6, 1 - 1e-6)
+        odds = lambda p: np.log(clip(p) / (1 - clip(p)))
+        if past["event"].nunique() < 2:
+            return now.iloc[:0].assign(calibrated=0.0)
+        if method == "platt":
+            w = logit(odds(past["prob"])[:, None], past["event"].to_numpy(float), c=1e6, times=past["times"])
+            got = 1 / (1 + np.exp(-(w[0] + w[1] * odds(now["prob"]))))
+        else:
+            whole = past.loc[past.index.repeat(past["times"])]
+            got = np.interp(now["prob"], *isotonic(whole["prob"].to_numpy(), whole["event"].to_numpy()))
+        return now.assign(calibrated=clip(got))
+
+    found = with_history(cells, warm, ahead, step).groupBy("_block").applyInPandas(run, "pos long, prob double, calibrated double")
+    found = found.select(F.col("pos").alias("_pos"), F.col("prob").alias("_prob"), "calibrated")
+    return preds.join(found, (preds["pos"] == F.col("_pos")) & (preds["prob"] == F.col("_prob")), "left").drop("_pos", "_prob")
+
+
 def dimson_betas(returns: DataFrame, market: DataFrame, years: list[int] | None = None, window: int = 250, least: int = 60) -> DataFrame:
     """firm, year, beta: slopes on the market's lag, same and lead day summed, over the sessions before each year; 1 with too few or none.
 
@@ -260,7 +295,8 @@ def demean_two_way(panel: DataFrame, value: str, a: str, b: str, tolerance: floa
     What changes from round to round is one effect for each a and each b, so a
     round is two aggregations of the panel, and the effects of a go to a table in
     the shared folder, which cuts the lineage.  Ends when no effect of a moves by
-    more than tolerance times the largest value (or 1).
+    more than tolerance, or when rounding alone moves them (they move no less
+    than in the round before, and by under 1e-10 of the largest value).
     """
     from newstide.sources.readers import shared_path
 
@@ -268,16 +304,16 @@ def demean_two_way(panel: DataFrame, value: str, a: str, b: str, tolerance: floa
     rows = panel.select(a, b, F.col(value).cast("double").alias("_y")).where("_y is not null")
     size = max(1.0, rows.agg(F.max(F.abs("_y"))).first()[0] or 0.0)
     path = shared_path(spark, "effects")
-    effects, by_b = rows.groupBy(a).agg(F.avg("_y").alias("_a")), None
+    effects, by_b, last = rows.groupBy(a).agg(F.avg("_y").alias("_a")), None, math.inf
     for k in range(rounds):
         effects.write.parquet(f"{path}/{k}")
         effects = spark.read.parquet(f"{path}/{k}")
         by_b = rows.join(effects, a).groupBy(b).agg(F.avg(F.col("_y") - F.col("_a")).alias("_b"))
         new = rows.join(by_b, b).groupBy(a).agg(F.avg(F.col("_y") - F.col("_b")).alias("_a"))
         moved = new.select(a, F.col("_a").alias("_n")).join(effects, a).agg(F.max(F.abs(F.col("_n") - F.col("_a")))).first()[0]
-        if moved is None or moved <= tolerance * size:
+        if moved is None or moved <= tolerance or last <= moved <= 1e-10 * size:
             break
-        effects = new
+        effects, last = new, moved
     return rows.join(effects, a).join(by_b, b).select(a, b, (F.col("_y") - F.col("_a") - F.col("_b")).alias(value))
 
 

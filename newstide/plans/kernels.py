@@ -45,12 +45,9 @@ def panel_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def calibrated_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Platt calibration in blocks whose outcomes were known."""
-    preds = run("select b.pos, l.p as prob, l.y as event, l.doc_id from preds l join bars b on b.pos = l.doc_id % 900")(spark, sf_dir)
+    preds = run("select cast(b.pos as bigint) as pos, l.p as prob, cast(l.y as double) as event, l.doc_id from preds l join bars b on b.pos = l.doc_id % 900")(spark, sf_dir)
 
-    def one(pdf):
-        return walk.calibrate(pdf)[["doc_id", "pos", "prob", "calibrated"]]
-
-    return preds.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(one, "doc_id long, pos long, prob double, calibrated double")
+    return walk.calibrate_blocks(preds).select("doc_id", "pos", "prob", "calibrated")
 
 
 def dimson_betas(spark: SparkSession, sf_dir: str) -> DataFrame:
