@@ -147,7 +147,7 @@ def _deal(n: int, key: int, per_shard: int, first, flush: int = 1 << 26):
         import pandas as pd
         import zstandard
 
-        coder = zstandard.ZstdCompressor(level=3)
+        coder = zstandard.ZstdCompressor(level=6)
         held: dict[int, tuple[list, list]] = {}
         size = 0
 
@@ -262,7 +262,7 @@ def materialise(docs: DataFrame, directory: str | None = None, window: int = 512
     store, done = _store(spark, f"{table}/_SUCCESS")
     if not store.exists(done):
         cut = map_slices(docs, _windows(window, end_id, tokenizer, f"<u{width}"), _SEQUENCE)
-        cut.write.options(compression="zstd", **{"parquet.compression.codec.zstd.level": "3"}).mode("overwrite").parquet(table)
+        cut.write.options(compression="zstd", **{"parquet.compression.codec.zstd.level": "6"}).mode("overwrite").parquet(table)
     parts = spark.read.schema(_SEQUENCE).parquet(table)
 
     first, n = _first(parts)
