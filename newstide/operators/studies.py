@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from newstide.sources import readers
+
 from . import inference, walk
 
 
@@ -48,7 +50,7 @@ def firm_models(units: DataFrame, features: list[str], by: str = "_year") -> tup
     import numpy as np
 
     cols, k = [*features, "y"], len(features)
-    sums = _sums(units, [by, "firm"], cols)
+    sums = readers.stored(_sums(units, [by, "firm"], cols), "firm-sums")
     inner = [(F.sum(F.col(f"p_{i}_{j}") - F.col(f"s_{i}") * F.col(f"s_{j}") / F.col("n"))).alias(f"p_{i}_{j}") for i in range(k + 1) for j in range(i, k + 1)]
     slopes = {}
     for r in sums.groupBy(by).agg(*inner).collect():
@@ -107,7 +109,7 @@ def yearly_walk(units: DataFrame, events: DataFrame, years: list[int], features:
     fitted = spark.createDataFrame([(y, means[y], *b) for y, b in slopes.items()], "_year int, _mean double, " + ", ".join(f"_b{i} double" for i in range(len(features))))
     f0 = F.coalesce("alpha", "_mean") + _linear([(F.col(f"_b{i}"), c) for i, c in enumerate(features)])
     each = events.crossJoin(year).where(known | (F.year("session") == F.col("_year"))).join(F.broadcast(fitted), "_year").join(alphas, ["_year", "firm"], "left")
-    each = each.withColumn("f0", f0).withColumn("_known", known).drop("alpha", "_mean", *[f"_b{i}" for i in range(len(features))])
+    each = readers.stored(each.withColumn("f0", f0).withColumn("_known", known).drop("alpha", "_mean", *[f"_b{i}" for i in range(len(features))]), "yearly-events")
     rest = F.col("y") - F.col("f0")
     edges = each.where("_known").groupBy("_year").agg(F.percentile(rest, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("_e"))
     label = F.when(rest > F.col("_e")[1], 1.0).when(rest < F.col("_e")[0], 0.0)
@@ -120,7 +122,7 @@ def yearly_walk(units: DataFrame, events: DataFrame, years: list[int], features:
 
     cols = sorted({c for a in arms.values() for c in a})
     later = F.broadcast(spark.createDataFrame([(y,) for y in years[1:]], "_year int"))
-    one = scored.withColumn("_one", F.lit(1.0))
+    one = readers.stored(scored, "scored-events").withColumn("_one", F.lit(1.0))
     train = one.crossJoin(later).where(known & (F.col("session") >= F.lit(test_from).cast("date")))
     fits = []
     names = ["_one", *cols, "y"]

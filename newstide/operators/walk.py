@@ -11,6 +11,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newstide.sources import readers
+
 
 def ols(x, y):
     """Coefficients with the intercept first."""
@@ -298,12 +300,10 @@ def demean_two_way(panel: DataFrame, value: str, a: str, b: str, tolerance: floa
     more than tolerance, or when rounding alone moves them (they move no less
     than in the round before, and by under 1e-10 of the largest value).
     """
-    from newstide.sources.readers import shared_path
-
     spark = panel.sparkSession
     rows = panel.select(a, b, F.col(value).cast("double").alias("_y")).where("_y is not null")
     size = max(1.0, rows.agg(F.max(F.abs("_y"))).first()[0] or 0.0)
-    path = shared_path(spark, "effects")
+    path = readers.shared_path(spark, "effects")
     effects, by_b, last = rows.groupBy(a).agg(F.avg("_y").alias("_a")), None, math.inf
     for k in range(rounds):
         effects.write.parquet(f"{path}/{k}")

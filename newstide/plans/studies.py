@@ -90,8 +90,9 @@ HAR = ["abs_r", "har5", "har22"]
 
 
 def yearly_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[int]]:
-    units = run(UNITS)(spark, sf_dir)
-    events = run(f"with units as ({UNITS}) {EVENTS}")(spark, sf_dir)
+    units = readers.stored(run(UNITS)(spark, sf_dir), "units")
+    units.createOrReplaceTempView("units")
+    events = run(EVENTS)(spark, sf_dir)
     years = sorted(r.y for r in units.select(F.year("session").alias("y")).distinct().collect())  # a row for each year
     return units, events, years[1:]
 
