@@ -168,38 +168,45 @@ def walk_forward(frame: DataFrame, arms: dict[str, list[str]], target: str, kind
 def panel_blocks(panel: DataFrame, features: list[str], event: str, warm: int = 250, ahead: int = 20, step: int = 20) -> DataFrame:
     """Pooled logistic warnings: each block of ``step`` positions is fitted on pos < k - ahead; alarm at the training 95th percentile.
 
-    panel(pos, firm, session, features, event).  Blocks are independent groups:
-    each gets its history, without the names of firms and sessions, and its rows.
+    panel(pos, firm, session, features, event).  Runs of TOGETHER blocks are
+    independent groups: each gets its history once, without the names of firms
+    and sessions, and its rows.
     """
     import numpy as np
     import pandas as pd
 
     def run(key, pdf):
-        k, empty = int(key[0]), pd.DataFrame(columns=["pos", "firm", "session", "event", "prob", "alarm"])
-        train = pdf[(pdf["pos"] < k - ahead) & pdf[event].notna()].sort_values(["pos", *features, event])
-        test = pdf[pdf["pos"] >= k].sort_values(["pos", "firm"])
-        if not len(test) or train[event].nunique() < 2:
-            return empty
-        mean, sd = train[features].mean(), train[features].std(ddof=0).replace(0, 1)
-        w = logit(((train[features] - mean) / sd).to_numpy(float), train[event].to_numpy(float), balanced=True)
-        score = lambda d: 1 / (1 + np.exp(-np.column_stack([np.ones(len(d)), ((d[features] - mean) / sd).to_numpy(float)]) @ w))
-        bar = float(np.quantile(score(train), 0.95))
-        p = score(test)
-        return pd.DataFrame({"pos": test["pos"], "firm": test["firm"], "session": test["session"], "event": test[event].astype(float), "prob": p, "alarm": p >= bar})
-
-    each = with_history(panel.select("pos", "firm", "session", *features, event).dropna(subset=features), warm, ahead, step)
+        pdf = pdf.sort_values(["pos", *features, event])
+        out = [pd.DataFrame(columns=["pos", "firm", "session", "event", "prob", "alarm"])]
+        for k in range(int(key[0]), int(key[0]) + step * TOGETHER, step):
+            train = pdf[(pdf["pos"] < k - ahead) & pdf[event].notna()]
+            test = pdf[(pdf["pos"] >= k) & (pdf["pos"] < k + step)].sort_values(["pos", "firm"])
+            if not len(test) or train[event].nunique() < 2:
+                continue
+            mean, sd = train[features].mean(), train[features].std(ddof=0).replace(0, 1)
+            w = logit(((train[features] - mean) / sd).to_numpy(float), train[event].to_numpy(float), balanced=True)
+            score = lambda d: 1 / (1 + np.exp(-np.column_stack([np.ones(len(d)), ((d[features] - mean) / sd).to_numpy(float)]) @ w))  # noqa: B023, E731
+            bar = float(np.quantile(score(train), 0.95))
+            p = score(test)
+            out.append(pd.DataFrame({"pos": test["pos"], "firm": test["firm"], "session": test["session"], "event": test[event].astype(float), "prob": p, "alarm": p >= bar}))
+        return pd.concat(out[1:]) if len(out) > 1 else out[0]
+
+    each = with_history(panel.select("pos", "firm", "session", *features, event).dropna(subset=features), warm, step)
     each = each.withColumns({c: F.when(F.col("pos") >= F.col("_block"), F.col(c)) for c in ("firm", "session")})
     return each.groupBy("_block").applyInPandas(run, "pos long, firm long, session date, event double, prob double, alarm boolean")
 
 
-def with_history(rows: DataFrame, warm: int, ahead: int, step: int) -> DataFrame:
-    """Rows with ``_block``: once for the block of positions that they are in, and once for each later block that learns from them."""
-    own = F.when(F.col("pos") >= warm, warm + F.floor((F.col("pos") - warm) / step) * step).cast("long")  # the block a row is scored in
-    next_ = F.greatest(F.lit(warm), warm + (F.floor((F.col("pos") + ahead - warm) / step) + 1) * step).cast("long")  # the first that learns from it
-    later = F.when(next_ <= F.col("_last"), F.sequence(next_, F.col("_last"), F.lit(step).cast("long")))
-    blocks = F.array_compact(F.concat(F.array(own), F.coalesce(later, F.expr("cast(array() as array<bigint>)"))))
+#: Blocks of positions that share a task and a copy of the history before them.
+TOGETHER = 5
+
+
+def with_history(rows: DataFrame, warm: int, step: int) -> DataFrame:
+    """Rows with ``_block``, the first position of a run of TOGETHER blocks: once for the run that they are in, and once for each later one."""
+    size = step * TOGETHER
+    own = F.greatest(F.lit(warm), warm + F.floor((F.col("pos") - warm) / size) * size).cast("long")
     last = F.broadcast(rows.agg(F.max("pos").cast("long").alias("_last")))  # one row
-    return rows.crossJoin(last).withColumn("_block", F.explode(blocks)).drop("_last")
+    runs = F.when(own <= F.col("_last"), F.sequence(own, F.col("_last"), F.lit(size).cast("long")))
+    return rows.crossJoin(last).withColumn("_block", F.explode(runs)).drop("_last")
 
 
 def isotonic(x, y):
@@ -240,29 +247,33 @@ def calibrate(frame, method: str = "platt", warm: int = 260, step: int = 20, ahe
 
 
 def calibrate_blocks(preds: DataFrame, method: str = "platt", warm: int = 260, step: int = 20, ahead: int = 20) -> DataFrame:
-    """preds(pos, prob, event, ...) with ``calibrated``, as :func:`calibrate` has it: blocks are groups, and equal rows are counted first."""
+    """preds(pos, prob, event, ...) with ``calibrated``, as :func:`calibrate` has it: runs of blocks are groups, and equal rows are counted first."""
     import numpy as np
+    import pandas as pd
 
     cells = preds.groupBy("pos", "prob", "event").agg(F.count(F.lit(1)).alias("times"))
 
+    clip = lambda p: np.clip(np.asarray(p, float), 1e-6, 1 - 1e-6)
+    odds = lambda p: np.log(clip(p) / (1 - clip(p)))
+
     def run(key, pdf):
-        k = int(key[0])
         pdf = pdf.sort_values(["pos", "prob", "event"])
-        past = pdf[(pdf["pos"] < k - ahead) & pdf["event"].notna()]
-        now = pdf[pdf["pos"] >= k][["pos", "prob"]].drop_duplicates()
-        clip = lambda p: np.clip(np.asarray(p, float), 1e-6, 1 - 1e-6)
-        odds = lambda p: np.log(clip(p) / (1 - clip(p)))
-        if past["event"].nunique() < 2:
-            return now.iloc[:0].assign(calibrated=0.0)
-        if method == "platt":
-            w = logit(odds(past["prob"])[:, None], past["event"].to_numpy(float), c=1e6, times=past["times"])
-            got = 1 / (1 + np.exp(-(w[0] + w[1] * odds(now["prob"]))))
-        else:
-            whole = past.loc[past.index.repeat(past["times"])]
-            got = np.interp(now["prob"], *isotonic(whole["prob"].to_numpy(), whole["event"].to_numpy()))
-        return now.assign(calibrated=clip(got))
-
-    found = with_history(cells, warm, ahead, step).groupBy("_block").applyInPandas(run, "pos long, prob double, calibrated double")
+        out = [pdf[["pos", "prob"]].iloc[:0].assign(calibrated=0.0)]
+        for k in range(int(key[0]), int(key[0]) + step * TOGETHER, step):
+            past = pdf[(pdf["pos"] < k - ahead) & pdf["event"].notna()]
+            now = pdf[(pdf["pos"] >= k) & (pdf["pos"] < k + step)][["pos", "prob"]].drop_duplicates()
+            if past["event"].nunique() < 2 or not len(now):
+                continue
+            if method == "platt":
+                w = logit(odds(past["prob"])[:, None], past["event"].to_numpy(float), c=1e6, times=past["times"])
+                got = 1 / (1 + np.exp(-(w[0] + w[1] * odds(now["prob"]))))
+            else:
+                whole = past.loc[past.index.repeat(past["times"])]
+                got = np.interp(now["prob"], *isotonic(whole["prob"].to_numpy(), whole["event"].to_numpy()))
+            out.append(now.assign(calibrated=clip(got)))
+        return pd.concat(out[1:]) if len(out) > 1 else out[0]
+
+    found = with_history(cells, warm, step).groupBy("_block").applyInPandas(run, "pos long, prob double, calibrated double")
     found = found.select(F.col("pos").alias("_pos"), F.col("prob").alias("_prob"), "calibrated")
     return preds.join(found, (preds["pos"] == F.col("_pos")) & (preds["prob"] == F.col("_prob")), "left").drop("_pos", "_prob")
 
