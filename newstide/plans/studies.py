@@ -217,15 +217,15 @@ def price_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ticker_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file for each of ten firms, the ticker from the file's name."""
+    """A file for each firm, the ticker from the file's name."""
     path = readers.shared_path(spark, "tickers")
-    rows = run("select concat('F', cast(firm as string)) as ticker, cast(session as string) as date, close from firm_bars where firm < 10")(spark, sf_dir)
+    rows = run("select concat('F', cast(firm as string)) as ticker, cast(session as string) as date, close from firm_bars")(spark, sf_dir)
     rows.repartition("ticker").write.partitionBy("ticker").csv(f"{path}/parts", header=True)
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(f"{path}/parts")
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(jvm.org.apache.hadoop.fs.Path(f"{path}/files"))
-    for part in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/parts/ticker=*/part-*")):  # a file for each of the ten
+    for part in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/parts/ticker=*/part-*")):  # a file for each firm
         name = part.getPath().getParent().getName().split("=")[1]
         fs.rename(part.getPath(), jvm.org.apache.hadoop.fs.Path(f"{path}/files/{name}.csv"))
     return readers.read_ticker_folder(spark, f"{path}/files").select("Ticker", F.col("Date").cast("date").alias("Date"), F.col("Close").cast("double").alias("Close"))
@@ -344,7 +344,7 @@ ORACLES = {
         duck=True,
     ),
     "price_file": render("select session, close, round(ret, 6) as ret, round(range_pct, 6) as range_pct, round(log_volume, 6) as log_volume from returns", duck=True),
-    "ticker_folder": render("select concat('F', cast(firm as varchar)) as \"Ticker\", session as \"Date\", close as \"Close\" from firm_bars where firm < 10", duck=True),
+    "ticker_folder": render("select concat('F', cast(firm as varchar)) as \"Ticker\", session as \"Date\", close as \"Close\" from firm_bars", duck=True),
     "stored_table": render("select row_id, source, headline, published_date from headlines where date_parse_ok", duck=True),
     "frozen_rerun": windowed(render(FROZEN, duck=True), WINDOW),
     "reproduction_check": render("select c as \"column\", (select count(*) from bars) as n, cast(0 as bigint) as missing, true as same from (select unnest(['close', 'ret', 'range_pct']) as c) x", duck=True),

@@ -18,11 +18,6 @@ part(
         select doc_id, published_date, @words_at(@split(template_key, ' ')) as t from keyed where template_key <> '' and date_parse_ok
     ) k join strict_asof a on a.day = k.published_date join bars b on b.session = a.session""",
 )
-part(
-    "factorials",
-    """select i, sum(case when i = 0 then 0.0 else ln(cast(i as double)) end) over (order by i) as lf
-    from (select @range(0, (select count(*) from documents)) as i) r""",
-)
 part(
     "issuers",
     """select concat('T', cast(row_number() over (order by n desc, w) as @str)) as ticker, w as name from (
@@ -78,11 +73,9 @@ SQL: dict[str, tuple[str, str]] = {
     t as (select distinct doc_id, big, q, @each(@split(template_key, ' ')) as token from e),
     b as (select avg(cast(big as double)) as base from e),
     w as (select token, count(*) as events, count(distinct q) as quarters, count(big) as n, cast(sum(big) as bigint) as k from t group by token having count(*) >= 30 and count(distinct q) >= 6 and count(big) > 0),
-    nk as (select distinct n, k from w),
-    o as (select n, k, @range(0, n) as i from nk),
-    l as (select o.n, o.k, o.i, fn.lf - fi.lf - fr.lf + o.i * ln(base) + (o.n - o.i) * ln(1 - base) as lp
-        from o cross join b join factorials fn on fn.i = o.n join factorials fi on fi.i = o.i join factorials fr on fr.i = o.n - o.i),
-    p as (select l.n, l.k, least(1.0, sum(exp(l.lp))) as p from l join l m on m.n = l.n and m.k = l.k and m.i = m.k where l.lp <= m.lp + 0.0000001 group by l.n, l.k),
+    nk as (select n, k, base, @lf(n) - @lf(k) - @lf((n - k)) + k * ln(base) + (n - k) * ln(1 - base) as at_k from (select distinct n, k from w) d cross join b),
+    o as (select n, k, base, at_k, @range(0, n) as i from nk),
+    p as (select n, k, least(1.0, sum(exp(lp))) as p from (select n, k, at_k, @lf(n) - @lf(i) - @lf((n - i)) + i * ln(base) + (n - i) * ln(1 - base) as lp from o) x where lp <= at_k + 0.0000001 group by n, k),
     r as (select w.*, p.p, b.base, row_number() over (order by p.p, w.token) as rk, count(*) over () as m from w join p on p.n = w.n and p.k = w.k cross join b),
     s as (select *, max(case when p <= 0.1 * rk / m then p end) over () as bar from r)
     select token, events, quarters, n, k, round(p, 8) as p, case when p <= bar and cast(k as double) / n > base then 'big' when p <= bar and cast(k as double) / n < base then 'small' else 'no' end as chosen from s""",
@@ -115,7 +108,7 @@ SQL: dict[str, tuple[str, str]] = {
         """with x as (select session, ret, lag(ret) over (order by session) as prev, row_number() over (order by session) as i from returns),
     v as (select *, i - 1 as t from x where ret is not null and prev is not null),
     w as (select session, t, count(*) over f as n, avg(ret) over f as mean, stddev_samp(ret) over f as sd, corr(ret, prev) over f as pearson from v window f as (order by t rows between 249 preceding and current row)),
-    pairs as (select a.t, b.ret, b.prev from v a join v b on b.t > a.t - 250 and b.t <= a.t where a.t % 10 = 0),
+    pairs as (select a.t, b.ret, b.prev from (select t, t - o as u from (select t, @range(0, 249) as o from v) x) a join v b on b.t = a.u),
     r as (select t, rank() over (partition by t order by ret) + (count(*) over (partition by t, ret) - 1) / 2.0 as r1, rank() over (partition by t order by prev) + (count(*) over (partition by t, prev) - 1) / 2.0 as r2 from pairs),
     s as (select t, count(*) as n, corr(r1, r2) as spearman from r group by t)
     select w.session, case when w.n = 250 then round(mean, 8) end as mean250, case when w.n = 250 then round(sd, 8) end as sd250, case when w.n = 250 then round(pearson, 6) end as acf1, case when s.n = 250 then round(spearman, 6) end as rank_acf1
@@ -161,7 +154,7 @@ SQL: dict[str, tuple[str, str]] = {
     union all select 'benchmark' as origin, concat('benchmark::', cast(item_id as @str)) as row_id, split_part(text, chr(10), 1) as text from benchmark""",
     ),
     # Scans that read the columns they need
-    "firm_ohlcv": ("S5 S6", "select firm, session, open, high, low, close, volume from ohlc where session >= date '1996-01-01'"),
+    "firm_ohlcv": ("S5 S6", "select firm, session, open, high, low, close, volume from ohlc"),
     # A label file's lines, split at their first two commas alone
     "label_lines": (
         "S12",
