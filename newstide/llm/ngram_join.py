@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, id_bitmap, id_hash, in_bitmap, map_slices, resident, small_batches, stage_table
+from .common import fresh, id_bitmap, id_hash, in_bitmap, map_slices, release, resident, small_batches, stage_table
 from .components import components
 
 #: Shingles for each hashed counter of the rare-first order, about, and bounds of the counters' number (as powers of 2).
@@ -231,7 +231,9 @@ def _links(docs: DataFrame, groups: DataFrame, pairs: DataFrame, k: int, num: in
     if bitmap is not None:
         bitmap.destroy()
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
-    return stage_table(map_slices(joined, _verify(num, den), "a long, b long").distinct(), "links", pairs, sets)
+    links = stage_table(map_slices(joined, _verify(num, den), "a long, b long").distinct(), "links", pairs, sets)
+    release(spark)
+    return links
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -244,10 +246,11 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
 
     groups = profiles.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"), F.min("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"), F.first("large").alias("large"))
     groups = stage_table(groups, "groups")
-    entries = groups.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
+    entries = groups.select("node", F.posexplode("prefix").alias("pos", "token"))
     shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     live = entries.join(shared, "token")
-    live = stage_table(live.join(groups.select("node", F.col("n"), "sketch"), ["node", "n"]), "postings")
+    live = stage_table(live.join(groups.select("node", "n", "sketch"), "node"), "postings")
+    release(spark)
 
     at = F.struct("comp", "node", "n", "pos", "sketch")
     first = live.withColumn("comp", F.col("node"))
@@ -259,6 +262,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     )
     links = _links(docs, groups, _pairs(star), k, num, den)
     near = components(links)
+    release(spark)
 
     now = live.join(near, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
     open_ = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
@@ -286,6 +290,7 @@ def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
     name = fresh("gone", docs.columns)
     gone = jaccard_components(docs, k, num, den).where("component_id < doc_id").select(F.col("doc_id").alias(name)).distinct()
     gone = stage_table(gone, "gone")
+    release(docs.sparkSession)
     bitmap = id_bitmap(gone, name)
     if bitmap is None:
         return docs.join(gone, docs["doc_id"] == F.col(name), "left_anti")
