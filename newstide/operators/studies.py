@@ -79,13 +79,14 @@ def screened_words(events: DataFrame, q: float = 0.1, least_events: int = 30, le
         return pd.Series([inference.binomial_p(int(x), int(m), float(z)) for m, x, z in zip(n, k, b, strict=True)])
 
     tested = counts.select("_year", "n", "k", "base").distinct().withColumn("p", p_value("n", "k", "base"))
-    counts = counts.join(tested, ["_year", "n", "k", "base"])
-    w = Window.partitionBy("_year")
-    ranked = counts.withColumn("rank", F.row_number().over(w.orderBy("p", "token"))).withColumn("m", F.count(F.lit(1)).over(w))
-    bar = F.max(F.when(F.col("p") <= q * F.col("rank") / F.col("m"), F.col("p"))).over(w)
+    counts = readers.stored(counts.join(tested, ["_year", "n", "k", "base"]), "tested-words")
+    # of the correction only p up to q matters, and equal p-values share the last of their ranks
+    low = counts.where(F.col("p") <= q).groupBy("_year", "p").agg(F.count(F.lit(1)).alias("c"))
+    ranked = low.withColumn("up_to", F.sum("c").over(Window.partitionBy("_year").orderBy("p"))).join(F.broadcast(counts.groupBy("_year").agg(F.count(F.lit(1)).alias("m"))), "_year")
+    bars = ranked.where(F.col("p") <= q * F.col("up_to") / F.col("m")).groupBy("_year").agg(F.max("p").alias("bar"))
     share = F.col("k") / F.col("n")
     side = F.when(share > F.col("base"), 1).when(share < F.col("base"), -1)
-    return ranked.withColumn("bar", bar).where("p <= bar").select("_year", "token", side.alias("side")).where("side is not null")
+    return counts.join(F.broadcast(bars), "_year").where("p <= bar").select("_year", "token", side.alias("side")).where("side is not null")
 
 
 def yearly_walk(units: DataFrame, events: DataFrame, years: list[int], features: list[str], arms: dict[str, list[str]], test_from: str) -> DataFrame:

@@ -76,8 +76,9 @@ SQL: dict[str, tuple[str, str]] = {
     nk as (select n, k, base, @lf(n) - @lf(k) - @lf((n - k)) + k * ln(base) + (n - k) * ln(1 - base) as at_k from (select distinct n, k from w) d cross join b),
     o as (select n, k, base, at_k, @range(0, n) as i from nk),
     p as (select n, k, least(1.0, sum(exp(lp))) as p from (select n, k, at_k, @lf(n) - @lf(i) - @lf((n - i)) + i * ln(base) + (n - i) * ln(1 - base) as lp from o) x where lp <= at_k + 0.0000001 group by n, k),
-    r as (select w.*, p.p, b.base, row_number() over (order by p.p, w.token) as rk, count(*) over () as m from w join p on p.n = w.n and p.k = w.k cross join b),
-    s as (select *, max(case when p <= 0.1 * rk / m then p end) over () as bar from r)
+    r as (select w.*, p.p from w join p on p.n = w.n and p.k = w.k),
+    c as (select p, sum(n) over (order by p) as up_to from (select p, count(*) as n from r where p <= 0.1 group by p) x),
+    s as (select r.*, b.base, z.bar from r cross join b cross join (select max(case when c.p <= 0.1 * c.up_to / m.m then c.p end) as bar from c cross join (select count(*) as m from w) m) z)
     select token, events, quarters, n, k, round(p, 8) as p, case when p <= bar and cast(k as double) / n > base then 'big' when p <= bar and cast(k as double) / n < base then 'small' else 'no' end as chosen from s""",
     ),
     # The within-firm slope refitted without each firm, its sums taken off the totals
