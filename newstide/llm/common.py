@@ -69,18 +69,6 @@ def remove(spark: SparkSession, path: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Has the driver collect its garbage: only then does Spark remove the shuffle files, on all executors, of plans that are done.
-
-    For the few places between large steps; else files of spent steps stay
-    until the driver's memory happens to fill.
-    """
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 #: Rows that a worker holds as Python objects at a time, and bounds of the Arrow batches that reach it.
 SLICE_ROWS, BATCH_ROWS, BATCH_BYTES = 512, 2048, 1 << 24
 
