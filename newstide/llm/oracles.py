@@ -61,3 +61,20 @@ with v as (
 )
 select query_id, rank, vec_id, score from r where rank <= 10
 """
+
+OP12 = r"""
+with d as (
+    select doc_id, coalesce(text, '') as text, sha256('42:' || coalesce(cast(doc_id as varchar), 'null')) as k,
+        regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as u from documents
+), h as (
+    select *, cast(len(u) as bigint) as n, cast('0x' || k[1:8] as bigint) as h1, cast('0x' || k[9:16] as bigint) as h2, cast('0x' || k[17:24] as bigint) as h3, cast('0x' || k[25:32] as bigint) as h4 from d
+), c as (
+    select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+        case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 50 then 'plain' when h4 % 100 < 80 then 'spm' else 'psm' end as form from h
+), p as (
+    select *, coalesce(array_to_string(u[1:a], ''), '') as p, coalesce(array_to_string(u[a + 1:b], ''), '') as m, coalesce(array_to_string(u[b + 1:], ''), '') as s from c
+)
+select doc_id, n, form, case when form <> 'plain' then cast(length(p) as bigint) end as prefix_chars, case when form <> 'plain' then cast(length(m) as bigint) end as middle_chars,
+    sha256(case form when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m when 'spm' then '<S>' || s || '<P>' || p || '<M>' || m else text end) as output_sha256,
+    sha256(case when form = 'plain' then text else p || m || s end) as restored_sha256 from p
+"""

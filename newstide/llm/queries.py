@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, ngram_join, oracles, order, packing, pieces, quality, rules, topk, urls
-from .common import table
+from . import alignment, langid, licenses, middle, ngram_join, oracles, order, packing, pieces, quality, rules, stream_bpe, topk, urls
+from .common import stage_table, table
 
 
 #: (host, path start, verdict) of the URL query.
@@ -79,6 +79,28 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.materialise(table(spark, sf_dir, "documents"))[0]
 
 
+def op11_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document by the streaming transducer, and what they decode to: their number and digests."""
+    rows = stream_bpe.round_trip(table(spark, sf_dir, "documents"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a fill-in-middle example, and the text rebuilt from it: sizes and digests."""
+    rows = middle.transform(table(spark, sf_dir, "documents"), "words", seed=42, percent=50, spm_percent=80)
+    restored = middle.restore(F.col("output"), F.col("form"))
+    sizes = [F.length(c).cast("long").alias(f"{c}_chars") for c in ("prefix", "middle")]
+    return rows.select("doc_id", "n", "form", *sizes, F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of the two tokenizers' tokens in every document, scored by the documents that hold each pair."""
+    digest = F.when(F.col("n_a") == 0, "").otherwise(F.sha2("groups", 256))
+    rows = alignment.groups(table(spark, sf_dir, "documents")).withColumn("groups_sha256", digest).drop("groups")
+    return alignment.scored(stage_table(rows, "aligned", compression="zstd"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -92,7 +114,10 @@ QUERIES = {
         op8_exact_top_k,
         op9_url_filter,
         op10_training_order,
+        op11_streaming_bpe,
+        op12_fill_in_middle,
+        op13_cross_tokenizer_alignment,
     )
 }
 #: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {"op4_ngram_jaccard_join": oracles.OP4, "op5_quality_rules": oracles.OP5, "op8_exact_top_k": oracles.OP8}
+ORACLES: dict[str, str] = {"op4_ngram_jaccard_join": oracles.OP4, "op5_quality_rules": oracles.OP5, "op8_exact_top_k": oracles.OP8, "op12_fill_in_middle": oracles.OP12}
