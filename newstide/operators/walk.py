@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from newstide.sources import readers
 
+from . import newton
+
 
 def ols(x, y):
     """Coefficients with the intercept first."""
@@ -41,6 +43,65 @@ def logit(x, y, c: float = 1.0, balanced: bool = False, rounds: int = 50, times=
     return w
 
 
+def softmax(x, label, c: float = 1.0, rounds: int = 100):
+    """Newton's method for an l2-penalised multinomial fit (intercepts free): one row of weights for each class that ``label`` holds, intercept first.
+
+    With two classes the fit is :func:`logit`'s, with one it is certain.  A step
+    that doesn't lower the loss is halved.
+    """
+    import numpy as np
+
+    classes = np.unique(label)
+    a = np.column_stack([np.ones(len(x)), x])
+    k, p = len(classes), a.shape[1]
+    if k < 3:
+        w = np.zeros((k, p))
+        if k == 2:
+            w[1] = logit(x, (label == classes[1]).astype(float), c)
+        return classes, w
+    hit = (np.asarray(label)[:, None] == classes).astype(float)
+    ridge = np.tile(np.append(0.0, np.full(p - 1, 1 / c)), k)
+
+    def loss(w):
+        s = a @ w.reshape(k, p).T
+        top = s.max(axis=1)
+        return float((top + np.log(np.exp(s - top[:, None]).sum(axis=1)) - (s * hit).sum(axis=1)).sum() + 0.5 * (ridge * w * w).sum())
+
+    w = np.zeros(k * p)
+    for _ in range(rounds):
+        prob = shares(a, w.reshape(k, p))
+        slope = ((prob - hit).T @ a).ravel() + ridge * w
+        bend = np.empty((k * p, k * p))
+        for i in range(k):
+            for j in range(k):
+                both = prob[:, i] * ((i == j) - prob[:, j])
+                bend[i * p : (i + 1) * p, j * p : (j + 1) * p] = (a * both[:, None]).T @ a
+        bend[np.diag_indices(k * p)] += ridge + 1e-9  # intercepts are told up to a common shift
+        step, size, here = np.linalg.solve(bend, slope), 1.0, loss(w)
+        while size > 1e-6 and loss(w - size * step) > here:
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-10:
+            break
+    return classes, w.reshape(k, p)
+
+
+def shares(a, w):
+    """Class probabilities of rows a (intercept first) under rows of weights."""
+    import numpy as np
+
+    s = a @ w.T
+    e = np.exp(s - s.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def tercile(y, edges):
+    """0 under the first edge, 2 over the second, else 1: a value on an edge is in the middle."""
+    import numpy as np
+
+    return np.where(y < edges[0], 0, np.where(y > edges[1], 2, 1))
+
+
 def boost(x, y, rounds: int = 200, rate: float = 0.05, depth: int = 3, bins: int = 255, least: int = 20):
     """Gradient-boosted regression trees over histograms of quantile bins, for squared error; a function that forecasts rows."""
     import numpy as np
@@ -138,11 +199,11 @@ def walk(frame, features: list[str], target: str, kind: str = "regress", min_tra
             rest = np.log(y[train]) - np.column_stack([np.ones(train.stop - train.start), z[train]]) @ b
             got["pred"] = np.exp(one @ b) * np.exp(rest).mean()
         elif kind == "terciles":
-            lo, hi = np.quantile(y[train], [1 / 3, 2 / 3])
-            label = np.where(y[train] <= lo, 0, np.where(y[train] > hi, 2, 1))
-            p = np.column_stack([1 / (1 + np.exp(-one @ logit(z[train], (label == c).astype(float)))) if (label == c).any() else np.zeros(len(one)) for c in range(3)])
-            p /= p.sum(axis=1, keepdims=True)
-            got |= {"pred": p @ np.arange(3), "p0": p[:, 0], "p1": p[:, 1], "p2": p[:, 2], "y": np.where(y[test] <= lo, 0, np.where(y[test] > hi, 2, 1)).astype(float)}
+            edges = np.quantile(y[train], [1 / 3, 2 / 3])
+            classes, w = softmax(z[train], tercile(y[train], edges))
+            p = np.zeros((len(one), 3))  # a class that training lacks has probability 0
+            p[:, classes] = shares(one, w)
+            got |= {"pred": p @ np.arange(3), "p0": p[:, 0], "p1": p[:, 1], "p2": p[:, 2], "y": tercile(y[test], edges).astype(float)}
         else:
             raise ValueError(kind)
         got["constant"] = float((y[train] > 0).mean() >= 0.5)
@@ -168,32 +229,16 @@ def walk_forward(frame: DataFrame, arms: dict[str, list[str]], target: str, kind
 def panel_blocks(panel: DataFrame, features: list[str], event: str, warm: int = 250, ahead: int = 20, step: int = 20) -> DataFrame:
     """Pooled logistic warnings: each block of ``step`` positions is fitted on pos < k - ahead; alarm at the training 95th percentile.
 
-    panel(pos, firm, session, features, event).  Runs of TOGETHER blocks are
-    independent groups: each gets its history once, without the names of firms
-    and sessions, and its rows.
+    panel(pos, firm, session, features, event).  All blocks are fitted at once
+    by Newton steps that Spark adds up; a block without both classes before it
+    has no rows.
     """
-    import numpy as np
-    import pandas as pd
-
-    def run(key, pdf):
-        pdf = pdf.sort_values(["pos", *features, event])
-        out = [pd.DataFrame(columns=["pos", "firm", "session", "event", "prob", "alarm"])]
-        for k in range(int(key[0]), int(key[0]) + step * TOGETHER, step):
-            train = pdf[(pdf["pos"] < k - ahead) & pdf[event].notna()]
-            test = pdf[(pdf["pos"] >= k) & (pdf["pos"] < k + step)].sort_values(["pos", "firm"])
-            if not len(test) or train[event].nunique() < 2:
-                continue
-            mean, sd = train[features].mean(), train[features].std(ddof=0).replace(0, 1)
-            w = logit(((train[features] - mean) / sd).to_numpy(float), train[event].to_numpy(float), balanced=True)
-            score = lambda d: 1 / (1 + np.exp(-np.column_stack([np.ones(len(d)), ((d[features] - mean) / sd).to_numpy(float)]) @ w))  # noqa: B023, E731
-            bar = float(np.quantile(score(train), 0.95))
-            p = score(test)
-            out.append(pd.DataFrame({"pos": test["pos"], "firm": test["firm"], "session": test["session"], "event": test[event].astype(float), "prob": p, "alarm": p >= bar}))
-        return pd.concat(out[1:]) if len(out) > 1 else out[0]
-
-    each = with_history(panel.select("pos", "firm", "session", *features, event).dropna(subset=features), warm, step)
-    each = each.withColumns({c: F.when(F.col("pos") >= F.col("_block"), F.col(c)) for c in ("firm", "session")})
-    return each.groupBy("_block").applyInPandas(run, "pos long, firm long, session date, event double, prob double, alarm boolean")
+    rows = panel.select("pos", "firm", "session", *features, event).dropna(subset=features)
+    fitted, known = newton.expanding(rows, features, event, warm, ahead, step, balanced=True)
+    bar = newton.score_quantile(known, features, fitted, 0.95)
+    block = F.floor((F.col("pos") - warm) / step).cast("int")
+    scored = newton.with_scores(rows.where(F.col("pos") >= warm), features, fitted, block, _bar=bar)
+    return scored.select(F.col("pos").cast("long").alias("pos"), F.col("firm").cast("long").alias("firm"), "session", F.col(event).cast("double").alias("event"), (1 / (1 + F.exp(-F.col("score")))).alias("prob"), (F.col("score") >= F.col("_bar")).alias("alarm"))
 
 
 #: Blocks of positions that share a task and a copy of the history before them.
@@ -247,14 +292,29 @@ def calibrate(frame, method: str = "platt", warm: int = 260, step: int = 20, ahe
 
 
 def calibrate_blocks(preds: DataFrame, method: str = "platt", warm: int = 260, step: int = 20, ahead: int = 20) -> DataFrame:
-    """preds(pos, prob, event, ...) with ``calibrated``, as :func:`calibrate` has it: runs of blocks are groups, and equal rows are counted first."""
+    """preds(pos, prob, event, ...) with ``calibrated``, as :func:`calibrate` has it.
+
+    Platt's fits are Newton steps that Spark adds up; isotonic ones need their
+    rows in order: runs of blocks are groups, and equal rows are counted first.
+    """
     import numpy as np
     import pandas as pd
 
+    if method == "platt":
+        clipped = F.least(F.greatest(F.col("prob"), F.lit(1e-6)), F.lit(1 - 1e-6))
+        rows = preds.withColumn("_odds", F.log(clipped / (1 - clipped)))
+        fitted, _ = newton.expanding(rows, ["_odds"], "event", warm, ahead, step, c=1e6, standardise=False)
+        block = F.when(F.col("pos") >= warm, F.floor((F.col("pos") - warm) / step)).otherwise(-1).cast("int")
+        told = preds.sparkSession.createDataFrame([(b, *w) for b, w in zip(fitted.number, fitted.weights, strict=True)], "_block int, _w0 double, _w1 double")
+        rows = rows.withColumn("_block", block).join(F.broadcast(told), "_block", "left")
+        prob = 1 / (1 + F.exp(-(F.col("_w0") + F.col("_w1") * F.col("_odds"))))
+        return rows.withColumn("calibrated", F.least(F.greatest(prob, F.lit(1e-6)), F.lit(1 - 1e-6))).select(*preds.columns, F.when(F.col("_w0").isNotNull(), F.col("calibrated")).alias("calibrated"))
+    if method != "isotonic":
+        raise ValueError(method)
+
     cells = preds.groupBy("pos", "prob", "event").agg(F.count(F.lit(1)).alias("times"))
 
     clip = lambda p: np.clip(np.asarray(p, float), 1e-6, 1 - 1e-6)
-    odds = lambda p: np.log(clip(p) / (1 - clip(p)))
 
     def run(key, pdf):
         pdf = pdf.sort_values(["pos", "prob", "event"])
@@ -264,12 +324,8 @@ def calibrate_blocks(preds: DataFrame, method: str = "platt", warm: int = 260, s
             now = pdf[(pdf["pos"] >= k) & (pdf["pos"] < k + step)][["pos", "prob"]].drop_duplicates()
             if past["event"].nunique() < 2 or not len(now):
                 continue
-            if method == "platt":
-                w = logit(odds(past["prob"])[:, None], past["event"].to_numpy(float), c=1e6, times=past["times"])
-                got = 1 / (1 + np.exp(-(w[0] + w[1] * odds(now["prob"]))))
-            else:
-                whole = past.loc[past.index.repeat(past["times"])]
-                got = np.interp(now["prob"], *isotonic(whole["prob"].to_numpy(), whole["event"].to_numpy()))
+            whole = past.loc[past.index.repeat(past["times"])]
+            got = np.interp(now["prob"], *isotonic(whole["prob"].to_numpy(), whole["event"].to_numpy()))
             out.append(now.assign(calibrated=clip(got)))
         return pd.concat(out[1:]) if len(out) > 1 else out[0]
 

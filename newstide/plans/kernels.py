@@ -37,17 +37,39 @@ def walk_forward_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walk.walk_forward(_frame(spark, sf_dir), {"range": ["x2"]}, "rv", "logvar")
 
 
+#: Features of the warnings: the firm's prices and the market's, then the news about the firm and on all.
+WARNING_FEATURES = ["lag0", "lag1", "lag2", "rv20", "dd60", "market_lag0", "market_rv20", "firm_tone20", "has_firm_news20", "tone"]
+#: Sessions before the first refit, and the rows of warnings before the first calibration.
+WARM, CALIBRATION_WARM = 500, 760
+
+
 def panel_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pooled block-wise warnings over the panel of firms."""
-    panel = run("select b.pos, cast(n.firm as bigint) as firm, n.session, n.close / b.close as x0, n.volume / b.volume as x1, case when n.close < 0.5 * b.close then 1.0 else 0.0 end as event from firm_bars n join bars b on n.session = b.session")(spark, sf_dir)
-    return walk.panel_blocks(panel, ["x0", "x1"], "event")
+    """Pooled warnings of a fall in the next 20 closes, refitted each 20 sessions on outcomes that were known."""
+    panel = run("select cast(pos as bigint) as pos, cast(firm as bigint) as firm, session, event, " + ", ".join(WARNING_FEATURES) + " from drawdown")(spark, sf_dir)
+    return walk.panel_blocks(readers.stored(panel, "drawdown"), WARNING_FEATURES, "event", warm=WARM)
 
 
 def calibrated_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Platt calibration in blocks whose outcomes were known."""
-    preds = run("select cast(b.pos as bigint) as pos, l.p as prob, cast(l.y as double) as event, l.doc_id from preds l join bars b on b.pos = l.doc_id % 900")(spark, sf_dir)
-
-    return walk.calibrate_blocks(preds).select("doc_id", "pos", "prob", "calibrated")
+    """Platt calibration of the warnings in blocks whose outcomes were known."""
+    preds = readers.stored(panel_warnings(spark, sf_dir).select("firm", "session", "pos", "prob", "event"), "warnings")
+    return walk.calibrate_blocks(preds, warm=CALIBRATION_WARM)
+
+
+def warning_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By year, events, alarms, their precision and recall, and the Brier scores of the raw and calibrated warnings."""
+    warned = readers.stored(panel_warnings(spark, sf_dir), "warnings")
+    told = walk.calibrate_blocks(warned, warm=CALIBRATION_WARM).where("event is not null").groupBy(F.year("session").alias("year"))
+    hit = F.col("alarm") & (F.col("event") == 1)
+    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    return told.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("event").cast("long").alias("events"),
+        F.count_if("alarm").alias("alarms"),
+        ratio(F.count_if(hit), F.count_if("alarm")).alias("precision"),
+        ratio(F.count_if(hit), F.sum("event")).alias("recall"),
+        F.avg((F.col("prob") - F.col("event")) ** 2).alias("brier"),
+        F.avg((F.col("calibrated") - F.col("event")) ** 2).alias("brier_calibrated"),
+    )
 
 
 def dimson_betas(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,6 +178,7 @@ QUERIES = {
         walk_forward_variance,
         panel_warnings,
         calibrated_warnings,
+        warning_report,
         dimson_betas,
         bootstrap_means,
         control_runs,

@@ -136,6 +136,52 @@ part(
     lead(session) over w as next_session, row_number() over w - 1 as age
     from trades window w as (partition by firm order by session)""",
 )
+part(
+    "firm_news",  # each headline is one firm's, and counts on the first session after its day
+    """select f.firm, a.session, cast(sum(t.score) as double) as tone_sum, count(*) as n
+    from tagged t
+    join strict_asof a on a.day = t.published_date
+    join (
+      select firm, row_number() over (order by firm) - 1 as i, count(*) over () as firms
+      from (select distinct firm from firm_bars) d
+    ) f on f.i = t.doc_id % f.firms
+    where t.date_parse_ok and a.session is not null
+    group by f.firm, a.session""",
+)
+part(
+    "calendar_closes",  # every session from a firm's first trade on, with its last close
+    """select firm, session, pos, max(close) over (partition by firm, run) as close
+    from (
+      select s.firm, b.session, b.pos, f.close, count(f.close) over (partition by s.firm order by b.session) as run
+      from (select firm, min(session) as first_session from firm_bars group by firm) s
+      cross join bars b
+      left join firm_bars f on f.firm = s.firm and f.session = b.session
+      where b.session >= s.first_session
+    ) g""",
+)
+part(
+    "drawdown",  # an event: one of the next 20 closes is over 40 % below this one; the last 20 sessions tell nothing
+    """select c.firm, c.session, c.pos, age, c.close, lag0, lag1, lag2, rv20, dd60, market_lag0, market_rv20,
+    case when ahead = 20 then case when lowest / c.close - 1 < -0.4 then 1.0 else 0.0 end end as event,
+    case when news20 > 0 then tone_sum20 / news20 else 0.0 end as firm_tone20, case when news20 > 0 then 1.0 else 0.0 end as has_firm_news20, coalesce(tone, 0.0) as tone
+    from (
+      select r.*, ret as lag0, lag(ret) over w as lag1, lag(ret, 2) over w as lag2, row_number() over w - 1 as age,
+      case when count(ret) over w20 = 20 then stddev_samp(ret) over w20 end as rv20, case when count(*) over w60 >= 20 then close / max(close) over w60 - 1 end as dd60,
+      count(*) over f20 as ahead, min(close) over f20 as lowest, coalesce(sum(tone_sum) over w20, 0.0) as tone_sum20, coalesce(sum(n) over w20, 0) as news20
+      from (
+        select k.*, k.close / lag(k.close) over (partition by k.firm order by k.session) - 1 as ret, n.tone_sum, n.n
+        from calendar_closes k
+        left join firm_news n on n.firm = k.firm and n.session = k.session
+      ) r window w as (partition by firm order by session), w20 as (partition by firm order by session rows between 19 preceding and current row),
+        w60 as (partition by firm order by session rows between 59 preceding and current row), f20 as (partition by firm order by session rows between 1 following and 20 following)
+    ) c
+    join (
+      select session, ret as market_lag0, case when count(ret) over m20 = 20 then stddev_samp(ret) over m20 end as market_rv20
+      from returns window m20 as (order by session rows between 19 preceding and current row)
+    ) m on m.session = c.session
+    left join (select session, sum(tone_sum) / sum(n) as tone from firm_news group by session) t on t.session = c.session
+    where age >= 40""",
+)
 part(
     "preds",
     """select doc_id, case when quality = 1 and (doc_id % 11) > 2 then 1 else 0 end as y,

@@ -59,9 +59,17 @@ SQL: dict[str, tuple[str, str]] = {
     ),
     "crash_events": (
         "W7 W8 W9 P13 P14 F19",
-        """select firm, session, age, case when count(*) over f20 = 5 then min(close) over f20 / nullif(close, 0) - 1 <= -0.9 end as crash,
-    cast(sum(case when abs(ret) > 1 then 1 else 0 end) over (partition by firm order by session rows between current row and 5 following) as bigint) as jumps_ahead, case when count(ret) over f20 = 5 then round(sum(ret * ret) over f20, 4) end as rv5
-        from firm_units window f20 as (partition by firm order by session rows between 1 following and 5 following)""",
+        """select firm, session, age, case when count(*) over f20 = 20 then min(close) over f20 / nullif(close, 0) - 1 <= -0.9 end as crash,
+    cast(sum(case when abs(ret) > 1 then 1 else 0 end) over (partition by firm order by session rows between current row and 5 following) as bigint) as jumps_ahead,
+    case when count(ret) over f5 = 5 then round(nullif(sum(ret * ret) over f5, 0), 4) end as rv5
+        from firm_units window f20 as (partition by firm order by session rows between 1 following and 20 following),
+            f5 as (partition by firm order by session rows between 1 following and 5 following)""",
+    ),
+    "drawdown_panel": (
+        "F19 W3 W4 W6 W7 W9 A4 J7",
+        """select firm, session, pos, age, round(close, 6) as close, event, round(lag0, 6) as lag0, round(lag1, 6) as lag1, round(lag2, 6) as lag2, round(rv20, 6) as rv20,
+    round(dd60, 6) as dd60, round(market_lag0, 6) as market_lag0, round(market_rv20, 6) as market_rv20, round(firm_tone20, 6) as firm_tone20, has_firm_news20, round(tone, 6) as tone
+        from drawdown""",
     ),
     "trailing_news": (
         "W6",

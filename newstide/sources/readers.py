@@ -119,12 +119,39 @@ def splice(old: DataFrame, new: DataFrame, cutoff: str, tolerance: float = 1e-9)
     return old.where(F.col("session") <= F.lit(cutoff).cast("date")).select("firm", "session", "close").unionByName(later)
 
 
+def _own_folder(spark: SparkSession) -> str:
+    """This application's part of the folder that all executors share: that of spark.checkpoint.dir.
+
+    Where none is set, a local master gets a temporary one; any other master has
+    executors on machines of their own, so that raises.
+    """
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir is unset: stored tables need a folder that all executors share")
+        import tempfile
+
+        folder = "file://" + tempfile.mkdtemp(prefix="newstide-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder.rstrip('/')}/newstide-tables/{spark.sparkContext.applicationId}"
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share: that of spark.checkpoint.dir, else the warehouse."""
+    """A new path in the folder that all executors share."""
     import uuid
 
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{folder.rstrip('/')}/newstide/{name}-{uuid.uuid4().hex}"
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a file or folder, if it is there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes the tables that this application has stored: for when no frame over them is to be read any more."""
+    remove(spark, _own_folder(spark))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

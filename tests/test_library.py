@@ -221,7 +221,7 @@ def test_beta_uses_the_past_alone(spark):
 
 
 def test_betas_of_every_year_and_firm(spark, sf):
-    from newstide.plans import catalogue, dialect
+    from newstide.plans import catalogue, dialect, kernels
 
     firms, years = (dialect.run(f"select distinct {x} as k from {t} where ret is not null")(spark, sf).collect() for x, t in (("firm", "(select firm, close / lag(close) over (partition by firm order by session) - 1 as ret from firm_bars) x"), ("year(session)", "returns")))
     got = catalogue.QUERIES["dimson_betas"](spark, sf).collect()
@@ -247,14 +247,18 @@ def test_panel_blocks_learn_from_all_firms_before_each_block(spark):
 
 
 def test_panels_are_by_firm(spark, sf):
-    from newstide.plans import catalogue, dialect
+    from newstide.plans import catalogue, dialect, kernels
 
     rows = dialect.run("select n.firm, n.session, b.pos from firm_bars n join bars b on n.session = b.session")(spark, sf).collect()
     flat = catalogue.QUERIES["two_way_demeaned"](spark, sf).toPandas()
     assert sorted(zip(flat["firm"], flat["session"], strict=True)) == sorted((r.firm, r.session) for r in rows)
     assert all(flat.groupby(c)["y"].mean().abs().max() < 1e-9 for c in ("firm", "session"))
+    told = dialect.run("select * from drawdown")(spark, sf).collect()
     got = catalogue.QUERIES["panel_warnings"](spark, sf).collect()
-    assert sorted((r.firm, r.session) for r in got) == sorted((r.firm, r.session) for r in rows if r.pos >= 250)
+    assert sorted((r.firm, r.session) for r in got) == sorted((r.firm, r.session) for r in told if r.pos >= 500 and None not in [r[c] for c in kernels.WARNING_FEATURES])
+    assert 0.02 < np.mean([r.event for r in got if r.event is not None]) < 0.9 and {r.alarm for r in got} == {True, False}
+    report = catalogue.QUERIES["warning_report"](spark, sf).collect()
+    assert sum(r.n for r in report) == sum(r.event is not None for r in got) and all(0 <= r.recall <= 1 for r in report)
 
 
 def test_text_classifier(spark):
