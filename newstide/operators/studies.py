@@ -284,32 +284,3 @@ def outlet_weights(frame, base: list[str], sources: list[str], target: str, lags
             i = 1 + use.index(f"sent_{s}")
             rows.append({"source": s, "beta": float(b[i]), "t": float(b[i] / se[i]), "p": inference.normal_p(float(b[i] / se[i]))})
     return pd.DataFrame(rows, columns=["source", "beta", "t", "p"])
-
-
-def positive_control(frame: DataFrame, runs: int = 50, seeds: int = 100, steps: int = 8, target: float = 2.8, band: tuple[int, int] = (72, 88)) -> dict:
-    """The planted effect at which the median statistic of ``runs`` controls is ``target``, and how many of ``seeds`` fresh ones find it.
-
-    frame(session, flag, y).  Bisection on the logarithm of the effect in
-    standard deviations of y; each step's runs are groups side by side, and only
-    their median reaches the driver.
-    """
-    sd = frame.agg(F.stddev_samp("y")).first()[0] or 0.0
-    lo, hi = 0.005, 1.0
-    for _ in range(steps):
-        mid = math.sqrt(lo * hi)
-        drawn = inference.controls(frame, "planted", seeds=runs, effect=mid * sd, offset=10_000)
-        median = drawn.agg(F.percentile(F.col("effect") / F.col("se"), 0.5)).first()[0]
-        lo, hi = (mid, hi) if median is None or median < target else (lo, mid)
-    beta = math.sqrt(lo * hi)
-    z = F.col("effect") / F.col("se")
-    last = inference.controls(frame, "planted", seeds=seeds, effect=beta * sd, offset=20_000).agg(F.count_if(z > 1.96).alias("found"), F.percentile(z, 0.5).alias("median")).first()
-    return {"beta": beta, "found": int(last.found), "of": seeds, "median_stat": float(last["median"]), "passed": band[0] <= last.found <= band[1]}
-
-
-def noise_reading(effect: float, se: float, noise: list[float]) -> dict[str, float]:
-    """A result read against the same test on noise: centre, spread, z, p and the smallest effect it would find."""
-    import statistics
-
-    mean, sd = statistics.fmean(noise), statistics.stdev(noise)
-    z = inference.matched_noise(effect, se, noise)
-    return {"effect": effect, "noise_mean": mean, "noise_sd": sd, "z": z, "p": inference.normal_p(z), "mde": 2.8 * math.hypot(sd, se), "at_or_below": sum(x <= effect for x in noise), "runs": len(noise)}

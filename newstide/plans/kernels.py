@@ -138,7 +138,7 @@ def surrogate_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
         pdf = pdf.sort_values("session")
         return pdf[["seed", "session"]].assign(ret=inference.surrogate(pdf["ret"], np.random.default_rng(int(key[0]))))
 
-    return spark.range(5).withColumnRenamed("id", "seed").crossJoin(frame).groupBy("seed").applyInPandas(one, "seed long, session date, ret double")
+    return spark.range(100).withColumnRenamed("id", "seed").crossJoin(frame).groupBy("seed").applyInPandas(one, "seed long, session date, ret double")
 
 
 def two_way_demeaned(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newstide.functions import text
-from newstide.operators import asof, inference, series, studies, walk
+from newstide.operators import asof, controls, inference, series, studies, walk
 from newstide.sources import readers
 
 from . import relational  # noqa: F401  (names the common tables)
@@ -110,23 +110,29 @@ def yearly_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return studies.yearly_scores(rows.select("doc_id", "day", "text"), rows.where("label is not null and text is not null"), years, walk.text_classifier).drop("text")
 
 
-def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run("select session, pos % 7 = 0 as flag, ret as y from returns where ret is not null")(spark, sf_dir)
+#: Columns of the controls: prices, and what is known of a session's news.
+CONTROL_NEWS = ["tone", "has_news"]
+
+
+def _control_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = """select b.session, b.ret as x0, lag(b.ret) over (order by b.session) as x1, coalesce(n.sent_mean, 0.0) as tone, case when n.n_headlines > 0 then 1.0 else 0.0 end as has_news,
+    lead(b.ret) over (order by b.session) as ret_next from returns b left join news_by_session n on n.session = b.session"""
+    return readers.stored(run(body)(spark, sf_dir), "controls")
 
 
 def positive_control(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The effect planted so that the median statistic is 2.8, and how many fresh runs find it."""
-    found = studies.positive_control(_flagged(spark, sf_dir))
-    return spark.createDataFrame([found], "beta double, found int, of int, median_stat double, passed boolean")
+    """The effect planted so that the median statistic of paired walk-forwards is 2.8, and how many of 100 fresh runs find it."""
+    return controls.positive(_control_frame(spark, sf_dir), ["x0", "x1"], CONTROL_NEWS, "ret_next")
+
+
+def negative_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finds of 100 walk-forwards each over permuted targets, stale news and phase-randomised columns; at most 9 may be."""
+    return controls.negative(_control_frame(spark, sf_dir), ["x0", "x1"], CONTROL_NEWS, "ret_next")
 
 
 def noise_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagged sessions' effect read against random flags at the real rate."""
-    frame = _flagged(spark, sf_dir)
-    real = frame.groupBy("flag").agg(F.avg("y").alias("m"), F.var_samp("y").alias("v"), F.count(F.lit(1)).alias("n")).collect()
-    on, off = (next(r for r in real if r.flag is f) for f in (True, False))
-    noise = [r.effect for r in inference.controls(frame, "flags", seeds=100).select("effect").collect()]  # a row for each seed
-    return spark.createDataFrame([studies.noise_reading(on.m - off.m, (on.v / on.n + off.v / off.n) ** 0.5, noise)], "effect double, noise_mean double, noise_sd double, z double, p double, mde double, at_or_below int, runs int")
+    """The news columns' loss against that of 100 phase-randomised ones through the same walk-forwards."""
+    return controls.matched_noise(_control_frame(spark, sf_dir), ["x0", "x1"], CONTROL_NEWS, "ret_next")
 
 
 def series_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -272,6 +278,7 @@ QUERIES = {
         yearly_panel_walk,
         yearly_scores,
         positive_control,
+        negative_controls,
         noise_reading,
         series_battery,
         series_dependence,

@@ -160,9 +160,9 @@ part(
     ) g""",
 )
 part(
-    "drawdown",  # an event: one of the next 20 closes is over 40 % below this one; the last 20 sessions tell nothing
+    "drawdown",  # an event: one of the next 20 closes is over 70 % below this one (stand-in closes are means of a few orders); the last 20 sessions tell nothing
     """select c.firm, c.session, c.pos, age, c.close, lag0, lag1, lag2, rv20, dd60, market_lag0, market_rv20,
-    case when ahead = 20 then case when lowest / c.close - 1 < -0.4 then 1.0 else 0.0 end end as event,
+    case when ahead = 20 then case when lowest / c.close - 1 < -0.7 then 1.0 else 0.0 end end as event,
     case when news20 > 0 then tone_sum20 / news20 else 0.0 end as firm_tone20, case when news20 > 0 then 1.0 else 0.0 end as has_firm_news20, coalesce(tone, 0.0) as tone
     from (
       select r.*, ret as lag0, lag(ret) over w as lag1, lag(ret, 2) over w as lag2, row_number() over w - 1 as age,
