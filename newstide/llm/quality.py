@@ -2,7 +2,7 @@
 
 Overlapping heuristic labellers vote good, bad or abstain on every document.
 What reaches the driver is the count of each vote pattern (at most
-3 ** labellers rows, over all documents); there expectation-maximisation
+3 ** labellers rows, over all documents, those that repeat counted once); there expectation-maximisation
 estimates each labeller's vote rates for good and bad documents and the class
 balance, with no gold labels.  The posteriors of a bounded, hash-drawn sample
 of documents then train a linear scorer on hashed words, word shapes and
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import map_slices, resident, small_batches
 
-#: The sample that the scorer is trained on (expected rows), and the hashed dimensions.
+#: The sample that the scorer is trained on (documents at most), and the hashed dimensions.
 SAMPLE_ROWS, DIMENSIONS = 4000, 1 << 12
 #: Documents whose probability of being good is under this are rejected.
 REJECT_UNDER = 0.5
@@ -213,7 +213,7 @@ def train(at, values, labels, steps: int = 150, decay: float = 1e-4):
 
 def _vote(batches):
     for batch in batches:
-        yield pd.DataFrame({"draw": batch["draw"], "votes": [votes(t) for t in batch["text"]]})
+        yield pd.DataFrame({"draw": batch["draw"], "votes": [votes(t) for t in batch["text"]], "words": [bool((t or "").split()) for t in batch["text"]]})
 
 
 def _sample(batches):
@@ -223,19 +223,26 @@ def _sample(batches):
 
 
 def fit(docs: DataFrame):
-    """The scorer's weights, from all documents' votes and a bounded sample's posteriors; None without documents."""
-    draw = F.pmod(F.xxhash64(F.lit("quality"), "doc_id", "text"), F.lit(1 << 30)).alias("draw")
+    """The scorer's weights, from all documents' votes and a bounded sample's posteriors; None where no document has a word.
+
+    Rows that repeat an id and a text are one document here, so they neither
+    sway the votes nor fill the sample.  The sample is the SAMPLE_ROWS documents
+    with words of lowest hash, of those under a bound that some more lie under.
+    """
+    draw = F.xxhash64(F.lit("quality"), "doc_id", "text").alias("draw")
     rows = docs.select("doc_id", "text")
-    counts = map_slices(rows.select(draw, "text"), _vote, "draw long, votes string").groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()
+    voted = map_slices(rows.select(draw, "text"), _vote, "draw long, votes string, words boolean").distinct()
+    counts = voted.groupBy("votes").agg(F.count(F.lit(1)).alias("n"), F.count_if("words").alias("worded")).collect()  # 3 ** labellers rows at most
     posterior = estimate({r.votes: r.n for r in counts})
-    total = sum(r.n for r in counts)
-    if not total:
-        return None, {}
-    share = min(1.0, SAMPLE_ROWS / total)
-    sample = map_slices(rows.where(draw <= int(share * (1 << 30))).select("text"), _sample, "votes string, at array<int>, value array<float>").toPandas()
-    sample = sample[sample["at"].map(len) > 0]
-    if not len(sample):
+    worded = sum(r.worded for r in counts)
+    if not worded:
         return None, posterior
+    share = min(1.0, (SAMPLE_ROWS + 10 * SAMPLE_ROWS**0.5) / worded)  # ten deviations more than are wanted
+    bound = min(-(1 << 63) + int(share * (1 << 64)), (1 << 63) - 1)
+    drawn = rows.where((draw <= bound) & F.col("text").rlike(r"[^\s\x1c-\x1f\x85\xa0]")).groupBy(draw).agg(F.any_value("text").alias("text"))
+    drawn = drawn.orderBy("draw").limit(SAMPLE_ROWS)
+    sample = map_slices(drawn.select("text"), _sample, "votes string, at array<int>, value array<float>").toPandas()
+    sample = sample[sample["at"].map(len) > 0]
     return train(sample["at"], sample["value"], [posterior.get(v, 0.5) for v in sample["votes"]]), posterior
 
 

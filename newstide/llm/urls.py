@@ -6,8 +6,8 @@ one of a short list of words is labelled block, and all others are the
 background, labelled allow.  So the trees learn what listed hosts look like, and
 find hosts alike that the list doesn't name.  URLs are dealt into three folds by
 hash: suffix statistics are taken over all of the first, a bounded sample of the
-second trains the trees, both classes weighing the same, and the third, which
-neither saw, sets the probability from which the trees block (the greatest
+second trains the trees, drawn and weighed by class (of all folds, where the
+second lacks a class), and the third, which neither saw, sets the probability from which the trees block (the greatest
 difference of the two classes' shares, over the URLs that no rule decides).
 
 Nulls and edge cases: a URL that is null or has no ``://`` has empty host and
@@ -25,7 +25,7 @@ from .common import remove, stage_table
 
 #: Words in a host that label its URLs block for training.
 BLOCK_WORDS = ("adult", "porn", "xxx", "casino", "bets", "poker", "pills", "viagra", "spam", "ads-", "track")
-#: Expected rows that the trees are trained on, and bins of the held-out fold's probabilities.
+#: URLs that the trees are trained on at most, half of each class, and bins of the held-out fold's probabilities.
 SAMPLE_ROWS, BINS = 4000, 200
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FEATURES = ["url_length", "host_length", "host_labels", "hyphens", "depth", "digit_ratio", "entropy", "parameters", "suffix_share", "suffix_count", "top_share"]
@@ -82,17 +82,21 @@ def fit(urls: DataFrame, trees: int = 10, depth: int = 3):
     """(model, suffix statistics, the probability to block from, held-out AUC) of labelled urls; None without two classes."""
     from pyspark.ml.classification import GBTClassifier
 
-    totals = {r.fold: r for r in urls.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("b")).collect()}
-    if 0 not in totals or 1 not in totals or not 0 < totals[1].b < totals[1].n:
+    once = urls.select("fold", "label", F.xxhash64("url").alias("u")).distinct().groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n")).collect()
+    known = {(r.fold, r.label): r.n for r in once}  # URLs, those that repeat counted once
+    if not all(any(known.get((fold, label)) for fold in range(3)) for label in (0.0, 1.0)):
         return None
     stats = stage_table(urls.where("fold = 0").groupBy("suffix", "top").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("b")), "url-suffixes")
-    n, b = totals[1].n, totals[1].b
-    draw = F.pmod(F.xxhash64(F.lit("urls"), "url", "page_id"), F.lit(1 << 30))
-    sample = urls.where("fold = 1").where(draw <= int(min(1.0, SAMPLE_ROWS / n) * (1 << 30)))
-    weight = F.when(F.col("label") == 1, F.lit(0.5 * n / b)).otherwise(F.lit(0.5 * n / (n - b)))
-    sample = stage_table(_shares(sample, stats).select("label", weight.alias("weight"), *FEATURES), "url-sample")
-    if sample.select("label").distinct().count() < 2:
-        return None
+    own = all(known.get((1, label)) for label in (0.0, 1.0))  # else a class is so rare that the trees' fold has none of it: all folds teach
+    teach, sample = urls.where("fold = 1") if own else urls, None
+    draw = F.xxhash64(F.lit("urls"), "url")
+    for label in (0.0, 1.0):
+        n = sum(known.get((fold, label), 0) for fold in ([1] if own else range(3)))
+        share = min(1.0, (SAMPLE_ROWS / 2 + 10 * (SAMPLE_ROWS / 2) ** 0.5) / n)  # ten deviations more than are wanted
+        drawn = teach.where((F.col("label") == label) & (draw <= min(-(1 << 63) + int(share * (1 << 64)), (1 << 63) - 1))).withColumn("_draw", draw)
+        drawn = drawn.dropDuplicates(["_draw"]).orderBy("_draw").limit(SAMPLE_ROWS // 2).withColumn("weight", F.lit(0.5 * SAMPLE_ROWS / min(n, SAMPLE_ROWS // 2)))
+        sample = drawn if sample is None else sample.unionByName(drawn)
+    sample = stage_table(_shares(sample, stats).select("label", "weight", *FEATURES), "url-sample")
     model = GBTClassifier(labelCol="label", weightCol="weight", maxIter=trees, maxDepth=depth, maxBins=32, seed=7).fit(_assembled(sample).coalesce(2))
     binned = _scored(urls.where("fold = 2"), stats, model).withColumn("bin", F.least(F.floor(F.col("p_block") * BINS), F.lit(BINS - 1)).cast("int"))
     seen = binned.groupBy("bin", F.col("ruled").isNull().alias("open"), "label").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 4 rows a bin

@@ -442,6 +442,32 @@ def test_quality_keeps_prose(spark, docs, empty, sf):
     assert quality.score(empty).collect() == [] and quality.keep(empty).collect() == []
 
 
+def test_repeated_documents_never_change_a_verdict(spark, sf):
+    """Some documents stand 20,000 times: scores as without the repeats, and the sample keeps its bound."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    once = {r.doc_id: (round(r.quality_score, 6), r.kept) for r in quality.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for chosen in (4, 0):
+        text = dict(rows)[chosen]
+        copies = spark.range(20_000).select(F.lit(chosen).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+        many = spark.createDataFrame(rows, "doc_id long, text string").unionByName(copies)
+        got = quality.score(many).select("doc_id", F.round("quality_score", 6).alias("s"), "kept").distinct().collect()
+        assert {r.doc_id: (r.s, r.kept) for r in got} == once and len(got) == len(once)
+        weights, _ = quality.fit(copies)
+        assert weights is not None  # a table of one document's repeats has a scorer, too
+        assert quality.keep(copies).count() in (0, 20_000)
+
+
+def test_the_quality_sample_is_bounded_and_never_empty(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_ROWS", 50)
+    seen = []
+    train = quality.train
+    monkeypatch.setattr(quality, "train", lambda at, *a: seen.append(len(at)) or train(at, *a))
+    quality.fit(spark.range(3000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("some words of"), "id").alias("text")))
+    quality.fit(spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 77, "the only words here").otherwise(F.lit(" ")).alias("text")))
+    assert seen == [50, 1]
+    assert quality.fit(spark.range(3).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text")))[0] is None
+
+
 def test_licenses_inherit_from_the_nearest_directory(spark):
     rows = [
         ("a/LICENSE", "Released under the MIT License."),
@@ -513,6 +539,21 @@ def test_urls_the_trees_judge_are_told_apart_on_the_held_out_fold(spark, sf):
     assert (ruled.rule, ruled.verdict) == ("org/", "allow")  # a rule goes before the list of words
 
 
+def test_a_rare_class_of_urls_still_trains(spark):
+    """10 listed URLs of 60,000, and then 2: the trees are there and block the listed hosts; repeats don't fill the sample."""
+    pages = spark.range(60_000).select(F.col("id").alias("page_id"), F.when(F.col("id") % 6000 == 5, F.concat(F.lit("http://casino-"), "id", F.lit(".bet-win.xyz/?a=1&b=2&c="), "id")).otherwise(F.concat(F.lit("http://site"), F.col("id") % 500, F.lit(".example.net/page/"), "id")).alias("url"))
+    for frame, blocked in ((pages, 10), (pages.where("page_id < 12000"), 2)):
+        assert urls.fit(urls._labelled(frame, [])) is not None
+        got = urls.judge(frame, []).groupBy(F.col("host").contains("casino").alias("listed"), "verdict").count().collect()
+        assert {(r.listed, r.verdict): r["count"] for r in got}.get((True, "block"), 0) >= 0.8 * blocked - 0.5
+        assert sum(r["count"] for r in got if not r.listed and r.verdict == "block") < 0.05 * frame.count()
+    copies = spark.range(30_000).select((F.col("id") + 100_000).alias("page_id"), F.lit("http://casino-5.bet-win.xyz/?a=1&b=2&c=5").alias("url"))
+    model, *_ = urls.fit(urls._labelled(pages.unionByName(copies), []))
+    assert model.numFeatures == len(urls.FEATURES)
+    one_class = pages.where("page_id % 6000 <> 5")
+    assert urls.fit(urls._labelled(one_class, [])) is None and {r.verdict for r in urls.judge(one_class, []).select("verdict").distinct().collect()} == {"allow"}
+
+
 def test_urls_repeated_and_very_long(spark):
     long = "http://x.net/" + "a/" * 20_000 + "?" + "&".join(f"k{i}=v" for i in range(2000))
     rows = [(1, long), (1, long), (2, "http://casino.net/a"), (3, "://"), (4, "http://"), (None, None)] + [(10 + i, f"http://h{i}.net/{i}") for i in range(60)] + [(100 + i, f"http://casino{i}.net/{i}") for i in range(60)]
