@@ -210,15 +210,51 @@ def common_window(frame: DataFrame, present: list[str]) -> DataFrame:
     return frame.crossJoin(F.broadcast(ends)).where("session between _a and _b").drop("_a", "_b")
 
 
-def source_ablation(frame: DataFrame, base: list[str], sources: list[str], target: str, min_train: int = 500, refit: int = 20) -> DataFrame:
-    """source, accuracy_without, accuracy_full, drop, place: what the walk-forward loses without each source's column, on the common window."""
-    frame = common_window(frame, sources).fillna(0.0, subset=sources)
-    arms = {"": [*base, *sources]} | {s: [*base, *(x for x in sources if x != s)] for s in sources}
-    p = walk.walk_forward(frame, arms, target, "regress", min_train=min_train, refit=refit)
+def covered_together(frame: DataFrame, sources: list[str], least: int) -> list[str]:
+    """As many of the sources, best covered first, as share a window of ``least`` sessions or more; under two: none.
+
+    A source is there on a session where its column is neither null nor 0.  A
+    session counts for the k best covered sources if all of them are there; their
+    window goes from the first such session to the last.
+    """
+    there = {c: F.coalesce(F.col(c) != 0, F.lit(False)) for c in sources}
+    if not sources:
+        return []
+    seen = frame.agg(*[F.count_if(x).alias(c) for c, x in there.items()]).first()
+    order = sorted(sources, key=lambda c: (-seen[c], c))
+    together, so_far = F.lit(0), F.lit(True)
+    for c in order:
+        so_far = so_far & there[c]
+        together = together + so_far.cast("int")
+    numbered = frame.select("session", together.alias("_k"), F.row_number().over(Window.orderBy("session")).alias("_i"))  # a row a session
+    spans = numbered.groupBy("_k").agg(F.min("_i").alias("a"), F.max("_i").alias("b")).collect()  # a row for each number of sources
+    for k in range(len(order), 1, -1):
+        ends = [(r.a, r.b) for r in spans if r["_k"] >= k]
+        if ends and max(b for _, b in ends) - min(a for a, _ in ends) + 1 >= least:
+            return order[:k]
+    return []
+
+
+def source_ablation(frame: DataFrame, base: list[str], sources: list[str], target: str, min_train: int = 500, refit: int = 20, parts: int = 1) -> DataFrame:
+    """source, accuracy_without, accuracy_full, drop, place, status: what the walk-forward loses without each source's column.
+
+    All sources that share a window of min_train + 100 sessions are ranked on it;
+    those left out by :func:`covered_together` have a row without numbers.
+    """
+    ranked = covered_together(frame, sources, min_train + 100)
+    told = frame.sparkSession.createDataFrame([(s, "ranked" if s in ranked else "covers too little") for s in sources], "source string, status string")
+    none = F.lit(None)
+    if not ranked:
+        return told.select("source", *[none.cast("double").alias(c) for c in ("accuracy_without", "accuracy_full", "drop")], none.cast("int").alias("place"), "status")
+    frame = common_window(frame, ranked).fillna(0.0, subset=ranked)
+    arms = {"": [*base, *ranked]} | {s: [*base, *(x for x in ranked if x != s)] for s in ranked}
+    p = walk.walk_forward(frame, arms, target, "regress", parts=parts, min_train=min_train, refit=refit)
     scored = p.groupBy("arm").agg(F.avg(((F.col("pred") > 0) == (F.col("y") > 0)).cast("double")).alias("accuracy"))
+    scored = readers.stored(scored, "ablation")
     full = scored.where("arm = ''").select(F.col("accuracy").alias("accuracy_full"))
-    lost = scored.where("arm <> ''").crossJoin(full).select(F.col("arm").alias("source"), F.col("accuracy").alias("accuracy_without"), "accuracy_full", (F.col("accuracy_full") - F.col("accuracy")).alias("drop"))
-    return lost.withColumn("place", F.row_number().over(Window.orderBy(F.desc("drop"), "source")))  # a row for each source
+    lost = scored.where("arm <> ''").crossJoin(F.broadcast(full)).select(F.col("arm").alias("source"), F.col("accuracy").alias("accuracy_without"), "accuracy_full", (F.col("accuracy_full") - F.col("accuracy")).alias("drop"))
+    lost = lost.withColumn("place", F.row_number().over(Window.orderBy(F.desc("drop"), "source")))  # a row for each source
+    return told.join(lost, "source", "left").select("source", "accuracy_without", "accuracy_full", "drop", "place", "status")
 
 
 def outlet_arms(base: list[str], sources: list[str]) -> dict[str, list[str]]:
@@ -228,9 +264,9 @@ def outlet_arms(base: list[str], sources: list[str]) -> dict[str, list[str]]:
     return {"base": base} | {f"add:{s}": [*base, *own(s)] for s in sources} | {"all": [*base, *every]} | {f"without:{s}": [*base, *(c for c in every if c not in own(s))] for s in sources}
 
 
-def outlet_ranking(frame: DataFrame, base: list[str], sources: list[str], target: str, min_train: int = 500, refit: int = 20) -> DataFrame:
+def outlet_ranking(frame: DataFrame, base: list[str], sources: list[str], target: str, min_train: int = 500, refit: int = 20, parts: int = 1) -> DataFrame:
     """arm, against, n, accuracy, auc, delta_auc, loss_diff, dm_z, dm_p of each outlet added to the prices, and of all outlets against all but it."""
-    p = walk.walk_forward(frame, outlet_arms(base, sources), target, "regress", min_train=min_train, refit=refit)
+    p = readers.stored(walk.walk_forward(frame, outlet_arms(base, sources), target, "regress", parts=parts, min_train=min_train, refit=refit), "outlets")
     pairs = [(f"add:{s}", "base") for s in sources] + [("all", "base")] + [("all", f"without:{s}") for s in sources]
     told = frame.sparkSession.createDataFrame(pairs, "arm string, against string")
     cols = ["session", "y", "pred"]

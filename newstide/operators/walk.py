@@ -382,22 +382,3 @@ def demean_two_way(panel: DataFrame, value: str, a: str, b: str, tolerance: floa
             break
         effects, last = new, moved
     return rows.join(effects, a).join(by_b, b).select(a, b, (F.col("_y") - F.col("_a") - F.col("_b")).alias(value))
-
-
-def text_classifier(rows: DataFrame, labelled: str = "label", features: int = 1 << 16, low: int = 2, high: int = 5, min_df: int = 2, c: float = 2.0):
-    """Character n-gram TF-IDF with a logistic model: a fitted Spark pipeline over rows(text, label)."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, HashingTF, NGram, Normalizer, RegexTokenizer
-
-    n = max(1, rows.count())
-    chars = RegexTokenizer(inputCol="text", outputCol="chars", pattern="", minTokenLength=1, toLowercase=True)
-    grams = [NGram(n=k, inputCol="chars", outputCol=f"g{k}") for k in range(low, high + 1)]
-    from pyspark.ml.feature import SQLTransformer
-
-    merged = SQLTransformer(statement="select *, concat(" + ", ".join(f"g{k}" for k in range(low, high + 1)) + ") as grams from __THIS__")
-    tf = HashingTF(inputCol="grams", outputCol="tf", numFeatures=features)
-    idf = IDF(inputCol="tf", outputCol="idf", minDocFreq=min_df)
-    unit = Normalizer(inputCol="idf", outputCol="features", p=2.0)
-    model = LogisticRegression(featuresCol="features", labelCol=labelled, regParam=1 / (c * n), standardization=False, maxIter=50)
-    return Pipeline(stages=[chars, *grams, merged, tf, idf, unit, model]).fit(rows)

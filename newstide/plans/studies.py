@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newstide.functions import text
-from newstide.operators import asof, controls, inference, series, studies, walk
+from newstide.operators import asof, controls, inference, series, studies, textmodel, walk
 from newstide.sources import readers
 
 from . import relational  # noqa: F401  (names the common tables)
@@ -15,7 +15,6 @@ from .kernels import _frame
 
 #: The grid of the sensitivity study.
 MIN_TRAIN, REFIT = [300, 500, 750, 1000], [1, 5, 20, 60]
-OUTLETS = ["o0", "o1"]
 
 
 def walk_forward_price(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,32 +46,46 @@ def sensitivity_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("beats_everywhere", "significant", "cells", F.round("accuracy_low", 6).alias("accuracy_low"), F.round("accuracy_high", 6).alias("accuracy_high"), "stable")
 
 
-def _outlets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """session, ret_next, x0, and tone and presence of two outlets, which deal the sources among them."""
-    tone = ", ".join(f"avg(score) filter (where cast(substring(source, 4) as int) % {len(OUTLETS)} = {i}) as sent_{o}" for i, o in enumerate(OUTLETS))
-    news = f"select a.session, {tone} from tagged t join strict_asof a on a.day = t.published_date where t.date_parse_ok and a.session is not null and source is not null group by a.session"
-    cols = ", ".join(f"n.sent_{o}" for o in OUTLETS)
-    return run(f"select b.session, b.ret as x0, lead(b.ret) over (order by b.session) as ret_next, {cols} from returns b left join ({news}) n on n.session = b.session")(spark, sf_dir).where("x0 is not null")
+#: Sessions over which an outlet's tone is taken (stand-in outlets have a headline in some weeks only), and those it must cover to be ranked.
+TONE_SESSIONS, LEAST_SESSIONS = 250, 100
+
+
+def _outlets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """session, ret_next, x0 and, for each source, its mean score over the last TONE_SESSIONS sessions; the sources with LEAST_SESSIONS sessions of tone."""
+    news = "select a.session, t.source, t.score from tagged t join strict_asof a on a.day = t.published_date where t.date_parse_ok and a.session is not null and t.source is not null"
+    sources = sorted(r.source for r in run(f"select distinct source from ({news}) x")(spark, sf_dir).collect())  # a row a source
+    name = lambda s: "`sent_" + s.replace("`", "``") + "`"
+    frame = run("select session, ret as x0, lead(ret) over (order by session) as ret_next from returns")(spark, sf_dir).where("x0 is not null")
+    daily = run(news)(spark, sf_dir).groupBy("session").pivot("source", sources).agg(F.sum("score").alias("s"), F.count("score").alias("n"))
+    recent = Window.orderBy("session").rowsBetween(1 - TONE_SESSIONS, 0)  # over sessions
+    col = lambda s, what: F.sum(F.col("`" + s.replace("`", "``") + f"_{what}`")).over(recent)
+    frame = frame.join(daily, "session", "left").select("session", "x0", "ret_next", *[(col(s, "s") / col(s, "n")).alias(f"sent_{s}") for s in sources])
+    frame = readers.stored(frame, "outlet-tone")
+    covered = frame.agg(*[F.count(name(s)).alias(s) for s in sources]).first() if sources else {}
+    return frame, [s for s in sources if covered[s] >= LEAST_SESSIONS]
 
 
 def source_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """accuracy lost without each outlet, on the window that all cover."""
-    return studies.source_ablation(_outlets(spark, sf_dir), ["x0"], [f"sent_{o}" for o in OUTLETS], "ret_next")
+    """accuracy lost without each source, on the window that the best covered share."""
+    frame, sources = _outlets(spark, sf_dir)
+    return studies.source_ablation(frame, ["x0"], [f"sent_{s}" for s in sources], "ret_next", parts=4).withColumn("source", F.regexp_replace("source", "^sent_", ""))
 
 
-def _with_presence(frame: DataFrame) -> DataFrame:
-    return frame.withColumns({f"has_{o}": F.col(f"sent_{o}").isNotNull().cast("double") for o in OUTLETS}).fillna(0.0, subset=[f"sent_{o}" for o in OUTLETS])
+def _with_presence(frame: DataFrame, sources: list[str]) -> DataFrame:
+    return frame.withColumns({f"has_{s}": F.col(f"sent_{s}").isNotNull().cast("double") for s in sources}).fillna(0.0, subset=[f"sent_{s}" for s in sources])
 
 
 def outlet_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F16: each outlet added to the prices, and left out of all."""
-    return studies.outlet_ranking(_with_presence(_outlets(spark, sf_dir)), ["x0"], OUTLETS, "ret_next")
+    """F16: each source added to the prices, and left out of all."""
+    frame, sources = _outlets(spark, sf_dir)
+    return studies.outlet_ranking(_with_presence(frame, sources), ["x0"], sources, "ret_next", parts=4)
 
 
 def outlet_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F16: standardised in-sample least squares with Newey-West errors."""
-    frame = _with_presence(_outlets(spark, sf_dir)).withColumn("_all", F.lit(1))
-    return frame.groupBy("_all").applyInPandas(lambda pdf: studies.outlet_weights(pdf, ["x0"], OUTLETS, "ret_next"), "source string, beta double, t double, p double")
+    """F16: standardised in-sample least squares over all sources with Newey-West errors."""
+    frame, sources = _outlets(spark, sf_dir)
+    rows = _with_presence(frame, sources).withColumn("_all", F.lit(1))
+    return rows.groupBy("_all").applyInPandas(lambda pdf: studies.outlet_weights(pdf, ["x0"], sources, "ret_next"), "source string, beta double, t double, p double")
 
 
 UNITS = """select firm, session, next_session, abs_r, avg(abs_r) over (partition by firm order by session rows between 4 preceding and current row) as har5,
@@ -107,7 +120,7 @@ def yearly_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """every headline by the classifier of the labels before its year, or blank."""
     rows = run("select h.doc_id, h.published_date as day, h.headline as text, cast(l.quality as double) as label from headlines h left join labels l on h.doc_id = l.doc_id where h.date_parse_ok")(spark, sf_dir)
     years = sorted(r.y for r in rows.select(F.year("day").alias("y")).distinct().collect())
-    return studies.yearly_scores(rows.select("doc_id", "day", "text"), rows.where("label is not null and text is not null"), years, walk.text_classifier).drop("text")
+    return studies.yearly_scores(rows.select("doc_id", "day", "text"), rows.where("label is not null and text is not null"), years, textmodel.fit).drop("text")
 
 
 #: Columns of the controls: prices, and what is known of a session's news.

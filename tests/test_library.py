@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newstide.functions import text as T
-from newstide.operators import asof, inference, walk
+from newstide.operators import textmodel, asof, inference, walk
 from newstide.sources import readers
 from newstide.streaming import news as streams
 
@@ -261,10 +261,52 @@ def test_panels_are_by_firm(spark, sf):
     assert sum(r.n for r in report) == sum(r.event is not None for r in got) and all(0 <= r.recall <= 1 for r in report)
 
 
-def test_text_classifier(spark):
-    rows = spark.createDataFrame([("good profit rises", 1.0), ("profits rise well", 1.0), ("loss and default", 0.0), ("defaults and losses", 0.0)] * 4, "text string, label double")
-    model = walk.text_classifier(rows, features=1 << 10)
-    assert model.transform(rows).where("prediction = label").count() == rows.count()
+def test_text_classifier_equals_a_plain_version(spark, sf):
+    """Grams, vocabulary and vectors of 300 texts by loops; the fit is where the penalised loss is flat, for two classes and for three."""
+    from collections import Counter
+
+    texts = [" ".join((r.text or "").split("\n")[0].split()[:12]) for r in spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").where("text is not null").limit(300).collect()]
+    texts[:3] = ["A  b\tcd", "", "é"]
+
+    def grams(text):
+        out = Counter()
+        for word in text.lower().split():
+            padded = f" {word} "
+            for n in (2, 3, 4, 5):
+                if n <= len(padded):
+                    for i in range(len(padded) - n + 1):
+                        out[padded[i : i + n]] += 1
+        return out
+
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = rows.select("text", textmodel.grams(F.col("text"), 2, 5).alias("g")).collect()
+    assert all(Counter(r.g) == grams(r.text) == textmodel.padded_grams(r.text, 2, 5) for r in got)
+    counts = [grams(t) for t in texts]
+    total, df = sum(counts, Counter()), Counter(g for c in counts for g in c)
+    for most in (60_000, 40):
+        want = sorted((g for g in total if df[g] >= 2), key=lambda g: (-total[g], g.encode()))[:most]
+        words, idf = textmodel.vocabulary(rows, most=most)
+        assert words == want and np.allclose(idf, [np.log(301 / (1 + df[g])) + 1 for g in want])
+    for classes in (2, 3):
+        labels = [float(len(t) % classes) for t in texts]
+        data = spark.createDataFrame(list(zip(texts, labels, strict=True)), "text string, label double")
+        model = textmodel.fit(data, most=300)
+        x = np.zeros((len(texts), 300))
+        for i, c in enumerate(counts):
+            for j, g in enumerate(model.words):
+                if g in c:
+                    x[i, j] = (1 + np.log(c[g])) * model.idf[j]
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        margin = x @ model.weights.T + model.intercepts
+        share = np.exp(margin - margin.max(axis=1, keepdims=True))
+        share /= share.sum(axis=1, keepdims=True)
+        weight = np.array([len(labels) / (classes * labels.count(v)) for v in labels])
+        slope = 2.0 * ((weight[:, None] * (share - np.eye(classes)[np.array(labels, int)])).T @ x)
+        penalty = model.weights if classes > 2 else model.weights
+        flat = slope + penalty if classes > 2 else slope[1] + penalty[1]
+        assert np.abs(flat).max() < 1e-3
+        told = model.transform(data.withColumn("prediction_", F.lit(1))).collect()
+        assert [r.prediction for r in told] == margin.argmax(axis=1).tolist() and np.allclose([r.probability for r in told], share.max(axis=1))
 
 
 def test_streams(spark, tmp_path):

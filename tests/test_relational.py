@@ -42,7 +42,7 @@ def test_kernel_query_has_whole_rows(spark, sf, name):
     """What SQL can't tell is held against plain versions in test_studies.py; here: rows, distinct, and numbers that are numbers."""
     df = catalogue.QUERIES[name](spark, sf)
     rows = df.collect()
-    assert rows or name == "source_ablation"  # its outlets share too few of the smallest table's sessions
+    assert rows
     assert len(set(map(repr, rows))) == len(rows)
     assert all(math.isfinite(v) for r in rows for v in r if isinstance(v, float)), name
 
@@ -87,10 +87,20 @@ def test_controls_have_100_seeds(spark, sf):
     assert {r.kind: r["count"] for r in got} == dict.fromkeys(("flags", "permuted", "stale", "planted"), 100)
 
 
-def test_label_classifier_has_all_grams_and_features(spark, sf, monkeypatch):
+def test_label_classifier_has_the_published_parameters(spark, sf, monkeypatch):
     models = []
-    monkeypatch.setattr(kernels.walk, "text_classifier", lambda *a, f=walk.text_classifier, **k: models.append(f(*a, **k)) or models[-1])
+    monkeypatch.setattr(kernels.textmodel, "fit", lambda *a, f=kernels.textmodel.fit, **k: models.append((k, f(*a, **k))) or models[-1][1])
     catalogue.QUERIES["label_classifier"](spark, sf)
-    stages = models[0].stages
-    assert [s.getN() for s in stages if hasattr(s, "getN")] == [2, 3, 4, 5]
-    assert stages[-1].numFeatures == 1 << 16
+    (how, model), *_ = models
+    assert how == {} and {len(w) for w in model.words} == {2, 3, 4, 5} and len(model.words) <= 60_000
+
+
+def test_outlets_are_the_sources(spark, sf):
+    rows = catalogue.QUERIES["source_ablation"](spark, sf).collect()
+    known = {r.source for r in spark.read.parquet(f"{sf}/documents.parquet").select("source").distinct().collect()}
+    assert len(rows) > 2 and {r.source for r in rows} <= known
+    ranked = sorted((r for r in rows if r.status == "ranked"), key=lambda r: r.place)
+    assert all(r.drop is None and r.place is None for r in rows if r.status != "ranked") and [r.place for r in ranked] == list(range(1, len(ranked) + 1))
+    assert all(a["drop"] >= b["drop"] for a, b in zip(ranked, ranked[1:], strict=False))
+    arms = {r.arm for r in catalogue.QUERIES["outlet_ranking"](spark, sf).collect()}
+    assert len(arms) > 3 and {a.split(":")[1] for a in arms if ":" in a} <= known
