@@ -62,7 +62,18 @@ def firm_models(units: DataFrame, features: list[str], by: str = "_year") -> tup
     return alphas, slopes, means
 
 
-def screened_words(events: DataFrame, q: float = 0.1, least_events: int = 30, least_quarters: int = 6) -> DataFrame:
+#: Events and quarters of the training years that a word must be in to be looked at.
+LEAST_EVENTS, LEAST_QUARTERS = 30, 6
+
+
+def eligible_words(events: DataFrame) -> DataFrame:
+    """_year, token, n and k (labelled events and those labelled 1) of the words in enough of events(_year, quarter, label, tokens)."""
+    words = events.select("_year", "quarter", "label", F.explode(F.array_distinct("tokens")).alias("token"))
+    counts = words.groupBy("_year", "token").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("quarter").alias("quarters"), F.count("label").alias("n"), F.sum("label").cast("long").alias("k"))
+    return counts.where((F.col("events") >= LEAST_EVENTS) & (F.col("quarters") >= LEAST_QUARTERS)).select("_year", "token", "n", "k")
+
+
+def screened_words(events: DataFrame, q: float = 0.1) -> DataFrame:
     """_year, token, side (1 big, -1 small) of events(_year, firm, session, quarter, label, tokens) known at each year.
 
     Eligible words are tested by an exact binomial of their share of label 1
@@ -70,9 +81,7 @@ def screened_words(events: DataFrame, q: float = 0.1, least_events: int = 30, le
     Spark's; each distinct (n, k, base) is tested once.
     """
     base = events.groupBy("_year").agg(F.avg("label").alias("base"))
-    words = events.select("_year", "quarter", "label", F.explode(F.array_distinct("tokens")).alias("token"))
-    counts = words.groupBy("_year", "token").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("quarter").alias("quarters"), F.count("label").alias("n"), F.sum("label").cast("long").alias("k"))
-    counts = counts.where((F.col("events") >= least_events) & (F.col("quarters") >= least_quarters) & (F.col("n") > 0)).join(F.broadcast(base), "_year").where("base > 0 and base < 1")
+    counts = eligible_words(events).where("n > 0").join(F.broadcast(base), "_year").where("base > 0 and base < 1")
 
     @F.pandas_udf("double")
     def p_value(n: pd.Series, k: pd.Series, b: pd.Series) -> pd.Series:
@@ -89,7 +98,102 @@ def screened_words(events: DataFrame, q: float = 0.1, least_events: int = 30, le
     return counts.join(F.broadcast(bars), "_year").where("p <= bar").select("_year", "token", side.alias("side")).where("side is not null")
 
 
-def yearly_walk(units: DataFrame, events: DataFrame, years: list[int], features: list[str], arms: dict[str, list[str]], test_from: str) -> DataFrame:
+def logit_weights(events: DataFrame, words: DataFrame) -> DataFrame:
+    """_year, token, weight of an l2 logistic fit of label on which of the year's screened words an event holds; the intercept's token is null.
+
+    Events that hold the same words and have one label are counted first, so a
+    year's fit reads its distinct sets of words, those without any as one row.
+    """
+    import numpy as np
+
+    told = events.where("label is not null").select("_year", "firm", "session", "label", "tokens")
+    held = told.select("_year", "firm", "session", F.explode(F.array_distinct("tokens")).alias("token")).join(words.select("_year", "token"), ["_year", "token"])
+    held = held.groupBy("_year", "firm", "session").agg(F.sort_array(F.collect_set("token")).alias("held"))  # an event's own screened words
+    sets = told.drop("tokens").join(held, ["_year", "firm", "session"], "left").groupBy("_year", "held", "label").agg(F.count(F.lit(1)).alias("times"))
+
+    def fit(key, pdf):
+        rows = [[] if h is None else list(h) for h in pdf["held"]]
+        names = sorted({w for r in rows for w in r})
+        if not names or pdf["label"].nunique() < 2:
+            return pd.DataFrame(columns=["_year", "token", "weight"])
+        at = {w: i for i, w in enumerate(names)}
+        x = np.zeros((len(rows), len(names)))
+        for i, r in enumerate(rows):
+            x[i, [at[w] for w in r]] = 1
+        w = walk.logit(x, pdf["label"].to_numpy(float), times=pdf["times"])
+        return pd.DataFrame({"_year": key[0], "token": [None, *names], "weight": w})
+
+    return sets.groupBy("_year").applyInPandas(fit, "_year int, token string, weight double")
+
+
+def poisson_weights(events: DataFrame, eligible: DataFrame, rounds: int = 60) -> DataFrame:
+    """_year, token, weight: for each eligible word the slope of a Poisson regression of its count on what the firm model leaves.
+
+    events(_year, firm, session, rest, tokens); the offset is the logarithm of
+    the eligible words in the event.  The intercept has a closed form given the
+    slope b, and then the mean of ``rest`` over the word's events must equal
+    that over all events, weighed by their words and exp(b * rest).  So a word
+    is two sums, and a round of Newton's method (with a bracket) is three sums
+    over all events for each word, which Spark adds up.  A row for each eligible
+    word and year reaches the driver.
+    """
+    import numpy as np
+
+    hits = events.select("_year", "rest", "firm", "session", F.explode(F.array_distinct("tokens")).alias("token")).join(eligible.select("_year", "token"), ["_year", "token"])
+    words = hits.groupBy("_year", "token").agg(F.avg("rest").alias("goal")).collect()
+    sizes = hits.groupBy("_year", "firm", "session").agg(F.count(F.lit(1)).alias("m"), F.first("rest").alias("rest"))
+    sizes = readers.stored(sizes.groupBy("_year", "rest").agg(F.sum("m").cast("double").alias("m")), "word-exposure")
+    ends = {r["_year"]: (r.a, r.b) for r in sizes.groupBy("_year").agg(F.min("rest").alias("a"), F.max("rest").alias("b")).collect()}
+    names, goal, slope, low, high = {}, {}, {}, {}, {}
+    for y in sorted(ends):
+        own = sorted((r.token, r.goal) for r in words if r["_year"] == y)
+        names[y], goal[y] = [t for t, _ in own], np.array([g for _, g in own])
+        slope[y], low[y], high[y] = np.zeros(len(own)), np.full(len(own), -np.inf), np.full(len(own), np.inf)
+    going = {y: np.arange(len(names[y])) for y in names}
+    for _ in range(rounds):
+        now = {y: (at, slope[y][at]) for y, at in going.items() if len(at)}
+        if not now:
+            break
+
+        def sums(batches, now=now):
+            for batch in batches:
+                out = []
+                for y, own in batch.groupby("_year"):
+                    if y not in now:
+                        continue
+                    r, m = own["rest"].to_numpy(), own["m"].to_numpy()
+                    for first in range(0, len(now[y][0]), 256):
+                        at, b = now[y][0][first : first + 256], now[y][1][first : first + 256]
+                        far = np.where(b > 0, ends[y][1], ends[y][0])  # the largest exponent is 0
+                        e = m[:, None] * np.exp(b * (r[:, None] - far))
+                        for j, s0, s1, s2 in zip(at.tolist(), e.sum(axis=0), r @ e, (r * r) @ e, strict=True):
+                            out.append((y, j, float(s0), float(s1), float(s2)))
+                yield pd.DataFrame(out, columns=["_year", "word", "s0", "s1", "s2"])
+
+        added = sizes.mapInPandas(sums, "_year int, word int, s0 double, s1 double, s2 double").groupBy("_year", "word").agg(*[F.sum(c).alias(c) for c in ("s0", "s1", "s2")]).collect()
+        still: dict = {y: [] for y in now}
+        for r in added:
+            y, j = r["_year"], r["word"]
+            mean = r.s1 / r.s0
+            gap, bend, b = mean - goal[y][j], r.s2 / r.s0 - mean**2, slope[y][j]
+            if gap > 0:
+                high[y][j] = b
+            else:
+                low[y][j] = b
+            new = b - gap / bend if bend > 0 else np.nan
+            if not low[y][j] < new < high[y][j]:
+                new = (low[y][j] + high[y][j]) / 2 if np.isfinite(low[y][j] + high[y][j]) else 2 * b + (1 if gap < 0 else -1)
+            slope[y][j] = new
+            if abs(new - b) > 1e-10 * (1 + abs(b)):
+                still[y].append(j)
+        going = {y: np.array(sorted(j), dtype=int) for y, j in still.items()}
+    for y, at in going.items():
+        slope[y][at] = 0.0  # no finite slope
+    rows = [(y, t, float(b)) for y in names for t, b in zip(names[y], slope[y], strict=True)]
+    return events.sparkSession.createDataFrame(rows, "_year int, token string, weight double")
+
+
+def yearly_walk(units: DataFrame, events: DataFrame, years: list[int], features: list[str], arms: dict[str, list[str]], test_from: str, method: str = "card") -> DataFrame:
     """firm, session, y, f0, score and each arm's forecast of events, by year; nothing later than 1 January is learned from.
 
     units(firm, next_session, y, features) and events(firm, session,
@@ -99,6 +203,11 @@ def yearly_walk(units: DataFrame, events: DataFrame, years: list[int], features:
     before the year.  Then, but for the first year, the arms are fitted on the
     earlier scored events since test_from; columns that are 0 in all of them are
     left out.  All fits go through sums: a row a year reaches the driver.
+
+    method: how a year's event is scored by its words: card, (big - small) /
+    (big + small + 1) of the screened words; logit, the margin of
+    :func:`logit_weights`; dmr, the mean of :func:`poisson_weights` over its
+    eligible words.
     """
     import numpy as np
 
@@ -114,12 +223,31 @@ def yearly_walk(units: DataFrame, events: DataFrame, years: list[int], features:
     rest = F.col("y") - F.col("f0")
     edges = each.where("_known").groupBy("_year").agg(F.percentile(rest, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("_e"))
     label = F.when(rest > F.col("_e")[1], 1.0).when(rest < F.col("_e")[0], 0.0)
-    words = screened_words(each.where("_known").join(F.broadcast(edges), "_year").withColumn("label", label))
+    told = each.where("_known").join(F.broadcast(edges), "_year").withColumn("label", label).withColumn("rest", rest).drop("_e")
+    if method == "card":
+        weights = screened_words(told).select("_year", "token", F.col("side").cast("double").alias("weight"))
+    elif method == "logit":
+        told = readers.stored(told, "labelled-events")
+        weights = readers.stored(logit_weights(told, readers.stored(screened_words(told), "screened-words")), "logit-weights")
+    elif method == "dmr":
+        told = readers.stored(told, "labelled-events")
+        weights = poisson_weights(told, readers.stored(eligible_words(told), "eligible-words"))
+    else:
+        raise ValueError(method)
 
     now = each.where(F.year("session") == F.col("_year"))
-    hits = now.select("_year", "firm", "session", F.explode(F.array_distinct("tokens")).alias("token")).join(words, ["_year", "token"]).groupBy("_year", "firm", "session").agg(F.count_if(F.col("side") == 1).alias("_big"), F.count_if(F.col("side") == -1).alias("_small"))
-    big, small = F.coalesce("_big", F.lit(0)), F.coalesce("_small", F.lit(0))
-    scored = now.join(hits, ["_year", "firm", "session"], "left").withColumn("score", (big - small) / (big + small + 1)).drop("_known", "_big", "_small", "tokens", "quarter", "_year")
+    found = now.select("_year", "firm", "session", F.explode(F.array_distinct("tokens")).alias("token")).join(weights, ["_year", "token"])
+    found = found.groupBy("_year", "firm", "session").agg(F.sum("weight").alias("_w"), F.sum(F.abs("weight")).alias("_size"), F.count(F.lit(1)).alias("_n"))
+    scored = now.join(found, ["_year", "firm", "session"], "left")
+    total = F.coalesce("_w", F.lit(0.0))
+    if method == "card":
+        score = total / (F.coalesce("_size", F.lit(0.0)) + 1)
+    elif method == "logit":
+        scored = scored.join(F.broadcast(weights.where("token is null").select("_year", F.col("weight").alias("_i"))), "_year", "left")
+        score = total + F.coalesce("_i", F.lit(0.0))
+    else:
+        score = total / F.greatest(F.coalesce("_n", F.lit(0)), F.lit(1))
+    scored = scored.withColumn("score", score).drop("_known", "_w", "_size", "_n", "_i", "tokens", "quarter", "_year")
 
     cols = sorted({c for a in arms.values() for c in a})
     later = F.broadcast(spark.createDataFrame([(y,) for y in years[1:]], "_year int"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -104,8 +106,10 @@ HAR = ["abs_r", "har5", "har22"]
 
 def yearly_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[int]]:
     units = readers.stored(run(UNITS)(spark, sf_dir), "units")
-    units.createOrReplaceTempView("units")
-    events = run(EVENTS)(spark, sf_dir)
+    view = f"units_{uuid.uuid4().hex}"  # a name of this call's own
+    units.createOrReplaceTempView(view)
+    events = readers.stored(run(EVENTS.replace("from units u", f"from {view} u"))(spark, sf_dir), "events")
+    spark.catalog.dropTempView(view)
     years = sorted(r.y for r in units.select(F.year("session").alias("y")).distinct().collect())  # a row for each year
     return units, events, years[1:]
 
@@ -116,6 +120,18 @@ def yearly_panel_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return studies.yearly_walk(units, events, years, HAR, ARMS, "1996-01-01")
 
 
+def yearly_walk_logit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with events scored by a logistic fit on the screened words."""
+    units, events, years = yearly_frames(spark, sf_dir)
+    return studies.yearly_walk(units, events, years, HAR, ARMS, "1996-01-01", method="logit")
+
+
+def yearly_walk_dmr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with events scored by Poisson regressions of all eligible words."""
+    units, events, years = yearly_frames(spark, sf_dir)
+    return studies.yearly_walk(units, events, years, HAR, ARMS, "1996-01-01", method="dmr")
+
+
 def yearly_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """every headline by the classifier of the labels before its year, or blank."""
     rows = run("select h.doc_id, h.published_date as day, h.headline as text, cast(l.quality as double) as label from headlines h left join labels l on h.doc_id = l.doc_id where h.date_parse_ok")(spark, sf_dir)
@@ -252,8 +268,6 @@ def ticker_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stored_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The articles as a table of the catalogue, created or replaced."""
-    import uuid
-
     rows = run("select row_id, source, headline, published_date from headlines where date_parse_ok")(spark, sf_dir)
     return readers.create_table(rows, f"articles_{uuid.uuid4().hex}")
 
@@ -289,6 +303,8 @@ QUERIES = {
         outlet_ranking,
         outlet_weights,
         yearly_panel_walk,
+        yearly_walk_logit,
+        yearly_walk_dmr,
         yearly_scores,
         positive_control,
         negative_controls,
