@@ -175,8 +175,7 @@ def _written(tools: Tokenizers, a, b, group_a, group_b, many_a, many_b, sizes) -
     at[np.arange(len(b)) + np.cumsum(many_a)[group_b]] = b + last(group_b) * (2 * tools.top)  # after all of A up to its group
     ends = np.cumsum(sizes)
     at[ends[np.flatnonzero(sizes)] - 1] += tools.top  # nothing follows a document's last id
-    told = list(map(tools.written.__getitem__, at.tolist()))
-    return ["".join(told[end - size : end]) for end, size in zip(ends.tolist(), sizes.tolist(), strict=True)]
+    return ["".join(map(tools.written.__getitem__, at[end - size : end].tolist())) for end, size in zip(ends.tolist(), sizes.tolist(), strict=True)]
 
 
 def groups(docs: DataFrame, byte_name: str = "byte_bpe_50k", piece_name: str = "piece_bpe_32k") -> DataFrame:
