@@ -32,6 +32,7 @@ from .common import give_back, map_slices, resident, stage_table
 
 #: Bytes of text in a slice (a longer text is a slice of its own), pairs of tokens from which a group counts as large, pairs of ids that are broadcast.
 SLICE_BYTES, LARGE, HOT = 1 << 21, 256, 8192
+SPACE = "▁"
 SCHEMA = "key long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, a array<int>, b array<int>, times array<long>, seen_a array<int>, seen_b array<int>, seen array<int>"
 
 
@@ -43,6 +44,7 @@ class Tokenizers:
 
         import numpy as np
         import public_tokenizers
+        import pyarrow as pa
         import sentencepiece
 
         from .common import ByteBpe
@@ -60,7 +62,7 @@ class Tokenizers:
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i in range(n) for p in (self.b.id_to_piece(i),)]
         self.width_b = np.array([len(x) for x in self.bytes_b], dtype=np.int64)
         top = max(self.a.size, n)
-        self.written = [f"{i}{mark}" for mark in (",", "|", ";", "") for i in range(top)]  # ids with what follows them
+        self.written = pa.array([f"{i}{mark}" for mark in (",", "|", ";", "") for i in range(top)], pa.large_string())  # ids with what follows them
         self.top = top
 
     def ids_a(self, text: str):
@@ -86,11 +88,13 @@ class Tokenizers:
         pieces = self.b.encode([texts[i] for i in full], num_threads=1) if full else []
         for i, found in zip(full, pieces, strict=True):
             raw = (" " + texts[i]).encode()
-            if b"".join(map(self.bytes_b.__getitem__, found)) != raw:
+            b = np.array(found, dtype=np.int32)
+            # the pieces are those of the text's own characters, but for U+2581, which takes a space's byte for three
+            if int(self.width_b[b].sum()) != len(raw) or SPACE in texts[i] and b"".join(map(self.bytes_b.__getitem__, found)) != raw:
                 continue
             a = self.ids_a(" " + texts[i])
             if int(self.width_a[a].sum()) == len(raw):
-                out[i] = a, np.array(found, dtype=np.int32)
+                out[i] = a, b
         return out
 
 
@@ -152,8 +156,8 @@ def _slice(con, tools: Tokenizers, found) -> dict:
     if len(large):
         con.register("large", pa.table({"g": large.astype(np.int32)}))
     con.execute(LARGE_LINKS if len(large) else LINKS)
-    pairs = con.execute("select d, a, b, times from pairs order by d, a, b").fetchnumpy()
-    seen = con.execute("select a, b, cast(count(*) as int) as seen from pairs group by all order by a, b").fetchnumpy()
+    pairs = con.execute("select d, a, b, times from pairs order by d").fetchnumpy()
+    seen = con.execute("select a, b, cast(count(*) as int) as seen from pairs group by all").fetchnumpy()
     for name in ["ta", "tb", *(["large"] if len(large) else [])]:
         con.unregister(name)
     cut = np.searchsorted(pairs["d"], np.arange(1, n))
@@ -168,14 +172,17 @@ def _slice(con, tools: Tokenizers, found) -> dict:
 def _written(tools: Tokenizers, a, b, group_a, group_b, many_a, many_b, sizes) -> list[str]:
     """`a1,a2|b1;a3|b2,b3` for each document: its groups in order, ids of A before those of B."""
     import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
     last = lambda g: np.append(g[1:] != g[:-1], True)
     at = np.empty(len(a) + len(b), dtype=np.int32)
     at[np.arange(len(a)) + (np.cumsum(many_b) - many_b)[group_a]] = a + last(group_a) * tools.top  # after all of B in earlier groups
     at[np.arange(len(b)) + np.cumsum(many_a)[group_b]] = b + last(group_b) * (2 * tools.top)  # after all of A up to its group
-    ends = np.cumsum(sizes)
-    at[ends[np.flatnonzero(sizes)] - 1] += tools.top  # nothing follows a document's last id
-    return ["".join(map(tools.written.__getitem__, at[end - size : end].tolist())) for end, size in zip(ends.tolist(), sizes.tolist(), strict=True)]
+    ends = np.append(0, np.cumsum(sizes))
+    at[ends[1:][np.flatnonzero(sizes)] - 1] += tools.top  # nothing follows a document's last id
+    told = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), tools.written.take(pa.array(at)))
+    return pc.binary_join(told, pa.scalar("", pa.large_string())).to_pylist()
 
 
 def groups(docs: DataFrame, byte_name: str = "byte_bpe_50k", piece_name: str = "piece_bpe_32k") -> DataFrame:
