@@ -166,6 +166,41 @@ def write_years(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
 
 
+def fingerprint(rows: DataFrame, keys: list[str]) -> tuple[int, int, int]:
+    """Rows, and two sums of hashes of their keys modulo 2 ** 61: the same whatever the rows' order, and each repeat counts."""
+    parts = [F.sum(F.pmod(F.xxhash64(F.lit(salt), *keys), F.lit(1 << 31)).cast("decimal(38,0)")) for salt in ("a", "b")]
+    n, a, b = rows.agg(F.count(F.lit(1)), *parts).first()
+    return int(n), int(a or 0) % (1 << 61), int(b or 0) % (1 << 61)
+
+
+def cached_year(spark: SparkSession, folder: str, year: int, rows: DataFrame, keys: list[str], make) -> DataFrame:
+    """make(rows) of a year, from the cache in ``folder`` where that was made of the same rows; raises if it was made of others.
+
+    A year's result lies in a folder of its own, and a manifest beside it tells
+    the keys it was made of.  The manifest comes last, and by a rename: a result
+    without one was cut off, and is made anew.
+    """
+    import json
+
+    jvm = spark.sparkContext._jvm
+    at = lambda name: jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    fs = at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    told = {"year": year, "keys": keys, "rows": list(fingerprint(rows, keys))}
+    manifest = f"{year}.json"
+    if fs.exists(at(manifest)):
+        known = json.loads("\n".join(r.value for r in spark.read.text(f"{folder}/{manifest}").collect()))  # a line
+        if known != told:
+            raise ValueError(f"{folder}/{year} was made of other rows: {known} is not {told}")
+        return spark.read.parquet(f"{folder}/{year}")
+    make(rows).write.mode("overwrite").parquet(f"{folder}/{year}")
+    out = fs.create(at(f".{manifest}.tmp"), True)
+    out.write(bytearray(json.dumps(told).encode()))
+    out.close()
+    if not fs.rename(at(f".{manifest}.tmp"), at(manifest)):
+        raise OSError(f"can't write {folder}/{manifest}")
+    return spark.read.parquet(f"{folder}/{year}")
+
+
 def create_table(df: DataFrame, name: str) -> DataFrame:
     """Creates or replaces a table of the session's catalogue; the table."""
     df.write.mode("overwrite").format("parquet").saveAsTable(name)

@@ -309,6 +309,21 @@ def test_text_classifier_equals_a_plain_version(spark, sf):
         assert [r.prediction for r in told] == margin.argmax(axis=1).tolist() and np.allclose([r.probability for r in told], share.max(axis=1))
 
 
+def test_a_checked_cache_reuses_refuses_and_recovers(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(50)] + [(7, "t7")], "id long, text string")
+    folder, made = f"file://{tmp_path}/cache", []
+    make = lambda r: made.append(1) or r.select("id", F.length("text").alias("n"))
+    first = readers.cached_year(spark, folder, 2001, rows, ["id", "text"], make)
+    again = readers.cached_year(spark, folder, 2001, rows.repartition(9).orderBy(F.desc("id")), ["id", "text"], make)
+    assert len(made) == 1 and sorted(map(tuple, first.collect())) == sorted(map(tuple, again.collect())) and first.count() == 51
+    for other in (rows.where("id <> 3"), rows.dropDuplicates(), rows.withColumn("text", F.when(F.col("id") == 5, "x").otherwise(F.col("text"))), rows.unionByName(rows.limit(1))):
+        with pytest.raises(ValueError, match="other rows"):
+            readers.cached_year(spark, folder, 2001, other, ["id", "text"], make)
+    (tmp_path / "cache" / "2001.json").unlink()  # a run that was cut off before its manifest
+    assert readers.cached_year(spark, folder, 2001, rows, ["id", "text"], make).count() == 51 and len(made) == 2
+    assert readers.cached_year(spark, folder, 2002, rows.where("false"), ["id", "text"], make).count() == 0
+
+
 def test_streams(spark, tmp_path):
     src = spark.createDataFrame([("a", dt.datetime(2024, 1, 1, 9)), ("a", dt.datetime(2024, 1, 1, 10)), ("b", dt.datetime(2024, 1, 2, 9))], "href string, ts timestamp")
     src.write.parquet(f"file://{tmp_path}/in")
