@@ -113,9 +113,14 @@ SQL: dict[str, tuple[str, str]] = {
     ),
     "absent_weekdays": (
         "X7",
-        """with r as (
+        """with c as (
+          select distinct cast(o_orderdate as date) as session
+          from orders
+          where o_orderpriority like '1%'
+        ),
+        r as (
           select min(session) as a, max(session) as b
-          from bars
+          from c
         ),
         d as (
           select @days_range(a, b) as day
@@ -123,8 +128,8 @@ SQL: dict[str, tuple[str, str]] = {
         )
         select d.day
         from d
-        left join bars b on d.day = b.session
-        where @wd(d.day) < 5 and b.session is null""",
+        left join c on d.day = c.session
+        where @wd(d.day) < 5 and c.session is null""",
     ),
     "holiday_tags": (
         "X10",

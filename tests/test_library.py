@@ -53,8 +53,8 @@ def test_parsed_label(spark, content, label):
 
 
 def test_relevance(spark):
-    tag = lambda x: one(spark, x, T.relevance_tag(F.col("x"), ["inflation"], ["biat"], ["oil"], ["france"], ["tunisia"]))[0]
-    assert [tag(x) for x in ("Inflation rises", "Inflation in France", "Inflation in France and Tunisia", "BIAT results", "Oil up", "nothing")] == ["home_econ", "other", "home_econ", "home_econ", "global_linked", "other"]
+    tag = lambda x: one(spark, x, T.relevance_tag(F.col("x"), ["inflation"], ["acme"], ["oil"], ["ruritania"], ["freedonia"]))[0]
+    assert [tag(x) for x in ("Inflation rises", "Inflation in Ruritania", "Inflation in Ruritania and Freedonia", "ACME results", "Oil up", "nothing")] == ["home_econ", "other", "home_econ", "home_econ", "global_linked", "other"]
 
 
 def test_translation_checks(spark):
