@@ -302,8 +302,7 @@ def test_text_classifier_equals_a_plain_version(spark, sf):
         share /= share.sum(axis=1, keepdims=True)
         weight = np.array([len(labels) / (classes * labels.count(v)) for v in labels])
         slope = 2.0 * ((weight[:, None] * (share - np.eye(classes)[np.array(labels, int)])).T @ x)
-        penalty = model.weights if classes > 2 else model.weights
-        flat = slope + penalty if classes > 2 else slope[1] + penalty[1]
+        flat = slope + model.weights if classes > 2 else slope[1] + model.weights[1]
         assert np.abs(flat).max() < 1e-3
         told = model.transform(data.withColumn("prediction_", F.lit(1))).collect()
         assert [r.prediction for r in told] == margin.argmax(axis=1).tolist() and np.allclose([r.probability for r in told], share.max(axis=1))
