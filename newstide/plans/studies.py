@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newstide.functions import text
-from newstide.operators import asof, controls, inference, series, studies, textmodel, walk
+from newstide.operators import asof, controls, inference, minhash, series, studies, textmodel, walk
 from newstide.sources import readers
 
 from . import relational  # noqa: F401  (names the common tables)
@@ -243,6 +243,16 @@ def library_page_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", readers.page_date(F.col("url"), F.col("html")).alias("day"), href.alias("href"), readers.article_id(F.concat("url", F.lit("_"), F.col("page_id").cast("string"))).alias("article_id"))
 
 
+#: Articles of the reprint query: first lines over 60 days; src0 is the wire.
+DATED = "select doc_id as id, source, lang, headline, @plus(date '1996-01-01', doc_id * 7 % 60) as day from headlines"
+
+
+def wire_reprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reprints of the wire by MinHash bands, verified."""
+    found = minhash.reprints(run(DATED)(spark, sf_dir), F.col("source") == "src0", text.shingles(F.col("headline")))
+    return found.withColumn("similarity", F.round("similarity", 8))
+
+
 def price_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars written as a delimited file and read by the price reader, a bad date among them."""
     path = readers.shared_path(spark, "prices")
@@ -319,6 +329,7 @@ QUERIES = {
         library_replies,
         library_relevance,
         library_page_dates,
+        wire_reprints,
         price_file,
         ticker_folder,
         stored_table,
@@ -379,6 +390,15 @@ ORACLES = {
         "select page_id, case page_id % 6 when 0 then date '2019-03-07' when 1 then date '2020-11-30' when 2 then date '2018-02-09' when 3 then date '2017-12-05' when 4 then cast(try_strptime('2016-' || case when page_id % 4 = 0 then '02' else '08' end || '-' || cast(1 + page_id % 28 as varchar), '%Y-%m-%d') as date) end as day, regexp_extract(case when page_id % 6 = 0 then url || '/2019/03/07/' else url end, '://[^/?#]+([^#]*)', 1) as href, cast(page_id as varchar) as article_id from pages",
         duck=True,
     ),
+    "wire_reprints": render(
+        f"""with x as (select *, case when source is not null then source = 'src0' else false end as wire, string_split(lower(trim(regexp_replace(headline, '\\s+', ' ', 'g'))), ' ') as w from ({DATED}) d),
+    s as (select id, lang, day, wire, list_filter(case when len(w) >= 3 then list_distinct(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) else [array_to_string(w, ' ')] end, lambda y: y <> '') as s from x),
+    e as (select id, lang, day, wire, len(s) as n, unnest(s) as g from s),
+    p as (select a.id, b.id as wire_id, count(*) / cast(any_value(a.n) + any_value(b.n) - count(*) as double) as j from e a join e b on a.g = b.g and not a.wire and b.wire and a.lang is not distinct from b.lang and abs(date_diff('day', a.day, b.day)) <= 2 group by 1, 2),
+    k as (select *, row_number() over (partition by id order by j desc, wire_id) as r from p where j >= 0.8)
+    select s.id, k.id is not null as reprint, round(j, 8) as similarity, wire_id from s left join k on k.id = s.id and r = 1 where not wire""",
+        duck=True,
+    ),
     "price_file": render("select session, close, round(ret, 6) as ret, round(range_pct, 6) as range_pct, round(log_volume, 6) as log_volume from returns", duck=True),
     "ticker_folder": render("select concat('F', cast(firm as varchar)) as \"Ticker\", session as \"Date\", close as \"Close\" from firm_bars", duck=True),
     "stored_table": render("select row_id, source, headline, published_date from headlines where date_parse_ok", duck=True),
