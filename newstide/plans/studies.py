@@ -12,7 +12,7 @@ from newstide.operators import asof, controls, inference, minhash, series, studi
 from newstide.sources import readers
 
 from . import relational  # noqa: F401  (names the common tables)
-from .dialect import render, run, windowed
+from .dialect import TABLES, render, run, windowed
 from .kernels import _frame
 
 #: The grid of the sensitivity study.
@@ -279,7 +279,12 @@ def ticker_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The articles as a table of the catalogue, created or replaced."""
     rows = run("select row_id, source, headline, published_date from headlines where date_parse_ok")(spark, sf_dir)
-    return readers.create_table(rows, f"articles_{uuid.uuid4().hex}")
+    return readers.create_table(rows, "articles")
+
+
+def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, files, bytes and time of the last change of each table."""
+    return readers.inventory(spark, sf_dir, list(TABLES))
 
 
 #: The window of the frozen rerun.
@@ -333,6 +338,7 @@ QUERIES = {
         price_file,
         ticker_folder,
         stored_table,
+        file_inventory,
         frozen_rerun,
         reproduction_check,
     )

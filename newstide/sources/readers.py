@@ -202,9 +202,22 @@ def cached_year(spark: SparkSession, folder: str, year: int, rows: DataFrame, ke
 
 
 def create_table(df: DataFrame, name: str) -> DataFrame:
-    """Creates or replaces a table of the session's catalogue; the table."""
-    df.write.mode("overwrite").format("parquet").saveAsTable(name)
-    return df.sparkSession.table(name)
+    """Creates or replaces a table of the session's catalogue; the table.
+
+    Its rows lie in a new folder of this application each time, so a frame over
+    the table replaced stays whole until ``clean``.  The catalogue turns to the
+    new rows once they are all written.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, f"table-{name}")
+    df.write.parquet(path)
+    spark.sql(f"drop table if exists `{name}`")
+    return spark.catalog.createTable(name, path=path, source="parquet")
+
+
+def drop_table(spark: SparkSession, name: str) -> None:
+    """Drops a table of the catalogue, if it is there."""
+    spark.sql(f"drop table if exists `{name}`")
 
 
 def reproduces(now: DataFrame, before: DataFrame, keys: list[str], tolerance: float = 1e-9) -> DataFrame:
@@ -235,9 +248,16 @@ def only_new(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def inventory(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
-    """table, rows, bytes, files of parquet tables."""
+    """table, rows, files, bytes, modified (of the file changed last) of parquet tables; one row for an empty table, too.
+
+    Files, sizes and times come from listing the folders, rows from the files'
+    footers: Spark counts a scan without columns from them.
+    """
     out = []
     for name in names:
-        df = spark.read.parquet(f"{folder}/{name}.parquet").select("_metadata.file_path", "_metadata.file_size")
-        out.append(df.groupBy("file_path").agg(F.count(F.lit(1)).alias("n"), F.max("file_size").alias("b")).agg(F.sum("n").alias("rows"), F.sum("b").alias("bytes"), F.count(F.lit(1)).alias("files")).select(F.lit(name).alias("table"), "rows", "bytes", "files"))
+        path = f"{folder}/{name}.parquet"
+        listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path)
+        files = listed.select("length", "modificationTime").agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.max("modificationTime").alias("modified"))
+        rows = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows"))
+        out.append(rows.crossJoin(files).select(F.lit(name).alias("table"), "rows", "files", "bytes", "modified"))  # one row each
     return reduce(DataFrame.unionByName, out)

@@ -335,3 +335,30 @@ def test_streams(spark, tmp_path):
     assert sorted(r.n for r in spark.table("counted").collect()) == [1, 2]
     got = {r.href: r.matched.day for r in streams.to_sessions(src, days(spark, 2, 3, name="session"), "ts").collect()}
     assert got == {"a": 2, "b": 3}
+
+
+def test_table_is_replaced_under_its_name_and_dropped(spark):
+    first = readers.create_table(spark.createDataFrame([(1, "a"), (2, "b")], "id long, x string"), "kept_articles")
+    second = readers.create_table(spark.createDataFrame([(3, 1.5)], "id long, y double"), "kept_articles")
+    assert [tuple(r) for r in second.collect()] == [(3, 1.5)] and sorted(r.id for r in first.collect()) == [1, 2]
+    assert spark.table("kept_articles").columns == ["id", "y"] and [t.name for t in spark.catalog.listTables("default") if t.name == "kept_articles"] == ["kept_articles"]
+    readers.create_table(spark.table("kept_articles").where("false"), "kept_articles")  # made of itself
+    assert spark.table("kept_articles").collect() == []
+    readers.drop_table(spark, "kept_articles")
+    assert not spark.catalog.tableExists("kept_articles")
+    readers.drop_table(spark, "kept_articles")
+
+
+def test_inventory_equals_the_file_system(spark, sf, tmp_path):
+    import os
+
+    made = f"{tmp_path}/parts.parquet"
+    spark.range(1000).repartition(3).write.parquet(made)
+    spark.range(0).write.parquet(f"{tmp_path}/none.parquet")
+    got = {r.table: r for r in readers.inventory(spark, str(tmp_path), ["parts", "none"]).collect()} | {r.table: r for r in readers.inventory(spark, sf, ["documents"]).collect()}
+    for name, folder, rows in (("parts", str(tmp_path), 1000), ("none", str(tmp_path), 0), ("documents", sf, spark.read.parquet(f"{sf}/documents.parquet").count())):
+        path = f"{folder}/{name}.parquet"
+        files = [path] if os.path.isfile(path) else [f"{path}/{x}" for x in os.listdir(path) if x.endswith(".parquet")]
+        r = got[name]
+        assert (r.rows, r.files, r.bytes) == (rows, len(files), sum(os.path.getsize(x) for x in files))
+        assert r.modified is None and not files or abs(r.modified.replace(tzinfo=dt.timezone.utc).timestamp() - max(map(os.path.getmtime, files))) < 1
