@@ -1,4 +1,4 @@
-"""Templates of the license scan: titles, notices, and whole texts of the short licenses."""
+"""Templates of the license scan: titles, notices, whole texts of the short licenses, and identifier lines."""
 
 _MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
@@ -55,6 +55,65 @@ LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR
 OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
 PERFORMANCE OF THIS SOFTWARE."""
 
+_BSD_ZERO = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted.
+
+""" + _ISC.split("\n\n")[1]
+
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty.
+In no event will the authors be held liable for any damages arising from the
+use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including
+commercial applications, and to alter it and redistribute it freely, subject to
+the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim
+   that you wrote the original software. If you use this software in a product,
+   an acknowledgment in the product documentation would be appreciated but is
+   not required.
+
+2. Altered source versions must be plainly marked as such, and must not be
+   misrepresented as being the original software.
+
+3. This notice may not be removed or altered from any source distribution."""
+
+_BOOST = """Permission is hereby granted, free of charge, to any person or organization
+obtaining a copy of the software and accompanying documentation covered by this
+license (the "Software") to use, reproduce, display, distribute, execute, and
+transmit the Software, and to prepare derivative works of the Software, and to
+permit third-parties to whom the Software is furnished to do so, all subject to
+the following:
+
+The copyright notices in the Software and this entire statement, including the
+above license grant, this restriction and the following disclaimer, must be
+included in all copies of the Software, in whole or in part, and all derivative
+works of the Software, unless such copies or derivative works are solely in the
+form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL
+THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY
+DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING
+FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN
+THE SOFTWARE."""
+
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this
+software, either in source code form or as a compiled binary, for any purpose,
+commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this
+software dedicate any and all copyright interest in the software to the public
+domain. We make this dedication for the benefit of the public at large and to
+the detriment of our heirs and successors. We intend this dedication to be an
+overt act of relinquishment in perpetuity of all present and future rights to
+this software under copyright law.
+
+""" + _MIT_WARRANTY.replace("AUTHORS OR COPYRIGHT HOLDERS", "AUTHORS")
+
 _APACHE_NOTICE = """Licensed under the Apache License, Version 2.0 (the "License");
 you may not use this file except in compliance with the License.
 You may obtain a copy of the License at
@@ -95,7 +154,7 @@ def _gnu(short: str, name: str, dated: dict[str, str]) -> list[tuple[str, str]]:
 
 
 #: Fixed values: (license, text).
-TEMPLATES: tuple[tuple[str, str], ...] = (
+NOTICES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
     ("Apache-2.0", "Apache License, Version 2.0"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -119,10 +178,24 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("MPL-1.1", "Mozilla Public License Version 1.1"),
     ("MPL-2.0", "Mozilla Public License Version 2.0"),
     ("MPL-2.0", _MPL_NOTICE),
+    ("0BSD", "Zero-Clause BSD License"),
+    ("0BSD", _BSD_ZERO),
+    ("BSL-1.0", "Boost Software License, Version 1.0"),
+    ("BSL-1.0", _BOOST),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Unlicense", _UNLICENSE),
+    ("Zlib", "zlib License"),
+    ("Zlib", _ZLIB),
     *_gnu("AGPL", "Affero General Public License", {"3": "19 November 2007"}),
     *_gnu("GFDL", "Free Documentation License", {"1.2": "November 2002", "1.3": "3 November 2008"}),
     *_gnu("GPL", "General Public License", {"1": "February 1989", "2": "June 1991", "3": "29 June 2007"}),
     *_gnu("LGPL", "Library General Public License", {"2": "June 1991"}),
     *_gnu("LGPL", "Lesser General Public License", {"2.1": "February 1999", "3": "29 June 2007"}),
 )
+
+#: A license's identifier line; the GNU family's identifiers tell whether later versions may be chosen, too.
+TEMPLATES: tuple[tuple[str, str], ...] = NOTICES + tuple(
+    (name, f"SPDX-License-Identifier: {name}{how}")
+    for name in sorted({name for name, _ in NOTICES})
+    for how in (("", "-only", "-or-later") if name.startswith(("AGPL-", "GFDL-", "GPL-", "LGPL-")) else ("",))
+)

@@ -1,10 +1,11 @@
 """License scans: TF-IDF cosine to templates, then inheritance along directories.
 
 Headers and license files are found as passages: sentences or lines of which at
-least half the words are words of the templates, the paragraphs and runs that
-such pieces form, and all of them together.  Each passage is compared with the
-templates (titles, notices, and whole texts of the short licenses) in a sparse
-space of words and pairs of neighbouring words, so that versions and clauses
+least half the words are words of the templates and that do not deny a license ("is
+not licensed under"), the paragraphs and runs that such pieces form, and all of
+them together.  Each passage is compared with the
+templates (titles, notices, whole texts of the short licenses, and SPDX
+identifier lines) in a sparse space of words and pairs of neighbouring words, so that versions and clauses
 count.  Terms are weighted by their document frequency over all files that hold
 an anchor, a word that no license goes without; terms outside the templates
 weigh as the rarest.  A file's own license is the best template over the
@@ -34,7 +35,9 @@ THRESHOLD = 0.7
 #: Pieces further apart than so many others are in different runs.
 GAP = 3
 _TERM = re.compile(r"[a-z0-9.\-]*[a-z0-9]")
-_PIECE = re.compile(r"(?<=[.!?:;])\s+")
+_PIECE = re.compile(r"(?<=[.!?:;])(?<!license-identifier:)\s+")  # an identifier stays with its line
+#: A piece that says what does not hold names a license without granting it.
+_DENIED = re.compile(r"(\bnot|n't|\bno longer|\bnever)(\s+\w+){0,2}\s+(licen[sc]ed|released|distributed|published|available|covered)\b")
 #: Words that carry nothing in a notice; not part of the vector space.
 STOP = frozenset("a an and any are as at be by for from in is it its may not of on or that the this to under was will with you your".split())
 #: Every template holds one of these.
@@ -72,7 +75,7 @@ def passages(text: str | None, words: frozenset) -> list[list[str]]:
             t = terms(piece)
             if not t:
                 continue
-            if 2 * sum(x in words for x in t) < len(t):
+            if 2 * sum(x in words for x in t) < len(t) or _DENIED.search(piece):
                 since += 1
                 close(paragraph)
                 paragraph = []

@@ -615,6 +615,25 @@ def test_licenses_against_brute_force(spark):
     assert all(r.k1 == 1 and r.at == 1 and r.dir == 1 for r in got.values())
 
 
+def test_identifier_lines_denials_and_whole_texts(spark):
+    texts = {
+        "// SPDX-License-Identifier: Apache-2.0\npackage x;": "Apache-2.0",
+        "# SPDX-License-Identifier: GPL-2.0-only\nimport os": "GPL-2.0",
+        "/* SPDX-License-Identifier: LGPL-2.1-or-later */": "LGPL-2.1",
+        "SPDX-License-Identifier: MIT": "MIT",
+        "Copyright 2001 A Person\n# spdx-license-identifier: bsd-3-clause\n": "BSD-3-Clause",
+        "SPDX-License-Identifier: NoSuchLicense-1.0": None,
+        "This file is not licensed under the GNU General Public License.": None,
+        "It isn't distributed under the MIT License": None,
+        "This work is licensed under the GNU General Public License.": "GPL",
+        **{f"Copyright (c) 2001 A Person\n\n{dict_of(name)}\n\nint main;": name for name in ("0BSD", "BSL-1.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MIT", "Unlicense", "Zlib")},
+    }
+    docs = spark.createDataFrame([(i, f"d{i}/x.c", t) for i, t in enumerate(texts)], "doc_id long, path string, text string")
+    got = {r.doc_id: (r.own_license, r.cosine) for r in licenses.scan(docs).collect()}
+    for i, (text, want) in enumerate(texts.items()):
+        assert got[i][0] == want, (text[:80], got[i])
+
+
 def dict_of(name):
     return max((text for n, text in licenses.TEMPLATES if n == name), key=len)
 
