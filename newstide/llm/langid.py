@@ -98,7 +98,7 @@ def identify(docs: DataFrame, dicts: dict[str, bytes]) -> DataFrame:
     """The columns of docs but text, with lang_pred, score (0 to 1) and rejected."""
     docs = docs.drop("lang_pred", "score", "rejected")  # the result's own names
     shared = docs.sparkSession.sparkContext.broadcast(dicts)
-    made_of = hashlib.sha256(repr(sorted((k, zlib.crc32(v), len(v)) for k, v in dicts.items())).encode()).hexdigest()
+    made_of = hashlib.sha256(repr([(k, zlib.crc32(v), len(v)) for k, v in dicts.items()]).encode()).hexdigest()
     rest = [f for f in docs.schema if f.name != "text"]
     ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + ["lang_pred string", "score double", "rejected boolean"])
     return map_slices(docs, _predict(shared, made_of), ddl)
