@@ -2,11 +2,11 @@
 
 Block b is fitted on the rows whose position is before warm + b * step - ahead,
 so a row belongs to a block and to all later ones.  Tasks read their rows once a
-step and send, for each block, the gradient and the curvature at its present
-weights: a table of blocks by coefficients, whatever the number of rows.  No
-task holds the history, and no row is copied for later blocks.  Exact quantiles
-of the fitted scores are found the same way, by counts within ever narrower
-bounds.
+step and send, once, for each block, the gradient and the curvature at its
+present weights: a table of blocks by coefficients, whatever the number of rows.
+No task holds the history, and no row is copied for later blocks.  Exact
+quantiles of the fitted scores are found the same way, by counts within ever
+narrower buckets.
 """
 
 from __future__ import annotations
@@ -33,39 +33,84 @@ def first_block(pos: str, warm: int, ahead: int, step: int):
     return F.greatest(F.lit(0), F.floor((F.col(pos) - warm + ahead) / step) + 1).cast("int")
 
 
-def _added(rows: DataFrame, kernel: Callable, names: str) -> list:
-    """kernel(batch) gives (block, place, value) lists; their sums by block and place."""
-    import pandas as pd
-
-    def run(batches):
-        for batch in batches:
-            if len(batch):
-                yield pd.DataFrame(kernel(batch), columns=["block", "place", "value"])
-
-    return rows.select(*names).mapInPandas(run, "block int, place int, value double").groupBy("block", "place").agg(F.sum("value").alias("value")).collect()
+#: Rows that are held against all blocks at once: a table of rows by blocks that stays in a core's cache.
+ROWS = 512
 
 
-def _design(batch, features):
+def _chunks(batch, features: list[str], numbers):
+    """Of a batch, in order of ``_first``: (places in the batch, rows with the intercept's 1, the first block of ``numbers`` that holds any, rows by blocks from there: held)."""
     import numpy as np
 
-    batch = batch.sort_values("_first", kind="stable")
-    x = batch[features].to_numpy(float)
-    return batch, np.column_stack([np.ones(len(x)), x]), batch["_first"].to_numpy()
+    first = batch["_first"].to_numpy()
+    order = np.argsort(first, kind="stable")
+    a = np.column_stack([np.ones(len(order)), batch[features].to_numpy(float)[order]])
+    first = first[order]
+    for at in range(0, len(order), ROWS):
+        since = int(np.searchsorted(numbers, first[at]))
+        if since == len(numbers):
+            return
+        one = slice(at, at + ROWS)
+        yield order[one], a[one], since, first[one, None] <= numbers[since:]
 
 
 def scores(a, w):
     """a @ w, added up from left to right, so that a row's score doesn't hang on the rows beside it."""
-    out = a[:, 0] * w[0]
+    out = a[:, :1] * w[0]
     for j in range(1, a.shape[1]):
-        out = out + a[:, j] * w[j]
+        out += a[:, j : j + 1] * w[j]
     return out
 
 
+def slopes_and_bends(features: list[str], event: str, shift, numbers, raw, one, zero) -> Callable:
+    """A task's sums for mapInPandas, (block, place, value): of each of ``numbers``, the gradient and the upper half of the curvature at its column of ``raw``.
+
+    Rows meet all their blocks in matrix products: a row's cross products are
+    made once, whatever the number of blocks, and a task sends its sums once.
+    """
+    import numpy as np
+    import pandas as pd
+
+    i, j = np.triu_indices(len(raw))
+
+    def run(batches):
+        total = np.zeros((len(raw) + len(i), len(numbers)))
+        for batch in batches:
+            hit = batch[event].to_numpy(float)
+            for places, a, since, held in _chunks(batch, features, numbers):
+                a[:, 1:] -= shift
+                t = hit[places, None]
+                prob = a @ raw[:, since:]
+                np.clip(prob, -30, 30, out=prob)
+                np.negative(prob, out=prob)
+                np.exp(prob, out=prob)
+                prob += 1
+                np.reciprocal(prob, out=prob)
+                weight = np.where(t == 1, one[since:], zero[since:])
+                weight *= held
+                miss = prob - t
+                miss *= weight
+                total[: len(raw), since:] += a.T @ miss
+                weight *= prob
+                weight *= 1 - prob
+                total[len(raw) :, since:] += (a[:, i] * a[:, j]).T @ weight
+        if total.any():
+            place, block = np.indices(total.shape)
+            yield pd.DataFrame({"block": numbers[block.ravel()].astype("int32"), "place": place.ravel().astype("int32"), "value": total.ravel()})
+
+    return run
+
+
+#: Rows from which a fit starts at that of one row in THIN, and the largest first step from there (else it starts at zero).
+MANY, THIN, NEAR = 1_000_000, 64, 0.5
+
+
 def fit(rows: DataFrame, features: list[str], event: str, blocks: int, c: float = 1.0, balanced: bool = False, standardise: bool = True, rounds: int = 50) -> Blocks:
     """The l2-penalised logistic fit (intercept free) of each block of rows(_first, features, event), read once a Newton step.
 
     Penalties are on the columns in units of their standard deviation within the
-    block if standardise.  Blocks without both classes are left out.
+    block if standardise.  Blocks without both classes are left out.  A fit of
+    many rows starts at the fit of a few of them, which saves it readings; where
+    it ends is for all rows to say.
     """
     import numpy as np
 
@@ -95,32 +140,23 @@ def fit(rows: DataFrame, features: list[str], event: str, blocks: int, c: float
         turn[b][0, 1:] = -mean[b] / sd[b]
     ridge = np.diag(np.append(1e-9, np.full(p, 1 / c)))
     w = {b: np.zeros(p + 1) for b in live}
+    started = set()
+    if len(live) and n[live[-1]] >= MANY:
+        few = fit(readers.stored(rows.sample(1 / THIN, seed=1), "few-rows"), features, event, blocks, c, balanced, standardise, rounds)
+        for b, beta in zip(few.number, few.weights, strict=True):
+            if b in w and np.isfinite(beta).all():
+                w[b] = np.linalg.solve(turn[b], [beta[0] + float(np.dot(beta[1:], shift)), *beta[1:]])
+                started.add(b)
     at = np.triu_indices(p + 1)
     going = list(live)
     for _ in range(rounds):
         if not going:
             break
-        raw = {int(b): turn[b] @ w[b] for b in going}
-
-        def kernel(batch, raw=raw):
-            batch, a, first = _design(batch, features)
-            a[:, 1:] -= shift
-            hit = batch[event].to_numpy(float)
-            out = []
-            for b, beta in raw.items():
-                k = int(np.searchsorted(first, b, side="right"))
-                if not k:
-                    continue
-                x, t = a[:k], hit[:k]
-                prob = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-                weight = np.where(t == 1, one[b], zero[b])
-                slope = x.T @ (weight * (prob - t))
-                bend = (x * (weight * prob * (1 - prob))[:, None]).T @ x
-                out += [(b, i, v) for i, v in enumerate([*slope, *bend[at]])]
-            return out
-
+        numbers = np.array(going)
+        raw = np.column_stack([turn[b] @ w[b] for b in going])
+        sums_of = slopes_and_bends(features, event, shift, numbers, raw, one[numbers], zero[numbers])
         found = np.zeros((blocks, p + 1 + len(at[0])))
-        for r in _added(rows, kernel, ["_first", *features, event]):
+        for r in rows.select("_first", *features, event).mapInPandas(sums_of, "block int, place int, value double").groupBy("block", "place").agg(F.sum("value").alias("value")).collect():
             found[r["block"], r["place"]] = r["value"]
         still = []
         for b in going:
@@ -128,10 +164,13 @@ def fit(rows: DataFrame, features: list[str], event: str, blocks: int, c: float
             bend[at] = found[b, p + 1 :]
             bend = bend + np.triu(bend, 1).T
             move = np.linalg.solve(turn[b].T @ bend @ turn[b] + ridge, turn[b].T @ found[b, : p + 1] + ridge @ w[b])
-            w[b] = w[b] - move
+            if b in started and not np.abs(move).max() <= NEAR:
+                w[b], move = np.zeros(p + 1), np.array([np.inf])
+            else:
+                w[b] = w[b] - move
             if np.abs(move).max() > 1e-10:
                 still.append(b)
-        going = still
+        going, started = still, set()
     out = []
     for b in live:
         beta = turn[b] @ w[b]
@@ -140,62 +179,119 @@ def fit(rows: DataFrame, features: list[str], event: str, blocks: int, c: float
     return Blocks([int(b) for b in live], out)
 
 
-#: Intervals that the bounds of a quantile are cut into at each reading.
-CUTS = 1024
+#: Bits of a score's place in the order of all doubles that are still open after each reading, and the rows in one bucket that are few enough to send as they are.
+OPEN, FEW = (50, 40, 30, 20, 10, 0), 2_000
+
+
+def _ordered(s):
+    """Doubles as long integers in the same order."""
+    import numpy as np
+
+    bits = np.ascontiguousarray(s).view(np.int64)
+    flip = bits >> np.int64(63)
+    flip &= np.int64(2**63 - 1)
+    flip ^= bits
+    return flip
+
+
+def bucket_counts(features: list[str], numbers, w, known: int, asked, left: int) -> Callable:
+    """A task's counts for mapInPandas, (block, bucket, n): scores by their order's upper bits, all but ``left``.
+
+    asked: none, or rows of buckets of all but ``known`` bits, one for each
+    block, and only the scores in them count.
+    """
+    import numpy as np
+    import pandas as pd
+
+    width = 1 << (known - left)
+
+    def run(batches):
+        dense = np.zeros(len(numbers) << 14, dtype=np.int64) if asked is None else None
+        keys, times = [], []
+        for batch in batches:
+            seen, places = [], []
+            for _, a, since, held in _chunks(batch, features, numbers):
+                key = _ordered(scores(a, w[:, since:]))
+                bucket = key >> np.int64(left)
+                if asked is None:  # the uppermost 14 bits
+                    bucket += (1 << 13) + (np.arange(since, len(numbers)) << 14)
+                    bucket[~held] = len(dense)
+                    seen.append(bucket.ravel())
+                    continue
+                above = key >> np.int64(known)
+                for layer in asked[:, since:]:
+                    row, at = np.nonzero((above == layer) & held)
+                    seen.append(bucket[row, at])
+                    places.append(at + since)
+            if not seen:
+                continue
+            if asked is None:
+                dense += np.bincount(np.concatenate(seen), minlength=len(dense) + 1)[:-1]
+            else:
+                got = pd.DataFrame({"block": np.concatenate(places), "bucket": np.concatenate(seen)}).groupby(["block", "bucket"]).size()
+                keys.append(got.index.to_frame(index=False))
+                times.append(got.to_numpy())
+                if sum(map(len, times)) > 4 * width:  # in one table again, from time to time
+                    whole = pd.concat(keys).assign(n=np.concatenate(times)).groupby(["block", "bucket"])["n"].sum()
+                    keys, times = [whole.index.to_frame(index=False)], [whole.to_numpy()]
+        if asked is None:
+            at = np.flatnonzero(dense)
+            yield pd.DataFrame({"block": numbers[at >> 14].astype("int32"), "bucket": (at & ((1 << 14) - 1)) - (1 << 13), "n": dense[at]})
+        elif keys:
+            whole = pd.concat(keys).assign(n=np.concatenate(times)).groupby(["block", "bucket"])["n"].sum().reset_index()
+            yield whole.assign(block=numbers[whole["block"].to_numpy()].astype("int32"))
+
+    return run
 
 
 def score_quantile(rows: DataFrame, features: list[str], fitted: Blocks, q: float) -> list[float]:
     """Of each fitted block, the score at the q-quantile of its rows' probabilities (linear between the two beside it).
 
-    The two are found exactly: each reading counts the scores within the bounds
-    by CUTS intervals, and the bounds close in on the interval that holds the rank.
+    The two are found exactly: each reading counts the scores by further bits
+    of their place in the order of all doubles, within the buckets that hold the
+    two ranks; where few are left, a reading tells all bits.
     """
     import numpy as np
-    import pandas as pd
 
-    model = dict(zip(fitted.number, fitted.weights, strict=True))
-
-    def read(bounds: dict[int, list[tuple[float, float]]]) -> list:
-        def run(batches):
-            for batch in batches:
-                batch, a, first = _design(batch, features)
-                out = []
-                for b, wanted in bounds.items():
-                    s = scores(a[: int(np.searchsorted(first, b, side="right"))], model[b])
-                    for t, (lo, hi) in enumerate(wanted):
-                        inside = s[(s >= lo) & (s <= hi)]
-                        if len(inside):
-                            width = hi - lo
-                            cut = np.minimum((inside - lo) / width * CUTS, CUTS - 1).astype(int) if 0 < width < np.inf else np.zeros(len(inside), dtype=int)
-                            told = pd.DataFrame({"cut": cut, "s": inside}).groupby("cut")["s"].agg(["size", "min", "max"])
-                            out += [(b, t, int(k), int(n), float(x), float(z)) for k, n, x, z in told.itertuples()]
-                yield pd.DataFrame(out, columns=["block", "side", "cut", "n", "low", "high"])
-
-        got = rows.select("_first", *features).mapInPandas(run, "block int, side int, cut int, n long, low double, high double")
-        return got.groupBy("block", "side", "cut").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).collect()
-
-    ends = {r["block"]: r for r in read({b: [(-np.inf, np.inf)] for b in model})}
-    place = {b: (ends[b]["n"] - 1) * q for b in model}
-    rank = {(b, t): min(int(place[b]) + t, ends[b]["n"] - 1) for b in model for t in (0, 1)}
-    bounds = {(b, t): (ends[b]["low"], ends[b]["high"]) for b, t in rank}
-    while open_ := {k for k, (lo, hi) in bounds.items() if lo < hi}:
-        asked = {b: [bounds[b, 0], bounds[b, 1]] for b in sorted({b for b, _ in open_})}
-        by_key: dict = {}
-        for r in read(asked):
-            by_key.setdefault((r["block"], r["side"]), []).append(r)
-        for key in open_:
-            for r in sorted(by_key[key], key=lambda r: r["cut"]):
-                if rank[key] < r["n"]:
-                    bounds[key] = (r["low"], r["high"])
-                    break
-                rank[key] -= r["n"]
+    if not fitted.number:
+        return []
+    numbers = np.array(fitted.number)
+    w = np.array(fitted.weights).T
+    rank, part, held = [], [], {}
+    known, asked, bucket = 64, None, None
+    for level, left in enumerate(OPEN):
+        if level and left and max(held.values()) <= FEW:
+            continue
+        told = rows.select("_first", *features).mapInPandas(bucket_counts(features, numbers, w, known, asked, left), "block int, bucket long, n long").groupBy("block", "bucket").agg(F.sum("n").alias("n")).collect()
+        by: dict = {}
+        for r in told:
+            by.setdefault(r["block"], []).append((r["bucket"], r["n"]))
+        if not level:
+            total = [sum(n for _, n in by[b]) for b in fitted.number]
+            part = [(n - 1) * q - int((n - 1) * q) for n in total]
+            rank = [[min(int((n - 1) * q) + t, n - 1) for n in total] for t in (0, 1)]
+            bucket = np.zeros((2, len(numbers)), dtype=np.int64)
+        for i, b in enumerate(fitted.number):
+            listed = sorted(by[b])
+            for t, old in enumerate(bucket[:, i].tolist()):
+                for k, n in listed:
+                    if level and k >> (known - left) != old:
+                        continue
+                    if rank[t][i] < n:
+                        bucket[t, i], held[b, t] = k, n
+                        break
+                    rank[t][i] -= n
+        known = left
+        # where both ranks lie in one bucket, it is asked for once
+        twice = bucket[1] != bucket[0]
+        asked = np.vstack([bucket[0], np.where(twice, bucket[1], np.int64(2**63 - 1))]) if twice.any() else bucket[:1]
+    values = bucket ^ ((bucket >> np.int64(63)) & np.int64(2**63 - 1))
     out = []
-    for b in fitted.number:
-        low, high, part = bounds[b, 0][0], bounds[b, 1][0], place[b] - int(place[b])
-        if low == high or not part:
+    for (low, high), p in zip(values.view(np.float64).T.tolist(), part, strict=True):
+        if low == high or not p:
             out.append(low)
         else:
-            prob = (1 - part) / (1 + np.exp(-low)) + part / (1 + np.exp(-high))
+            prob = (1 - p) / (1 + np.exp(-low)) + p / (1 + np.exp(-high))
             out.append(float(np.log(prob / (1 - prob))))
     return out
 
