@@ -9,9 +9,10 @@ n - ceil(n * num / den) + 1 members meet.
 
 * Posting lists of the prefixes are joined in two steps.  First every member
   meets one hub of its list (linear in the list), the links found are closed
-  into components; then members of *different* components meet, so a group of
-  near copies is never expanded into all its pairs, and no link between
-  components is lost.
+  into components; where large components still have many others beside them in
+  their lists, this is done again with other hubs; then members of *different*
+  components meet, so a group of near copies is never expanded into all its
+  pairs, and no link between components is lost.
   Lists of one component alone fall out, and a long list is dealt to tasks by a
   salt.
 * Length and positional filter, and the suffix filter, stand in the join
@@ -41,6 +42,8 @@ COUNTER_LOAD, COUNTERS = 64, (16, 24)
 SEGMENT = 1 << 16  # counters that travel together
 #: Entries of a posting list that meet in one task, about.
 HOT = 2048
+#: Further turns of hubs at most, hubs of a group in each, and meetings left for each entry (of its list's largest component with the others) that call for one.
+TURNS, HUBS, LEFT = 4, 8, 4
 WORDS = 8  # 64-bit words of a parity sketch
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -249,33 +252,50 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     live = entries.join(shared, "token")
     live = stage_table(live.join(groups.select("node", "n", "sketch"), "node"), "postings")
 
-    at = F.struct("comp", "node", "n", "pos", "sketch")
-    first = live.withColumn("comp", F.col("node"))
-    hubs = first.groupBy("token").agg(F.min(at).alias("lo"), F.max(at).alias("hi")).where("lo.comp < hi.comp")
-    star = (
-        first.join(hubs, "token")
-        .select(F.struct("node", "n", "pos", "sketch").alias("x"), F.when(F.col("comp") > F.col("lo.comp"), F.col("lo")).otherwise(F.col("hi")).alias("y"))
-        .where(_may_link("x", "y", num, den))
-    )
-    links = _links(docs, groups, _pairs(star), k, num, den)
-    near = components(links)
-
-    now = live.join(near, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-    open_ = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    now = now.join(open_, "token", "left_semi").withColumn("parts", F.ceil(F.col("c") / HOT).cast("int"))
+    links = _links(docs, groups, _pairs(_star(live.withColumn("comp", F.col("node")), "node", num, den)), k, num, den)
+    near, spent = components(links), [links]
+    for turn in range(TURNS + 1):
+        now = live.join(near, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+        lists = now.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.sum("c").alias("s"), F.max("c").alias("m")).where("s > m")
+        lists = stage_table(lists, "lists")
+        spent.append(lists)
+        entries, left = lists.agg(F.sum("s"), F.sum(F.col("m") * (F.col("s") - F.col("m")))).first()
+        now = now.join(lists.select("token"), "token", "left_semi")
+        if turn == TURNS or (left or 0) <= LEFT * (entries or 0):
+            break
+        # members of a large group stand apart yet: other hubs, few for each group, before all that are left meet
+        other = _links(docs, groups, _pairs(_star(now, F.xxhash64("node", F.lit(turn), F.pmod("token", F.lit(HUBS))), num, den)), k, num, den)
+        spent.append(other)
+        if other.isEmpty():
+            break
+        spent.append(near)
+        near = components(near.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(other))
+    now = now.withColumn("parts", F.ceil(F.col("c") / HOT).cast("int"))
     # a long list is dealt to several tasks: each entry of one side stands in one part, each of the other side in all
     x = now.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).alias("x")
     y = now.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
     rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.part") == F.col("y.part")) & F.expr("x.comp < y.comp") & _may_link("x", "y", num, den))
-    more = _links(docs, groups, _pairs(rest).join(links, ["a", "b"], "left_anti"), k, num, den)
-    # the first components are stars already: only what the second step found is new
+    more = _links(docs, groups, _pairs(rest), k, num, den)  # none of them is known: links found before are within a component
+    # the first components are stars already: only what the last step found is new
     found = near if more.isEmpty() else components(near.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     heads = groups.select("fp", "node").join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
-    heads = stage_table(heads.groupBy("fp").agg(F.min("component").alias("component")), "heads", groups, live, links, more, near, found)  # so that the join's two exchanges are its own, and a hot set can be split
+    heads = stage_table(heads.groupBy("fp").agg(F.min("component").alias("component")), "heads", groups, live, *spent, more, near, found)  # so that the join's two exchanges are its own, and a hot set can be split
     return profiles.select("doc_id", "n", "fp").join(heads, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _star(entries: DataFrame, order: Column | str, num: int, den: int) -> DataFrame:
+    """Entries (token, comp, node, n, pos, sketch) beside a hub of their list: the first by order, or the last for those of the first one's component."""
+    at = F.struct("comp", "node", "n", "pos", "sketch")
+    hubs = entries.groupBy("token").agg(F.min_by(at, F.struct(order, "node")).alias("lo"), F.max_by(at, F.struct(order, "node")).alias("hi"))
+    return (
+        entries.join(hubs, "token")
+        .select("comp", F.struct("node", "n", "pos", "sketch").alias("x"), F.when(F.col("comp") != F.col("lo.comp"), F.col("lo")).otherwise(F.col("hi")).alias("y"))
+        .where(F.col("comp") != F.col("y.comp"))
+        .where(_may_link("x", "y", num, den))
+    )
+
+
 def _pairs(met: DataFrame) -> DataFrame:
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).where("a < b").distinct()
 

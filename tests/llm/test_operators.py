@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 import zlib
 
 import numpy as np
@@ -727,3 +728,30 @@ def test_language_takes_whole_rows_up_to_the_bound(spark, monkeypatch):
     dicts = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     taken = [i for i in range(30) if f"start{i} ".encode() in dicts["en"]]
     assert 1 <= len(taken) <= 3 and all(dicts["en"].count(f"end{i}".encode()) for i in taken) and len(dicts["fr"]) <= 301
+
+
+def test_a_large_near_group_meets_by_hubs_before_all_that_are_left_meet(spark, monkeypatch):
+    """Copies of which only some link to the first hub: with further hubs, far fewer meet in pairs, and the components are those of all pairs."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(240):
+        words = [f"w{j}" for j in range(60)]
+        for _ in range(rng.choice([1, 1, 2])):
+            words[rng.randrange(60)] = f"z{i}"
+        rows.append((i, " ".join(words)))
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(56)} for _, t in rows]
+    head = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and head[a] != head[b]:
+                low, high = sorted((head[a], head[b]))
+                head = [low if h == high else h for h in head]
+    met, pairs = [], ngram_join._pairs
+    monkeypatch.setattr(ngram_join, "_pairs", lambda m: met.append(m.count()) or pairs(m))
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80, 100).collect()}
+    assert got == dict(enumerate(head)) and len(set(head)) > 1
+    with_turns = met[-1]
+    met.clear()
+    monkeypatch.setattr(ngram_join, "TURNS", 0)
+    assert {r.doc_id: r.component_id for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80, 100).collect()} == got
+    assert 2 * with_turns < met[-1]
