@@ -266,13 +266,7 @@ def ticker_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = readers.shared_path(spark, "tickers")
     rows = run("select concat('F', cast(firm as string)) as ticker, cast(session as string) as date, close from firm_bars")(spark, sf_dir)
     rows.repartition("ticker").write.partitionBy("ticker").csv(f"{path}/parts", header=True)
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/parts")
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(jvm.org.apache.hadoop.fs.Path(f"{path}/files"))
-    for part in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/parts/ticker=*/part-*")):  # a file for each firm
-        name = part.getPath().getParent().getName().split("=")[1]
-        fs.rename(part.getPath(), jvm.org.apache.hadoop.fs.Path(f"{path}/files/{name}.csv"))
+    readers.name_by_partition(spark, f"{path}/parts", "ticker", f"{path}/files")
     return readers.read_ticker_folder(spark, f"{path}/files").select("Ticker", F.col("Date").cast("date").alias("Date"), F.col("Close").cast("double").alias("Close"))
 
 

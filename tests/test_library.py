@@ -362,3 +362,12 @@ def test_inventory_equals_the_file_system(spark, sf, tmp_path):
         r = got[name]
         assert (r.rows, r.files, r.bytes) == (rows, len(files), sum(os.path.getsize(x) for x in files))
         assert r.modified is None and not files or abs(r.modified.replace(tzinfo=dt.timezone.utc).timestamp() - max(map(os.path.getmtime, files))) < 1
+
+
+def test_files_are_named_by_their_partition(spark, tmp_path):
+    rows = spark.createDataFrame([(f"F{i}", float(i)) for i in range(40)], "ticker string, close double")
+    rows.repartition("ticker").write.partitionBy("ticker").csv(f"{tmp_path}/parts", header=True)
+    readers.name_by_partition(spark, f"file://{tmp_path}/parts", "ticker", f"file://{tmp_path}/files")
+    assert sorted(p.stem for p in (tmp_path / "files").glob("*.csv")) == sorted(f"F{i}" for i in range(40))
+    got = readers.read_ticker_folder(spark, f"file://{tmp_path}/files").collect()
+    assert {r.Ticker: float(r.Close) for r in got} == {f"F{i}": float(i) for i in range(40)}
