@@ -246,6 +246,23 @@ def test_panel_blocks_learn_from_all_firms_before_each_block(spark):
         assert np.allclose(now["prob"], want) and (now["alarm"].to_numpy() == (want >= np.quantile(p(train["x"]), 0.95))).all()
 
 
+def test_gram_counts_are_handed_on_as_sums(spark):
+    """A task hands on a row for each distinct gram, not one for each that stands in a text."""
+    from collections import Counter
+
+    texts = ["ab ab abc", "Abc  ABC\tx", "", None, "abc"] * 200
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    parts = textmodel.counted(rows, 2, 5)
+    times, having = Counter(), Counter()
+    for t in texts:
+        own = textmodel.padded_grams(t or "", 2, 5)
+        times.update(own)
+        having.update(own.keys())
+    assert {r.gram: (r.times, r.texts) for r in parts.collect()} == {g: (n, having[g]) for g, n in times.items()}
+    plan = parts._jdf.queryExecution().toString()
+    assert "MapInPandas" in plan and "Generate" not in plan  # grams are added up before they are dealt out
+
+
 def test_panels_are_by_firm(spark, sf):
     from newstide.plans import catalogue, dialect, kernels
 
