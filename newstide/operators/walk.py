@@ -361,22 +361,20 @@ def dimson_betas(returns: DataFrame, market: DataFrame, years: list[int] | None
 def demean_two_way(panel: DataFrame, value: str, a: str, b: str, tolerance: float = 1e-12, rounds: int = 1000) -> DataFrame:
     """panel(a, b, value) with value less its means by a and b, by alternating projections.
 
-    What changes from round to round is one effect for each a and each b, so a
-    round is two aggregations of the panel, and the effects of a go to a table in
-    the shared folder, which cuts the lineage.  Ends when no effect of a moves by
+    What changes from round to round is one effect for each a and each b.  The
+    panel is dealt out by a and written once; a round is two aggregations of what
+    was written, whose sums are nearly whole within a task, as an a lies in one
+    file.  Effects go to tables in the shared folder, which cuts the lineage.  Ends when no effect of a moves by
     more than tolerance, or when rounding alone moves them (they move no less
     than in the round before, and by under 1e-10 of the largest value).
     """
-    spark = panel.sparkSession
     rows = panel.select(a, b, F.col(value).cast("double").alias("_y")).where("_y is not null")
+    rows = readers.stored(rows.repartition(a), "panel-to-demean")
     size = max(1.0, rows.agg(F.max(F.abs("_y"))).first()[0] or 0.0)
-    path = readers.shared_path(spark, "effects")
-    effects, by_b, last = rows.groupBy(a).agg(F.avg("_y").alias("_a")), None, math.inf
-    for k in range(rounds):
-        effects.write.parquet(f"{path}/{k}")
-        effects = spark.read.parquet(f"{path}/{k}")
-        by_b = rows.join(effects, a).groupBy(b).agg(F.avg(F.col("_y") - F.col("_a")).alias("_b"))
-        new = rows.join(by_b, b).groupBy(a).agg(F.avg(F.col("_y") - F.col("_b")).alias("_a"))
+    effects, by_b, last = readers.stored(rows.groupBy(a).agg(F.avg("_y").alias("_a")), "effects"), None, math.inf
+    for _ in range(rounds):  # effects are small beside the panel: Spark sends them to its tasks
+        by_b = readers.stored(rows.join(effects, a).groupBy(b).agg(F.avg(F.col("_y") - F.col("_a")).alias("_b")), "effects")
+        new = readers.stored(rows.join(by_b, b).groupBy(a).agg(F.avg(F.col("_y") - F.col("_b")).alias("_a")), "effects")
         moved = new.select(a, F.col("_a").alias("_n")).join(effects, a).agg(F.max(F.abs(F.col("_n") - F.col("_a")))).first()[0]
         if moved is None or moved <= tolerance or last <= moved <= 1e-10 * size:
             break

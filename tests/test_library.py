@@ -246,6 +246,24 @@ def test_panel_blocks_learn_from_all_firms_before_each_block(spark):
         assert np.allclose(now["prob"], want) and (now["alarm"].to_numpy() == (want >= np.quantile(p(train["x"]), 0.95))).all()
 
 
+def test_demeaning_makes_its_panel_once(spark, monkeypatch):
+    """Rounds read a stored panel: the rows are made once, however many rounds there are."""
+    from pyspark.sql import functions as F
+
+    made = spark.sparkContext.accumulator(0)
+    stored = []
+    monkeypatch.setattr(walk.readers, "stored", lambda df, name, f=walk.readers.stored: stored.append(name) or f(df, name))
+
+    @F.udf("double")
+    def seen(x):
+        made.add(1)
+        return float(x)
+
+    rows = spark.range(400).select((F.col("id") % 20).alias("f"), (F.col("id") * 7 % 31).alias("t"), seen((F.col("id") * F.col("id") % 101).cast("double")).alias("y"))
+    got = walk.demean_two_way(rows, "y", "f", "t").collect()
+    assert len(got) == 400 and 400 <= made.value <= 800 and len(stored) > 5  # the UDF may stand in the filter, too
+
+
 def test_gram_counts_are_handed_on_as_sums(spark):
     """A task hands on a row for each distinct gram, not one for each that stands in a text."""
     from collections import Counter
