@@ -73,8 +73,12 @@ def tokens(key: Column) -> Column:
 def shingles(text: Column, k: int = 3) -> Column:
     """Distinct word k-grams; a shorter text is one shingle."""
     words = F.split(F.lower(F.trim(F.regexp_replace(text, r"\s+", " "))), " ")
-    many = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(k)), " "))
-    return F.when(F.size(words) >= k, F.array_distinct(many)).otherwise(F.array(F.array_join(words, " ")))
+
+    def of(words: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(k)), " "))
+        return F.when(F.size(words) >= k, F.array_distinct(many)).otherwise(F.array(F.array_join(words, " ")))
+
+    return F.transform(F.array(words), of)[0]  # a text is split once, not once for each of its shingles
 
 
 def numbers_preserved(source: Column, target: Column) -> Column:

@@ -55,7 +55,9 @@ def reprints(articles: DataFrame, is_wire: Column, shingles: Column, threshold:
     rows = readers.stored(rows, "reprint-articles")
     dated = rows.where("class is not null and day is not null")
     classes = dated.groupBy("class").agg(F.any_value("s").alias("s"))  # a set is hashed once, however often it was sent
-    keys = classes.select("class", F.explode(band_keys(signature(F.col("s")))).alias("key"))
+    # written between the steps: a signature is made once, not once for each band and each side that reads its keys
+    classes = readers.stored(classes.withColumn("sig", signature(F.col("s"))), "reprint-classes")
+    keys = classes.select("class", F.explode(band_keys(F.col("sig"))).alias("key"))
     lang = F.coalesce(F.concat(F.lit("l"), "lang"), F.lit("")).alias("l")
     seen = dated.select("class", "wire", lang, F.datediff("day", F.lit("1970-01-01").cast("date")).alias("d")).distinct()
 

@@ -93,3 +93,26 @@ def test_estimate_is_near_the_similarity(spark):
     df = spark.createDataFrame([(a, b)], "a string, b string").select(T.shingles(F.col("a")).alias("a"), T.shingles(F.col("b")).alias("b"))
     r = df.select(minhash.similarity(F.col("a"), F.col("b")), minhash.estimate(minhash.signature(F.col("a"), 256), minhash.signature(F.col("b"), 256)), minhash.estimate(minhash.signature(F.col("a")), minhash.signature(F.col("a")))).first()
     assert r[0] == pytest.approx(178 / 222) and abs(r[1] - r[0]) < 0.08 and r[2] == 1.0
+
+
+def test_signatures_are_made_before_bands_read_them(spark, monkeypatch):
+    """No plan after the classes' table makes a signature, and bands of a stored one are those of a made one."""
+    made = []
+    monkeypatch.setattr(minhash.readers, "stored", lambda df, name, f=minhash.readers.stored: made.append(name) or f(df, name))
+    rows = spark.createDataFrame([(i, "en", dt.date(1996, 1, 1 + i % 3), f"a b c d e f {i // 2}") for i in range(20)], "id long, lang string, day date, headline string")
+    got = minhash.reprints(rows, F.col("id") % 2 == 0, T.shingles(F.col("headline")))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "reprint-classes" in made and "array_min" not in plan
+    assert {(r.id, r.wire_id, r.similarity) for r in got.collect()} == {(i, i - 1, 1.0) for i in range(1, 20, 2)}
+
+
+def test_shingles_split_a_text_once(spark):
+    """30,000 words: some seconds, where a split for each shingle takes minutes."""
+    import time
+
+    words = [f"w{i}" for i in range(30_000)]
+    rows = spark.createDataFrame([(" ".join(words),), ("A  b",), ("",), (None,), ("a b c a b c",)], "x string")
+    start = time.time()
+    got = [r.s for r in rows.select(T.shingles(F.col("x")).alias("s")).collect()]
+    assert got[0] == [" ".join(words[i : i + 3]) for i in range(29_998)] and got[1:3] == [["a b"], [""]] and got[4] == ["a b c", "b c a", "c a b"]
+    assert time.time() - start < 30
