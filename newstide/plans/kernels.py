@@ -188,6 +188,15 @@ def label_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.transform(rows.where("text is not null")).select("doc_id", "label", "prediction")
 
 
+def issuer_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headlines that hold an issuer's name between word borders, each name's pattern compiled once."""
+    issuers = run("select ticker, name from issuers")(spark, sf_dir).collect()  # a row for each of the dictionary's 25 names
+    rows = run("select row_id, concat(' ', lower(headline), ' ') as low from headlines")(spark, sf_dir)
+    low = F.col("low")  # names are letters, digits, # and @: a pattern that matches holds the name as it is
+    held = [F.when(F.contains(low, F.lit(r.name)) & low.rlike(f"[^a-zà-ÿ0-9]{r.name}[^a-zà-ÿ0-9]"), F.lit(r.ticker)) for r in issuers]
+    return rows.select("row_id", F.explode(F.array_compact(F.array(*held))).alias("ticker"))
+
+
 def stored_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written by year, read again, with a cache of what is done taken off."""
     rows = run("select row_id, year(published_date) as year, headline from headlines")(spark, sf_dir)
@@ -235,6 +244,7 @@ QUERIES = {
         surrogate_returns,
         two_way_demeaned,
         label_classifier,
+        issuer_matches,
         stored_years,
         cached_years,
         library_template_clusters,

@@ -264,6 +264,14 @@ def test_demeaning_makes_its_panel_once(spark, monkeypatch):
     assert len(got) == 400 and 400 <= made.value <= 800 and len(stored) > 5  # the UDF may stand in the filter, too
 
 
+def test_issuers_are_matched_without_a_join(spark, sf):
+    """Each name is a pattern of the plan, not one compiled for each pair of a headline and an issuer."""
+    from newstide.plans import catalogue
+
+    plan = catalogue.QUERIES["issuer_matches"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "RLIKE" in plan.upper()
+
+
 def test_gram_counts_are_handed_on_as_sums(spark):
     """A task hands on a row for each distinct gram, not one for each that stands in a text."""
     from collections import Counter
