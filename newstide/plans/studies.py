@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newstide.functions import text
-from newstide.operators import asof, controls, inference, minhash, series, studies, textmodel, walk
+from newstide.operators import asof, controls, inference, minhash, series, setjoin, studies, textmodel, walk
 from newstide.sources import readers
 
 from . import relational  # noqa: F401  (names the common tables)
@@ -253,6 +253,33 @@ def wire_reprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("similarity", F.round("similarity", 8))
 
 
+def _shingled(keyed: DataFrame) -> DataFrame:
+    """id, day, n, held: each document's distinct word 3-grams with their language; those without one count in n and are held by no other.
+
+    Rows that repeat an id are one document, their words in the order of their
+    places, as the oracle's window has them.
+    """
+    rows = keyed.groupBy("doc_id").agg(F.any_value("published_date").alias("day"), F.collect_list(F.struct("lang", "words")).alias("rows"))
+    rows = rows.withColumn("rows", F.filter("rows", lambda r: r["words"].isNotNull())).where("doc_id is not null and size(rows) > 0")  # here, where the words are made, not made twice
+    placed = F.flatten(F.transform("rows", lambda r: F.transform(r["words"], lambda w, i: F.struct(i.alias("i"), w.alias("w"), r["lang"].alias("lang")))))
+    tag = lambda lang: F.coalesce(F.concat(F.length(lang).cast("string"), F.lit(":"), lang), F.lit("-"))
+
+    def grams(p):
+        short = F.array(F.concat(tag(p[0]["lang"]), F.lit(" "), F.array_join(p["w"], " ")))
+        long = F.transform(F.sequence(F.lit(0), F.size(p) - 3), lambda i: F.concat(tag(p[i]["lang"]), F.lit(" "), F.concat_ws(" ", p[i]["w"], p[i + 1]["w"], p[i + 2]["w"])))
+        return F.array_distinct(F.when(F.size(p) < 3, short).otherwise(long))
+
+    # in an array of one, so that the words are put in order once, not once for each gram
+    rows = rows.select("doc_id", "day", F.explode(F.transform(F.array(F.sort_array(placed)), grams)).alias("s"))
+    return rows.select(F.col("doc_id").alias("id"), "day", F.size("s").cast("long").alias("n"), F.filter("s", lambda x: ~x.startswith("-")).alias("held"))
+
+
+def shingle_jaccard_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of headlines within two days with a Jaccard similarity of 0.8 or more; the SQL of that name is the oracle."""
+    found = setjoin.alike(_shingled(run("select doc_id, lang, published_date, @split(template_key, ' ') as words from keyed")(spark, sf_dir)))
+    return found.select("left_id", "right_id", F.round(F.col("c") / (F.col("left_n") + F.col("right_n") - F.col("c")).cast("double"), 6).alias("jaccard"))
+
+
 def price_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars written as a delimited file and read by the price reader, a bad date among them."""
     path = readers.shared_path(spark, "prices")
@@ -329,6 +356,7 @@ QUERIES = {
         library_relevance,
         library_page_dates,
         wire_reprints,
+        shingle_jaccard_band,
         price_file,
         ticker_folder,
         stored_table,
