@@ -41,16 +41,26 @@ def _linear(terms: list[tuple[object, str]]):
     return out
 
 
-def firm_models(units: DataFrame, features: list[str], by: str = "_year") -> tuple[DataFrame, dict[int, list[float]], dict[int, float]]:
-    """Least squares of y with an intercept for each firm, one model a value of ``by``: (by, firm, alpha), slopes and mean intercepts.
+def _known_sums(rows: DataFrame, by: list[str], cols: list[str], years: DataFrame) -> DataFrame:
+    """:func:`_sums` by _year and ``by`` of the rows whose next session is before each of years(_year).
+
+    A row is added up once, with its own year's; a year adds up the years before it.
+    """
+    own = _sums(rows.withColumn("_told", F.year("next_session")), ["_told", *by], cols)
+    own = readers.stored(own.where("_told is not null"), "own-sums")
+    return own.join(F.broadcast(years), F.col("_told") < F.col("_year")).groupBy("_year", *by).agg(*[F.sum(c).alias(c) for c in own.columns if c not in ("_told", *by)])
+
+
+def firm_models(units: DataFrame, features: list[str], years: DataFrame) -> tuple[DataFrame, dict[int, list[float]], dict[int, float]]:
+    """Least squares of y with an intercept for each firm, one model for each of years(_year) on what is known at its start: (_year, firm, alpha), slopes and mean intercepts.
 
     Sums by firm give the within-firm cross products; a row for each model
     reaches the driver.
     """
     import numpy as np
 
-    cols, k = [*features, "y"], len(features)
-    sums = readers.stored(_sums(units, [by, "firm"], cols), "firm-sums")
+    by, cols, k = "_year", [*features, "y"], len(features)
+    sums = readers.stored(_known_sums(units, ["firm"], cols, years), "firm-sums")
     inner = [(F.sum(F.col(f"p_{i}_{j}") - F.col(f"s_{i}") * F.col(f"s_{j}") / F.col("n"))).alias(f"p_{i}_{j}") for i in range(k + 1) for j in range(i, k + 1)]
     slopes = {}
     for r in sums.groupBy(by).agg(*inner).collect():
@@ -126,28 +136,117 @@ def logit_weights(events: DataFrame, words: DataFrame) -> DataFrame:
     return sets.groupBy("_year").applyInPandas(fit, "_year int, token string, weight double")
 
 
+#: Cells of a year's range of ``rest``, moments of a cell that sums are made of, and the largest exponent within a cell for which these tell them to 1e-13.
+CELLS, MOMENTS, LEAST_CERTAIN = 2048, 9, 0.125
+
+
+def _newton(goal, sums, slope, low, high):
+    """One step of Newton's method with a bracket for each slope: (slope, low, high, whether it still moves), given the sums s0, s1, s2 at the slopes."""
+    import numpy as np
+
+    s0, s1, s2 = sums
+    with np.errstate(all="ignore"):
+        mean = s1 / s0
+        gap, bend = mean - goal, s2 / s0 - mean**2
+        high, low = np.where(gap > 0, slope, high), np.where(gap > 0, low, slope)
+        new = np.where(bend > 0, slope - gap / bend, np.nan)
+        half = np.where(np.isfinite(low + high), (low + high) / 2, 2 * slope + np.where(gap < 0, 1.0, -1.0))
+        new = np.where((low < new) & (new < high), new, half)
+        return new, low, high, ~(np.abs(new - slope) <= 1e-10 * (1 + np.abs(slope)))
+
+
+def slopes_of_cells(goal, low, high, cells, rounds: int):
+    """The slope b of each goal at which the mean of rest, weighed by exp(b * rest), is the goal; nan where the cells don't tell it.
+
+    low and high are the ends of rest; cells has a row for each cell that holds
+    something: its number, and the sums of m * v ** k, v being the place in the
+    cell from -1 to 1.  exp(b * rest) is exp(b * centre) times a power series in
+    v, so sums over all events are sums over cells and moments.
+    """
+    import numpy as np
+
+    half = (high - low) / CELLS / 2
+    centre, told = low + (2 * cells[:, 0] + 1) * half, cells[:, 1:]
+    out = np.full(len(goal), np.nan)
+    out[(goal <= low) | (goal >= high)] = 0.0  # no finite slope
+    for first in range(0, len(goal), 256):
+        at = first + np.flatnonzero(np.isnan(out[first : first + 256]))
+        b, lo, hi = np.zeros(len(at)), np.full(len(at), -np.inf), np.full(len(at), np.inf)
+        for _ in range(rounds):
+            if not len(at):
+                break
+            e = np.exp(b[:, None] * (centre - np.where(b > 0, high, low)[:, None]))  # the largest exponent is 0
+            s0, s1, s2 = np.zeros((3, len(at)))
+            series = np.ones(len(at))
+            own = e @ np.hstack([told, told * centre[:, None], told * (centre**2)[:, None]])
+            n = told.shape[1]
+            for k in range(n - 2):
+                m, c, cc = own[:, k:n], own[:, n + k : 2 * n], own[:, 2 * n + k :]
+                s0 += series * m[:, 0]
+                s1 += series * (c[:, 0] + half * m[:, 1])
+                s2 += series * (cc[:, 0] + 2 * half * c[:, 1] + half**2 * m[:, 2])
+                series = series * (b * half) / (k + 1)
+            new, lo, hi, moves = _newton(goal[at], (s0, s1, s2), b, lo, hi)
+            out[at[~moves]] = new[~moves]
+            on = moves & (np.abs(new) * half <= LEAST_CERTAIN)  # else beyond what the moments tell: left to the events themselves
+            at, b, lo, hi = at[on], new[on], lo[on], hi[on]
+    return out
+
+
 def poisson_weights(events: DataFrame, eligible: DataFrame, rounds: int = 60) -> DataFrame:
     """_year, token, weight: for each eligible word the slope of a Poisson regression of its count on what the firm model leaves.
 
     events(_year, firm, session, rest, tokens); the offset is the logarithm of
     the eligible words in the event.  The intercept has a closed form given the
     slope b, and then the mean of ``rest`` over the word's events must equal
-    that over all events, weighed by their words and exp(b * rest).  So a word
-    is two sums, and a round of Newton's method (with a bracket) is three sums
-    over all events for each word, which Spark adds up.  A row for each eligible
-    word and year reaches the driver.
+    that over all events, weighed by their words and exp(b * rest).  Those sums
+    are the same function of b for all words of a year, so the events are added
+    up once, into moments of ``rest`` within CELLS cells of its range, and words
+    are solved side by side from these.  A slope too steep for the cells is
+    solved over the events, a round of Newton's method (with a bracket) at a
+    time, to the same bound.  Cells reach the driver, and of words such ones.
     """
     import numpy as np
 
+    spark = events.sparkSession
     hits = events.select("_year", "rest", "firm", "session", F.explode(F.array_distinct("tokens")).alias("token")).join(eligible.select("_year", "token"), ["_year", "token"])
-    words = hits.groupBy("_year", "token").agg(F.avg("rest").alias("goal")).collect()
+    words = hits.groupBy("_year", "token").agg(F.avg("rest").alias("goal"))
     sizes = hits.groupBy("_year", "firm", "session").agg(F.count(F.lit(1)).alias("m"), F.first("rest").alias("rest"))
     sizes = readers.stored(sizes.groupBy("_year", "rest").agg(F.sum("m").cast("double").alias("m")), "word-exposure")
     ends = {r["_year"]: (r.a, r.b) for r in sizes.groupBy("_year").agg(F.min("rest").alias("a"), F.max("rest").alias("b")).collect()}
+    wide = [(y, a, (b - a) / CELLS) for y, (a, b) in ends.items() if 0 < (b - a) / CELLS < np.inf]
+    dealt = sizes.join(F.broadcast(spark.createDataFrame(wide, "_year int, _a double, _w double")), "_year")
+    dealt = dealt.withColumn("cell", F.least(F.floor((F.col("rest") - F.col("_a")) / F.col("_w")), F.lit(CELLS - 1)).cast("int"))
+    v = 2 * ((F.col("rest") - F.col("_a")) / F.col("_w") - F.col("cell")) - 1
+    power = [F.lit(1.0)]
+    while len(power) < MOMENTS + 2:
+        power.append(power[-1] * F.col("_v"))
+    summed = dealt.withColumn("_v", v).groupBy("_year", "cell").agg(*[F.sum(F.col("m") * x).alias(f"m_{k}") for k, x in enumerate(power)])
+    cells: dict = {}
+    for r in summed.collect():  # CELLS rows a year at most
+        cells.setdefault(r["_year"], []).append(list(r)[1:])
+    cells = {y: np.array(sorted(rows)) for y, rows in cells.items()}
+
+    def solve(batches):
+        for batch in batches:
+            for y, own in batch.groupby("_year"):
+                goal = own["goal"].to_numpy(float)
+                yield own.assign(weight=slopes_of_cells(goal, *ends[y], cells[y], rounds) if y in cells else np.nan)[["_year", "token", "goal", "weight"]]
+
+    told = readers.stored(words.mapInPandas(solve, "_year int, token string, goal double, weight double"), "word-slopes")
+    steep = told.where("weight is null").collect()  # Arrow's form of nan
+    solved = told.where("weight is not null").select("_year", "token", "weight")
+    return solved.unionByName(_steep_weights(sizes, steep, ends, rounds)) if steep else solved
+
+
+def _steep_weights(sizes: DataFrame, words: list, ends: dict[int, tuple[float, float]], rounds: int) -> DataFrame:
+    """_year, token, weight of the words (rows of _year, token, goal), each round three sums over the events of sizes(_year, rest, m) for each word, which Spark adds up."""
+    import numpy as np
+
     names, goal, slope, low, high = {}, {}, {}, {}, {}
-    for y in sorted(ends):
+    for y in sorted({r["_year"] for r in words}):
         own = sorted((r.token, r.goal) for r in words if r["_year"] == y)
-        names[y], goal[y] = [t for t, _ in own], np.array([g for _, g in own])
+        names[y], goal[y] = [t for t, _ in own], np.array([g for _, g in own], float)
         slope[y], low[y], high[y] = np.zeros(len(own)), np.full(len(own), -np.inf), np.full(len(own), np.inf)
     going = {y: np.arange(len(names[y])) for y in names}
     for _ in range(rounds):
@@ -171,26 +270,16 @@ def poisson_weights(events: DataFrame, eligible: DataFrame, rounds: int = 60) ->
                 yield pd.DataFrame(out, columns=["_year", "word", "s0", "s1", "s2"])
 
         added = sizes.mapInPandas(sums, "_year int, word int, s0 double, s1 double, s2 double").groupBy("_year", "word").agg(*[F.sum(c).alias(c) for c in ("s0", "s1", "s2")]).collect()
-        still: dict = {y: [] for y in now}
-        for r in added:
-            y, j = r["_year"], r["word"]
-            mean = r.s1 / r.s0
-            gap, bend, b = mean - goal[y][j], r.s2 / r.s0 - mean**2, slope[y][j]
-            if gap > 0:
-                high[y][j] = b
-            else:
-                low[y][j] = b
-            new = b - gap / bend if bend > 0 else np.nan
-            if not low[y][j] < new < high[y][j]:
-                new = (low[y][j] + high[y][j]) / 2 if np.isfinite(low[y][j] + high[y][j]) else 2 * b + (1 if gap < 0 else -1)
-            slope[y][j] = new
-            if abs(new - b) > 1e-10 * (1 + abs(b)):
-                still[y].append(j)
-        going = {y: np.array(sorted(j), dtype=int) for y, j in still.items()}
+        going = {}
+        for y in now:
+            own = sorted((r.word, r.s0, r.s1, r.s2) for r in added if r["_year"] == y)
+            at = np.array([r[0] for r in own], dtype=int)
+            slope[y][at], low[y][at], high[y][at], moves = _newton(goal[y][at], np.array([r[1:] for r in own]).T, slope[y][at], low[y][at], high[y][at])
+            going[y] = at[moves]
     for y, at in going.items():
         slope[y][at] = 0.0  # no finite slope
     rows = [(y, t, float(b)) for y in names for t, b in zip(names[y], slope[y], strict=True)]
-    return events.sparkSession.createDataFrame(rows, "_year int, token string, weight double")
+    return sizes.sparkSession.createDataFrame(rows, "_year int, token string, weight double")
 
 
 def yearly_walk(units: DataFrame, events: DataFrame, years: list[int], features: list[str], arms: dict[str, list[str]], test_from: str, method: str = "card") -> DataFrame:
@@ -215,23 +304,25 @@ def yearly_walk(units: DataFrame, events: DataFrame, years: list[int], features:
     year = F.broadcast(spark.createDataFrame([(y,) for y in years], "_year int"))
     start = F.make_date("_year", F.lit(1), F.lit(1))
     known = F.col("next_session") < start
-    alphas, slopes, means = firm_models(units.crossJoin(year).where(known), features)
+    alphas, slopes, means = firm_models(units, features, year)
     fitted = spark.createDataFrame([(y, means[y], *b) for y, b in slopes.items()], "_year int, _mean double, " + ", ".join(f"_b{i} double" for i in range(len(features))))
     f0 = F.coalesce("alpha", "_mean") + _linear([(F.col(f"_b{i}"), c) for i, c in enumerate(features)])
     each = events.crossJoin(year).where(known | (F.year("session") == F.col("_year"))).join(F.broadcast(fitted), "_year").join(alphas, ["_year", "firm"], "left")
     each = readers.stored(each.withColumn("f0", f0).withColumn("_known", known).drop("alpha", "_mean", *[f"_b{i}" for i in range(len(features))]), "yearly-events")
     rest = F.col("y") - F.col("f0")
-    edges = each.where("_known").groupBy("_year").agg(F.percentile(rest, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("_e"))
-    label = F.when(rest > F.col("_e")[1], 1.0).when(rest < F.col("_e")[0], 0.0)
-    told = each.where("_known").join(F.broadcast(edges), "_year").withColumn("label", label).withColumn("rest", rest).drop("_e")
+    told = each.where("_known").withColumn("rest", rest)
+    if method != "dmr":  # which learns from the rest itself
+        edges = told.groupBy("_year").agg(F.percentile("rest", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("_e"))
+        label = F.when(F.col("rest") > F.col("_e")[1], 1.0).when(F.col("rest") < F.col("_e")[0], 0.0)
+        told = told.join(F.broadcast(edges), "_year").withColumn("label", label).drop("_e")
     if method == "card":
         weights = screened_words(told).select("_year", "token", F.col("side").cast("double").alias("weight"))
     elif method == "logit":
         told = readers.stored(told, "labelled-events")
         weights = readers.stored(logit_weights(told, readers.stored(screened_words(told), "screened-words")), "logit-weights")
     elif method == "dmr":
-        told = readers.stored(told, "labelled-events")
-        weights = poisson_weights(told, readers.stored(eligible_words(told), "eligible-words"))
+        words = eligible_words(told.withColumn("label", F.lit(None).cast("double")))
+        weights = poisson_weights(told, readers.stored(words, "eligible-words"))
     else:
         raise ValueError(method)
 
@@ -252,10 +343,9 @@ def yearly_walk(units: DataFrame, events: DataFrame, years: list[int], features:
     cols = sorted({c for a in arms.values() for c in a})
     later = F.broadcast(spark.createDataFrame([(y,) for y in years[1:]], "_year int"))
     one = readers.stored(scored, "scored-events").withColumn("_one", F.lit(1.0))
-    train = one.crossJoin(later).where(known & (F.col("session") >= F.lit(test_from).cast("date")))
     fits = []
     names = ["_one", *cols, "y"]
-    for r in _sums(train, ["_year"], names).collect():
+    for r in _known_sums(one.where(F.col("session") >= F.lit(test_from).cast("date")), [], names, later).collect():
         m = _matrix(r, len(names))
         row = [r["_year"]]
         for wanted in arms.values():
