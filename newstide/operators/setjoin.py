@@ -41,13 +41,18 @@ def alike(rows: DataFrame, percent: int = 80, days: int = 2) -> DataFrame:
     earlier = posted.select(F.col("class").alias("a"), F.col("n").alias("a_n"), "key", F.posexplode(F.sequence(F.col("d"), F.col("d") + days)).alias("later", "d"))
     met = earlier.join(posted.select(F.col("class").alias("b"), F.col("n").alias("b_n"), "key", "d"), ["key", "d"])
     met = met.where((F.col("a") < F.col("b")) | (F.col("later") > 0) & (F.col("a") != F.col("b"))).where(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
-    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    before = F.col("d") - F.col("later")
+    ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), before).otherwise(F.col("d")).alias("a_d"), F.when(F.col("a") < F.col("b"), F.col("d")).otherwise(before).alias("b_d")]
+    met = readers.stored(met.select(*ordered).distinct(), "alike-met")
     one, other = (classes.select(F.col("class").alias(x), F.col("n").alias(f"{x}_n"), F.col("held").alias(f"{x}_held")) for x in "ab")
-    links = pairs.join(one, "a").join(other, "b").select("a", "b", "a_n", "b_n", F.size(F.array_intersect("a_held", "b_held")).cast("long").alias("c"))
-    copies = classes.where("copies > 1").select(F.col("class").alias("a"), F.col("class").alias("b"), F.col("n").alias("a_n"), F.col("n").alias("b_n"), F.size("held").cast("long").alias("c"))
-    links = links.unionByName(copies).where(100 * F.col("c") >= percent * (F.col("a_n") + F.col("b_n") - F.col("c")))
-
-    near = links.join(placed.select(F.col("class").alias("a"), F.col("d").alias("at"), F.col("id").alias("x")), "a").withColumn("d", F.explode(F.sequence(F.col("at") - days, F.col("at") + days)))
-    found = near.join(placed.select(F.col("class").alias("b"), "d", F.col("id").alias("y")), ["b", "d"]).where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
+    enough = 100 * F.col("c") >= percent * (F.col("a_n") + F.col("b_n") - F.col("c"))
+    links = met.select("a", "b").distinct().join(one, "a").join(other, "b").select("a", "b", "a_n", "b_n", F.size(F.array_intersect("a_held", "b_held")).cast("long").alias("c")).where(enough)
+
+    # back to rows on the days on which two classes met, and copies on theirs
+    at = lambda side, row: placed.select(F.col("class").alias(side), F.col("d").alias(f"{side}_d"), F.col("id").alias(row))
+    found = met.join(links, ["a", "b"]).join(at("a", "x"), ["a", "a_d"]).join(at("b", "y"), ["b", "b_d"]).select("x", "y", "c", "a_n", "b_n")
+    copies = classes.where("copies > 1").select(F.col("class").alias("a"), F.col("n").alias("a_n"), F.col("n").alias("b_n"), F.size("held").cast("long").alias("c")).where(enough)
+    later = at("a", "x").join(copies, "a").select("a", "x", "c", "a_n", "b_n", F.posexplode(F.sequence(F.col("a_d"), F.col("a_d") + days)).alias("later", "a_d"))
+    same = later.join(at("a", "y"), ["a", "a_d"]).where((F.col("later") > 0) | (F.col("x") < F.col("y"))).select("x", "y", "c", "a_n", "b_n")
     swapped = F.col("x") > F.col("y")
-    return found.select(F.least("x", "y").alias("left_id"), F.greatest("x", "y").alias("right_id"), "c", F.when(swapped, F.col("b_n")).otherwise(F.col("a_n")).alias("left_n"), F.when(swapped, F.col("a_n")).otherwise(F.col("b_n")).alias("right_n"))
+    return found.unionByName(same).select(F.least("x", "y").alias("left_id"), F.greatest("x", "y").alias("right_id"), "c", F.when(swapped, F.col("b_n")).otherwise(F.col("a_n")).alias("left_n"), F.when(swapped, F.col("a_n")).otherwise(F.col("b_n")).alias("right_n"))
