@@ -292,9 +292,8 @@ def ticker_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file for each firm, the ticker from the file's name."""
     path = readers.shared_path(spark, "tickers")
     rows = run("select concat('F', cast(firm as string)) as ticker, cast(session as string) as date, close from firm_bars")(spark, sf_dir)
-    rows.repartition("ticker").write.partitionBy("ticker").csv(f"{path}/parts", header=True)
-    readers.name_by_partition(spark, f"{path}/parts", "ticker", f"{path}/files")
-    return readers.read_ticker_folder(spark, f"{path}/files").select("Ticker", F.col("Date").cast("date").alias("Date"), F.col("Close").cast("double").alias("Close"))
+    folders = readers.write_tickers(rows, "ticker", path)
+    return readers.read_tickers(spark, path, folders, ["date", "close"]).select("Ticker", F.col("Date").cast("date").alias("Date"), F.col("Close").cast("double").alias("Close"))
 
 
 def stored_table(spark: SparkSession, sf_dir: str) -> DataFrame:

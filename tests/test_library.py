@@ -414,3 +414,20 @@ def test_files_are_named_by_their_partition(spark, tmp_path):
     assert sorted(p.stem for p in (tmp_path / "files").glob("*.csv")) == sorted(f"F{i}" for i in range(40))
     got = readers.read_ticker_folder(spark, f"file://{tmp_path}/files").collect()
     assert {r.Ticker: float(r.Close) for r in got} == {f"F{i}": float(i) for i in range(40)}
+
+
+def test_tickers_are_written_and_listed_in_tasks(spark, tmp_path, monkeypatch):
+    """A file for each ticker in bounded folders, values as they were, a firm that goes on from batch to batch; the driver reads no file."""
+    monkeypatch.setattr(readers, "FILES", 10)
+    want = [(f"F/{i}", str(j), None if j == 2 else i + j / 3) for i in range(40) for j in range(5)] + [('a "b", c', "x,\"y\"", 1e-30)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        folders = readers.write_tickers(spark.createDataFrame([*want, (None, "0", 0.0)], "ticker string, date string, close double"), "ticker", f"file://{tmp_path}/t")
+        frame = readers.read_tickers(spark, f"file://{tmp_path}/t", folders, ["date", "close"])
+        got = sorted((r.Ticker, r.Date, r.Close and float(r.Close)) for r in frame.collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert 3 <= folders <= 6 and len(list((tmp_path / "t").glob("*/*.csv"))) == 41 and not list((tmp_path / "t").glob("*/.[0-9a-f]*[0-9a-f]"))
+    assert got == sorted(want, key=lambda r: r[:2]) and frame.inputFiles() == []
+    with pytest.raises(Exception, match="columns"):
+        readers.read_tickers(spark, f"file://{tmp_path}/t", folders, ["date"]).count()
