@@ -431,3 +431,14 @@ def test_tickers_are_written_and_listed_in_tasks(spark, tmp_path, monkeypatch):
     assert got == sorted(want, key=lambda r: r[:2]) and frame.inputFiles() == []
     with pytest.raises(Exception, match="columns"):
         readers.read_tickers(spark, f"file://{tmp_path}/t", folders, ["date"]).count()
+
+
+def test_grams_are_counted_from_small_batches(spark, monkeypatch):
+    """A worker holds the words of 2,048 texts at most, and hands on sums when it has many words, too."""
+    for key in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        spark.conf.unset(f"spark.sql.execution.arrow.{key}")
+    rows = spark.createDataFrame([(f"aa bb w{i % 50}",) for i in range(300)], "text string").coalesce(1)
+    want = {r.gram: (r.times, r.texts) for r in textmodel.counted(rows, 2, 3).collect()}
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 2048 and want["aa"] == (300, 300)
+    monkeypatch.setattr(textmodel, "COUNTED", 7)
+    assert {r.gram: (r.times, r.texts) for r in textmodel.counted(rows, 2, 3).collect()} == want
